@@ -2,11 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import read
+from .common import materialize, read, word_count
+from .mixing import NULL, mix, source_targets
 from .near_dedup import near_classes
 from .packing import pack
+from .quality import with_verdicts
+from .toxicity import fit as fit_grammar, score as score_toxicity, training_sample
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_verdicts(read(spark, sf_dir, "documents")).select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")])
+
+
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = materialize(read(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size")), "sizes")
+    sizes, quotas = source_targets(docs, size=F.col("size"))
+    mixed = mix(docs, F.array("source"), quotas, size=F.col("size"))
+    known = spark.createDataFrame([(NULL if s is None else s, n, quotas[s]) for s, n in sizes.items()], "_key string, source_size long, target double")  # one row per source
+    out = mixed.withColumn("_key", F.coalesce("source", F.lit(NULL))).join(F.broadcast(known), "_key")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("_copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    grammar = fit_grammar(training_sample(docs, read(spark, sf_dir, "labels")))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return score_toxicity(docs, grammar).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +41,46 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op2_quality": op2_quality,
+    "op3_mix": op3_mix,
+    "op5_toxicity": op5_toxicity,
     "op6_near_dedup": op6_near_dedup,
     "op10_pack": op10_pack,
 }
 
-LLM_SQL: dict[str, str] = {}
+_WORD = r"'[^\x20\x09-\x0D]+'"
+
+_QUALITY = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '<null>') AS host FROM documents),
+w AS (SELECT rid, doc_id, host, t, regexp_extract_all(t, {_WORD}) AS w FROM d),
+pos AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+win AS (SELECT rid, i, word AS a, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM pos WINDOW o AS (PARTITION BY rid ORDER BY i)),
+rep AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM win WHERE c IS NOT NULL),
+cov AS (SELECT rid, count(DISTINCT i + k) AS n FROM rep, (VALUES (0), (1), (2)) v(k) WHERE n > 1 GROUP BY rid),
+l AS (SELECT rid, host, t, line FROM (SELECT rid, host, t, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM l GROUP BY rid),
+norm AS (SELECT rid, host, t, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS line, len(regexp_extract_all(line, {_WORD})) AS n FROM l),
+texts AS (SELECT host, count(DISTINCT t) AS texts FROM d GROUP BY host),
+over AS (SELECT host, line FROM norm JOIN texts USING (host) GROUP BY host, line, texts HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > texts * 0.1e0),
+gone AS (SELECT rid, sum(n) AS n FROM norm JOIN over USING (host, line) GROUP BY rid),
+f AS (SELECT doc_id, len(w) AS n_words, length(list_aggregate(w, 'string_agg', '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS removed FROM w LEFT JOIN dup USING (rid) LEFT JOIN cov USING (rid) LEFT JOIN gone USING (rid))
+SELECT doc_id, n_words::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - removed) >= 30 * n_words AS kept, removed::BIGINT AS removed_words FROM f
+"""
+
+_MIX = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORD}))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS k FROM d GROUP BY source),
+w AS (SELECT source, n, (k - 1) % 3 + 1 AS w FROM s),
+o AS (SELECT *, row_number() OVER q AS ord, sum(n) OVER () - coalesce(sum(3 * n) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS heavy FROM w WINDOW q AS (ORDER BY 3 * n / w::DOUBLE, source)),
+stop AS (SELECT min(ord) AS ord FROM o WHERE NOT (3 * n * heavy <= rest * w)),
+t AS (SELECT o.source, n, CASE WHEN stop.ord IS NULL OR o.ord < stop.ord THEN (3 * n)::DOUBLE ELSE (SELECT rest FROM o WHERE ord = stop.ord)::DOUBLE * w::DOUBLE / (SELECT heavy FROM o WHERE ord = stop.ord)::DOUBLE END AS target FROM o, stop),
+q AS (SELECT *, floor(target + 0.5e0)::BIGINT AS quota FROM t),
+r AS (SELECT source, n, target, CASE WHEN n = 0 THEN 0 ELSE quota // n END AS rounds, CASE WHEN n = 0 THEN 0 ELSE quota % n END AS rest FROM q),
+u AS (SELECT d.*, r.n, r.target, r.rounds, r.rest, sum(size) OVER (PARTITION BY d.source ORDER BY substr(md5('1:' || doc_id), 1, 13), size ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, n AS source_size, target, (size * (rounds + CASE WHEN rest > 0 AND (upto <= rest OR upto - rest < rest - (upto - size)) THEN 1 ELSE 0 END))::BIGINT AS taken FROM u
+"""
+
+LLM_SQL = {"op2_quality": _QUALITY, "op3_mix": _MIX}
