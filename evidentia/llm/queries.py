@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import materialize, read, word_count
+from .chat_format import digests, format_conversations
+from .common import materialize, read, shared_dir, word_count
 from .mixing import NULL, mix, source_targets
 from .near_dedup import near_classes
 from .packing import pack
 from .quality import with_verdicts
+from .warc import read_archive, write_archive
 from .toxicity import fit as fit_grammar, score as score_toxicity, training_sample
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
+    return digests(format_conversations(turns.unionByName(extra)))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_verdicts(read(spark, sf_dir, "documents")).select("doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")])
 
@@ -36,15 +47,23 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/evidentia-warc-{uuid.uuid4().hex}"
+    write_archive(read(spark, sf_dir, "pages"), path)
+    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
 LLM_QUERIES = {
+    "op1_chat": op1_chat,
     "op2_quality": op2_quality,
     "op3_mix": op3_mix,
     "op5_toxicity": op5_toxicity,
     "op6_near_dedup": op6_near_dedup,
+    "op7_warc": op7_warc,
     "op10_pack": op10_pack,
 }
 
@@ -83,4 +102,23 @@ u AS (SELECT d.*, r.n, r.target, r.rounds, r.rest, sum(size) OVER (PARTITION BY
 SELECT doc_id, size, n AS source_size, target, (size * (rounds + CASE WHEN rest > 0 AND (upto <= rest OR upto - rest < rest - (upto - size)) THEN 1 ELSE 0 END))::BIGINT AS taken FROM u
 """
 
-LLM_SQL = {"op2_quality": _QUALITY, "op3_mix": _MIX}
+_CHAT = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM c),
+p AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM o),
+e AS (SELECT *, length(regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')) + CASE WHEN before IS NOT DISTINCT FROM role THEN 7 ELSE 20 + length(regexp_replace(role, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')) END AS n FROM p)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, (3 + sum(n))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+m AS (SELECT html, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY html)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM p LEFT JOIN m ON p.html = m.html
+"""
+
+LLM_SQL = {"op1_chat": _CHAT, "op7_warc": _WARC, "op2_quality": _QUALITY, "op3_mix": _MIX}
