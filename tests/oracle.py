@@ -10,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def _plain(x):
     if isinstance(x, (list, tuple, np.ndarray)):
         return "[" + ", ".join(_plain(v) for v in x) + "]"
-    if x is None or (isinstance(x, float) and np.isnan(x)) or x is pd.NaT:
+    if x is None or x is pd.NA or x is pd.NaT or (isinstance(x, (float, np.floating)) and np.isnan(x)):
         return "∅"
     if isinstance(x, (bool, np.bool_)):
         return str(bool(x))
