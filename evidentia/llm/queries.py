@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .ann_forest import nearest
 from .chat_format import digests, format_conversations
 from .common import materialize, read, shared_dir, word_count
+from .langid import fit as fit_languages, identify
 from .mixing import NULL, mix, source_targets
 from .near_dedup import near_classes
 from .packing import pack
@@ -53,6 +55,18 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    part = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = fit_languages(docs.where(part != 2).select("text", "lang"))
+    return identify(docs, model).select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
@@ -64,6 +78,8 @@ LLM_QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_near_dedup": op6_near_dedup,
     "op7_warc": op7_warc,
+    "op8_nearest": op8_nearest,
+    "op9_language": op9_language,
     "op10_pack": op10_pack,
 }
 
