@@ -10,6 +10,7 @@ from .ann_forest import nearest
 from .chat_format import digests, format_conversations
 from .common import materialize, read, shared_dir, word_count
 from .langid import fit as fit_languages, identify
+from .license_scan import scan as scan_licenses
 from .mixing import NULL, mix, source_targets
 from .near_dedup import near_classes
 from .packing import pack
@@ -38,6 +39,10 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("_copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents")).select("doc_id", "position", "family", F.round("probability", 6).alias("probability"), "shared")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     grammar = fit_grammar(training_sample(docs, read(spark, sf_dir, "labels")))
@@ -75,6 +80,7 @@ LLM_QUERIES = {
     "op1_chat": op1_chat,
     "op2_quality": op2_quality,
     "op3_mix": op3_mix,
+    "op4_licenses": op4_licenses,
     "op5_toxicity": op5_toxicity,
     "op6_near_dedup": op6_near_dedup,
     "op7_warc": op7_warc,
