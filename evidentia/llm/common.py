@@ -53,3 +53,8 @@ def words(text: F.Column | str) -> F.Column:
 def word_count(text: str) -> F.Column:
     """Number of words of a text column (long; null: 0), without keeping an array of them."""
     return F.size(words(text)).cast("long")
+
+
+def where_after(df: DataFrame, condition: F.Column) -> DataFrame:
+    """df filtered by a condition on computed columns, which are computed once: the optimiser can't move the filter below them."""
+    return df.withColumn("_pin", F.monotonically_increasing_id()).where(condition & (F.col("_pin") >= 0)).drop("_pin")

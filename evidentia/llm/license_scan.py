@@ -15,6 +15,8 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import where_after
+
 # How the licences name themselves and begin.
 TEMPLATES = {
     "MIT": [
@@ -161,7 +163,7 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_s
     rows = rows.withColumn("words", words)
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get("words", i - 1), F.get("words", i)))
     # the n-grams of the model that the paragraph holds, each once
-    rows = rows.withColumn("held", F.array_intersect(F.concat("words", pairs), names)).where(F.size("held") > 0)
+    rows = rows.withColumn("held", F.array_intersect(F.concat("words", pairs), names))
     table = F.map_from_arrays(names, F.array(*[F.array(*[F.lit(float(x)) for x in w]) for w in weights.values()]))
     z = F.aggregate("held", F.array(*[F.lit(float(b)) for b in biases]), lambda s, f: F.zip_with(s, table[f], lambda a, b: a + b))
     rows = rows.withColumn("z", z)
@@ -174,7 +176,7 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_s
         own = F.greatest(*map(share, texts)) if len(texts) > 1 else share(texts[0])
         cases = F.when(F.col("family") == family, own) if cases is None else cases.when(F.col("family") == family, own)
     rows = rows.withColumn("shared", F.round(cases, 6))
-    return rows.where((F.col("family") != UNKNOWN) & (F.col("probability") >= limit) & (F.col("shared") >= least_shared)).select("doc_id", "position", "family", "probability", "shared", "paragraph")
+    return where_after(rows, (F.size("held") > 0) & (F.col("family") != UNKNOWN) & (F.col("probability") >= limit) & (F.col("shared") >= least_shared)).select("doc_id", "position", "family", "probability", "shared", "paragraph")
 
 
 def classify(paragraph: str, least_shared: float = 0.5) -> str:
