@@ -56,7 +56,7 @@ class ChunkTokenizer:
     this could differ from the tokenizer, and tokenizers of another build, take its plain way.
     """
 
-    def __init__(self, path: str | None = None, memory: int = 400_000):
+    def __init__(self, path: str | None = None, memory: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -73,9 +73,10 @@ class ChunkTokenizer:
         if self.fast:
             self.split = regex.compile(pre[0]["pattern"]["Regex"])
         self.letters = _byte_letters()
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Empties the memory."""
         self.known, self.words = _Memory(), {}
         self.pool, self.used = np.zeros(1 << 20, dtype="<u4"), 0
         self.starts, self.lengths = np.zeros(1 << 18, dtype=np.int64), np.zeros(1 << 18, dtype=np.int64)
@@ -115,7 +116,7 @@ class ChunkTokenizer:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """One array of ids per text; null: empty."""
         if len(self.known) > self.memory:
-            self._forget()
+            self.forget()
         counts, flat, plain = [], [], {}
         for k, t in enumerate(texts):
             before = len(flat)
@@ -271,6 +272,7 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", prompt_
                     note(packer.add(Item(doc, np.append(ids, np.uint32(end_id)).astype("<u4"), 0, len(ids) + 1, prompt)))
             yield out()
         note(packer.flush())
+        tokenizer.forget()  # the worker lives on beside other tasks
         yield out()
 
     return rows.mapInArrow(run, _SCHEMA)

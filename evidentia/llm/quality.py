@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, materialize, words
+from .common import SPACE, materialize, where_after, words
 
 #: Up to so many boilerplate lines of all hosts together are broadcast, 8 bytes each; beyond, hosts are joined by shuffle.
 BROADCAST_LINES = 200_000
@@ -110,6 +110,7 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that pass, with boilerplate lines taken out of their texts; all columns as they were named."""
     text = options.get("text", "text")
     plain = docs.columns
-    rows = with_verdicts(docs.select(F.struct(*[F.col(f"`{c}`") for c in plain]).alias("row"), F.col(text), F.col(options.get("host", "source"))), **options).where("quality.kept")
+    rows = with_verdicts(docs.select(F.struct(*[F.col(f"`{c}`") for c in plain]).alias("row"), F.col(text), F.col(options.get("host", "source"))), **options)
+    rows = where_after(rows, F.col("quality.kept"))
     clean = F.col("quality.clean_text")
     return rows.select(*[(clean if c == text else F.length(clean).cast(docs.schema[c].dataType) if c == "n_chars" else F.col("row")[c]).alias(c) for c in plain])
