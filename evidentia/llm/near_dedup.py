@@ -217,21 +217,24 @@ def _prefix_pairs(rest: DataFrame, texts: DataFrame, size: int, least: float, of
 
     held = texts.join(rest.select("tid"), "tid", "left_semi").select("tid", word_hashes("text").alias("words")).mapInArrow(run, "tid binary, elements array<bigint>")
     single = materialize(held.select("tid", F.explode("elements").alias("e")), "elements")
-    spread = single.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
+    # elements that the same texts hold (those of one shared passage) are one class: h tells the set of texts
+    spread = single.groupBy("e").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("tid")).alias("h")).where("df > 1")
     # elements of one text alone come first and bring nobody together: only how many there are counts
-    common = single.join(spread, "e").groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("common"))
+    common = single.join(spread, "e").groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
     taken = F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1 - (F.col("n") - F.size("common"))
     hot = F.size(F.filter("common", lambda x: x.df > often))
-    first = rest.join(common, "tid").where(taken > 0).select("tid", "n", "root", hot.alias("hot"), F.explode(F.slice("common", F.lit(1), taken)).alias("at"))
-    first = first.select("tid", "n", "root", "hot", F.col("at.e").alias("e"), (F.col("at.df") > often).alias("frequent"))
+    first = rest.join(common, "tid").where(taken > 0).select("tid", "n", "root", hot.alias("hot"), F.array_distinct(F.slice("common", F.lit(1), F.greatest(taken, F.lit(0)))).alias("held"))
+    first = first.select("tid", "n", "root", "hot", F.transform("held", lambda x: x["h"]).alias("held"), F.explode("held").alias("at"))
+    first = first.select("tid", "n", "root", "hot", "held", F.col("at.h").alias("e"), (F.col("at.df") > often).alias("frequent"))
     mixed = first.groupBy("e").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("e")
     first = materialize(first.join(mixed, "e"), "firsts")
-    one = first.select(F.col("e").alias("ea"), F.col("tid").alias("a"), "n", F.col("root").alias("ra"), F.col("hot").alias("ha"), F.col("frequent"))
-    two = first.select("e", F.col("tid").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"), F.col("hot").alias("hb"))
+    one = first.select(F.col("e").alias("ea"), F.col("tid").alias("a"), "n", F.col("root").alias("ra"), F.col("hot").alias("ha"), F.col("held").alias("la"), F.col("frequent"))
+    two = first.select("e", F.col("tid").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"), F.col("hot").alias("hb"), F.col("held").alias("lb"))
     may = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m"))
     # texts that share no rarer element overlap in frequent ones alone, and need enough of those
     enough = F.least("ha", "hb") * (1 + least) >= (F.col("n") + F.col("m")) * least - 1e-9
-    return one.join(two, (F.col("ea") == F.col("e")) & may & (~F.col("frequent") | enough)).select("a", "b", "n", "m", "ra", "rb")
+    once = F.array_min(F.array_intersect("la", "lb")) == F.col("e")  # a pair meets in several frequent elements, and counts in one
+    return one.join(two, (F.col("ea") == F.col("e")) & may & (~F.col("frequent") | (enough & once))).select("a", "b", "n", "m", "ra", "rb")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -261,7 +264,7 @@ def text_classes(texts: DataFrame, *, size: int = 5, least: float = 0.8, bands:
     whole band; at 0.8 a pair misses all 24 bands of 5 with a probability below 1e-4.
     """
     sketches = _sketches(texts, size, bands, rows).where("n > 0")
-    member = materialize(sketches.select("tid", "n", F.posexplode("keys").alias("band", "key")).dropDuplicates(["tid", "band"]), "bands")
+    member = materialize(sketches.dropDuplicates(["tid"]), "bands").select("tid", "n", F.posexplode("keys").alias("band", "key"))
     shared = member.groupBy("band", "key").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).where("low <> high").select("band", "key")
     member = materialize(member.join(shared, ["band", "key"]), "buckets")
     held = materialize(texts.join(member.select("tid").distinct(), "tid").dropDuplicates(["tid"]), "texts")
