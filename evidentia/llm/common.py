@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -58,3 +60,15 @@ def word_count(text: str) -> F.Column:
 def where_after(df: DataFrame, condition: F.Column) -> DataFrame:
     """df filtered by a condition on computed columns, which are computed once: the optimiser can't move the filter below them."""
     return df.withColumn("_pin", F.monotonically_increasing_id()).where(condition & (F.col("_pin") >= 0)).drop("_pin")
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what is run inside: less memory beside the heap where rows are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

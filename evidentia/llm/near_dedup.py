@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SPACE, materialize
+from .common import SPACE, materialize, small_batches
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -257,7 +257,13 @@ def components(links: DataFrame) -> DataFrame:
         seen = state
 
 
-def text_classes(texts: DataFrame, *, size: int = 5, least: float = 0.8, bands: int = 24, rows: int = 5, leaders: tuple[int, ...] = (1, 4)) -> DataFrame:
+def text_classes(texts: DataFrame, **options) -> DataFrame:
+    """tid, root for each text that is linked to another, of distinct texts (tid binary, text); see linked()."""
+    with small_batches(texts.sparkSession):  # all that runs Python is run inside
+        return linked(texts, **options)
+
+
+def linked(texts: DataFrame, *, size: int = 5, least: float = 0.8, bands: int = 24, rows: int = 5, leaders: tuple[int, ...] = (1, 4)) -> DataFrame:
     """tid, root for each text that is linked to another, of distinct texts (tid binary, text).
 
     Two texts are linked if the weighted Jaccard similarity of their shingles is at least `least` and they agree in a
