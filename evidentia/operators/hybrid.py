@@ -45,7 +45,7 @@ def decomposed(full: DataFrame, mentions: DataFrame, *, k: int, sub_k: int = 4)
     """Merges ranked lists (query_id, paper_id, score, rank) of whole questions and of their mentions (with mention): top k."""
     a = full.where(F.col("rank") <= k).select("query_id", "paper_id", (F.col("score") + 2 * (k + 1 - F.col("rank"))).alias("part"))
     b = mentions.where(F.col("rank") <= sub_k).select("query_id", "paper_id", (0.35 * F.col("score") + 24 * (sub_k + 1 - F.col("rank"))).alias("part"))
-    merged = a.unionByName(b).groupBy("query_id", "paper_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    merged = a.unionByName(b).groupBy("query_id", "paper_id").agg(F.round(F.sum("part"), 4).alias("score"))
     return merged.withColumn("rank", rank_by(["query_id"], F.desc("score"), F.asc("paper_id"))).where(F.col("rank") <= k)
 
 

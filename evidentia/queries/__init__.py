@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import labels, retrieval, texts
+from . import evaluation, labels, records, retrieval, texts
 
-_MODULES = (retrieval, texts, labels)
+_MODULES = (retrieval, texts, labels, records, evaluation)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in _MODULES for k, q in m.SQL.items()}

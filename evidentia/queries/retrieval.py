@@ -85,7 +85,7 @@ def dense_topk(spark, sf_dir):
 
 @_query(_BM25 + """, full_ AS (SELECT * FROM ranked WHERE rank <= 5), sub AS (SELECT item_id, doc_id, score, rank FROM ranked WHERE rank % 2 = 0 AND rank <= 8),
 m AS (SELECT item_id, doc_id, score + 2 * (6 - rank) AS part FROM full_ UNION ALL SELECT item_id, doc_id, 0.35e0 * score + 24 * (5 - rank // 2) FROM sub),
-merged AS (SELECT item_id, doc_id, round(sum(part), 6) AS score FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM merged)
+merged AS (SELECT item_id, doc_id, round(sum(part), 4) AS score FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM merged)
 SELECT * FROM r WHERE rank <= 5""")
 def decomposed_merge(spark, sf_dir):
     ranked = bm25.top_k(_scores(spark, sf_dir), 8, query_key="item_id", doc_key="doc_id").withColumnsRenamed({"item_id": "query_id", "doc_id": "paper_id"})
