@@ -10,6 +10,7 @@ from html import unescape
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StringType
 
 _OPENERS = {"{": "}", "[": "]"}
 
@@ -71,22 +72,22 @@ def title_key(text: str | None) -> str:
     return " ".join(re.findall(r"[a-z0-9]+", folded.lower()))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def json_object(text: pd.Series) -> pd.Series:
     return text.map(balanced_object)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def json_object_repaired(text: pd.Series) -> pd.Series:
     return text.map(repaired_object)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def normalized_title(text: pd.Series) -> pd.Series:
     return text.map(title_key)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching characters of two titles in longest matching blocks."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])

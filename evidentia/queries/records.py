@@ -79,7 +79,7 @@ e AS (SELECT k, entry, max(printed) AS printed, string_agg(text, ' ' ORDER BY po
 l AS (SELECT *, last_value(CASE WHEN printed IS NOT NULL THEN entry END IGNORE NULLS) OVER w AS le, last_value(printed IGNORE NULLS) OVER w AS lp FROM e WINDOW w AS (PARTITION BY k ORDER BY entry ROWS UNBOUNDED PRECEDING))
 SELECT k, coalesce(lp + entry - le, entry)::BIGINT AS number, text FROM l""")
 def reference_entries(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") * F.lit(10_000_000_000) + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("at"), F.when(F.col("l_linenumber") == 1, "heading").otherwise("paragraph").alias("kind"), F.expr(_ENTRY).alias("text"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") * F.lit(10_000_000_000) + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("pos"), F.when(F.col("l_linenumber") == 1, "heading").otherwise("paragraph").alias("kind"), F.expr(_ENTRY).alias("text"))
     return X.references(rows, "k", "pos")
 
 
