@@ -34,8 +34,8 @@ pages = lambda spark, sf_dir: table(spark, sf_dir, "pages")
 join = lambda c: F.array_join(c, " ")
 
 _simple("tokenize", documents, lambda: ["doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens"), F.size(F.array_distinct(T.tokens(F.col("text")))).cast("long").alias("n_distinct"), F.size(T.content_tokens(F.col("text"))).cast("long").alias("n_content"), T.budget_tokens(F.col("text")).alias("n_budget")], """
-SELECT doc_id, len(regexp_extract_all(lower(F.col("text")), '[a-z0-9]+'))::BIGINT AS n_tokens, len(list_distinct(regexp_extract_all(lower(F.col("text")), '[a-z0-9]+')))::BIGINT AS n_distinct,
-  len(list_distinct(list_filter(regexp_extract_all(lower(F.col("text")), '[a-z0-9]+'), lambda t: length(t) > 2)))::BIGINT AS n_content, len(regexp_extract_all(text, '\\S+'))::BIGINT AS n_budget FROM documents""")
+SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+'))::BIGINT AS n_tokens, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')))::BIGINT AS n_distinct,
+  len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 2)))::BIGINT AS n_content, len(regexp_extract_all(text, '\\S+'))::BIGINT AS n_budget FROM documents""")
 
 _simple("compact_text", papers, lambda: ["paper_id", T.compact(F.col("title")).alias("key"), F.length(T.compact(F.col("abstract"))).cast("long").alias("n")], f"""
 WITH {SQL_PAPERS} SELECT paper_id, regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') AS key, length(regexp_replace(lower(abstract), '[^a-z0-9]+', '', 'g'))::BIGINT AS n FROM papers""")
