@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, grounding, labels, records, retrieval, texts
+from . import evaluation, grounding, labels, pages, records, retrieval, texts
 
-_MODULES = (retrieval, texts, labels, records, evaluation, grounding)
+_MODULES = (retrieval, texts, labels, records, evaluation, grounding, pages)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in _MODULES for k, q in m.SQL.items()}
