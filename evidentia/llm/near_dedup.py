@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SPACE, materialize, small_batches
+from .common import SPACE, drop_written, materialize, small_batches
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -243,7 +243,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round is written to the shared folder, so nothing is computed twice and lost executors cost one round.
     """
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges, seen = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), None
+    edges, seen, old = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), None, None
     while True:
         pairs = both(edges)
         least = pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -251,6 +251,9 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         edges = materialize(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "stars")
+        if old is not None:
+            drop_written(old)
+        old = edges
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             return edges.select(F.col("a").alias("tid"), F.col("b").alias("root"))
