@@ -59,7 +59,7 @@ def word_count(text: str) -> F.Column:
 
 def where_after(df: DataFrame, condition: F.Column) -> DataFrame:
     """df filtered by a condition on computed columns, which are computed once: the optimiser can't move the filter below them."""
-    return df.withColumn("_pin", F.monotonically_increasing_id()).where(condition & (F.col("_pin") >= 0)).drop("_pin")
+    return df.withColumn("__ev_pin", F.monotonically_increasing_id()).where(condition & (F.col("__ev_pin") >= 0)).drop("__ev_pin")
 
 
 @contextmanager

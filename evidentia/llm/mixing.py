@@ -20,7 +20,7 @@ BUCKETS = 4096
 MAX_PATTERNS = 100_000
 #: Stands for a null source.
 NULL = "\x00"
-_MAPS = (T.MapType, T.VariantType)
+_UNHASHED = (T.MapType, T.VariantType, T.StructType, T.ArrayType)
 
 
 def targets(sizes: dict, weights: dict, total: float | None = None, copies: int = 3) -> dict:
@@ -114,13 +114,14 @@ def mix(docs: DataFrame, sources: Column, quotas: dict, *, size: Column | None =
 
     sources: array of the sources of a document, nulls as they are; quotas: {source: tokens}. A pattern whose flow
     is r rounds of all its tokens and a rest takes every document r times and, by the seeded digest, once more as
-    many as come nearest to the rest. Ties of the digest (equal ids) go by size and a hash of the row. A document
+    many as come nearest to the rest. Ties of the digest (equal ids) go by size and a hash of the row's plain columns.
+    Names that begin with an underscore are this function's own. A document
     without words is taken with its digest's place. Nothing is sorted but the one bucket in which a rest ends.
     """
     spark = docs.sparkSession
     own = F.array_sort(F.array_distinct(F.transform(sources, lambda s: F.coalesce(s.cast("string"), F.lit(NULL)))))
     rows = docs.withColumn("_size", (word_count("text") if size is None else size).cast("long")).withColumn("_pattern", own).withColumn("_id", F.col(doc_id))
-    rows = rows.withColumn("_u", _digest(seed)).withColumn("_bucket", F.shiftright("_u", 40).cast("int")).withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not isinstance(docs.schema[c].dataType, _MAPS)]))
+    rows = rows.withColumn("_u", _digest(seed)).withColumn("_bucket", F.shiftright("_u", 40).cast("int")).withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not isinstance(docs.schema[c].dataType, _UNHASHED)]))
     per = materialize(rows.groupBy("_pattern", "_bucket").agg(F.sum("_size").alias("tokens")), "buckets")
     if per.select("_pattern").distinct().limit(MAX_PATTERNS + 1).count() > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -159,5 +160,6 @@ def source_targets(docs: DataFrame, *, source: str = "source", size: Column | No
 def take_mix(docs: DataFrame, *, seed: int = 1) -> DataFrame:
     """The rows of docs as often as a mix of their sources to the weights 1, 2, 3, ... takes them; all columns as they are."""
     _, quotas = source_targets(docs)
-    mixed = mix(docs, F.array("source"), quotas, seed=seed).where("_copies > 0")
-    return mixed.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", "text")
+    mixed = mix(rows, F.array("source"), quotas, seed=seed).where("_copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy")).select(*[F.col("row")[c].alias(c) for c in docs.columns])

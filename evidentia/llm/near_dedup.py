@@ -12,6 +12,7 @@ members of other classes. Every link is verified on the whole multisets, and onl
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -333,9 +334,10 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
     Rows without words stay. A row with a null doc_id stands for its class only if all have null.
     """
     columns = docs.columns
+    plain = [F.col("row")[c] for c in columns if not re.search("map<|variant", docs.schema[c].dataType.simpleString())]
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(doc_id).cast("long").alias("id"), content.alias("text"))
-    rows = rows.select("row", "id", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.substring(F.sha2("text", 256), 1, 32))).alias("tid"), F.xxhash64("row").alias("sum"), "text")
+    rows = rows.select("row", "id", F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.substring(F.sha2("text", 256), 1, 32))).alias("tid"), F.xxhash64(*plain).alias("sum"), "text")
     root = text_classes(rows.where("tid is not null").select("tid", "text"), **options)
     first = F.min(F.struct(F.col("id").isNull().alias("void"), "id", "tid", "sum")).alias("first")
     own = rows.where("tid is not null").groupBy("tid").agg(first).join(root, "tid", "left").withColumn("root", F.coalesce("root", "tid"))

@@ -78,10 +78,10 @@ def with_verdicts(docs: DataFrame, *, text: str = "text", host: str = "source",
     """
     lines = materialize(boilerplate(docs, text=text, host=host, min_docs=min_docs, share=share), "lines")
     size = lines.agg(F.sum(F.size("lines"))).first()[0] or 0
-    side = lines.select(F.col("host").alias("_host"), F.col("lines").alias("_boilerplate"))
+    side = lines.select(F.col("host").alias("__ev_host"), F.col("lines").alias("__ev_boilerplate"))
     side = F.broadcast(side) if size <= BROADCAST_LINES else side
-    rows = docs.withColumn("_key", F.coalesce(F.col(host).cast("string"), F.lit(_NO_HOST)))
-    rows = rows.join(side, F.col("_key") == F.col("_host"), "left").drop("_host", "_key")
+    rows = docs.withColumn("__ev_key", F.coalesce(F.col(host).cast("string"), F.lit(_NO_HOST)))
+    rows = rows.join(side, F.col("__ev_key") == F.col("__ev_host"), "left").drop("__ev_host", "__ev_key")
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
 
     def figures(w: Column) -> Column:
@@ -94,16 +94,16 @@ def with_verdicts(docs: DataFrame, *, text: str = "text", host: str = "source",
             repeated_words(w).alias("n_repeat_words"),
         )
 
-    gone = F.filter(F.split(raw, "\n"), lambda x: F.array_contains("_boilerplate", line_hash(x)))
-    left = F.filter(F.split(raw, "\n"), lambda x: ~F.array_contains("_boilerplate", line_hash(x)))
-    rows = rows.withColumn("_figures", _let(words(raw), figures))
-    rows = rows.withColumn("_removed", F.when(F.col("_boilerplate").isNull(), F.lit(0).cast("long")).otherwise(F.aggregate(gone, F.lit(0).cast("long"), lambda n, x: n + F.size(words(x)))))
-    f = lambda c: F.col(f"_figures.{c}")
+    gone = F.filter(F.split(raw, "\n"), lambda x: F.array_contains("__ev_boilerplate", line_hash(x)))
+    left = F.filter(F.split(raw, "\n"), lambda x: ~F.array_contains("__ev_boilerplate", line_hash(x)))
+    rows = rows.withColumn("__ev_figures", _let(words(raw), figures))
+    rows = rows.withColumn("__ev_removed", F.when(F.col("__ev_boilerplate").isNull(), F.lit(0).cast("long")).otherwise(F.aggregate(gone, F.lit(0).cast("long"), lambda n, x: n + F.size(words(x)))))
+    f = lambda c: F.col(f"__ev_figures.{c}")
     failed = (f("n_words") < min_words) | (100 * f("n_repeat_words") > repeat_percent * f("n_words"))
-    enough = 100 * (f("n_words") - F.col("_removed")) >= least_percent * f("n_words")
-    clean = F.when((F.col("_removed") == 0) | F.col(text).isNull(), F.col(text).cast("string")).otherwise(F.array_join(left, "\n"))
-    out = F.struct(*[f(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], failed.alias("base_failed"), (~failed & enough).alias("kept"), F.col("_removed").alias("removed_words"), clean.alias("clean_text"))
-    return rows.withColumn("quality", out).drop("_figures", "_removed", "_boilerplate")
+    enough = 100 * (f("n_words") - F.col("__ev_removed")) >= least_percent * f("n_words")
+    clean = F.when((F.col("__ev_removed") == 0) | F.col(text).isNull(), F.col(text).cast("string")).otherwise(F.array_join(left, "\n"))
+    out = F.struct(*[f(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], failed.alias("base_failed"), (~failed & enough).alias("kept"), F.col("__ev_removed").alias("removed_words"), clean.alias("clean_text"))
+    return rows.withColumn("quality", out).drop("__ev_figures", "__ev_removed", "__ev_boilerplate")
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:

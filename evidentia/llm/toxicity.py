@@ -234,7 +234,8 @@ def keep_harmless(docs: DataFrame, grammar: Grammar, *, text: str = "text", thre
         for batch in batches:
             yield batch.filter(pa.array([own.score(own.matches(x)) < threshold for x in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names with dots don't pass
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, *, rows: int = 20_000) -> DataFrame:

@@ -408,6 +408,26 @@ def test_packer_keeps_all_limits():
     assert [got[k] for k in range(300)] == lengths
 
 
+# --- columns of any name
+
+
+def test_clashing_columns_stay(spark, prose):
+    from evidentia.llm.mixing import take_mix
+    from evidentia.llm.near_dedup import keep_one
+    from evidentia.llm.quality import keep_good
+    from evidentia.llm.toxicity import Grammar, keep_harmless
+
+    names = ["row", "id", "tid", "sum", "_key", "_u", "_copies", "copy", "_pin", "n", "words", "Host", "_size", "a b", "c.d"]
+    docs = docs_of(spark, [(k, prose[k % 6] + f" t{k % 6}", "en", "s") for k in range(12)])
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(k))
+    docs = docs.withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    for stage, rows in ((keep_good, 12), (lambda d: keep_harmless(d, Grammar()), 12), (keep_one, 6), (take_mix, 12)):
+        got = stage(docs)
+        assert got.columns == docs.columns and got.count() == rows
+        assert all(got.first()[name] == k for k, name in enumerate(names))
+
+
 # --- registration
 
 
