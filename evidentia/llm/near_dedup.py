@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SPACE, drop_written, materialize, small_batches
+from .common import SPACE, drop_written, materialize, release, small_batches
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -163,6 +163,7 @@ def _sketches(texts: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 keys = band_keys(bag_minhash(hashes, bounds, bands * rows), rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds).astype(np.int32)), lists], names=["tid", "n", "keys"])
+        release()
 
     return texts.select("tid", word_hashes("text").alias("words")).mapInArrow(run, "tid binary, n int, keys array<bigint>")
 
@@ -193,6 +194,7 @@ def _verified(edges: DataFrame, texts: DataFrame, size: int, least: float, block
                     a.append(tid)
                     b.append(to)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        release()
 
     return rows.select("b", "part", "tid", word_hashes("text").alias("words")).mapInArrow(run, "a binary, b binary")
 
@@ -215,6 +217,7 @@ def _prefix_pairs(rest: DataFrame, texts: DataFrame, size: int, least: float, of
             with np.errstate(over="ignore"):
                 own = mix(hashes + turn.astype(np.uint64) * _GOLD).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(own))], names=["tid", "elements"])
+        release()
 
     held = texts.join(rest.select("tid"), "tid", "left_semi").select("tid", word_hashes("text").alias("words")).mapInArrow(run, "tid binary, elements array<bigint>")
     single = materialize(held.select("tid", F.explode("elements").alias("e")), "elements")

@@ -22,6 +22,8 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from .common import release
+
 #: Texts with these take the tokenizer's plain way: control characters that only Python takes for white space, starts
 #: of special tokens, and a letter whose lower case depends on its place.
 _PLAIN = ("<|", "\u03a3", "\x1c", "\x1d", "\x1e", "\x1f")
@@ -274,5 +276,6 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", prompt_
         note(packer.flush())
         tokenizer.forget()  # the worker lives on beside other tasks
         yield out()
+        release()
 
     return rows.mapInArrow(run, _SCHEMA)
