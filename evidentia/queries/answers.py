@@ -61,6 +61,14 @@ def navigation_seeds(spark, sf_dir):
     return A.navigation(r, q, "k", 4)
 
 
+@_query()
+def navigation_seeds_whole(spark, sf_dir):
+    """navigation_seeds of every question, which share all documents out among them."""
+    b = table(spark, sf_dir, "benchmark")
+    r = table(spark, sf_dir, "documents").select((F.col("doc_id") % (b.count() or 1)).alias("k"), F.col("doc_id").alias("record_id"), "text")
+    return A.navigation(r, b.select(F.col("item_id").alias("k"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")), "k", 4)
+
+
 @_query("""
 WITH f AS (SELECT DISTINCT item_id % 5 AS profile, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark), w AS (SELECT profile, term, (length(term) / 10e0) AS weight FROM f WHERE length(term) > 6), t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
 s AS (SELECT profile, doc_id AS paper_id, round(sum(weight), 6) AS score FROM t JOIN w USING (term) GROUP BY ALL HAVING round(sum(weight), 6) >= 1.5e0), p AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY score DESC, paper_id) AS place FROM s) SELECT * FROM p WHERE place <= 10""")

@@ -54,7 +54,17 @@ WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_sub
 h AS (SELECT *, len(list_intersect(list_distinct(regexp_extract_all(lower(t), '[a-z0-9]+')), ['the', 'and', 'die', 'que', 'les'])) AS hits FROM l), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, r) AS rn, max(r) OVER (PARTITION BY doc_id) AS last FROM h)
 SELECT doc_id, r::INT AS "row", hits::INT AS hits FROM k WHERE r = 0 OR r = last OR rn <= 3 AND hits > 0""")
 def compact_tables(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("doc_id < 300").select("doc_id", F.posexplode(F.split("text", "\n")).alias("row", "text"))
+    return _compact(table(spark, sf_dir, "documents").where("doc_id < 300"))
+
+
+@_query()
+def compact_tables_whole(spark, sf_dir):
+    """compact_tables over all documents."""
+    return _compact(table(spark, sf_dir, "documents"))
+
+
+def _compact(documents):
+    rows = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("row", "text"))
     return M.compact_table(rows, "doc_id", ["the", "and", "die", "que", "les"], 3).select("doc_id", "row", "hits")
 
 

@@ -268,9 +268,19 @@ WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(te
 f AS (SELECT item_id, doc_id, s, len(list_intersect(t, list_distinct(regexp_extract_all(lower(s), '[a-z0-9]+')))) AS hits FROM q, s WHERE item_id < 5)
 SELECT item_id, doc_id, hits::INT AS hits, s AS fragment, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, length(s), doc_id, s) AS place FROM f WHERE hits > 0) WHERE place <= 3""")
 def extractive_fragments(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").where("item_id < 5").select("item_id", T.content_tokens(F.col("text")).alias("t"))
+    return _fragments(table(spark, sf_dir, "benchmark").where("item_id < 5"), table(spark, sf_dir, "documents").where("doc_id < 200"))
+
+
+@_query()
+def extractive_fragments_whole(spark, sf_dir):
+    """extractive_fragments of every question over all documents; the oracle would pair every question with every sentence."""
+    return _fragments(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+def _fragments(questions, documents):
+    q = questions.select("item_id", T.content_tokens(F.col("text")).alias("t"))
     terms = q.select("item_id", F.explode("t").alias("term"))
-    s = table(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
+    s = documents.select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
     s = s.groupBy("doc_id", "s").agg(F.count("*").alias("copies"))
     hits = s.select("doc_id", "s", "copies", F.explode(F.array_distinct(T.tokens(F.col("s")))).alias("term")).join(terms, "term").groupBy("item_id", "doc_id", "s", "copies").agg(F.count("*").cast("int").alias("hits"))
     rows = hits.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))

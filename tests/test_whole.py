@@ -1,0 +1,28 @@
+"""Queries over whole tables against the oracle of the registered slice with its id filters taken out."""
+
+import pytest
+
+from evidentia.queries import QUERIES, SQL
+
+from .oracle import compare
+
+SF = "/root/testdata/sf0.01"  # 1,000 documents, more than any slice takes; 40 questions
+
+FILTERS = {
+    "extractive_fragments": [(" WHERE doc_id < 200", ""), (" WHERE item_id < 5", "")],
+    "extractive_cards": [(" AND d.doc_id < 400", "")],
+    "hierarchy_shape": [(" AND d.doc_id < 400", "")],
+    "compact_tables": [(" WHERE doc_id < 300", "")],
+    "navigation_seeds": [(" WHERE doc_id < 600", ""), (" WHERE item_id < 20", ""), ("doc_id % 20", "doc_id % 40")],
+}
+
+
+@pytest.mark.parametrize("name", sorted(FILTERS))
+def test_whole_tables(spark, name):
+    sql = SQL[name]
+    for old, new in FILTERS[name]:
+        assert old in sql
+        sql = sql.replace(old, new)
+    compare(spark, name, QUERIES[f"{name}_whole"], sql, SF)
+    with pytest.raises(AssertionError):  # the slice alone is less
+        compare(spark, name, QUERIES[name], sql, SF)
