@@ -336,6 +336,26 @@ def test_language_models(spark):
     assert {r["lang_pred"] for r in identify(docs, fit(train.limit(0))).collect()} == {"und"}
 
 
+def test_every_language_and_gram_is_learned(spark):
+    from evidentia.llm.langid import KneserNey, codes, fit, grams, identify, _own
+
+    own = lambda k: "".join(chr(0xAC00 + 7 * k + j) for j in range(3))
+    texts = {f"l{k:03}": [f"{own(k)} {own(k)[::-1]} ab", f"{own(k)} once{k % 7 * 'x'}"] for k in range(205)}
+    texts["l000"] += ["hot letters of one language " * 50] * 3
+    train = spark.createDataFrame([(t, x) for x, own in texts.items() for t in own], "text string, lang string")
+    model = fit(train, file_rows=5_000)
+    assert model.languages == sorted(texts)
+    docs = docs_of(spark, [(k, own(k), None, None) for k in range(205)])
+    assert {r["doc_id"]: r["lang_pred"] for r in identify(docs, model).collect()} == {k: f"l{k:03}" for k in range(205)}
+    every, bounds = codes([t for own in texts.values() for t in own])
+    asked = np.unique(grams(every)[_own(bounds)])
+    for at in (0, 7, 204):
+        code, bounds = codes(texts[f"l{at:03}"])
+        gram, n = np.unique(grams(code)[_own(bounds)], return_counts=True)
+        plain = KneserNey(gram, n, len(np.unique(asked & np.uint64(0xFFFF))))
+        assert np.allclose(model.models[at].surprise(asked), plain.surprise(asked), rtol=1e-12)
+
+
 def test_kneser_ney_is_a_distribution():
     from evidentia.llm.langid import KneserNey, codes, grams, _own
 
