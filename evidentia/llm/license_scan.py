@@ -13,7 +13,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import where_after
 
@@ -65,6 +65,19 @@ TEMPLATES = {
         "No part of this work may be reproduced without written permission of the copyright holder.",
     ],
 }
+#: The part of the templates that stands alone as a heading.
+NAMES = {
+    "MIT": ["MIT License"],
+    "Apache-2.0": ["Apache License", "Apache License, Version 2.0"],
+    "GPL": ["GNU General Public License", "GNU GPL"],
+    "BSD": ["BSD License", "BSD 3-Clause License"],
+    "MPL-2.0": ["Mozilla Public License", "Mozilla Public License, version 2.0"],
+    "CC-BY": ["CC BY 4.0", "Creative Commons Attribution 4.0 International"],
+    "CC-BY-SA": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International"],
+    "CC-BY-NC": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International"],
+    "CC0": ["CC0 1.0"],
+    "proprietary": ["All rights reserved"],
+}
 #: Prose that mentions licences without granting one.
 OTHER = [
     "The license of the driver was taken away by the police.",
@@ -135,28 +148,44 @@ def train(seed: int = 7, rounds: int = 300) -> tuple[list[str], dict[str, tuple[
     return families, {f: tuple(np.round(w[j], 6)) for f, j in column.items()}, tuple(np.round(b, 6)), round(limit, 6)
 
 
+def _heading(name: str) -> int:
+    """So many words at most has a paragraph that is a heading with this name."""
+    return 2 * len(_words(name)) + 2
+
+
 def paragraphs(text: Column) -> Column:
-    """The lines of a text that hold a word, as array of position and paragraph."""
-    parts = F.transform(F.split(F.coalesce(text.cast("string"), F.lit("")), "\n"), lambda x, i: F.struct(i.alias("position"), x.alias("paragraph")))
-    return F.filter(parts, lambda p: p["paragraph"].rlike(r"[^\x20\x09-\x0D]"))
+    """Array of position, block, joined and paragraph: each line that holds a word, and each block of several such lines.
+
+    Blocks are separated by lines without a word; their lines are joined by spaces. `block` is the position of its first line.
+    """
+    lines = F.split(F.coalesce(text.cast("string"), F.lit("")), "\n")
+    blank = F.filter(F.transform(lines, lambda x, i: F.when(~x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
+    bounds = F.concat(F.array(F.lit(-1)), blank, F.array(F.size(lines)))
+    blocks = F.transform(F.arrays_zip(F.slice(bounds, 1, F.size(bounds) - 1).alias("before"), F.slice(bounds, 2, F.size(bounds) - 1).alias("after")), lambda b: F.struct((b["before"] + 1).alias("at"), F.slice(lines, b["before"] + 2, b["after"] - b["before"] - 1).alias("lines")))
+    row = lambda position, at, joined, x: F.struct(position.alias("position"), at.alias("block"), F.lit(joined).alias("joined"), x.alias("paragraph"))
+    single = lambda b: F.transform(b["lines"], lambda x, i: row(b["at"] + i, b["at"], False, x))
+    whole = lambda b: F.filter(F.array(row(b["at"], b["at"], True, F.concat_ws(" ", b["lines"]))), lambda _: F.size(b["lines"]) > 1)
+    return F.flatten(F.transform(blocks, lambda b: F.concat(single(b), whole(b))))
 
 
 def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_shared: float = 0.5) -> DataFrame:
     """One row per paragraph of a known licence family: doc_id, position, family, probability, shared, paragraph.
 
-    A paragraph is a line; only its text counts, whole. `shared` is the largest part of a template of the family whose
-    n-grams the paragraph holds. A paragraph without any n-gram of the model is of no family by its bias, so only
+    A paragraph is a line, or a block of lines up to a blank one, joined by spaces, with the position of its first line;
+    a block is given where none of its lines alone is of its family. Only the text counts, whole. `shared` is the
+    largest part of a template of the family whose n-grams the paragraph holds. A heading that holds a family's name is of that family, whatever the probability of so
+    few words. A paragraph without any n-gram of the model is of no family by its bias, so only
     those with one of the model's telling words are scored; a row that stands in the table twice gives its paragraphs
     twice. Null and empty texts, and an empty table, give no rows. Other columns are ignored.
 
     The model's table has some hundred n-grams whatever the data, and is broadcast. A paragraph's n-grams are joined
-    with it and added up within the row by array functions, so nothing is shuffled.
+    with it and added up within the row by array functions; only what is found is shuffled, to hold blocks against their lines.
     """
     families, weights, biases, limit = train()
     telling = sorted({w for f in weights for w in f.split() if w not in PLAIN})
     says = lambda c: F.arrays_overlap(F.split(F.lower(c), "[^a-z0-9]+"), F.array(*[F.lit(w) for w in telling]))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where(says(F.col("text")))
-    rows = rows.select("doc_id", F.explode(F.filter(paragraphs(F.col("text")), lambda p: says(p["paragraph"]))).alias("p")).select("doc_id", "p.position", "p.paragraph")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row")).where(says(F.col("text")))
+    rows = rows.select("doc_id", "row", F.explode(F.filter(paragraphs(F.col("text")), lambda p: says(p["paragraph"]))).alias("p")).select("doc_id", "row", "p.*")
     known = {f: k for k, f in enumerate(weights)}
     names = F.array(*[F.lit(f) for f in known])
     words = F.regexp_extract_all(F.lower("paragraph"), F.lit("[a-z0-9]+"), 0)
@@ -167,16 +196,19 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_s
     table = F.map_from_arrays(names, F.array(*[F.array(*[F.lit(float(x)) for x in w]) for w in weights.values()]))
     z = F.aggregate("held", F.array(*[F.lit(float(b)) for b in biases]), lambda s, f: F.zip_with(s, table[f], lambda a, b: a + b))
     rows = rows.withColumn("z", z)
-    rows = rows.withColumn("top", F.array_max("z")).withColumn("at", F.array_position("z", F.col("top")).cast("int"))
+    named = F.coalesce(*[F.when((F.size("words") <= _heading(t)) & F.concat(F.lit(" "), F.concat_ws(" ", "words"), F.lit(" ")).contains(f" {' '.join(_words(t))} "), F.lit(families.index(f) + 1)) for f, texts in NAMES.items() for t in texts])
+    rows = rows.withColumn("named", named).withColumn("top", F.array_max("z")).withColumn("at", F.coalesce("named", F.array_position("z", F.col("top")).cast("int")))
     total = F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("top")))
-    rows = rows.withColumn("probability", F.lit(1.0) / total).withColumn("family", F.get(F.array(*[F.lit(f) for f in families]), F.col("at") - 1))
+    rows = rows.withColumn("probability", F.exp(F.get("z", F.col("at") - 1) - F.col("top")) / total).withColumn("family", F.get(F.array(*[F.lit(f) for f in families]), F.col("at") - 1))
     share = lambda t: F.size(F.array_intersect("held", F.array(*[F.lit(f) for f in sorted(_features(_words(t)))]))) / F.lit(float(len(_features(_words(t)))))
     cases = None
     for family, texts in TEMPLATES.items():
-        own = F.greatest(*map(share, texts)) if len(texts) > 1 else share(texts[0])
+        own = F.greatest(*map(share, texts), F.when(F.col("named").isNotNull(), 1.0).otherwise(0.0))
         cases = F.when(F.col("family") == family, own) if cases is None else cases.when(F.col("family") == family, own)
     rows = rows.withColumn("shared", F.round(cases, 6))
-    return where_after(rows, (F.size("held") > 0) & (F.col("family") != UNKNOWN) & (F.col("probability") >= limit) & (F.col("shared") >= least_shared)).select("doc_id", "position", "family", "probability", "shared", "paragraph")
+    found = where_after(rows, (F.size("held") > 0) & (F.col("family") != UNKNOWN) & (F.col("named").isNotNull() | (F.col("probability") >= limit)) & (F.col("shared") >= least_shared))
+    alone = F.count_if(~F.col("joined")).over(W.partitionBy("row", "block", "family"))
+    return found.select("doc_id", "row", "block", "joined", "position", "family", "probability", "shared", "paragraph").withColumn("alone", alone).where(~F.col("joined") | (F.col("alone") == 0)).select("doc_id", "position", "family", "probability", "shared", "paragraph")
 
 
 def classify(paragraph: str, least_shared: float = 0.5) -> str:
@@ -186,6 +218,9 @@ def classify(paragraph: str, least_shared: float = 0.5) -> str:
     held = {f for f in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))] if f in weights}
     if not held:
         return UNKNOWN
+    for f, texts in NAMES.items():
+        if any(len(words) <= _heading(t) and f" {' '.join(_words(t))} " in f" {' '.join(words)} " for t in texts):
+            return f
     z = np.array(biases) + sum(np.array(weights[f]) for f in held)
     p = 1.0 / np.exp(z - z.max()).sum()
     family = families[int(np.argmax(z))]

@@ -162,6 +162,22 @@ def test_license_scan_is_its_model(spark):
     assert scan(docs.limit(0)).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    from evidentia.llm.license_scan import NAMES, TEMPLATES, classify, scan
+
+    mit = ["MIT License", "Copyright (c) 2020 Some Body", TEMPLATES["MIT"][-1] + "."]
+    text = "\n\n".join("\n".join(textwrap.wrap(x, 70)) for x in mit)
+    gpl = "\n".join(textwrap.wrap(TEMPLATES["GPL"][-1], 40))
+    docs = docs_of(spark, [(1, text, "en", "a"), (2, f"Plain words.\r\n \r\n{gpl}\n\nmore words", "en", "a"), (3, "words\nReleased under the MIT License.\nwords", "en", "a")])
+    got = {(r["doc_id"], r["position"], r["family"]): r["paragraph"] for r in scan(docs).collect()}
+    assert set(got) == {(1, 0, "MIT"), (1, 4, "MIT"), (2, 2, "GPL"), (3, 1, "MIT")}
+    assert got[1, 4, "MIT"] == mit[-1] and got[2, 2, "GPL"] == TEMPLATES["GPL"][-1]
+    assert {family: [classify(x) for x in own] for family, own in NAMES.items()} == {family: [family] * len(own) for family, own in NAMES.items()}
+    assert classify("He asked for the license of the MIT driver and was told to read the public form") == "unknown"
+
+
 # --- toxicity
 
 
