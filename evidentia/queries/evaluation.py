@@ -219,6 +219,14 @@ def histogram_merge(spark, sf_dir):
     return part(2).unionByName(part(3)).groupBy("k", "x").agg(F.sum("n").alias("n"))
 
 
+@_query()
+def histogram_merge_whole(spark, sf_dir):
+    """histogram_merge of two parts that hold each document once."""
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 100).alias("k"), F.col("lang").alias("x"), F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False)).alias("even"))
+    part = lambda own: d.where(own).groupBy("k", "x").agg(F.count("*").alias("n"))
+    return part(F.col("even")).unionByName(part(~F.col("even"))).groupBy("k", "x").agg(F.sum("n").alias("n"))
+
+
 @_query("SELECT nation, n AS n, place FROM (SELECT c_nationkey AS nation, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, c_nationkey) AS place FROM customer GROUP BY 1) WHERE place <= 10")
 def ranked_breakdown(spark, sf_dir):
     n = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "nation").limit(10)  # ten rows

@@ -61,7 +61,16 @@ x AS (SELECT *, list_filter(ot, lambda t: NOT list_contains(qt, t)) AS own FROM
 SELECT c_custkey, opt, round(CASE WHEN o <> '' AND contains(e, o) THEN 10e0 + least(5e0, length(o) / 20e0) ELSE 0e0 END + CASE WHEN len(ot) = 0 THEN 0e0 ELSE 3e0 * len(list_intersect(ot, et)) / len(ot) END + CASE WHEN len(own) = 0 THEN 0e0 ELSE 2e0 * len(list_intersect(own, et)) / len(own) END
   + 2e0 * len(list_filter(regexp_extract_all(opt, '[-+]?\\d+(?:\\.\\d+)?'), lambda n: list_contains(regexp_extract_all(ev, '\\d+(?:\\.\\d+)?'), regexp_replace(n, '^[-+]', '')))), 6) AS support FROM x""")
 def option_support(spark, sf_dir):
-    c, o = table(spark, sf_dir, "customer").where("c_custkey < 300"), table(spark, sf_dir, "orders")
+    return _support(table(spark, sf_dir, "customer").where("c_custkey < 300"), table(spark, sf_dir, "orders"))
+
+
+@_query()
+def option_support_whole(spark, sf_dir):
+    """option_support of all customers."""
+    return _support(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"))
+
+
+def _support(c, o):
     rows = c.join(o, c["c_custkey"] == o["o_custkey"]).select("c_custkey", "c_mktsegment", F.col("o_orderpriority").alias("opt"), F.concat_ws(" ", "c_name", "c_mktsegment", F.lit("1-URGENT 3")).alias("ev")).distinct()
     return rows.select("c_custkey", "opt", F.round(G.option_support(F.col("opt"), F.col("ev"), F.col("c_mktsegment")), 6).alias("support"))
 

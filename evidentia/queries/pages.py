@@ -131,8 +131,18 @@ def hierarchy_shape_whole(spark, sf_dir):
 WITH c AS (SELECT o_custkey % 50 AS query_id, o_orderkey AS claim_id FROM orders WHERE o_orderkey < 4000), d AS (SELECT DISTINCT c_custkey % 50 AS query_id, c_custkey AS claim_id FROM customer)
 SELECT query_id, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.query_id = c.query_id AND d.claim_id = c.claim_id)) = 0 AS sufficient, count(DISTINCT claim_id) FILTER (WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.query_id = c.query_id AND d.claim_id = c.claim_id))::INT AS missing FROM c GROUP BY query_id""")
 def structural_sufficiency(spark, sf_dir):
-    claims = table(spark, sf_dir, "orders").where("o_orderkey < 4000").select((F.col("o_custkey") % 50).alias("query_id"), F.col("o_orderkey").cast("string").alias("claim_id"))
-    cards = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 50).alias("query_id"), F.col("c_custkey").cast("string").alias("claim_id"))
+    return _sufficient(table(spark, sf_dir, "orders").where("o_orderkey < 4000"), table(spark, sf_dir, "customer"))
+
+
+@_query()
+def structural_sufficiency_whole(spark, sf_dir):
+    """structural_sufficiency of all orders."""
+    return _sufficient(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
+
+
+def _sufficient(orders, customers):
+    claims = orders.select((F.col("o_custkey") % 50).alias("query_id"), F.col("o_orderkey").cast("string").alias("claim_id"))
+    cards = customers.select((F.col("c_custkey") % 50).alias("query_id"), F.col("c_custkey").cast("string").alias("claim_id"))
     return H.sufficiency(claims, cards).select("query_id", "sufficient", F.size("missing").alias("missing"))
 
 

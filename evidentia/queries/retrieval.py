@@ -12,9 +12,11 @@ from .fixtures import SQL_PAPERS, papers
 QUERIES, SQL = {}, {}
 
 
-def _query(sql):
+def _query(sql=None):
     def add(f):
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
         return f
 
     return add
@@ -154,6 +156,14 @@ def alias_exact_boost(spark, sf_dir):
     return hybrid.alias_boost(p, asked).select("paper_id", F.round("alias_boost", 6).alias("boost"))
 
 
+@_query()
+def alias_exact_boost_whole(spark, sf_dir):
+    """alias_exact_boost of every question."""
+    p = papers(spark, sf_dir).select("paper_id", F.array_distinct(T.tokens(F.col("title"))).alias("aliases"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(T.tokens(F.col("text"))).alias("terms"))
+    return hybrid.alias_boost(p, asked).select("query_id", "paper_id", F.round("alias_boost", 6).alias("boost"))
+
+
 @_query(f"""
 WITH {SQL_PAPERS}, k AS (SELECT paper_id, regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') AS t, regexp_replace(lower(substr(abstract, 1, 2400)), '[^a-z0-9]+', '', 'g') AS a, regexp_replace(lower(title || ' ' || abstract), '[^a-z0-9]+', '', 'g') AS x FROM papers),
 q AS (SELECT unnest(['tion', 'thanedble', 'bleanin', 'ing', 'reation']) AS term)

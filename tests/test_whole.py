@@ -13,6 +13,14 @@ FILTERS = {
     "extractive_cards": [(" AND d.doc_id < 400", "")],
     "hierarchy_shape": [(" AND d.doc_id < 400", "")],
     "compact_tables": [(" WHERE doc_id < 300", "")],
+    "option_support": [(" WHERE c_custkey < 300", "")],
+    "structural_sufficiency": [(" WHERE o_orderkey < 4000", "")],
+    "alias_exact_boost": [
+        ("SELECT paper_id, round(", "SELECT query_id, paper_id, round("),
+        ("WHERE term IN (SELECT unnest(", "JOIN (SELECT DISTINCT item_id AS query_id, unnest("),
+        (" FROM benchmark WHERE item_id = 1) GROUP BY paper_id", " AS term FROM benchmark) USING (term) GROUP BY query_id, paper_id"),
+    ],
+    "histogram_merge": [("doc_id % 3 = 0", "doc_id % 2 <> 0")],
     "navigation_seeds": [(" WHERE doc_id < 600", ""), (" WHERE item_id < 20", ""), ("doc_id % 20", "doc_id % 40")],
 }
 
