@@ -49,6 +49,13 @@ def table_groups(spark, sf_dir):
     return M.group_labels(rows, "conv_id", "turn", "label", "v").select("conv_id", "turn", "group")
 
 
+@_query()
+def table_groups_whole(spark, sf_dir):
+    """table_groups with digests of whole labels."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("label"), (F.col("role") == "assistant").alias("v"))
+    return M.group_labels(rows, "conv_id", "turn", "label", "v").select("conv_id", "turn", F.sha2("group", 256).alias("group"))
+
+
 @_query("""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS r FROM documents WHERE doc_id < 300),
 h AS (SELECT *, len(list_intersect(list_distinct(regexp_extract_all(lower(t), '[a-z0-9]+')), ['the', 'and', 'die', 'que', 'les'])) AS hits FROM l), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, r) AS rn, max(r) OVER (PARTITION BY doc_id) AS last FROM h)

@@ -31,8 +31,8 @@ WITH s AS (SELECT conv_id, turn, role, length(text) AS n, sum((role = 'user')::I
 """
 
 
-def _sections(spark, sf_dir):
-    return X.sections(_turns(spark, sf_dir), "conv_id", "turn", F.col("role") == "user", F.substring("text", 1, 20))
+def _sections(spark, sf_dir, whole=False):
+    return X.sections(_turns(spark, sf_dir), "conv_id", "turn", F.col("role") == "user", F.col("text") if whole else F.substring("text", 1, 20))
 
 
 @_query(_SECTIONS + "SELECT conv_id, turn, section_no::BIGINT AS section_no, section_title FROM s")
@@ -40,9 +40,25 @@ def section_ffill(spark, sf_dir):
     return _sections(spark, sf_dir).select("conv_id", "turn", "section_no", "section_title")
 
 
+@_query()
+def section_ffill_whole(spark, sf_dir):
+    """section_ffill with digests of whole titles."""
+    return _sections(spark, sf_dir, whole=True).select("conv_id", "turn", "section_no", F.sha2("section_title", 256).alias("section_title"))
+
+
 @_query(_SECTIONS + "SELECT conv_id, section_no::BIGINT AS section_no, any_value(section_title) AS section_title, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS n_records, count(*) FILTER (WHERE role = 'assistant') AS n_assistant, sum(n)::BIGINT AS chars FROM s GROUP BY conv_id, section_no")
 def section_rollup(spark, sf_dir):
-    return _sections(spark, sf_dir).groupBy("conv_id", "section_no").agg(F.first("section_title").alias("section_title"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("n_records"), F.count_if(F.col("role") == "assistant").alias("n_assistant"), F.sum(F.length("text")).alias("chars"))
+    return _rollup(_sections(spark, sf_dir))
+
+
+@_query()
+def section_rollup_whole(spark, sf_dir):
+    """section_rollup with digests of whole titles."""
+    return _rollup(_sections(spark, sf_dir, whole=True)).withColumn("section_title", F.sha2("section_title", 256))
+
+
+def _rollup(sections):
+    return sections.groupBy("conv_id", "section_no").agg(F.first("section_title").alias("section_title"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("n_records"), F.count_if(F.col("role") == "assistant").alias("n_assistant"), F.sum(F.length("text")).alias("chars"))
 
 
 @_query("""
@@ -236,10 +252,20 @@ def pipe_tables(spark, sf_dir):
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS r FROM documents), c AS (SELECT doc_id, r, list_transform(string_split(regexp_replace(trim(line), '^\\||\\|$', '', 'g'), '|'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS cells FROM l WHERE contains(line, '|')),
 u AS (SELECT doc_id, r, unnest(cells) AS value, generate_subscripts(cells, 1) AS k FROM c) SELECT doc_id, (r - 1)::INT AS row_index, (k - 1)::INT AS column_index, value FROM u WHERE k <= 3""")
 def table_cells(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("row_index", "line")).where(F.col("line").contains("|"))
+    lines = _pipe_lines(spark, sf_dir)
     return lines.select("doc_id", "row_index", F.posexplode(F.slice(H.pipe_cells(F.col("line")), 1, 3)).alias("column_index", "value"))
 
 
+@_query()
+def table_cells_whole(spark, sf_dir):
+    """table_cells of all columns."""
+    return _pipe_lines(spark, sf_dir).select("doc_id", "row_index", F.posexplode(H.pipe_cells(F.col("line"))).alias("column_index", "value"))
+
+
+def _pipe_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("row_index", "line")).where(F.col("line").contains("|"))
+
+
 @_query("SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)))::INT AS n_links, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host, regexp_matches(lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '\\.pdf$|/pdf') AS direct_pdf FROM pages")
 def link_extract(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(F.array_distinct(H.links(F.col("html")))).alias("n_links"), H.title(F.col("html")).alias("title"), H.host(F.col("url")).alias("host"), H.is_direct_pdf(F.col("url")).alias("direct_pdf"))

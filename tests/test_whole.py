@@ -4,7 +4,7 @@ import pytest
 
 from evidentia.queries import QUERIES, SQL
 
-from .oracle import compare
+from .oracle import TABLES, compare
 
 SF = "/root/testdata/sf0.01"  # 1,000 documents, more than any slice takes; 40 questions
 
@@ -25,6 +25,17 @@ FILTERS = {
 }
 
 
+#: What the slice cuts from a text, and the column that the whole query gives as a digest.
+CUTS = {
+    "normalize_answer": ([("substr(text, 1, 60)", "text")], "answer"),
+    "window_acronyms": ([("[1:12]", ""), ("range(1, 12)", "range(1, 5000)")], "aliases"),
+    "table_cells": ([(" WHERE k <= 3", "")], None),
+    "section_ffill": ([("substr(text, 1, 20)", "text")], "section_title"),
+    "section_rollup": ([("substr(text, 1, 20)", "text")], "section_title"),
+    "table_groups": ([("substr(text, 1, 10)", "text")], "group"),
+}
+
+
 @pytest.mark.parametrize("name", sorted(FILTERS))
 def test_whole_tables(spark, name):
     sql = SQL[name]
@@ -34,3 +45,24 @@ def test_whole_tables(spark, name):
     compare(spark, name, QUERIES[f"{name}_whole"], sql, SF)
     with pytest.raises(AssertionError):  # the slice alone is less
         compare(spark, name, QUERIES[name], sql, SF)
+
+
+@pytest.mark.parametrize("name", sorted(CUTS))
+def test_whole_texts(spark, name, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    docs = ["| a | b | c | d | e |\nplain | x", "  \t“Long Words " + " ".join(f"{chr(97 + k % 26)}word {chr(98 + k // 26)}other" for k in range(60)) + "”", ""]
+    turns = [("user", "the same twenty letters and then one thing"), ("assistant", "yes"), ("user", "the same twenty letters and then another"), ("assistant", "no")]
+    pq.write_table(pa.table({"doc_id": [1, 2, 3], "text": docs, "lang": ["en"] * 3, "source": ["s"] * 3, "n_chars": [len(d) for d in docs]}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"conv_id": [1] * 4, "turn": [0, 1, 2, 3], "role": [r for r, _ in turns], "text": [t for _, t in turns]}), tmp_path / "conversations.parquet")
+    for t in set(TABLES) - {"documents", "conversations"}:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    cuts, digest = CUTS[name]
+    sql = SQL[name]
+    for old, new in cuts:
+        assert old in sql
+        sql = sql.replace(old, new)
+    compare(spark, name, QUERIES[f"{name}_whole"], f'SELECT * REPLACE (sha256("{digest}") AS "{digest}") FROM ({sql})' if digest else sql, tmp_path)
+    with pytest.raises(AssertionError):  # the slice alone is less
+        compare(spark, name, QUERIES[name], sql, tmp_path)
