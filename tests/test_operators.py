@@ -134,6 +134,45 @@ def test_title_join(spark):
     assert [(r["l"], r["r"]) for r in fuzzy.title_join(left, right, left_key="l", right_key="r").collect()] == [(1, 10)]
 
 
+def test_title_join_against_all_pairs(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    words = ["deep", "learning", "models", "language", "networks", "for", "with", "large", "of", "the", "analysis", "graphs"]
+    right = [(k, " ".join(rng.sample(words, rng.randint(4, 9))) + (f" rareword{k}" if k % 2 else "")) for k in range(60)]
+
+    def typo(t):
+        for _ in range(rng.randint(1, 3)):
+            i = rng.randrange(len(t))
+            t = t[:i] + rng.choice(["", "q", t[i] + "z"]) + t[i + 1 :]
+        return t
+
+    right += [(2000 + k, f"these common words {k}") for k in range(1001)] + [(5000, "these common words title")]  # three words that more than 1,000 titles hold
+    left = [(k, typo(right[k][1])) for k in range(40)] + [(100, "these common words titel"), (101, "these common wordz titlee")]
+    got = {(r["l"], r["r"], r["score"]) for r in fuzzy.title_join(spark.createDataFrame(left, "l long, title string"), spark.createDataFrame(right, "r long, title string"), left_key="l", right_key="r").collect()}
+    plain = lambda rows: [(k, " ".join(t.split())) for k, t in rows]
+    want = set()
+    for k, x in plain(left):
+        scores = []
+        for r, y in plain(right):
+            a, b = set(x.split()), set(y.split())
+            if min(len(a), len(b)) < 4:
+                continue
+            both = len(a & b)
+            contained, jaccard = both / min(len(a), len(b)), both / len(a | b)
+            mixed = 0.65 * contained + 0.35 * jaccard if both >= 5 and contained >= 0.85 and jaccard >= 0.55 else 0.0
+            upper = 2 * min(len(x), len(y)) / (len(x) + len(y))
+            m = SequenceMatcher(None, x, y)
+            ratio = m.ratio() if upper >= 0.92 and m.quick_ratio() >= 0.92 else 0.0
+            if max(mixed, ratio if ratio >= 0.92 else 0.0) > 0:
+                scores.append((-max(mixed, ratio if ratio >= 0.92 else 0.0), r))
+        scores.sort()
+        if scores and -scores[0][0] + (scores[1][0] if len(scores) > 1 else 0.0) >= 0.03:
+            want.add((k, scores[0][1], round(-scores[0][0], 6)))
+    assert got == want and len(want) > 10 and 100 in {k for k, _, _ in want}
+
+
 def test_jsonl(spark, tmp_path):
     df = spark.createDataFrame([(1, "ä"), (2, None)], "a long, b string")
     jsonl.write_jsonl(df, str(tmp_path / "x"))
