@@ -16,7 +16,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .common import materialize
+
 BITS = 64
+#: Numbers for so many dimensions are broadcast; those for more are joined.
+BROADCAST_DIMS = 4_096
 
 
 def usable(vector: Column) -> Column:
@@ -112,10 +116,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", v
     """
     pick = lambda df: df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).distinct()
     rows, asked = pick(vectors).withColumn("dim", F.size("v")), pick(queries).withColumn("dim", F.size("v"))
-    stats = {r["dim"]: (r["n"], r["norm"]) for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("norm")).limit(4096).collect()}
-    many = {r["dim"]: r["n"] for r in asked.groupBy("dim").agg(F.count("*").alias("n")).limit(4096).collect()}
-    grid = [(d, max(1, -(-n // shard_rows)), max(1, -(-many.get(d, 0) // query_rows)), float(norm)) for d, (n, norm) in stats.items()]
-    plan = lambda: F.broadcast(vectors.sparkSession.createDataFrame(grid, "dim int, shards int, blocks int, norm double"))  # noqa: E731  one row per dimension
+    norm = F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
+    stats = rows.groupBy("dim").agg(F.count("*").alias("n"), norm.alias("norm")).join(asked.groupBy("dim").agg(F.count("*").alias("m")), "dim", "left")
+    parts = lambda n, most: F.greatest(F.lit(1), F.ceil(F.coalesce(n, F.lit(0)) / most)).cast("int")
+    grid = materialize(stats.select("dim", parts(F.col("n"), shard_rows).alias("shards"), parts(F.col("m"), query_rows).alias("blocks"), "norm"), "dimensions")  # one row per dimension
+    few = grid.count() <= BROADCAST_DIMS
+    plan = lambda: F.broadcast(grid) if few else grid
     at = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
     index = rows.join(plan(), "dim").withColumn("shard", at("shards", 0)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("dim", "shard", "block", "id", "v", "norm")
     asks = asked.join(plan(), "dim").withColumn("block", at("blocks", 1)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select("dim", "shard", "block", "id", "v")

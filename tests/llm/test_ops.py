@@ -330,6 +330,15 @@ def test_nearest_against_brute_force(spark):
     assert nearest(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_nearest_of_every_dimension(spark):
+    from evidentia.llm.ann_forest import nearest
+
+    vectors = spark.range(2 * 4_150).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.expr("int(id div 2)")), lambda i: F.when(i == 0, 1.0).otherwise(0.0)).alias("embedding"))
+    vectors = vectors.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    got = {(r["query_id"], r["vec_id"]) for r in nearest(vectors, vectors.where("vec_id % 2 = 0"), trees=1).collect()}
+    assert got == {(k, k + 1) for k in range(0, 2 * 4_150, 2)}
+
+
 # --- languages
 
 
