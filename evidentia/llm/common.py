@@ -20,9 +20,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset in local mode (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="evidentia-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
@@ -48,6 +50,11 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def at_most(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has no more rows than that; else as it is. Its rows are counted, so it should be a written table."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def words(text: F.Column | str) -> F.Column:
     """The words of a text as an array; null: empty."""
     return F.filter(F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), SPACE), lambda w: w != "")

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .ann_forest import nearest
 from .chat_format import digests, format_conversations
-from .common import materialize, read, shared_dir, word_count
+from .common import at_most, materialize, read, shared_dir, word_count
 from .langid import fit as fit_languages, identify
 from .license_scan import scan as scan_licenses
-from .mixing import NULL, mix, source_targets
+from .mixing import BROADCAST_ROWS, NULL, memberships, mix, source_targets
 from .near_dedup import near_classes
 from .packing import pack
 from .quality import with_verdicts
-from .warc import read_archive, write_archive
+from .warc import archive_path, read_archive, write_archive
 from .toxicity import fit as fit_grammar, score as score_toxicity, training_sample
 
 
@@ -31,11 +29,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = materialize(read(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size")), "sizes")
-    sizes, quotas = source_targets(docs, size=F.col("size"))
-    mixed = mix(docs, F.array("source"), quotas, size=F.col("size"))
-    known = spark.createDataFrame([(NULL if s is None else s, n, quotas[s]) for s, n in sizes.items()], "_key string, source_size long, target double")  # one row per source
-    out = mixed.withColumn("_key", F.coalesce("source", F.lit(NULL))).join(F.broadcast(known), "_key")
+    docs = memberships(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "_members", "_times", word_count("text").alias("size"))
+    docs = materialize(docs, "sizes")
+    known = materialize(source_targets(docs, size=F.col("size")), "targets")
+    mixed = mix(docs, F.col("_members"), known.select("source", F.col("target").alias("quota")), own=F.col("source"), size=F.col("size"), once=F.col("size") / F.col("_times"))
+    known = at_most(known.select(F.coalesce("source", F.lit(NULL)).alias("_key"), F.col("size").alias("source_size"), "target"), BROADCAST_ROWS)
+    out = mixed.withColumn("_key", F.coalesce("source", F.lit(NULL))).join(known, "_key")
     return out.select("doc_id", "size", "source_size", "target", (F.col("_copies") * F.col("size")).cast("long").alias("taken"))
 
 
@@ -55,7 +54,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/evidentia-warc-{uuid.uuid4().hex}"
+    path = archive_path(shared_dir(spark))
     write_archive(read(spark, sf_dir, "pages"), path)
     return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -111,19 +110,6 @@ SELECT doc_id, n_words::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS wo
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - removed) >= 30 * n_words AS kept, removed::BIGINT AS removed_words FROM f
 """
 
-_MIX = rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORD}))::BIGINT AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS k FROM d GROUP BY source),
-w AS (SELECT source, n, (k - 1) % 3 + 1 AS w FROM s),
-o AS (SELECT *, row_number() OVER q AS ord, sum(n) OVER () - coalesce(sum(3 * n) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS heavy FROM w WINDOW q AS (ORDER BY 3 * n / w::DOUBLE, source)),
-stop AS (SELECT min(ord) AS ord FROM o WHERE NOT (3 * n * heavy <= rest * w)),
-t AS (SELECT o.source, n, CASE WHEN stop.ord IS NULL OR o.ord < stop.ord THEN (3 * n)::DOUBLE ELSE (SELECT rest FROM o WHERE ord = stop.ord)::DOUBLE * w::DOUBLE / (SELECT heavy FROM o WHERE ord = stop.ord)::DOUBLE END AS target FROM o, stop),
-q AS (SELECT *, floor(target + 0.5e0)::BIGINT AS quota FROM t),
-r AS (SELECT source, n, target, CASE WHEN n = 0 THEN 0 ELSE quota // n END AS rounds, CASE WHEN n = 0 THEN 0 ELSE quota % n END AS rest FROM q),
-u AS (SELECT d.*, r.n, r.target, r.rounds, r.rest, sum(size) OVER (PARTITION BY d.source ORDER BY substr(md5('1:' || doc_id), 1, 13), size ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
-SELECT doc_id, size, n AS source_size, target, (size * (rounds + CASE WHEN rest > 0 AND (upto <= rest OR upto - rest < rest - (upto - size)) THEN 1 ELSE 0 END))::BIGINT AS taken FROM u
-"""
-
 _CHAT = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
@@ -143,4 +129,4 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest, CASE
   CASE WHEN page_id <> first THEN first END AS refers_to FROM p LEFT JOIN m ON p.html = m.html
 """
 
-LLM_SQL = {"op1_chat": _CHAT, "op7_warc": _WARC, "op2_quality": _QUALITY, "op3_mix": _MIX}
+LLM_SQL = {"op1_chat": _CHAT, "op7_warc": _WARC, "op2_quality": _QUALITY}

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import json
 import re
 import zlib
@@ -111,40 +112,124 @@ def test_quality_on_odd_rows(spark, odd):
 # --- mixing
 
 
-def test_targets_and_flow():
-    from evidentia.llm.mixing import min_cost_flow, targets
+def cheapest(patterns, routes, quotas):
+    """Most tokens that can flow, and the least cost of that, over all ways to fill the routes."""
+    keys = sorted(routes)
+
+    def cost(flow):
+        return sum(sum(2 * (k // patterns[p]) + 1 for k in range(sum(v for (q, _), v in flow.items() if q == p))) for p in patterns)
+
+    found = (0, 0)
+    for amounts in itertools.product(*(range(routes[k] + 1) for k in keys)):
+        flow = dict(zip(keys, amounts, strict=True))
+        if all(sum(v for (_, s), v in flow.items() if s == t) <= quotas[t] for t in quotas):
+            found = max(found, (sum(amounts), -cost(flow)))
+    return found, cost
+
+
+def test_flow_is_the_cheapest():
+    from evidentia.llm.mixing import min_cost_flow
+
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        names = [("a",), ("b",), ("a", "b"), ("a", "b", "c")]
+        chosen = [names[k] for k in sorted(rng.choice(4, int(rng.integers(1, 4)), replace=False))]
+        patterns = {p: int(rng.integers(1, 3)) for p in chosen}
+        routes = {(p, s): int(patterns[p] * rng.integers(1, 3)) for p in chosen for s in p}
+        quotas = {s: int(rng.integers(0, 5)) for s in "abc"}
+        (most, least), cost = cheapest(patterns, routes, quotas)
+        flow = min_cost_flow(patterns, routes, quotas)
+        assert all(0 <= v <= routes[k] for k, v in flow.items())
+        assert all(sum(v for (_, s), v in flow.items() if s == t) <= quotas[t] for t in quotas)
+        assert (sum(flow.values()), -cost(flow)) == (most, least), (patterns, routes, quotas, flow)
+    assert min_cost_flow({}, {}, {}) == {} and min_cost_flow({("a",): 0}, {(("a",), "a"): 0}, {"a": 5}) == {}
+
+
+def shares(sizes, weights, copies=3):
+    """Targets in plain Python: what is left is shared by weight until no source gets more than its copies."""
+    out, left, open_ = {}, float(sum(sizes.values())), set(sizes)
+    while open_:
+        heavy = sum(weights[s] for s in open_)
+        full = {s for s in open_ if copies * sizes[s] <= left * weights[s] / heavy}
+        if not full:
+            return out | {s: left * weights[s] / heavy for s in open_}
+        out |= {s: copies * sizes[s] for s in full}
+        left -= sum(copies * sizes[s] for s in full)
+        open_ -= full
+    return out
+
+
+def test_source_targets(spark):
+    from evidentia.llm.mixing import source_targets
 
-    got = targets({"a": 10, "b": 1000, "c": 1000}, {"a": 3, "b": 1, "c": 2})
-    assert got == {"a": 30.0, "b": 660.0, "c": 1320.0}
-    assert targets({"a": 0}, {"a": 1}) == {"a": 0.0}
-    flow = min_cost_flow({("a",): 10, ("a", "b"): 10, ("b",): 0}, {"a": 30, "b": 5})
-    assert sum(v for (_, s), v in flow.items() if s == "a") == 30
-    assert sum(v for (_, s), v in flow.items() if s == "b") == 5
-    assert flow[("a",), "a"] + flow[("a", "b"), "a"] + flow[("a", "b"), "b"] == 35 and flow[("a",), "a"] <= 20
-    even = min_cost_flow({("a",): 10, ("a", "b"): 10}, {"a": 20, "b": 0})
-    assert even[("a",), "a"] == 10 and even[("a", "b"), "a"] == 10
+    rng = np.random.default_rng(9)
+    sizes = {f"s{k:02}": int(rng.integers(0, 10) ** 3) for k in range(30)} | {None: 500}
+    docs = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, n long")
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want = shares(sizes, {s: k % 3 + 1 for k, s in enumerate(names)})
+    for part_rows in (1_000_000, 4):  # one range of sources, and many
+        got = {r["source"]: r for r in source_targets(docs, size=F.col("n"), part_rows=part_rows).collect()}
+        assert {s: r["size"] for s, r in got.items()} == sizes
+        assert {s: r["target"] for s, r in got.items()} == pytest.approx(want)
+    assert source_targets(docs.limit(0), size=F.col("n")).count() == 0
 
 
 def test_mix_meets_targets(spark, prose):
-    from evidentia.llm.mixing import mix, source_targets, take_mix
+    from evidentia.llm.mixing import memberships, mix, source_targets, take_mix
 
-    rows = [(k, " ".join(prose[k % 12].split()[: 5 + k % 90]), "en", ["a", "b", "c", None][k % 7 % 4]) for k in range(600)] + [(None, None, None, "a"), (9000, "", "en", "z")]
+    rows = [(k, " ".join(prose[k % 12].split()[: 5 + k % 90]) + (f" u{k}" if k % 3 else ""), "en", ["a", "b", "c", None][k % 7 % 4]) for k in range(600)] + [(None, None, None, "a"), (9000, "", "en", "z")]
     docs = docs_of(spark, rows)
-    sizes, quotas = source_targets(docs)
-    assert sum(sizes.values()) == sum(len(WORD.findall(r[1] or "")) for r in rows)
-    assert sum(quotas.values()) == pytest.approx(sum(sizes.values()))
-    taken = collections.Counter()
-    for r in mix(docs, F.array("source"), quotas).collect():
+    quotas = source_targets(docs)
+    assert sum(r["size"] for r in quotas.collect()) == sum(len(WORD.findall(r[1] or "")) for r in rows)
+    held = collections.defaultdict(list)
+    for r in rows:
+        held[r[1] or ""].append(r[3] or "\x00")
+    joined = memberships(docs).select("doc_id", "text", "_members", "_times").collect()
+    assert len(joined) == len(rows)
+    for r in joined:
+        own = held[r["text"] or ""]
+        assert set(r["_members"]) == set(own) and (r["_times"] == len(own) or len(set(own)) == 1)
+
+    def mixed(d):
+        d = memberships(d).withColumn("w", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t-\r]+"), lambda x: x != "")))
+        return mix(d, F.col("_members"), quotas.select("source", F.col("target").alias("quota")), own=F.col("source"), size=F.col("w"), once=F.col("w") / F.col("_times")).collect()
+
+    got, taken = mixed(docs), collections.Counter()
+    assert len(got) == len(rows) and any(len(r["_pattern"]) > 1 for r in got)
+    for r in got:
         assert 0 <= r["_copies"] <= 3
         taken[r["source"]] += r["_copies"] * r["_size"]
-    for s in sizes:
-        assert abs(taken[s] - quotas[s]) <= 100
-    again = sorted((r["doc_id"] or -1, r["_copies"]) for r in mix(docs.repartition(7), F.array("source"), quotas).collect())
-    assert again == sorted((r["doc_id"] or -1, r["_copies"]) for r in mix(docs, F.array("source"), quotas).collect())
+    for r in quotas.collect():
+        assert abs(taken[r["source"]] - r["target"]) <= 100, r
+    again = sorted((r["doc_id"] or -1, r["_copies"]) for r in mixed(docs.repartition(7)))
+    assert again == sorted((r["doc_id"] or -1, r["_copies"]) for r in got)
     assert take_mix(docs).columns == docs.columns
     assert take_mix(docs.limit(0)).count() == 0
 
 
+def test_mix_of_any_source(spark):
+    """Without an own source, a document counts for whichever of its sources the flow sends it to."""
+    from evidentia.llm.mixing import mix
+
+    rows = [(k, ["a"] if k < 100 else ["a", "b"]) for k in range(200)]
+    quotas = spark.createDataFrame([("a", 150.0), ("b", 30.0)], "source string, quota double")
+    got = mix(spark.createDataFrame(rows, "doc_id long, s array<string>"), F.col("s"), quotas, size=F.lit(1)).collect()
+    taken = collections.Counter(len(r["_pattern"]) for r in got for _ in range(r["_copies"]))
+    assert sum(taken.values()) == 180 and taken[2] >= 80 and max(r["_copies"] for r in got) == 1
+
+
+def test_mix_takes_a_part_of_equal_rows(spark):
+    from evidentia.llm.mixing import take_mix
+
+    rows = [(1, "one two three four five six seven eight nine ten", "en", "a")] * 300 + [(k + 1000, f"{k} two three four five six seven eight nine ten", "en", "b") for k in range(300)]
+    rows += [(None, f"n{k} two", "en", "c") for k in range(100)]
+    taken = collections.Counter()
+    for r in take_mix(docs_of(spark, rows)).collect():
+        taken[r["source"]] += len(r["text"].split())
+    want = shares({"a": 3000, "b": 3000, "c": 200}, {"a": 1, "b": 2, "c": 3})
+    assert all(abs(taken[s] - want[s]) <= 5 for s in want), (taken, want)
+
+
 # --- licences
 
 
@@ -281,14 +366,14 @@ def test_bag_minhash_estimates_weighted_jaccard():
 
 
 def test_warc_round_trip(spark, tmp_path):
-    from evidentia.llm.warc import read_archive, record_bytes, write_archive
+    from evidentia.llm.warc import read_archive, write_archive
 
     big, rows = "ü" * 700, []
     rows = [(1, "http://a/", big), (3, "http://b/\r\nX: y", big), (2, None, big), (4, "http://c", "small"), (5, "http://d", "small"), (6, "http://e", None), (7, "http://f", ""), (3, "http://b2", big), (None, "http://n", big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit("k"))
     write_archive(pages, str(tmp_path / "w"))
-    got = record_bytes(read_archive(spark, str(tmp_path / "w"))).collect()
-    assert len(got) == len(rows)
+    got = read_archive(spark, str(tmp_path / "w")).collect()
+    assert len(got) == len(rows) == len({r["record_id"] for r in got})
     for r in got:
         same = [x for x in rows if x[0] == r["page_id"]][0][2] or ""
         raw = same.encode()
@@ -303,6 +388,34 @@ def test_warc_round_trip(spark, tmp_path):
     assert read_archive(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_warc_slices_common_payloads(spark, tmp_path, monkeypatch):
+    from evidentia.llm import warc
+
+    monkeypatch.setattr(warc, "SLICE_RECORDS", 7)
+    long = "é" * 400_000
+    rows = [(k, "http://a/", "same page " * 200) for k in range(60)] + [(100 + k, None, "") for k in range(30)] + [(200, "http://l", long), (201, "http://l", long)]
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    stored = {r["slices"] for r in spark.read.parquet(str(tmp_path / "w/payloads")).collect()}
+    assert stored == {9, 5, 1}
+    got = {r["page_id"]: r for r in warc.read_archive(spark, str(tmp_path / "w")).collect()}
+    assert len(got) == len(rows)
+    for k, _, html in rows:
+        top = 59 if k < 60 else 201 if k >= 200 else None
+        assert bytes(got[k]["payload"]) == html.encode() and got[k]["refers_to"] == (top if top is not None and k != top else None)
+
+
+def test_warc_notices_damage(spark, tmp_path):
+    from evidentia.llm import warc
+
+    warc.write_archive(spark.createDataFrame([(1, "u", "x" * 2000)], "page_id long, url string, html string"), str(tmp_path / "w"))
+    rows = warc.records(spark, str(tmp_path / "w"))
+    short = rows.withColumn("record", F.expr("substring(record, 1, length(record) - 1)"))
+    changed = rows.withColumn("record", F.concat(F.expr("substring(record, 1, length(record) - 5)"), F.lit(b"y\r\n\r\n")))
+    for bad in (short, changed):
+        with pytest.raises(Exception, match="broken record|no payload"):
+            warc.parsed(bad).select("payload_digest").collect()
+
+
 # --- nearest neighbours
 
 
