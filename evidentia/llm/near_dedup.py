@@ -22,6 +22,10 @@ from pyspark.sql import DataFrame, functions as F
 from .common import SPACE, drop_written, materialize, release, small_batches
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: So many members of a bucket, or texts of an element, meet its leaders, or each other, in one place.
+SLICE_MEMBERS = 512
+#: Copies of the narrow table of those buckets that a second turn is needed for.
+SLICES = 8
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -230,15 +234,24 @@ def _prefix_pairs(rest: DataFrame, texts: DataFrame, size: int, least: float, of
     first = rest.join(common, "tid").where(taken > 0).select("tid", "n", "root", hot.alias("hot"), F.array_distinct(F.slice("common", F.lit(1), F.greatest(taken, F.lit(0)))).alias("held"))
     first = first.select("tid", "n", "root", "hot", F.transform("held", lambda x: x["h"]).alias("held"), F.explode("held").alias("at"))
     first = first.select("tid", "n", "root", "hot", "held", F.col("at.h").alias("e"), (F.col("at.df") > often).alias("frequent"))
-    mixed = first.groupBy("e").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("e")
-    first = materialize(first.join(mixed, "e"), "firsts")
-    one = first.select(F.col("e").alias("ea"), F.col("tid").alias("a"), "n", F.col("root").alias("ra"), F.col("hot").alias("ha"), F.col("held").alias("la"), F.col("frequent"))
-    two = first.select("e", F.col("tid").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"), F.col("hot").alias("hb"), F.col("held").alias("lb"))
+    # in a frequent element, only texts that consist of frequent ones to the asked part can have a partner
+    first = first.where(~F.col("frequent") | (F.col("hot") >= F.col("n") * least - 1e-9))
+    mixed = first.groupBy("e").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / SLICE_MEMBERS).cast("int").alias("slices")).where("low <> high").select("e", "slices")
+    mixed = mixed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    firsts = materialize(first.withColumn("part", F.pmod(F.xxhash64("tid"), F.lit(SLICES)).cast("int")).join(mixed, ["e", "part"]).drop("part"), "firsts")
+    drop_written(single)
+    # a frequent element's texts meet each other in slices by slices
+    slice_of = F.pmod(F.xxhash64("tid", F.lit(9)), F.col("slices")).cast("int")
+    every = F.sequence(F.lit(0), F.col("slices") - 1)
+    first = firsts.select("*", slice_of.alias("sa"), F.explode(every).alias("sb"))
+    second = firsts.select("*", slice_of.alias("sb"), F.explode(every).alias("sa"))
+    one = first.select(F.col("e").alias("ea"), F.col("sa").alias("pa"), F.col("sb").alias("pb"), F.col("tid").alias("a"), "n", F.col("root").alias("ra"), F.col("hot").alias("ha"), F.col("held").alias("la"), F.col("frequent"))
+    two = second.select("e", "sa", "sb", F.col("tid").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"), F.col("hot").alias("hb"), F.col("held").alias("lb"))
     may = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m"))
     # texts that share no rarer element overlap in frequent ones alone, and need enough of those
     enough = F.least("ha", "hb") * (1 + least) >= (F.col("n") + F.col("m")) * least - 1e-9
     once = F.array_min(F.array_intersect("la", "lb")) == F.col("e")  # a pair meets in several frequent elements, and counts in one
-    return one.join(two, (F.col("ea") == F.col("e")) & may & (~F.col("frequent") | (enough & once))).select("a", "b", "n", "m", "ra", "rb")
+    return one.join(two, (F.col("ea") == F.col("e")) & (F.col("pa") == F.col("sa")) & (F.col("pb") == F.col("sb")) & may & (~F.col("frequent") | (enough & once))).select("a", "b", "n", "m", "ra", "rb")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -277,18 +290,22 @@ def linked(texts: DataFrame, *, size: int = 5, least: float = 0.8, bands: int =
     whole band; at 0.8 a pair misses all 24 bands of 5 with a probability below 1e-4.
     """
     sketches = _sketches(texts, size, bands, rows).where("n > 0")
-    member = materialize(sketches.dropDuplicates(["tid"]), "bands").select("tid", "n", F.posexplode("keys").alias("band", "key"))
-    shared = member.groupBy("band", "key").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).where("low <> high").select("band", "key")
-    member = materialize(member.join(shared, ["band", "key"]), "buckets")
+    sketched = materialize(sketches.dropDuplicates(["tid"]), "bands")
+    member = sketched.select("tid", "n", F.posexplode("keys").alias("band", "key"))
+    several = lambda own, c: own.groupBy("band", "key").agg(F.min(c).alias("low"), F.max(c).alias("high"), F.ceil(F.count("*") / SLICE_MEMBERS).cast("int").alias("slices")).where("low <> high").select("band", "key", "slices")
+    member = materialize(member.join(several(member, "tid"), ["band", "key"]), "buckets")
     held = materialize(texts.join(member.select("tid").distinct(), "tid").dropDuplicates(["tid"]), "texts")
+    written = [sketched, member, held]
     ratio = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m")  # else the counts alone rule the pair out
     links = met = None
     left, root = member, None
     for turn in range(len(leaders) + 1):
         if turn:
             left = member.join(root, "tid", "left").select("band", "key", "tid", "n", F.coalesce("root", "tid").alias("root"))
-            apart = left.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key")
-            left = materialize(left.join(apart, ["band", "key"]), "apart")
+            part = F.pmod(F.xxhash64("tid", F.lit(7)), F.lit(SLICES)).cast("int")
+            apart = several(left, "root").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+            left = materialize(left.withColumn("part", part).join(apart, ["band", "key", "part"]).drop("part"), "apart")
+            written.append(left)
             if left.isEmpty():
                 break
         if turn < len(leaders):
@@ -296,8 +313,10 @@ def linked(texts: DataFrame, *, size: int = 5, least: float = 0.8, bands: int =
             own = ["tid", "n", *(["root"] if turn else [])]
             rank = lambda j: F.lit(0).cast("long") if not turn else F.col("n").cast("long") if not j else F.xxhash64("tid", F.lit(100 * turn + j))
             firsts = [F.min(F.struct(rank(j), *own)).alias(f"lead{j}") for j in range(leaders[turn])]
-            lead = left.groupBy("band", "key").agg(*firsts).select("band", "key", F.explode(F.array_distinct(F.transform(F.array(*[f"lead{j}" for j in range(leaders[turn])]), lambda x: F.struct(*[x[c].alias(c) for c in own])))).alias("lead"))
-            pairs = left.join(lead, ["band", "key"]).select(F.col("tid").alias("a"), F.col("lead.tid").alias("b"), "n", F.col("lead.n").alias("m"), *([F.col("root").alias("ra"), F.col("lead.root").alias("rb")] if turn else []))
+            lead = left.groupBy("band", "key").agg(F.max("slices").alias("slices"), *firsts).select("band", "key", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), *[f"lead{j}" for j in range(leaders[turn])])
+            lead = lead.select("band", "key", "slice", F.explode(F.array_distinct(F.transform(F.array(*[f"lead{j}" for j in range(leaders[turn])]), lambda x: F.struct(*[x[c].alias(c) for c in own])))).alias("lead"))
+            dealt = left.withColumn("slice", F.pmod(F.xxhash64("tid", F.lit(9)), F.col("slices")).cast("int"))
+            pairs = dealt.join(lead, ["band", "key", "slice"]).select(F.col("tid").alias("a"), F.col("lead.tid").alias("b"), "n", F.col("lead.n").alias("m"), *([F.col("root").alias("ra"), F.col("lead.root").alias("rb")] if turn else []))
         else:
             pairs = _prefix_pairs(left.select("tid", "n", "root").distinct(), held, size, least)
         pairs = pairs.where(F.col("a") != F.col("b")).where(ratio)
@@ -306,9 +325,14 @@ def linked(texts: DataFrame, *, size: int = 5, least: float = 0.8, bands: int =
             pairs = pairs.join(met, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         found = materialize(_verified(pairs, held, size, least), "links")
+        written += [pairs, found]
         met = pairs if met is None else met.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
-        root = components(links)
+        root, old = components(links), root
+        if old is not None:
+            drop_written(old)
+    for t in written:
+        drop_written(t)
     return root
 
 
