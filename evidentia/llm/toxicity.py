@@ -1,9 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words go through a transducer into classes: insults (learned words and stems), threats, targets, negations, marks of
-reported speech. A second transducer reads the classes clause by clause and writes matches: a plain, aimed, negated or
-reported insult, or a threat at somebody. A document's score is a logistic function of its weighted matches. Insult
-words and all weights are learned from labelled texts; the closed classes below are fixed.
+Words go through a lexicon into symbols: insults (learned words and stems, with weights), threats, targets,
+intentions, negations, marks of reported speech, ends of clauses. A cascade of transducers, composed once into one
+machine, rewrites the symbols: negation, reported speech, target and intention each mark insults and threats by what
+stands in their clause; the last one writes matches, each with a learned weight on its arc. What is aimed at somebody
+is known only at the end of a clause, so those transducers guess at its beginning and the wrong guess dies at its end.
+A document's score is a logistic function of its weighted matches. Insults and all weights are learned from labelled
+texts; the closed classes below are fixed.
 """
 
 from __future__ import annotations
@@ -11,29 +14,203 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import words
+from .common import drop_written, materialize, words
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Words, ends of clauses and quotation marks, for texts with matches.
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]+|[\"“”«»„]")
 
-TARGETS = frozenset("you your yours yourself u he him his she her they them their we us everyone everybody all people".split())
-NEGATIONS = frozenset("not no never none neither nor without cannot dont doesnt isnt arent wasnt wont cant nicht kein keine nie pas jamais nunca ningún ninguna".split())
-REPORTS = frozenset("said says say told tells wrote writes called calls reported reports claimed claims quoted quote sagte dit dijo".split())
-THREATS = frozenset("kill hurt destroy murder punch stab shoot strangle burn beat".split())
-
-#: Matches, in the order of the features; each counts with the weight of its insult.
+# Closed classes in English, German, French and Spanish.
+TARGETS = frozenset(
+    "you your yours yourself u he him his she her they them their us everyone everybody all people "
+    "du dich dir dein deine deinen euch euer ihr ihn ihm sie ihnen uns alle "
+    "tu te toi ton ta tes vous votre vos il elle lui leur eux elles tous "
+    "tú ti usted ustedes vosotros os él ella ellos ellas les nos todos".split()
+)
+NEGATIONS = frozenset(
+    "not no never none neither nor nobody nothing without cannot dont doesnt isnt arent wasnt wont cant "
+    "nicht kein keine keinen nie niemand nichts ohne pas jamais personne rien sans nunca ningún ninguna nadie nada sin".split()
+)
+REPORTS = frozenset("said says say told tells wrote writes called calls reported reports claimed claims quoted quote sagte sagt schrieb dit disait écrit dijo dice escribió".split())
+#: What a speaker is about to do.
+INTENTIONS = frozenset("will shall ll gonna going werde werden wollen vais allons veux voy vamos quiero".split())
+THREATS = frozenset(
+    "kill hurt destroy murder punch stab shoot strangle burn beat töten umbringen erschlagen erschießen erwürgen verprügeln verbrennen "
+    "tuer frapper poignarder étrangler brûler détruire matar golpear apuñalar estrangular quemar destruir".split()
+)
+#: Threats whose form is the intention.
+FUTURES = frozenset("tuerai frapperai poignarderai étranglerai brûlerai détruirai mataré golpearé apuñalaré estrangularé quemaré destruiré".split())
+
+#: Matches, in the order of the features; an insult counts with its weight, a threat with one.
 MATCHES = ("plain", "aimed", "negated", "reported", "threat")
 #: How far a negation reaches, in words.
 REACH = 3
+#: What the lexicon writes.
+SYMBOLS = ("other", "insult", "threat", "future", "target", "intention", "negation", "report", "quote", "end", "line")
+
+
+class Transducer:
+    """States with arcs: for a state and a symbol, what is written, the weight, and the next state; starts and finals."""
+
+    def __init__(self, starts: Iterable, finals: Iterable):
+        self.starts, self.finals = list(starts), set(finals)
+        self.arcs: dict[tuple, list[tuple]] = {}
+
+    def arc(self, state, symbol: str, out: str, to, weight: float = 1.0) -> None:
+        self.arcs.setdefault((state, symbol), []).append((out, weight, to))
+
+    def paths(self, symbols: list[str]) -> list[tuple[list[str], float]]:
+        """What is written on every path that reads all symbols and ends in a final state, with the product of its weights."""
+        live = [(s, [], 1.0) for s in self.starts]
+        for x in symbols:
+            live = [(to, [*out, y], w * v) for s, out, w in live for y, v, to in self.arcs.get((s, x), [])]
+        return [(out, w) for s, out, w in live if s in self.finals]
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """The transducer that reads what a reads and writes what b makes of what a writes."""
+    out = Transducer([(p, q) for p in a.starts for q in b.starts], [])
+    symbols: dict = {}
+    for s, x in a.arcs:
+        symbols.setdefault(s, []).append(x)
+    todo, seen = list(out.starts), set(out.starts)
+    while todo:
+        p, q = todo.pop()
+        if p in a.finals and q in b.finals:
+            out.finals.add((p, q))
+        for x in symbols.get(p, []):
+            for y, w, p2 in a.arcs[p, x]:
+                for z, v, q2 in b.arcs.get((q, y), []):
+                    out.arc((p, q), x, z, (p2, q2), w * v)
+                    if (p2, q2) not in seen:
+                        seen.add((p2, q2))
+                        todo.append((p2, q2))
+    return out
+
+
+def negation() -> Transducer:
+    """Insults and threats up to REACH words after a negation are negated."""
+    t = Transducer([0], range(REACH + 1))
+    for n in range(REACH + 1):
+        for x in SYMBOLS:
+            y = f"negated {x}" if n and x in ("insult", "threat", "future") else x
+            t.arc(n, x, y, REACH if x == "negation" else 0 if x in ("end", "line") else max(0, n - 1))
+    return t
+
+
+def speech() -> Transducer:
+    """Insults and threats in quotation marks, or after a verb of saying in their clause, are reported."""
+    t = Transducer(["direct"], ["direct", "said", "quoted"])
+    symbols = [*SYMBOLS, *(f"negated {x}" for x in ("insult", "threat", "future"))]
+    for s in ("direct", "said", "quoted"):
+        for x in symbols:
+            to = s
+            if x == "quote":
+                to = "said" if s == "quoted" else "quoted"
+            elif x == "report" and s == "direct":
+                to = "said"
+            elif x == "line" or (x == "end" and s == "said"):
+                to = "direct"
+            t.arc(s, x, f"reported {x}" if s != "direct" and x in ("insult", "threat", "future") else x, to)
+    return t
+
+
+_MARKED = [f"{m} {x}" for m in ("negated", "reported") for x in ("insult", "threat", "future")]
+
+
+def target() -> Transducer:
+    """Insults of a clause that holds a target are aimed; threats of a clause without one are none.
+
+    It guesses at the beginning of a clause: "none" must not meet a target, "some" must meet one before the end.
+    """
+    t = Transducer(["none", "some"], ["none", "met"])
+    for s in ("none", "some", "met"):
+        for x in [*SYMBOLS, *_MARKED]:
+            if x in ("end", "line"):
+                if s != "some":
+                    t.arc(s, x, x, "none")
+                    t.arc(s, x, x, "some")
+            elif x == "target":
+                if s != "none":
+                    t.arc(s, x, x, "met")
+            elif s == "none":
+                t.arc(s, x, "other" if x in ("threat", "future", "reported threat", "reported future") else x, s)
+            else:
+                t.arc(s, x, "aimed insult" if x == "insult" else x, s)
+    return t
+
+
+def intention() -> Transducer:
+    """Threats count in a clause that says what somebody is about to do; a future form says so itself."""
+    t = Transducer(["none", "some"], ["none", "met"])
+    for s in ("none", "some", "met"):
+        for x in [*SYMBOLS, *_MARKED, "aimed insult"]:
+            if x in ("end", "line"):
+                if s != "some":
+                    t.arc(s, x, x, "none")
+                    t.arc(s, x, x, "some")
+            elif x == "intention":
+                if s != "none":
+                    t.arc(s, x, x, "met")
+            elif x in ("future", "reported future"):
+                t.arc(s, x, x.replace("future", "threat"), s)
+            else:
+                t.arc(s, x, "other" if s == "none" and x in ("threat", "reported threat") else x, s)
+    return t
+
+
+def matching(weights: Iterable[float] = (1.0,) * len(MATCHES)) -> Transducer:
+    """Writes matches, with their weights, and nothing for the rest."""
+    t, weight = Transducer([0], [0]), dict(zip(MATCHES, weights, strict=True))
+    match = {"insult": "plain", "aimed insult": "aimed", "negated insult": "negated", "reported insult": "reported", "threat": "threat", "reported threat": "reported"}
+    for x in [*SYMBOLS, *_MARKED, "aimed insult"]:
+        t.arc(0, x, match.get(x, ""), 0, weight.get(match.get(x, ""), 1.0))
+    return t
+
+
+def cascade(weights: Iterable[float] = (1.0,) * len(MATCHES)) -> list[Transducer]:
+    return [negation(), speech(), target(), intention(), matching(weights)]
+
+
+@cache
+def machine() -> tuple[list[int], frozenset, list[dict[str, list[tuple[int, int]]]]]:
+    """The composed cascade with numbered states: starts, finals, and for each state and symbol the matches (-1: none) and next states."""
+    whole = cascade()[0]
+    for t in cascade()[1:]:
+        whole = compose(whole, t)
+    number: dict = {}
+    for s in chain(whole.starts, (a[2] for arcs in whole.arcs.values() for a in arcs)):
+        number.setdefault(s, len(number))
+    table: list[dict[str, list[tuple[int, int]]]] = [{} for _ in number]
+    for (s, x), arcs in whole.arcs.items():
+        if s in number:
+            table[number[s]][x] = [(MATCHES.index(y) if y else -1, number[to]) for y, _, to in arcs]
+    return [number[s] for s in whole.starts], frozenset(number[s] for s in whole.finals if s in number), table
+
+
+def run(symbols: Iterable[tuple[str, float]]) -> list[float]:
+    """Sum of the weights of each match on the path of symbols that ends well; a text's last symbol must be an end."""
+    starts, finals, table = machine()
+    live: dict[int, tuple[float, ...]] = dict.fromkeys(starts, (0.0,) * len(MATCHES))
+    for x, weight in symbols:
+        after: dict[int, tuple[float, ...]] = {}
+        for s, found in live.items():
+            for match, to in table[s].get(x, ()):
+                # wherever two paths meet in a state the better one counts; guesses are such that only one is right
+                own = found if match < 0 else (*found[:match], found[match] + weight, *found[match + 1 :])
+                if to not in after or sum(after[to]) < sum(own):
+                    after[to] = own
+        live = after
+    return list(max((f for s, f in live.items() if s in finals), key=sum, default=(0.0,) * len(MATCHES)))
 
 
 @dataclass
@@ -60,44 +237,30 @@ class Grammar:
             self._known[word] = found
         return found
 
-    def matches(self, text: str | None) -> list[float]:
-        """Sum of weights of each kind of match in a whole text."""
-        found = [0.0] * len(MATCHES)
-        low = (text or "").lower()
-        insult = self.insult
-        if not any(insult(w) or w in THREATS for w in set(WORD.findall(low))):
-            return found
-        quoted = False
-        clause: list[tuple[str, float]] = []
-        for m in [*TOKEN.findall(low), "."]:
+    def symbols(self, low: str) -> Iterator[tuple[str, float]]:
+        """The lexicon: symbols of a lower-case text, with weights."""
+        for m in TOKEN.findall(low):
             if m[0] in "\"“”«»„":
-                quoted = not quoted
-                clause.append(("report", 0.0))
+                yield "quote", 0.0
             elif m[0] in ".!?;\n":
-                self._clause(clause, quoted, found)
-                clause, quoted = [], quoted and m[0] != "\n"
+                yield ("line" if m[0] == "\n" else "end"), 0.0
+            elif weight := self.insult(m):
+                yield "insult", weight
+            elif m in THREATS:
+                yield "threat", 1.0
+            elif m in FUTURES:
+                yield "future", 1.0
             else:
-                weight = insult(m)
-                kind = "insult" if weight else "target" if m in TARGETS else "negation" if m in NEGATIONS else "report" if m in REPORTS else "threat" if m in THREATS else "other"
-                clause.append((kind, weight))
-        return found
+                yield ("target" if m in TARGETS else "negation" if m in NEGATIONS else "report" if m in REPORTS else "intention" if m in INTENTIONS else "other"), 0.0
+        yield "line", 0.0
 
-    @staticmethod
-    def _clause(clause: list[tuple[str, float]], quoted: bool, found: list[float]) -> None:
-        """The second transducer: states are how far a negation still reaches and whether speech is reported."""
-        aimed = any(kind == "target" for kind, _ in clause)
-        negated, reported = 0, quoted
-        for kind, weight in clause:
-            if kind == "negation":
-                negated = REACH
-                continue
-            if kind == "report":
-                reported = True
-            elif kind == "insult":
-                found[2 if negated else 3 if reported else 1 if aimed else 0] += weight
-            elif kind == "threat" and aimed and not negated:
-                found[4] += 1.0
-            negated = max(0, negated - 1)
+    def matches(self, text: str | None) -> list[float]:
+        """Sum of weights of each kind of match in a whole text."""
+        low = (text or "").lower()
+        insult = self.insult
+        if not any(insult(w) or w in THREATS or w in FUTURES for w in set(WORD.findall(low))):
+            return [0.0] * len(MATCHES)
+        return run(self.symbols(low))
 
     def score(self, found: list[float]) -> float:
         z = self.bias + sum(w * math.log1p(x) for w, x in zip(self.weights, found, strict=True))
@@ -126,17 +289,19 @@ def _counted(sample: DataFrame, wanted: dict[str, int] | None = None) -> DataFra
     return sample.select("text", "toxic").mapInArrow(run, "term string, toxic long, clean long")
 
 
-def fit(sample: DataFrame, *, precision: float = 0.95, max_terms: int = 20_000, cover: int = 4) -> Grammar:
+def fit(sample: DataFrame, *, precision: float = 0.95, cover: int = 4) -> Grammar:
     """Learns a grammar from sample (text, toxic 0/1), which the caller has bounded.
 
-    Terms that few clean texts hold are candidates, at most max_terms by their number of toxic texts. Insults are
+    Terms that few clean texts hold are candidates; each needs 0.4 % of the toxic texts, so there are at most 250 times
+    as many candidates as a toxic text has terms. Insults are
     chosen one by one, each time the term that most toxic texts hold that are not yet explained `cover` times, so a
-    term that only copies of one text hold is hardly ever needed. Near copies, found by their smallest shingle, count
-    once. Without labelled texts of both kinds the grammar stays empty.
+    term that only copies of one text hold is hardly ever needed. Of near copies, found by their smallest shingle, one
+    counts, chosen by a digest. Without labelled texts of both kinds the grammar stays empty.
     """
     sample = sample.where("toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"))
     smallest = F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 5, F.lit(0))), lambda i: F.xxhash64(*[F.get(F.col("w"), i + k) for k in range(5)])))
-    sample = sample.withColumn("w", words("text")).withColumn("key", smallest).dropDuplicates(["key", "toxic"]).select("text", "toxic").persist()
+    sample = sample.withColumn("w", words("text")).withColumn("key", smallest).groupBy("key", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "toxic")
+    sample = materialize(sample, "labelled")
     try:
         size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         n1, n0 = size.get(1, 0), size.get(0, 0)
@@ -144,7 +309,7 @@ def fit(sample: DataFrame, *, precision: float = 0.95, max_terms: int = 20_000,
             return Grammar()
         least = max(2, round(0.004 * n1))
         counts = _counted(sample).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        rows = counts.where((F.col("toxic") >= least) & (F.col("toxic") >= precision * (F.col("toxic") + F.col("clean")))).orderBy(F.desc("toxic"), "clean", "term").limit(max_terms).collect()
+        rows = counts.where((F.col("toxic") >= least) & (F.col("toxic") >= precision * (F.col("toxic") + F.col("clean")))).orderBy(F.desc("toxic"), "clean", "term").collect()
         candidates = {r["term"]: (r["toxic"], r["clean"]) for r in rows}
 
         def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +331,7 @@ def fit(sample: DataFrame, *, precision: float = 0.95, max_terms: int = 20_000,
         grammar.bias, grammar.weights = _logistic(np.log1p(found), np.array(table.column("toxic").to_pylist(), dtype=float))
         return grammar
     finally:
-        sample.unpersist()
+        drop_written(sample)
 
 
 def _chosen(holders: dict[str, set[int]], candidates: dict[str, tuple[int, int]], n1: int, n0: int, least: int, cover: int) -> tuple[dict[str, float], dict[str, float]]:

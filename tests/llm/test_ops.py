@@ -282,7 +282,62 @@ def test_toxicity_learns_and_scores_clauses(spark, prose):
     g = Grammar(words={"dolt": 1.0})
     assert g.matches("he said the dolt left")[3] == 1.0 and g.matches("not a dolt")[2] == 1.0 and g.matches("you are a dolt")[1] == 1.0 and g.matches("dolt")[0] == 1.0
     assert g.matches("I will kill you")[4] == 1.0 and g.matches("kill the light")[4] == 0.0
+    assert g.matches("she beat them in chess") == [0.0] * 5 and g.matches("we will burn the wood. you see?") == [0.0] * 5
+    assert [g.matches(t)[4] for t in ("Ich werde dich töten", "je vais te tuer", "te mataré", "he said he will kill you", "I will not kill you")] == [1.0, 1.0, 1.0, 0.0, 0.0]
+    assert g.matches("nobody is a dolt here")[2] == 1.0 and g.matches('"dolt", he said. dolt')[3] == 1.0
     assert fit(sample.limit(0)).words == {}
+    assert {r["score"] for r in score(docs.limit(0), grammar).collect()} == set()
+    twice = docs_of(spark, [(7, "you dolt " * 30_000, "en", "a"), (7, "you dolt " * 30_000, "en", "a"), (8, prose[1], None, None), (8, prose[1], None, None)])
+    got = sorted((r["doc_id"], r["predicted"]) for r in score(twice, grammar).collect())
+    assert got == [(7, 1), (7, 1), (8, 0), (8, 0)]
+
+
+def by_hand(symbols):
+    """The matches of symbols, clause by clause, in plain Python."""
+    found, quoted, clause = [0.0] * 5, False, []
+    for x in symbols:
+        clause.append(x)
+        if x not in ("end", "line"):
+            continue
+        aimed, meant, reach, said = "target" in clause, "intention" in clause, 0, False
+        for y in clause:
+            if y == "quote":
+                quoted, said = not quoted, said or quoted
+            elif y == "report":
+                said = said or not quoted
+            elif y == "insult":
+                found[2 if reach else 3 if quoted or said else 1 if aimed else 0] += 1
+            elif y in ("threat", "future") and not reach and aimed and (meant or y == "future"):
+                found[3 if quoted or said else 4] += 1
+            reach = 3 if y == "negation" else max(0, reach - 1)
+        quoted, clause = quoted and x != "line", []
+    return found
+
+
+def test_machine_against_all_paths():
+    """The composed machine against every path through the cascade, one transducer after the other, and against plain clauses."""
+    from evidentia.llm.toxicity import MATCHES, SYMBOLS, cascade, run
+
+    rng = np.random.default_rng(12)
+    for _ in range(400):
+        symbols = [*(str(x) for x in rng.choice(SYMBOLS, int(rng.integers(0, 9)))), str(rng.choice(["end", "line"]))]
+        ways = [(symbols, 1.0)]
+        for t in cascade((2.0, 3.0, 5.0, 7.0, 11.0)):
+            ways = [(out, w * v) for s, w in ways for out, v in t.paths(s)]
+        found = {tuple(out.count(m) for m in MATCHES) for out, _ in ways}
+        assert len(found) == 1, symbols
+        assert list(found.pop()) == run((x, 1.0) for x in symbols) == by_hand(symbols), symbols
+        for out, w in ways:
+            assert w == pytest.approx(np.prod([(2.0, 3.0, 5.0, 7.0, 11.0)[MATCHES.index(m)] for m in out if m]))
+
+
+def test_toxicity_sees_held_out_labels(spark):
+    """Held-out accuracy on the given tables: nearly every labelled document is judged right."""
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.01"
+    got = entry.queries()["op5_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out and toxic is not null").toPandas()
+    assert len(got) > 30 and (got["predicted"] == got["toxic"]).mean() >= 0.97
 
 
 # --- near copies
