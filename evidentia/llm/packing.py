@@ -175,7 +175,7 @@ class VectorPacker:
     in; if none fits, the longest is cut to fill the rest. Sequences end up full unless segments or loss run out.
     """
 
-    def __init__(self, tokens: int = 2048, segments: int = 256, loss: int | None = None, pool: int = 128):
+    def __init__(self, tokens: int = 2048, segments: int = 2048, loss: int | None = None, pool: int = 128):
         self.limits = np.array([tokens, segments, loss or tokens], dtype=np.int64)
         self.pool_size, self.pool, self.total = pool, [], 0
         self.sizes = np.zeros((0, 3), dtype=np.int64)
@@ -233,22 +233,23 @@ class VectorPacker:
         return out
 
 
+_NONE = np.zeros(0, dtype="<u4")
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", prompt_tokens: str | None = None, tokenizer_path: str | None = None, end_id: int = 1, tokens: int = 2048, segments: int = 256, loss: int | None = None, pool: int = 128) -> DataFrame:
+def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", prompt: str | None = None, tokenizer_path: str | None = None, end_id: int = 1, tokens: int = 2048, segments: int | None = None, loss: int | None = None, pool: int = 128) -> DataFrame:
     """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are its text's ids and `end_id`; null text: `end_id` alone. Repeated rows are packed once each;
-    a null doc_id stays null. `prompt_tokens` names a column with the number of leading ids that bear no loss (null:
-    0). Other columns are ignored. Empty table: no rows. sequence_id is the partition's number times 2**32 plus a
+    a null doc_id stays null. `prompt` names a column with a text whose ids come first and bear no loss (null: none);
+    all others do. A sequence has at most so many tokens, segments and loss-bearing tokens; without a limit for the
+    last two, only the tokens bind. Other columns are ignored. Empty table: no rows. sequence_id is the partition's number times 2**32 plus a
     running number, so it is unique without a shuffle.
     """
-    prompt = F.coalesce(F.col(prompt_tokens).cast("long"), F.lit(0)) if prompt_tokens else F.lit(0)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), prompt.cast("long").alias("prompt"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *([F.col(prompt).cast("string").alias("prompt")] if prompt else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, packer = tokenizer_of(tokenizer_path), VectorPacker(tokens, segments, loss, pool)
+        tokenizer, packer = tokenizer_of(tokenizer_path), VectorPacker(tokens, segments or tokens, loss, pool)
         number = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
 
@@ -270,8 +271,10 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", prompt_
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256).to_pydict()
-                for doc, ids, prompt in zip(part["doc_id"], tokenizer.encode(part["text"]), part["prompt"], strict=True):
-                    note(packer.add(Item(doc, np.append(ids, np.uint32(end_id)).astype("<u4"), 0, len(ids) + 1, prompt)))
+                heads = tokenizer.encode(part["prompt"]) if prompt else [_NONE] * len(part["doc_id"])
+                for doc, ids, head in zip(part["doc_id"], tokenizer.encode(part["text"]), heads, strict=True):
+                    ids = np.concatenate([head, ids, [end_id]]).astype("<u4")
+                    note(packer.add(Item(doc, ids, 0, len(ids), len(head))))
             yield out()
         note(packer.flush())
         tokenizer.forget()  # the worker lives on beside other tasks

@@ -12,6 +12,10 @@ from .common import SPACE, materialize, where_after, words
 
 #: Up to so many boilerplate lines of all hosts together are broadcast, 8 bytes each; beyond, hosts are joined by shuffle.
 BROADCAST_LINES = 200_000
+#: Beyond that, each host's lines are copied so often, so that no task holds all documents of one host.
+SLICES = 32
+#: A host's lines lie in so many lists by their hash, so that a line is looked up in a short one.
+LISTS = 64
 _NO_HOST = "<null>"
 
 
@@ -56,7 +60,7 @@ def line_hash(line: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, *, text: str = "text", host: str = "source", min_docs: int = 20, share: float = 0.1) -> DataFrame:
-    """host, lines (hashes): lines that more than max(min_docs, share of the host's texts) different texts of it hold.
+    """host, lines (lists of hashes, by hash): lines that more than max(min_docs, share of the host's texts) different texts of it hold.
 
     Copies of a text count once, so that copies alone make no line frequent. A null host is a host of its own. Rows
     are counted by (host, line, text) before anything meets by line, so a very frequent line is no hot key.
@@ -66,7 +70,14 @@ def boilerplate(docs: DataFrame, *, text: str = "text", host: str = "source", mi
     texts = rows.select("host", "t").distinct().groupBy("host").agg(F.count("*").alias("texts"))
     counts = rows.select("host", "t", F.explode("lines").alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
     over = counts.join(texts, "host").where(F.col("n") > F.col("texts") * share)
-    return over.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    lists = over.groupBy("host", _list_of(F.col("line")).alias("k")).agg(F.sort_array(F.collect_list("line")).alias("own"))
+    every = over.select("host").distinct().select("host", F.explode(F.sequence(F.lit(0), F.lit(LISTS - 1))).alias("k"))
+    lists = every.join(lists, ["host", "k"], "left").select("host", F.struct("k", F.coalesce("own", F.array().cast("array<long>")).alias("own")).alias("x"))
+    return lists.groupBy("host").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["own"]).alias("lines"))
+
+
+def _list_of(line: Column) -> Column:
+    return F.pmod(line, F.lit(LISTS)).cast("int")
 
 
 def with_verdicts(docs: DataFrame, *, text: str = "text", host: str = "source", min_words: int = 50, repeat_percent: int = 50, least_percent: int = 30, min_docs: int = 20, share: float = 0.1) -> DataFrame:
@@ -77,11 +88,17 @@ def with_verdicts(docs: DataFrame, *, text: str = "text", host: str = "source",
     rows are judged alike; a column of docs named `quality` is replaced. Empty table: no rows.
     """
     lines = materialize(boilerplate(docs, text=text, host=host, min_docs=min_docs, share=share), "lines")
-    size = lines.agg(F.sum(F.size("lines"))).first()[0] or 0
+    size = lines.agg(F.sum(F.aggregate("lines", F.lit(0), lambda n, x: n + F.size(x)))).first()[0] or 0
     side = lines.select(F.col("host").alias("__ev_host"), F.col("lines").alias("__ev_boilerplate"))
-    side = F.broadcast(side) if size <= BROADCAST_LINES else side
     rows = docs.withColumn("__ev_key", F.coalesce(F.col(host).cast("string"), F.lit(_NO_HOST)))
-    rows = rows.join(side, F.col("__ev_key") == F.col("__ev_host"), "left").drop("__ev_host", "__ev_key")
+    same = F.col("__ev_key") == F.col("__ev_host")
+    if size <= BROADCAST_LINES:
+        side = F.broadcast(side)
+    else:
+        side = side.withColumn("__ev_copy", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+        rows = rows.withColumn("__ev_slice", F.pmod(F.xxhash64(text), F.lit(SLICES)).cast("int"))
+        same &= F.col("__ev_slice") == F.col("__ev_copy")
+    rows = rows.join(side, same, "left").drop("__ev_host", "__ev_key", "__ev_copy", "__ev_slice")
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
 
     def figures(w: Column) -> Column:
@@ -94,8 +111,9 @@ def with_verdicts(docs: DataFrame, *, text: str = "text", host: str = "source",
             repeated_words(w).alias("n_repeat_words"),
         )
 
-    gone = F.filter(F.split(raw, "\n"), lambda x: F.array_contains("__ev_boilerplate", line_hash(x)))
-    left = F.filter(F.split(raw, "\n"), lambda x: ~F.array_contains("__ev_boilerplate", line_hash(x)))
+    frequent = lambda x: _let(line_hash(x), lambda h: F.array_contains(F.get("__ev_boilerplate", _list_of(h)), h))
+    gone = F.filter(F.split(raw, "\n"), frequent)
+    left = F.filter(F.split(raw, "\n"), lambda x: ~frequent(x))
     rows = rows.withColumn("__ev_figures", _let(words(raw), figures))
     rows = rows.withColumn("__ev_removed", F.when(F.col("__ev_boilerplate").isNull(), F.lit(0).cast("long")).otherwise(F.aggregate(gone, F.lit(0).cast("long"), lambda n, x: n + F.size(words(x)))))
     f = lambda c: F.col(f"__ev_figures.{c}")

@@ -72,9 +72,19 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the tokens bind here: the table tells no prompts from answers, and sequences are to have little padding."""
     return pack(read(spark, sf_dir, "documents"))
 
 
+def chat_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations, each turn but the answers as its prompt, under limits on tokens, segments and loss-bearing tokens."""
+    turns = read(spark, sf_dir, "conversations")
+    said = lambda c: F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("turn", "text")))), lambda x: F.coalesce(x["text"], F.lit(""))))
+    answer = F.col("role").eqNullSafe("assistant")
+    rows = turns.groupBy("conv_id").agg(said(~answer).alias("prompt"), said(answer).alias("answer"))
+    return pack(rows, doc_id="conv_id", text="answer", prompt="prompt", segments=3, loss=1536).withColumnRenamed("doc_id", "conv_id")
+
+
 LLM_QUERIES = {
     "op1_chat": op1_chat,
     "op2_quality": op2_quality,
@@ -86,6 +96,7 @@ LLM_QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_language": op9_language,
     "op10_pack": op10_pack,
+    "chat_packing": chat_packing,
 }
 
 _WORD = r"'[^\x20\x09-\x0D]+'"

@@ -102,6 +102,17 @@ def test_quality_against_brute_force(spark, prose):
     assert not any("Subscribe" in t for i, t in found.items() if i < 120 and i % 4)
 
 
+def test_quality_beyond_the_broadcast(spark, prose, monkeypatch):
+    from evidentia.llm import quality
+
+    rows = [(k, f"Read {k % 3} more of our news here\n{prose[k % 12]} u{k}", "en", "host" if k % 5 else None) for k in range(300)]
+    docs = docs_of(spark, rows)
+    want = sorted(map(str, quality.with_verdicts(docs).select("doc_id", "quality").collect()))
+    monkeypatch.setattr(quality, "BROADCAST_LINES", 0)
+    assert sorted(map(str, quality.with_verdicts(docs).select("doc_id", "quality").collect())) == want
+    assert any("removed_words=0" not in x for x in want)
+
+
 def test_quality_on_odd_rows(spark, odd):
     from evidentia.llm.quality import with_verdicts
 
@@ -254,12 +265,24 @@ def test_wrapped_licenses(spark):
 
     mit = ["MIT License", "Copyright (c) 2020 Some Body", TEMPLATES["MIT"][-1] + "."]
     text = "\n\n".join("\n".join(textwrap.wrap(x, 70)) for x in mit)
-    gpl = "\n".join(textwrap.wrap(TEMPLATES["GPL"][-1], 40))
+    gpl = "\n".join(textwrap.wrap(TEMPLATES["GPL"][2], 40))
     docs = docs_of(spark, [(1, text, "en", "a"), (2, f"Plain words.\r\n \r\n{gpl}\n\nmore words", "en", "a"), (3, "words\nReleased under the MIT License.\nwords", "en", "a")])
     got = {(r["doc_id"], r["position"], r["family"]): r["paragraph"] for r in scan(docs).collect()}
     assert set(got) == {(1, 0, "MIT"), (1, 4, "MIT"), (2, 2, "GPL"), (3, 1, "MIT")}
-    assert got[1, 4, "MIT"] == mit[-1] and got[2, 2, "GPL"] == TEMPLATES["GPL"][-1]
+    assert got[1, 4, "MIT"] == mit[-1] and got[2, 2, "GPL"] == TEMPLATES["GPL"][2]
     assert {family: [classify(x) for x in own] for family, own in NAMES.items()} == {family: [family] * len(own) for family, own in NAMES.items()}
+    lgpl = "\n".join(textwrap.wrap(TEMPLATES["LGPL"][2], 60))
+    more = docs_of(spark, [(1, lgpl, "en", "a"), (2, "GNU Affero General Public License\nVersion 3", "en", "a"), (3, "\n".join(textwrap.wrap(TEMPLATES["ISC"][1], 72)) * 1, "en", "a")]).withColumn("family", F.lit("x")).withColumn("p", F.lit("y"))
+    assert {(r["doc_id"], r["family"]) for r in scan(more).collect()} == {(1, "LGPL"), (2, "AGPL"), (3, "ISC")}
+    strange = [
+        "Licensed under the European Union Public Licence, version 1.2 or later",
+        "This program is made available under the terms of the Server Side Public License, version 1.",
+        "Licensed under the Open Software License version 3.0",
+        "This work is licensed under the Common Development and Distribution License",
+        "You may only use this file under the Microsoft Reciprocal License",
+        "The contents of this file are subject to the Common Public Attribution License Version 1.0",
+    ]
+    assert [classify(x) for x in strange] == ["unknown"] * len(strange)
     assert classify("He asked for the license of the MIT driver and was told to read the public form") == "unknown"
 
 
@@ -604,6 +627,44 @@ def test_pack_holds_every_id_once(spark, odd, prose):
     assert pack(docs.limit(0)).count() == 0
 
 
+def test_short_documents_fill_sequences(spark):
+    from evidentia.llm.packing import pack
+
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("hi").alias("text")).repartition(1)
+    sums = [r["n"] for r in pack(docs).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()]
+    assert sum(n != 2048 for n in sums) <= 11 and all(n & (n - 1) == 0 for n in sums)
+
+
+def test_chat_packing_binds_three_limits(spark):
+    import __spark_entry__ as entry
+
+    from evidentia.llm.packing import ChunkTokenizer
+
+    sf = "/root/testdata/sf0.01"
+    turns = collections.defaultdict(list)
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        turns[r["conv_id"]].append((r["turn"], r["role"], r["text"] or ""))
+    tokenizer = ChunkTokenizer()
+    ids_of = {}
+    for conv, own in turns.items():
+        own.sort()
+        prompt, answer = ("\n".join(t for _, role, t in own if (role == "assistant") == said) for said in (False, True))
+        head, tail = tokenizer.encode([prompt, answer])
+        ids_of[conv] = (len(head), [*head, *tail, 1])
+    sequences, held = collections.defaultdict(list), collections.Counter()
+    for r in entry.queries()["chat_packing"](spark, sf).collect():
+        sequences[r["sequence_id"]].append(r)
+        held[r["conv_id"]] += r["length"]
+    assert held == {c: len(ids) for c, (_, ids) in ids_of.items()}
+    bound = [0, 0, 0]
+    for own in sequences.values():
+        free = [max(0, min(r["length"], ids_of[r["conv_id"]][0] - r["start"])) for r in own]
+        used = (sum(r["length"] for r in own), len(own), sum(r["length"] for r in own) - sum(free))
+        assert used[0] <= 2048 and used[1] <= 3 and used[2] <= 1536
+        bound = [b + (u == limit) for b, u, limit in zip(bound, used, (2048, 3, 1536), strict=True)]
+    assert all(bound), bound
+
+
 def test_packer_keeps_all_limits():
     from evidentia.llm.packing import Item, VectorPacker
 
