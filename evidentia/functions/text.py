@@ -163,3 +163,31 @@ def sentences(text: Column) -> Column:
     """Sentences: cut behind `.`, `!` or `?` and white space, and at line ends; empty ones dropped."""
     marked = F.regexp_replace(text_of(text), r"([.!?])\s+", "$1\n")
     return F.filter(F.transform(F.split(marked, r"\n+"), lambda x: F.trim(x)), lambda s: s != "")
+
+
+# What a table's text looks like, and headings of papers.
+_NUMBER = r"(?<![A-Za-z])[-+]?\d+(?:\.\d+)?(?:/\d+(?:\.\d+)?)?"
+_METRIC = r"(?i)(?:#|%|↑|↓|±|✓|AP(?:val|50|75|s|m|l)?\b|FID\b|F1\b|Acc\.?|Params?\.?|GFLOPs?|FLOPs?|Latency|Epochs?|Method\s+.*\b(?:AP|Acc|F1|Params|GFLOPs?)\b)"
+_HEADINGS = (
+    "abstract", "introduction", "related work", "related works", "background", "preliminaries", "method", "methods", "methodology", "approach", "framework",
+    "data", "dataset", "data construction", "training", "training objective", "optimization", "experiments", "experimental setup",
+    "implementation details", "evaluation", "results", "analysis", "ablation", "discussion", "conclusion", "limitations", "ethics statement",
+    "acknowledgment", "acknowledgments", "acknowledgement", "acknowledgements", "broader impact", "broader impacts", "references",
+    "bibliography", "appendix", "supplementary material", "supplementary",
+)
+
+
+def table_like(text: Column) -> Column:
+    """Whether a line looks like a table's: an @, two numbers, a metric among three words, or mostly short words."""
+    flat = F.trim(F.regexp_replace(text_of(text), r"\s+", " "))
+    parts = F.split(flat, " ")
+    short = F.size(F.filter(parts, lambda w: F.length(w) <= 4)) / F.size(parts).cast("double")
+    numbers = F.size(F.regexp_extract_all(flat, F.lit(_NUMBER), 0))
+    return (flat != "") & (flat.contains("@") | (numbers >= 2) | (flat.rlike(_METRIC) & (F.size(parts) >= 3)) | ((F.size(parts) >= 5) & (short > 0.65)))
+
+
+def section_heading(text: Column) -> Column:
+    """Whether a line is a first-level heading of a paper: a usual title, numbered or not, or an appendix; short, no final period, no table text."""
+    flat = F.trim(F.regexp_replace(text_of(text), r"\s+", " "))
+    titled = F.lower(flat).rlike(rf"^(?:[1-9]\d*\s*[.)]?\s+)?(?:{'|'.join(_HEADINGS)})$") | flat.rlike(r"(?i)^(?:Appendix\s+[A-Z]|[A-Z]\s+Appendix)$")
+    return (F.length(flat) <= 64) & ~flat.endswith(".") & ~table_like(flat) & titled
