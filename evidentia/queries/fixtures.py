@@ -43,3 +43,14 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.when(cut > 0, F.expr("substr(text, 1, instr(text, '\\n') - 1)")).otherwise(F.col("text"))
     rest = F.when(cut > 0, F.expr("substr(text, instr(text, '\\n') + 1)")).otherwise("")
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), title.alias("title"), rest.alias("abstract"), F.col("source").alias("venue"), F.col("lang").alias("year"))
+
+
+#: Lines of orders, each number once, with a transport.
+MODE = "CASE l_suppkey % 5 WHEN 0 THEN 'AIR' WHEN 1 THEN 'REG AIR' WHEN 2 THEN 'RAIL' WHEN 3 THEN 'SHIP' ELSE 'MAIL' END"
+SQL_LINES = f"lines AS (SELECT *, {MODE} AS l_mode FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey, l_linenumber))"
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_mode."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")])
+    return rows.withColumn("l_mode", F.expr(MODE))
