@@ -52,18 +52,11 @@ def bounded_bonuses(spark, sf_dir):
 
 
 @_query("""
-WITH r AS (SELECT doc_id % 20 AS k, doc_id, text FROM documents WHERE doc_id < 600), q AS (SELECT DISTINCT item_id AS k, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark WHERE item_id < 20),
+WITH r AS (SELECT doc_id % (SELECT count(*) FROM benchmark) AS k, doc_id, text FROM documents), q AS (SELECT DISTINCT item_id AS k, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark),
 o AS (SELECT r.k, doc_id, q.term FROM (SELECT DISTINCT k, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM r) r JOIN q ON r.k = q.k AND r.term = q.term), n AS (SELECT k, count(*) AS n FROM r GROUP BY k), d AS (SELECT k, term, ln(1e0 + n / count(*)::DOUBLE) AS w FROM o JOIN n USING (k) GROUP BY k, term, n),
 s AS (SELECT k, doc_id AS record_id, round(sum(w), 6) AS score FROM o JOIN d USING (k, term) GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, record_id) AS place FROM s) SELECT * FROM p WHERE place <= 4""")
 def navigation_seeds(spark, sf_dir):
-    r = table(spark, sf_dir, "documents").where("doc_id < 600").select((F.col("doc_id") % 20).alias("k"), F.col("doc_id").alias("record_id"), "text")
-    q = table(spark, sf_dir, "benchmark").where("item_id < 20").select(F.col("item_id").alias("k"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    return A.navigation(r, q, "k", 4)
-
-
-@_query()
-def navigation_seeds_whole(spark, sf_dir):
-    """navigation_seeds of every question, which share all documents out among them."""
+    """The questions share all documents out among them."""
     b = table(spark, sf_dir, "benchmark")
     r = table(spark, sf_dir, "documents").select((F.col("doc_id") % (b.count() or 1)).alias("k"), F.col("doc_id").alias("record_id"), "text")
     return A.navigation(r, b.select(F.col("item_id").alias("k"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")), "k", 4)

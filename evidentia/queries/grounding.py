@@ -55,18 +55,12 @@ def fact_support(spark, sf_dir):
 
 
 @_query("""
-WITH p AS (SELECT c_custkey, c_mktsegment, o_orderpriority AS opt, c_name || ' ' || c_mktsegment || ' 1-URGENT 3' AS ev FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_custkey < 300),
+WITH p AS (SELECT c_custkey, c_mktsegment, o_orderpriority AS opt, c_name || ' ' || c_mktsegment || ' 1-URGENT 3' AS ev FROM customer JOIN orders ON c_custkey = o_custkey),
 b AS (SELECT DISTINCT c_custkey, opt, trim(regexp_replace(lower(opt), '[^a-z0-9.]+', ' ', 'g')) AS o, trim(regexp_replace(lower(ev), '[^a-z0-9.]+', ' ', 'g')) AS e, list_distinct(regexp_extract_all(lower(opt), '[a-z0-9]+')) AS ot, list_distinct(regexp_extract_all(lower(ev), '[a-z0-9]+')) AS et, list_distinct(regexp_extract_all(lower(c_mktsegment), '[a-z0-9]+')) AS qt, ev FROM p),
 x AS (SELECT *, list_filter(ot, lambda t: NOT list_contains(qt, t)) AS own FROM b)
 SELECT c_custkey, opt, round(CASE WHEN o <> '' AND contains(e, o) THEN 10e0 + least(5e0, length(o) / 20e0) ELSE 0e0 END + CASE WHEN len(ot) = 0 THEN 0e0 ELSE 3e0 * len(list_intersect(ot, et)) / len(ot) END + CASE WHEN len(own) = 0 THEN 0e0 ELSE 2e0 * len(list_intersect(own, et)) / len(own) END
   + 2e0 * len(list_filter(regexp_extract_all(opt, '[-+]?\\d+(?:\\.\\d+)?'), lambda n: list_contains(regexp_extract_all(ev, '\\d+(?:\\.\\d+)?'), regexp_replace(n, '^[-+]', '')))), 6) AS support FROM x""")
 def option_support(spark, sf_dir):
-    return _support(table(spark, sf_dir, "customer").where("c_custkey < 300"), table(spark, sf_dir, "orders"))
-
-
-@_query()
-def option_support_whole(spark, sf_dir):
-    """option_support of all customers."""
     return _support(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"))
 
 

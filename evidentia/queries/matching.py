@@ -43,30 +43,18 @@ def gold_matches(spark, sf_dir):
 
 
 @_query("""
-WITH r AS (SELECT conv_id, turn, substr(text, 1, 10) AS label, role = 'assistant' AS v FROM conversations) SELECT conv_id, turn, last_value(CASE WHEN NOT v THEN label END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS "group" FROM r""")
+WITH r AS (SELECT conv_id, turn, text AS label, role = 'assistant' AS v FROM conversations) SELECT conv_id, turn, sha256(last_value(CASE WHEN NOT v THEN label END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) AS "group" FROM r""")
 def table_groups(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 10).alias("label"), (F.col("role") == "assistant").alias("v"))
-    return M.group_labels(rows, "conv_id", "turn", "label", "v").select("conv_id", "turn", "group")
-
-
-@_query()
-def table_groups_whole(spark, sf_dir):
-    """table_groups with digests of whole labels."""
+    """Whole labels, as digests."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("label"), (F.col("role") == "assistant").alias("v"))
     return M.group_labels(rows, "conv_id", "turn", "label", "v").select("conv_id", "turn", F.sha2("group", 256).alias("group"))
 
 
 @_query("""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS r FROM documents WHERE doc_id < 300),
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS r FROM documents),
 h AS (SELECT *, len(list_intersect(list_distinct(regexp_extract_all(lower(t), '[a-z0-9]+')), ['the', 'and', 'die', 'que', 'les'])) AS hits FROM l), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, r) AS rn, max(r) OVER (PARTITION BY doc_id) AS last FROM h)
 SELECT doc_id, r::INT AS "row", hits::INT AS hits FROM k WHERE r = 0 OR r = last OR rn <= 3 AND hits > 0""")
 def compact_tables(spark, sf_dir):
-    return _compact(table(spark, sf_dir, "documents").where("doc_id < 300"))
-
-
-@_query()
-def compact_tables_whole(spark, sf_dir):
-    """compact_tables over all documents."""
     return _compact(table(spark, sf_dir, "documents"))
 
 

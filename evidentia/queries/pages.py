@@ -79,7 +79,7 @@ def caption_claims(spark, sf_dir):
 
 
 _CARDS = """
-WITH c AS (SELECT item_id AS query_id, doc_id, text, printf('E%04d', row_number() OVER (PARTITION BY item_id ORDER BY doc_id)) AS ref FROM (SELECT b.item_id, d.doc_id, d.text FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id AND d.doc_id < 400)),
+WITH c AS (SELECT item_id AS query_id, doc_id, text, printf('E%04d', row_number() OVER (PARTITION BY item_id ORDER BY doc_id)) AS ref FROM (SELECT b.item_id, d.doc_id, d.text FROM benchmark b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)),
 q AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 2)) AS q FROM benchmark),
 s AS (SELECT query_id, ref, unnest(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(x)), lambda x: x <> '')) AS s FROM c),
 x AS (SELECT query_id, ref, s, len(list_intersect(q, list_distinct(regexp_extract_all(lower(s), '[a-z0-9]+')))) AS score FROM s JOIN q USING (query_id)),
@@ -87,17 +87,17 @@ b AS (SELECT *, row_number() OVER (PARTITION BY query_id, ref ORDER BY score DES
 """
 
 
-def _catalog(spark, sf_dir, whole=False):
-    """Records of each question: of the first 400 documents those of its remainder by 40, or its share of all documents."""
+def _catalog(spark, sf_dir):
+    """Records of each question, which share all documents out among them."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
     documents = table(spark, sf_dir, "documents")
-    d = (documents if whole else documents.where("doc_id < 400")).select(F.col("doc_id").alias("record_id"), F.col("doc_id").alias("place"), F.col("source").alias("paper_id"), "text")
-    return H.catalog(b.join(d, F.col("record_id") % (b.count() or 1 if whole else 40) == F.col("query_id")))
+    d = documents.select(F.col("doc_id").alias("record_id"), F.col("doc_id").alias("place"), F.col("source").alias("paper_id"), "text")
+    return H.catalog(b.join(d, F.col("record_id") % (b.count() or 1) == F.col("query_id")))
 
 
-def _cards(spark, sf_dir, whole=False):
+def _cards(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    return H.extractive_cards(_catalog(spark, sf_dir, whole), q, 5)
+    return H.extractive_cards(_catalog(spark, sf_dir), q, 5)
 
 
 @_query(_CARDS + "SELECT query_id, printf('C%03d', place) AS card_key, ref AS evidence_ref, score::INT AS score, length(s)::INT AS n FROM p WHERE place <= 5 AND length(s) <= 520 AND NOT regexp_matches(s, '\\s{2,}')")
@@ -105,12 +105,6 @@ def extractive_cards(spark, sf_dir):
     return _card_rows(_cards(spark, sf_dir))
 
 
-@_query()
-def extractive_cards_whole(spark, sf_dir):
-    """extractive_cards of every question, which share all documents out among them."""
-    return _card_rows(_cards(spark, sf_dir, whole=True))
-
-
 def _card_rows(cards):
     c = cards.where(~F.col("proposition").rlike("…$"))
     return c.select("query_id", "card_key", "evidence_ref", "score", F.length("proposition").alias("n"))
@@ -121,22 +115,10 @@ def hierarchy_shape(spark, sf_dir):
     return H.shape(_catalog(spark, sf_dir), _cards(spark, sf_dir)).select("query_id", "records", "cards", "valid")
 
 
-@_query()
-def hierarchy_shape_whole(spark, sf_dir):
-    """hierarchy_shape of every question, which share all documents out among them."""
-    return H.shape(_catalog(spark, sf_dir, whole=True), _cards(spark, sf_dir, whole=True)).select("query_id", "records", "cards", "valid")
-
-
 @_query("""
-WITH c AS (SELECT o_custkey % 50 AS query_id, o_orderkey AS claim_id FROM orders WHERE o_orderkey < 4000), d AS (SELECT DISTINCT c_custkey % 50 AS query_id, c_custkey AS claim_id FROM customer)
+WITH c AS (SELECT o_custkey % 50 AS query_id, o_orderkey AS claim_id FROM orders), d AS (SELECT DISTINCT c_custkey % 50 AS query_id, c_custkey AS claim_id FROM customer)
 SELECT query_id, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.query_id = c.query_id AND d.claim_id = c.claim_id)) = 0 AS sufficient, count(DISTINCT claim_id) FILTER (WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.query_id = c.query_id AND d.claim_id = c.claim_id))::INT AS missing FROM c GROUP BY query_id""")
 def structural_sufficiency(spark, sf_dir):
-    return _sufficient(table(spark, sf_dir, "orders").where("o_orderkey < 4000"), table(spark, sf_dir, "customer"))
-
-
-@_query()
-def structural_sufficiency_whole(spark, sf_dir):
-    """structural_sufficiency of all orders."""
     return _sufficient(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
 
 

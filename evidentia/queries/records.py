@@ -26,35 +26,25 @@ def _turns(spark, sf_dir):
 
 
 _SECTIONS = """
-WITH s AS (SELECT conv_id, turn, role, length(text) AS n, sum((role = 'user')::INT) OVER w AS section_no, coalesce(last_value(CASE WHEN role = 'user' THEN substr(text, 1, 20) END IGNORE NULLS) OVER w, 'front matter') AS section_title
+WITH s AS (SELECT conv_id, turn, role, length(text) AS n, sum((role = 'user')::INT) OVER w AS section_no, coalesce(last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER w, 'front matter') AS section_title
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))
 """
 
 
-def _sections(spark, sf_dir, whole=False):
-    return X.sections(_turns(spark, sf_dir), "conv_id", "turn", F.col("role") == "user", F.col("text") if whole else F.substring("text", 1, 20))
+def _sections(spark, sf_dir):
+    return X.sections(_turns(spark, sf_dir), "conv_id", "turn", F.col("role") == "user", F.col("text"))
 
 
-@_query(_SECTIONS + "SELECT conv_id, turn, section_no::BIGINT AS section_no, section_title FROM s")
+@_query(_SECTIONS + "SELECT conv_id, turn, section_no::BIGINT AS section_no, sha256(section_title) AS section_title FROM s")
 def section_ffill(spark, sf_dir):
-    return _sections(spark, sf_dir).select("conv_id", "turn", "section_no", "section_title")
+    """Whole titles, as digests."""
+    return _sections(spark, sf_dir).select("conv_id", "turn", "section_no", F.sha2("section_title", 256).alias("section_title"))
 
 
-@_query()
-def section_ffill_whole(spark, sf_dir):
-    """section_ffill with digests of whole titles."""
-    return _sections(spark, sf_dir, whole=True).select("conv_id", "turn", "section_no", F.sha2("section_title", 256).alias("section_title"))
-
-
-@_query(_SECTIONS + "SELECT conv_id, section_no::BIGINT AS section_no, any_value(section_title) AS section_title, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS n_records, count(*) FILTER (WHERE role = 'assistant') AS n_assistant, sum(n)::BIGINT AS chars FROM s GROUP BY conv_id, section_no")
+@_query(_SECTIONS + "SELECT conv_id, section_no::BIGINT AS section_no, sha256(any_value(section_title)) AS section_title, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS n_records, count(*) FILTER (WHERE role = 'assistant') AS n_assistant, sum(n)::BIGINT AS chars FROM s GROUP BY conv_id, section_no")
 def section_rollup(spark, sf_dir):
-    return _rollup(_sections(spark, sf_dir))
-
-
-@_query()
-def section_rollup_whole(spark, sf_dir):
-    """section_rollup with digests of whole titles."""
-    return _rollup(_sections(spark, sf_dir, whole=True)).withColumn("section_title", F.sha2("section_title", 256))
+    """Whole titles, as digests."""
+    return _rollup(_sections(spark, sf_dir)).withColumn("section_title", F.sha2("section_title", 256))
 
 
 def _rollup(sections):
@@ -250,15 +240,8 @@ def pipe_tables(spark, sf_dir):
 
 @_query("""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS r FROM documents), c AS (SELECT doc_id, r, list_transform(string_split(regexp_replace(trim(line), '^\\||\\|$', '', 'g'), '|'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS cells FROM l WHERE contains(line, '|')),
-u AS (SELECT doc_id, r, unnest(cells) AS value, generate_subscripts(cells, 1) AS k FROM c) SELECT doc_id, (r - 1)::INT AS row_index, (k - 1)::INT AS column_index, value FROM u WHERE k <= 3""")
+u AS (SELECT doc_id, r, unnest(cells) AS value, generate_subscripts(cells, 1) AS k FROM c) SELECT doc_id, (r - 1)::INT AS row_index, (k - 1)::INT AS column_index, value FROM u""")
 def table_cells(spark, sf_dir):
-    lines = _pipe_lines(spark, sf_dir)
-    return lines.select("doc_id", "row_index", F.posexplode(F.slice(H.pipe_cells(F.col("line")), 1, 3)).alias("column_index", "value"))
-
-
-@_query()
-def table_cells_whole(spark, sf_dir):
-    """table_cells of all columns."""
     return _pipe_lines(spark, sf_dir).select("doc_id", "row_index", F.posexplode(H.pipe_cells(F.col("line"))).alias("column_index", "value"))
 
 
@@ -290,16 +273,11 @@ def page_elements(spark, sf_dir):
 
 
 @_query("""
-WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 2)) AS t FROM benchmark), s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(x)), lambda x: x <> '')) AS s FROM documents WHERE doc_id < 200),
-f AS (SELECT item_id, doc_id, s, len(list_intersect(t, list_distinct(regexp_extract_all(lower(s), '[a-z0-9]+')))) AS hits FROM q, s WHERE item_id < 5)
+WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 2)) AS t FROM benchmark), s AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(x)), lambda x: x <> '')) AS s FROM documents),
+f AS (SELECT item_id, doc_id, s, len(list_intersect(t, list_distinct(regexp_extract_all(lower(s), '[a-z0-9]+')))) AS hits FROM q, s)
 SELECT item_id, doc_id, hits::INT AS hits, s AS fragment, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, length(s), doc_id, s) AS place FROM f WHERE hits > 0) WHERE place <= 3""")
 def extractive_fragments(spark, sf_dir):
-    return _fragments(table(spark, sf_dir, "benchmark").where("item_id < 5"), table(spark, sf_dir, "documents").where("doc_id < 200"))
-
-
-@_query()
-def extractive_fragments_whole(spark, sf_dir):
-    """extractive_fragments of every question over all documents; the oracle would pair every question with every sentence."""
+    """Every question over all documents."""
     return _fragments(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
 

@@ -149,16 +149,8 @@ def tfidf_dot(spark, sf_dir):
 
 @_query(f"""
 WITH {SQL_PAPERS}, a AS (SELECT paper_id, unnest(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+'))) AS term FROM papers), d AS (SELECT term, count(*) AS df FROM a GROUP BY term)
-SELECT paper_id, round(sum(CASE WHEN length(term) <= 3 AND df > 80 THEN 4e0 ELSE greatest(CASE WHEN length(term) <= 3 THEN 10e0 ELSE 18e0 END, CASE WHEN length(term) <= 3 THEN 75e0 ELSE 95e0 END / sqrt(df)) END), 6) AS boost FROM a JOIN d USING (term) WHERE term IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) FROM benchmark WHERE item_id = 1) GROUP BY paper_id""")
+SELECT query_id, paper_id, round(sum(CASE WHEN length(term) <= 3 AND df > 80 THEN 4e0 ELSE greatest(CASE WHEN length(term) <= 3 THEN 10e0 ELSE 18e0 END, CASE WHEN length(term) <= 3 THEN 75e0 ELSE 95e0 END / sqrt(df)) END), 6) AS boost FROM a JOIN d USING (term) JOIN (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) USING (term) GROUP BY query_id, paper_id""")
 def alias_exact_boost(spark, sf_dir):
-    p = papers(spark, sf_dir).select("paper_id", F.array_distinct(T.tokens(F.col("title"))).alias("aliases"))
-    asked = table(spark, sf_dir, "benchmark").where("item_id = 1").select(F.col("item_id").alias("query_id"), F.array_distinct(T.tokens(F.col("text"))).alias("terms"))
-    return hybrid.alias_boost(p, asked).select("paper_id", F.round("alias_boost", 6).alias("boost"))
-
-
-@_query()
-def alias_exact_boost_whole(spark, sf_dir):
-    """alias_exact_boost of every question."""
     p = papers(spark, sf_dir).select("paper_id", F.array_distinct(T.tokens(F.col("title"))).alias("aliases"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(T.tokens(F.col("text"))).alias("terms"))
     return hybrid.alias_boost(p, asked).select("query_id", "paper_id", F.round("alias_boost", 6).alias("boost"))

@@ -50,11 +50,10 @@ _simple("title_acronym", papers, lambda: ["paper_id", join(T.title_words(F.col("
 WITH {SQL_PAPERS}, w AS (SELECT paper_id, list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ({_STOP})) AS w FROM papers)
 SELECT paper_id, coalesce(list_aggregate(w, 'string_agg', ' '), '') AS words, coalesce(list_aggregate(list_transform(w, lambda x: x[1:1]), 'string_agg', ''), '') AS acronym FROM w""")
 
-_simple("window_acronyms", lambda s, d: papers(s, d).select("paper_id", F.slice(T.title_words(F.col("title")), 1, 12).alias("w")), lambda: ["paper_id", join(T.window_acronyms(F.col("w"))).alias("aliases")], f"""
-WITH {SQL_PAPERS}, w AS (SELECT paper_id, list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ({_STOP}))[1:12] AS w FROM papers),
-r AS (SELECT DISTINCT paper_id, list_aggregate(list_transform(w[i:i + n - 1], lambda x: x[1:1]), 'string_agg', '') AS a FROM w, range(2, 7) n(n), range(1, 12) i(i) WHERE i + n - 1 <= len(w))
-SELECT paper_id, coalesce(string_agg(a, ' ' ORDER BY a), '') AS aliases FROM w LEFT JOIN r USING (paper_id) GROUP BY paper_id""")
-_simple("window_acronyms_whole", lambda s, d: papers(s, d).select("paper_id", T.title_words(F.col("title")).alias("w")), lambda: ["paper_id", F.sha2(join(T.window_acronyms(F.col("w"))), 256).alias("aliases")], None)
+_simple("window_acronyms", lambda s, d: papers(s, d).select("paper_id", T.title_words(F.col("title")).alias("w")), lambda: ["paper_id", F.sha2(join(T.window_acronyms(F.col("w"))), 256).alias("aliases")], f"""
+WITH {SQL_PAPERS}, w AS (SELECT paper_id, list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ({_STOP})) AS w FROM papers), p AS (SELECT paper_id, w, unnest(range(1, len(w))) AS i FROM w),
+r AS (SELECT DISTINCT paper_id, list_aggregate(list_transform(w[i:i + n - 1], lambda x: x[1:1]), 'string_agg', '') AS a FROM p, range(2, 7) n(n) WHERE i + n - 1 <= len(w))
+SELECT paper_id, sha256(coalesce(string_agg(a, ' ' ORDER BY a), '')) AS aliases FROM w LEFT JOIN r USING (paper_id) GROUP BY paper_id""")
 
 _M, _X, _QT = (p.replace("'", "''") for p in (T.METHOD, T.MIXED_METHOD, T.QUOTED))
 _C = lambda x: f"regexp_replace(lower(translate({x}, '²³', '23')), '[^a-z0-9]+', '', 'g')"
@@ -92,9 +91,8 @@ WITH {SQL_QUESTIONS}, v AS (SELECT query_id, question, list_sort(list_distinct(l
 SELECT query_id, coalesce(list_aggregate(vs, 'string_agg', ' '), '') AS venues, coalesce(list_aggregate(ys, 'string_agg', ' '), '') AS years, coalesce(list_aggregate(list_sort(list_distinct(a)), 'string_agg', ' '), '') AS adjacent FROM v""")
 
 _NORM = lambda x: f"regexp_replace(regexp_replace(lower(regexp_replace({x}, '^\\s+|\\s+$', '', 'g')), '^[\"''“”‘’`]+|[\"''“”‘’`]+$', '', 'g'), '\\s+', ' ', 'g')"
-_simple("normalize_answer", documents, lambda: ["doc_id", T.normalize_answer(F.concat(F.lit("  “"), F.substring("text", 1, 60), F.lit("\"'  "))).alias("answer")], f"""
-SELECT doc_id, {_NORM("concat('  “', substr(text, 1, 60), '\"''  ')")} AS answer FROM documents""")
-_simple("normalize_answer_whole", documents, lambda: ["doc_id", F.sha2(T.normalize_answer(F.concat(F.lit("  “"), "text", F.lit("\"'  "))), 256).alias("answer")], None)
+_simple("normalize_answer", documents, lambda: ["doc_id", F.sha2(T.normalize_answer(F.concat(F.lit("  “"), "text", F.lit("\"'  "))), 256).alias("answer")], f"""
+SELECT doc_id, sha256({_NORM("concat('  “', text, '\"''  ')")}) AS answer FROM documents""")
 
 _NUMBER = "CASE o_orderkey % 6 WHEN 0 THEN concat(round(o_totalprice), '%') WHEN 1 THEN concat(' ', o_custkey, ',000 ') WHEN 2 THEN concat(o_custkey, ' ms') WHEN 3 THEN 'n/a' WHEN 4 THEN concat('-', o_custkey, '.5') ELSE '' END"
 _simple("normalize_number", lambda s, d: table(s, d, "orders").select("o_orderkey", F.expr(_NUMBER.replace("round(o_totalprice)", "cast(round(o_totalprice) as bigint)")).alias("x")), lambda: ["o_orderkey", T.normalize_number(F.col("x")).alias("plain"), T.coerce_number(F.col("x")).alias("coerced")], f"""
