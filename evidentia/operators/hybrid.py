@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions import text as T
+from ..functions import labels as L, text as T
 from .scoring import rank_by
 
 # Weights of the score's parts.
@@ -21,17 +21,6 @@ def with_aliases(papers: DataFrame) -> DataFrame:
     return papers.withColumn("aliases", F.filter(F.array_distinct(F.array_union(short, named)), lambda a: F.length(a).between(2, 30)))
 
 
-def corpus_bm25(corpus: DataFrame, asked: DataFrame, *, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, paper_id, score. corpus: paper_id, tokens; asked: query_id, tokens. Repeats in either count."""
-    terms = asked.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    sized = corpus.withColumn("len", F.greatest(F.size("tokens"), F.lit(1)))
-    stats = corpus.agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("total"))
-    tf = sized.select("paper_id", "len", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("paper_id", "len", "term").agg(F.count("*").alias("tf"))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("term", F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), (F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl"))  # stats: one row
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * ((1.0 - b) + b * F.col("len") / F.greatest("avgdl", F.lit(1e-9))))
-    return terms.join(idf, "term").join(tf, "term").groupBy("query_id", "paper_id").agg(F.sum(part).alias("score"))
-
-
 def alias_boost(papers: DataFrame, asked: DataFrame) -> DataFrame:
     """query_id, paper_id, alias_boost for papers that have a query term (asked: query_id, terms) as an alias; rarer counts more."""
     own = papers.select("paper_id", F.explode("aliases").alias("term"))
@@ -41,6 +30,74 @@ def alias_boost(papers: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.select("query_id", F.explode("terms").alias("term")).join(own, "term").join(df, "term").groupBy("query_id", "paper_id").agg(F.sum(boost).alias("alias_boost"))
 
 
+def hybrid_scores(papers: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """query_id, paper_id, score, rank: the k best papers (paper_id, title, abstract, venue, year) of each question (query_id, question).
+
+    BM25 over titles with aliases three times, abstracts, whole records with aliases twice, and aliases alone, weighted;
+    then exact aliases, query terms contained in title, abstract or record, the title contained in the question, venue and
+    year. Papers that share no token or alias with a question have no score.
+    """
+    full = F.concat_ws(" ", "title", "abstract", "venue", "year")
+    p = with_aliases(papers).select("paper_id", "venue", "year", "aliases", T.tokens(F.col("title")).alias("t"), T.tokens(F.col("abstract")).alias("a"), T.tokens(full).alias("f"), T.compact(F.col("title")).alias("ct"), T.compact(F.substring("abstract", 1, 2400)).alias("ca"), T.compact(full).alias("cf"))
+    asked = questions.select("query_id", T.tokens(F.col("question")).alias("tokens"), T.query_terms(F.col("question")).alias("terms"), T.compact(F.col("question")).alias("cq"), T.venue_hints(F.col("question")).alias("venues"), T.year_hints(F.col("question")).alias("years"), F.lower("question").contains("across all venues").alias("every"))
+    words = {"title": F.concat("t", "aliases", "aliases", "aliases"), "abstract": F.col("a"), "full": F.concat("f", "aliases", "aliases"), "alias": F.when(F.size("aliases") > 0, F.col("aliases")).otherwise(F.array(F.lit("noalias")))}
+    held = p.select("paper_id", F.explode(F.array(*[F.struct(F.lit(c).alias("corpus"), w.alias("tokens")) for c, w in words.items()])).alias("c")).select("paper_id", "c.corpus", "c.tokens")
+    terms = asked.select("query_id", F.explode(F.array(*[F.struct(F.lit(c).alias("corpus"), (F.when(F.size("terms") > 0, F.col("terms")).otherwise(F.col("tokens")) if c == "alias" else F.col("tokens")).alias("tokens")) for c in words])).alias("c"))
+    terms = terms.select("query_id", "c.corpus", F.explode("c.tokens").alias("term")).groupBy("query_id", "corpus", "term").agg(F.count("*").alias("qtf"))
+    stats = held.groupBy("corpus").agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("total"))  # four rows
+    tf = held.select("paper_id", "corpus", F.greatest(F.size("tokens"), F.lit(1)).alias("len"), F.explode("tokens").alias("term")).join(terms.select("corpus", "term").distinct(), ["corpus", "term"], "left_semi").groupBy("paper_id", "corpus", "len", "term").agg(F.count("*").alias("tf"))
+    idf = tf.groupBy("corpus", "term").agg(F.count("*").alias("df")).join(F.broadcast(stats), "corpus")
+    weight = F.element_at(F.create_map(*[x for c in words for x in (F.lit(c), F.lit(WEIGHTS[c]))]), F.col("corpus"))
+    idf = idf.select("corpus", "term", (weight * F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"), (F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl"))
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("len") / F.greatest("avgdl", F.lit(1e-9))))
+    parts = terms.join(idf, ["corpus", "term"]).join(tf, ["corpus", "term"]).select("query_id", "paper_id", part.alias("part"))
+    boosts = alias_boost(p, asked).withColumnRenamed("alias_boost", "part")
+    base = parts.unionByName(boosts.select(parts.columns)).groupBy("query_id", "paper_id").agg(F.sum("part").alias("base"))
+    rows = base.join(asked.drop("tokens"), "query_id").join(p.select("paper_id", "venue", "year", "ct", "ca", "cf"), "paper_id")
+    in_ = lambda t: F.when((F.length(t) >= 4) & F.contains(F.col("ct"), t), IN_TITLE).when((F.length(t) >= 5) & F.contains(F.col("ca"), t), IN_ABSTRACT).when((F.length(t) >= 5) & F.contains(F.col("cf"), t), IN_TEXT).otherwise(0.0)
+    held = F.aggregate(F.transform("terms", in_), F.lit(0.0), lambda s, x: s + x)
+    named = F.when((F.length("ct") >= 12) & F.contains(F.col("cq"), F.col("ct")), TITLE_IN_QUERY).otherwise(0.0)
+    here, then = (F.coalesce(F.array_contains(c, F.col(v)), F.lit(False)) for c, v in (("venues", "venue"), ("years", "year")))
+    venue = F.when(F.size("venues") == 0, 0.0).when(here, VENUE_MATCH).when(F.col("every"), 0.0).otherwise(VENUE_MISMATCH)
+    year = F.when(F.size("years") == 0, 0.0).when(then, YEAR_MATCH).otherwise(YEAR_MISMATCH)
+    scored = rows.select("query_id", "paper_id", F.round(F.col("base") + held + named + venue + year, 6).alias("score"))
+    return scored.withColumn("rank", rank_by(["query_id"], F.desc("score"), F.asc("paper_id"))).where(F.col("rank") <= k)
+
+
+def unit_scores(units: DataFrame, questions: DataFrame) -> DataFrame:
+    """query_id, unit_id, score of a question's units (query_id, unit_id, unit_type, section_title, text).
+
+    BM25 within the question's units, and on top of it 3 for an alias of the question in the text, 2 for a shared word with
+    the section's title, 4 for a numbered object the question names, 2 for a shared word with an object's first line.
+    """
+    own = F.concat_ws("/", "query_id", "unit_id")
+    u = units.withColumn("_u", own).withColumn("tokens", T.tokens(F.col("text")))
+    q = questions.select("query_id", "question", T.tokens(F.col("question")).alias("_q"))
+    tf = u.select("query_id", "_u", F.greatest(F.size("tokens"), F.lit(1)).alias("len"), F.explode("tokens").alias("term")).groupBy("query_id", "_u", "len", "term").agg(F.count("*").alias("tf"))
+    stats = u.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("total"))
+    asked = q.select("query_id", F.explode("_q").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    hits = tf.join(asked, ["query_id", "term"])
+    df = hits.groupBy("query_id", "term").agg(F.count("*").alias("df"))
+    hits = hits.join(df, ["query_id", "term"]).join(stats, "query_id")
+    idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = 1.5 * (0.25 + 0.75 * F.col("len") / F.greatest(F.col("total") / F.greatest("n", F.lit(1)), F.lit(1e-9)))
+    bm25 = hits.groupBy("_u").agg(F.sum(F.col("qtf") * idf * F.col("tf") * 2.5 / (F.col("tf") + norm)).alias("bm25"))
+    low = F.lower(T.text_of(F.col("text")))
+    aliases, labels = T.upper_aliases(F.col("question")), L.object_label(F.col("question"))
+    bonus = lambda c, w: F.when(F.coalesce(c, F.lit(False)), w).otherwise(0.0)
+    first = F.substring_index(T.text_of(F.col("text")), "\n", 1)
+    shared = lambda c: F.arrays_overlap(T.tokens(c), F.col("_q"))
+    rows = u.join(q, "query_id").join(bm25, "_u", "left")
+    score = (
+        F.coalesce("bm25", F.lit(0.0))
+        + bonus(F.exists(aliases, lambda a: F.contains(low, a)), 3.0)
+        + bonus((T.text_of(F.col("section_title")) != "") & shared(F.col("section_title")), 2.0)
+        + bonus(F.exists(labels, lambda x: F.contains(low, x)), 4.0)
+        + bonus(F.col("unit_type").isin("table", "figure", "equation_algorithm", "citation_context") & shared(first), 2.0)
+    )
+    return rows.select("query_id", "unit_id", F.round(score, 6).alias("score"))
+
+
 def decomposed(full: DataFrame, mentions: DataFrame, *, k: int, sub_k: int = 4) -> DataFrame:
     """Merges ranked lists (query_id, paper_id, score, rank) of whole questions and of their mentions (with mention): top k."""
     a = full.where(F.col("rank") <= k).select("query_id", "paper_id", (F.col("score") + 2 * (k + 1 - F.col("rank"))).alias("part"))

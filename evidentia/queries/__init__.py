@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import answers, claims, contracts, evaluation, grounding, labels, matching, pages, predictions, records, retrieval, slots, texts
+from . import answers, claims, contracts, evaluation, grounding, labels, matching, objects, pages, predictions, records, retrieval, slots, texts
 
-_MODULES = (retrieval, texts, labels, records, evaluation, grounding, pages, matching, answers, claims, contracts, predictions, slots)
+_MODULES = (retrieval, texts, labels, records, evaluation, grounding, pages, matching, answers, claims, contracts, predictions, slots, objects)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in _MODULES for k, q in m.SQL.items()}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -44,6 +46,26 @@ def read_stage(spark: SparkSession, path: str, parameters: dict) -> DataFrame:
     return spark.read.parquet(f"{path}/rows")
 
 
+def replay(spark: SparkSession, raw: str, path: str, parameters: dict, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A stage made again from the raw table of an earlier one, without running what made that; written as a stage and read back."""
+    write_stage(step(spark.read.parquet(f"{raw}/rows")), path, parameters)
+    return read_stage(spark, path, parameters)
+
+
+@contextmanager
+def output_lock(spark: SparkSession, folder: str) -> Iterator[str]:
+    """Holds a folder for one writer: a file that only one can create, in any Hadoop file system; deleted at the end."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/.run.lock")
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.createNewFile(path):
+        raise RuntimeError(f"output folder is already in use: {folder}")
+    try:
+        yield str(path)
+    finally:
+        system.delete(path, False)
+
+
 def unique_by(df: DataFrame, key: str) -> DataFrame:
     """df, failing when it is read if a key is null or stands there twice. Counts by key, so one shuffle."""
     twice = df.groupBy(key).agg(F.count("*").alias("_n"))
