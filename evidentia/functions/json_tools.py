@@ -41,16 +41,14 @@ def balanced_object(text: str | None) -> str | None:
     return None
 
 
-def repaired_object(text: str | None) -> str | None:
-    """Like balanced_object, closing brackets that are only missing at the end."""
+def repaired_object(text: str | None, most: int = 2) -> str | None:
+    """Like balanced_object, adding up to `most` closing brackets that are only missing at the end; closers that don't match are refused."""
     if (found := balanced_object(text)) is not None:
         return found
-    s = text or ""
-    start = s.find("{")
-    if start < 0:
-        return None
+    start = (text or "").find("{")
+    s = (text or "")[start:].strip() if start >= 0 else ""
     stack, quoted, skip = [], False, False
-    for c in s[start:]:
+    for c in s:
         if skip:
             skip = False
         elif quoted:
@@ -59,17 +57,30 @@ def repaired_object(text: str | None) -> str | None:
             quoted = True
         elif c in _OPENERS:
             stack.append(_OPENERS[c])
-        elif stack and c == stack[-1]:
-            stack.pop()
-    if quoted or not stack:
+        elif c in _OPENERS.values():
+            if not stack or c != stack.pop():
+                return None
+    if quoted or not 1 <= len(stack) <= most:
+        return None
+    try:
+        found = json.loads(s + "".join(reversed(stack)))
+    except ValueError:
         return None
-    return balanced_object(s[start:].rstrip().rstrip(",") + "".join(reversed(stack)))
+    return json.dumps(found, sort_keys=True, ensure_ascii=False) if isinstance(found, dict) else None
+
+
+# Greek letters by name.
+_GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "θ": "theta", "λ": "lambda", "μ": "mu", "π": "pi", "σ": "sigma", "ω": "omega"}
 
 
 def title_key(text: str | None) -> str:
-    """Entities decoded, accents folded, letters and digits with single spaces."""
-    folded = unicodedata.normalize("NFKD", unescape(text or "")).encode("ascii", "ignore").decode()
-    return " ".join(re.findall(r"[a-z0-9]+", folded.lower()))
+    """Lower case without tags; entities, LaTeX accents and commands decoded, Greek letters by name, accents folded; letters and digits with single spaces."""
+    low = re.sub(r"<[^>]+>", " ", unescape(text or "").lower())
+    low = re.sub(r"\\[\"'`^~=.]\{?([a-z])\}?", r"\1", low)
+    low = re.sub(r"\\([a-z]+)", r" \1 ", low)
+    low = "".join(f" {_GREEK[c]} " if c in _GREEK else c for c in low)
+    folded = unicodedata.normalize("NFKD", low).encode("ascii", "ignore").decode()
+    return " ".join(re.findall(r"[a-z0-9]+", folded))
 
 
 @pandas_udf(StringType())

@@ -7,14 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from .text import tokens
 
 
-def term_counts(docs: DataFrame, key: str, text: Column, only: DataFrame | None = None) -> DataFrame:
-    """key, term, tf of every document; with `only` (term) just those terms, dropped before anything is shuffled."""
-    exploded = docs.select(key, F.explode(tokens(text)).alias("term"))
-    if only is not None:
-        exploded = exploded.join(only, "term", "left_semi")
-    return exploded.groupBy(key, "term").agg(F.count("*").alias("tf"))
-
-
 def bm25_scores(docs: DataFrame, queries: DataFrame, *, doc_key: str, query_key: str, doc_text: str = "text", query_text: str = "text", k1: float = 1.5, b: float = 0.75, weight: float = 1.0) -> DataFrame:
     """query, document, score (rounded to 6 places) of every pair that shares a term.
 

@@ -12,12 +12,6 @@ def min_max(value: str, by: list[str], constant: float = 0.5) -> Column:
     return F.when(v.isNull(), None).when(high <= low, F.lit(constant)).otherwise((v - low) / (high - low))
 
 
-def log_mean_exp(value: str, sharpness: float) -> Column:
-    """Aggregate between mean (0) and maximum, without overflow: the maximum is taken out by the caller's second pass."""
-    v = F.col(value)
-    return F.log(F.avg(F.exp(v * sharpness))) / sharpness if sharpness else F.avg(v)
-
-
 def pooled(scores: DataFrame, by: list[str], value: str, *, sharpness: float, k: int) -> DataFrame:
     """Per group: mean, maximum, mean of the k best, and log-mean-exp about the maximum (so it never overflows)."""
     w = W.partitionBy(*by)

@@ -8,11 +8,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .scoring import rank_by
 
 
-def fill_forward(value: Column, by: list[str], order: str) -> Column:
-    """The last value that is not null up to each row."""
-    return F.last(value, ignorenulls=True).over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
-
-
 def sections(records: DataFrame, by: str, order: str, is_heading: Column, title: Column) -> DataFrame:
     """records with section_no and section_title: the latest heading, itself included; before any, section 0 and `front matter`."""
     w = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -179,13 +179,6 @@ def fixed_batches(spark, sf_dir):
     return rows.groupBy("o_orderstatus", "batch").agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"), F.count("*").alias("n")).drop("o_orderstatus")
 
 
-@_query("SELECT p.k AS query_id, sum((g.k IS NOT NULL)::INT)::BIGINT AS kept, count(*) AS n FROM (SELECT l_orderkey AS k, l_suppkey AS x FROM lineitem) p LEFT JOIN (SELECT DISTINCT l_orderkey AS k, l_suppkey AS x FROM lineitem WHERE l_linenumber <= 2) g ON p.k = g.k AND p.x = g.x GROUP BY 1")
-def visible_evidence(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("x"), "l_linenumber")
-    seen = l.where("l_linenumber <= 2").select("query_id", "x").distinct().withColumn("seen", F.lit(1))
-    return l.join(seen, ["query_id", "x"], "left").groupBy("query_id").agg(F.sum(F.coalesce("seen", F.lit(0))).alias("kept"), F.count("*").alias("n"))
-
-
 @_query("SELECT o_custkey, o_orderkey, rn AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= CASE WHEN o_custkey % 3 = 0 THEN 12 ELSE 5 END")
 def top_k_per_query(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").withColumn("place", S.rank_by(["o_custkey"], F.desc("o_totalprice"), F.asc("o_orderkey")))

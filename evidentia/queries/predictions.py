@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import predictions as P
+from ..operators import grounding as G, hierarchy as H, predictions as P
 from ..session import table
 from .fixtures import SQL_LINES, lines
 
@@ -144,3 +144,24 @@ def table_rows(spark, sf_dir):
     q = l.select("query_id").distinct()
     schema = q.select("query_id", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(k).alias("place"), F.lit(t).alias("kind")) for k, (c, t) in enumerate((("Mode", "string"), ("Error", "string"), ("Time", "number")))])).alias("s")).select("query_id", "s.*")
     return P.table_rows(cells, q.withColumn("aliases", F.array(F.lit("AIR"), F.lit("RAIL"))), schema)
+
+
+_LABEL = "CASE l_partkey % 4 WHEN 0 THEN 'Table ' || (l_suppkey % 3) WHEN 1 THEN 'Figure ' || (l_suppkey % 3) END"
+
+
+@_query(f"""
+WITH {SQL_LINES}, p AS (SELECT l_orderkey AS query_id, l_suppkey % 4 AS paper_id, {_TYPE.format('l_partkey')} AS kind, l_partkey % 7 + 1 AS page, {_LABEL} AS label, l_linenumber FROM lines),
+a AS (SELECT query_id, paper_id, kind, list(page) AS pages, list(label) AS labels FROM p WHERE l_linenumber <= 2 GROUP BY ALL)
+SELECT query_id, paper_id, kind, CASE WHEN list_contains(pages, page) THEN page END AS page, CASE WHEN list_contains(labels, label) THEN label END AS label FROM p JOIN a USING (query_id, paper_id, kind)""")
+def visible_evidence(spark, sf_dir):
+    rows = lines(spark, sf_dir).select(F.col("l_orderkey").alias("query_id"), (F.col("l_suppkey") % 4).alias("paper_id"), F.expr(_TYPE.format("l_partkey")).alias("kind"), (F.col("l_partkey") % 7 + 1).alias("page"), F.expr(_LABEL).alias("label"), "l_linenumber")
+    return H.restrict(rows, H.allowed_locators(rows.where("l_linenumber <= 2")))
+
+
+@_query(f"WITH {SQL_LINES} SELECT l_orderkey, l_linenumber, l_partkey % 3 = 0 AND l_suppkey % 2 = 0 AS grounded FROM lines")
+def card_gate(spark, sf_dir):
+    n, k = F.col("l_quantity").cast("int"), F.col("l_partkey") % 3
+    said = F.when(F.col("l_suppkey") % 2 == 0, n.cast("string")).otherwise("none")
+    claim, record = F.concat(F.lit("NetX gets "), n, F.lit(" on "), "l_mode"), F.concat(F.lit("We see that NetX gets "), said, F.lit(" on "), "l_mode", F.lit(" here."))
+    quote = F.when(k == 0, F.concat(F.lit("NetX  gets "), said, F.lit(" on "), "l_mode")).when(k == 1, F.concat(claim, F.lit(" indeed"))).otherwise(F.concat(F.lit("NetX gets "), said))
+    return lines(spark, sf_dir).select("l_orderkey", "l_linenumber", G.grounded(claim, quote, record).alias("grounded"))
