@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.labels import cell_equal
 from ..functions.text import normalize_answer
-from .scoring import coverage, nearest_rank
+from .scoring import coverage, nearest_ranks
 
 
 def macro(per_key: DataFrame) -> DataFrame:
@@ -29,14 +29,15 @@ def table_scores(gold: DataFrame, pred: DataFrame, by: str, key: str, columns: d
 def rank_metrics(hits: DataFrame, by: str, k: int) -> DataFrame:
     """One row over hits (by, rank, relevant): recall at k, share of keys with all and with any in the first k, mean reciprocal rank, median and 0.9 nearest rank of first hits."""
     per = hits.where("relevant").groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col("rank") <= k).alias("found"), F.min("rank").alias("first"))
-    return per.agg(
+    high = nearest_ranks(per.withColumn("_all", F.lit(1)), "_all", "first", {"p90_rank": 0.9})  # one row
+    out = per.agg(
         F.round(F.avg(F.col("found") / F.col("n")), 6).alias("recall"),
         F.round(F.avg((F.col("found") == F.col("n")).cast("int")), 6).alias("full_coverage"),
         F.round(F.avg((F.col("found") > 0).cast("int")), 6).alias("any_hit"),
         F.round(F.avg(F.lit(1.0) / F.col("first")), 6).alias("mrr"),
         F.percentile("first", F.lit(0.5)).alias("median_rank"),
-        nearest_rank("first", 0.9).alias("p90_rank"),
     )
+    return out.withColumn("_all", F.lit(1)).join(high.withColumn("p90_rank", F.col("p90_rank").cast("long")), "_all", "left").drop("_all")
 
 
 #: Stages of the funnel, in order; the first that fails names the failure.

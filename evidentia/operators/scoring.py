@@ -38,10 +38,24 @@ def cosine(a: str, b: str) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def nearest_rank(value: str, fraction: float) -> Column:
-    """Nearest-rank percentile as an aggregate: the value at position ceil(fraction * n), one at least."""
-    values = F.sort_array(F.collect_list(value))
-    return F.element_at(values, F.greatest(F.lit(1), F.ceil(F.size(values) * F.lit(fraction) - 1e-9)).cast("int"))
+def nearest_ranks(df: DataFrame, by: str, value: str, fractions: dict[str, float], *, buckets: int = 4096) -> DataFrame:
+    """by and a column per fraction: nearest-rank percentiles, the value at position ceil(fraction * n), one at least.
+
+    Values are counted in equal ranges first, and only the range in which a position lies is sorted, its equal values as one; so a
+    group of any size is in no task as a whole. Null values don't count; a group without others is left out.
+    """
+    rows = df.select(by, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    stats = rows.groupBy(by).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    place = F.when(F.col("_hi") == F.col("_lo"), 0).otherwise(F.least(F.lit(buckets - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets))).cast("int")
+    dealt = rows.join(stats, by).withColumn("_b", place)
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(f) - 1e-9)).alias("pos")) for name, f in fractions.items()]))
+    counts = dealt.groupBy(by, "_b").agg(F.count("*").alias("c"))
+    counts = counts.withColumn("before", F.sum("c").over(W.partitionBy(by).orderBy("_b")) - F.col("c"))
+    goal = stats.select(by, wanted.alias("w")).select(by, "w.name", "w.pos").join(counts, by).where((F.col("before") < F.col("pos")) & (F.col("pos") <= F.col("before") + F.col("c"))).select(by, "name", "_b", (F.col("pos") - F.col("before")).alias("rest"))
+    near = dealt.select(by, "_b", "_v").join(goal, [by, "_b"]).groupBy(by, "name", "rest", "_v").agg(F.count("*").alias("c"))
+    near = near.withColumn("upto", F.sum("c").over(W.partitionBy(by, "name").orderBy("_v"))).where(F.col("upto") >= F.col("rest"))
+    best = near.groupBy(by, "name").agg(F.min("_v").alias("v"))
+    return best.groupBy(by).agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in fractions])
 
 
 def coverage(gold: DataFrame, pred: DataFrame, by: str, item: str) -> DataFrame:

@@ -84,7 +84,7 @@ def rank_metrics(spark, sf_dir):
 
 @_query("SELECT event_type, list_sort(list(value))[greatest(1, ceil(count(*) * 0.9e0 - 1e-9))::INT] AS p90, list_sort(list(value))[greatest(1, ceil(count(*) * 0.5e0 - 1e-9))::INT] AS p50 FROM events GROUP BY 1")
 def percentile_nearest_rank(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(S.nearest_rank("value", 0.9).alias("p90"), S.nearest_rank("value", 0.5).alias("p50"))
+    return S.nearest_ranks(table(spark, sf_dir, "events"), "event_type", "value", {"p90": 0.9, "p50": 0.5})
 
 
 _FLAGS = "SELECT d.doc_id, d.lang, d.source, l.doc_id IS NOT NULL AS candidate, coalesce(l.quality = 1, false) AS available, n_chars > 1000 AS page, n_chars % 3 <> 0 AS typed, coalesce(l.toxic = 0, false) AS located, n_chars % 7 <> 0 AS chosen FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"

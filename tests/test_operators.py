@@ -69,8 +69,10 @@ def test_scores(spark):
     assert p["c"]["lme"] == pytest.approx(0.716890, abs=1e-6) and p["b"]["top_mean"] == pytest.approx(0.8)
     r = spark.createDataFrame([(1, 3)], "a int, b int").select(S.reciprocal_rank("a", "b").alias("x")).first()["x"]
     assert r == pytest.approx(1 / 61 + 1 / 63)
-    n = spark.range(1, 11).agg(S.nearest_rank("id", 0.9).alias("x")).first()["x"]
-    assert n == 9 or n == 10
+    values = [("a", float(k * k % 101)) for k in range(500)] + [("b", 7.0)] * 50 + [("b", None), ("c", -1.0), ("c", 3.0), ("d", None)]
+    got = {r["k"]: (r["p90"], r["p50"]) for r in S.nearest_ranks(spark.createDataFrame(values, "k string, v double"), "k", "v", {"p90": 0.9, "p50": 0.5}, buckets=16).collect()}
+    own = sorted(v for k, v in values if k == "a")
+    assert got == {"a": (own[449], own[249]), "b": (7.0, 7.0), "c": (3.0, -1.0)}
 
 
 def test_budgets(spark):
