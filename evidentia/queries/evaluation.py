@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..functions.text import normalize_answer, tokens
-from ..operators import evaluation as E, scoring as S
+from ..functions.text import normalize_answer
+from ..operators import evaluation as E, joins as J, scoring as S
 from ..session import table
 
 QUERIES, SQL = {}, {}
@@ -150,8 +150,8 @@ def ensemble_coalesce(spark, sf_dir):
 @_query("SELECT o_custkey, o_orderkey, string_agg(s, ',' ORDER BY s) AS sources FROM (SELECT o_custkey, o_orderkey, 'even' AS s FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderkey, 'third' FROM orders WHERE o_orderkey % 3 = 0) GROUP BY ALL")
 def provenance_union(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-    both = o.where("o_orderkey % 2 = 0").withColumn("s", F.lit("even")).unionByName(o.where("o_orderkey % 3 = 0").withColumn("s", F.lit("third")))
-    return both.groupBy("o_custkey", "o_orderkey").agg(F.array_join(F.array_sort(F.collect_set("s")), ",").alias("sources"))
+    rows = J.united({"even": o.where("o_orderkey % 2 = 0"), "third": o.where("o_orderkey % 3 = 0")}, "o_custkey", "o_orderkey")
+    return rows.withColumn("sources", F.array_join("sources", ","))
 
 
 @_query("""
@@ -159,12 +159,7 @@ WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-
 c AS (SELECT item_id, doc_id, count(*) / any_value(n)::DOUBLE AS part FROM u JOIN d USING (w) GROUP BY item_id, doc_id HAVING count(*) >= 3), r AS (SELECT *, row_number() OVER o AS rn, lead(part) OVER o AS next FROM c WINDOW o AS (PARTITION BY item_id ORDER BY part DESC, doc_id))
 SELECT item_id, doc_id, round(part, 6) AS containment FROM r WHERE rn = 1 AND part >= 0.8e0 AND part - coalesce(next, 0) >= 0.02e0""")
 def containment_gap(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(tokens(F.col("text"))).alias("t")).select("item_id", F.size("t").alias("n"), F.explode("t").alias("w"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w"))
-    c = q.join(d, "w").groupBy("item_id", "doc_id").agg((F.count("*") / F.first("n")).alias("part"), F.count("*").alias("both")).where("both >= 3")
-    o = W.partitionBy("item_id").orderBy(F.desc("part"), F.asc("doc_id"))
-    r = c.withColumn("rn", F.row_number().over(o)).withColumn("next", F.lead("part").over(o))
-    return r.where((F.col("rn") == 1) & (F.col("part") >= 0.8) & (F.col("part") - F.coalesce("next", F.lit(0.0)) >= 0.02)).select("item_id", "doc_id", F.round("part", 6).alias("containment"))
+    return J.containment_matches(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), query="item_id", doc="doc_id")
 
 
 @_query("SELECT user_id, count(*) AS n, count(DISTINCT json_extract_string(props, '$.k')) AS kinds, min(length(props))::INT AS shortest FROM events GROUP BY 1")
@@ -174,8 +169,7 @@ def json_fields(spark, sf_dir):
 
 @_query("SELECT batch, min(o_orderkey) AS first, max(o_orderkey) AS last, count(*) AS n FROM (SELECT o_orderkey, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 500 AS batch, o_orderstatus FROM orders) GROUP BY o_orderstatus, batch")
 def fixed_batches(spark, sf_dir):
-    n = S.rank_by(["o_orderstatus"], F.asc("o_orderkey"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.floor((n - 1) / 500).alias("batch"))
+    rows = J.batches(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderstatus"], "o_orderkey", 500)
     return rows.groupBy("o_orderstatus", "batch").agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"), F.count("*").alias("n")).drop("o_orderstatus")
 
 
@@ -187,9 +181,7 @@ def top_k_per_query(spark, sf_dir):
 
 @_query("WITH n AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL), t AS (SELECT *, max(n) OVER (PARTITION BY p_brand) AS top, count(*) OVER (PARTITION BY p_brand, n) AS ties FROM n) SELECT p_brand, p_type, n FROM t WHERE n = top AND ties = 1")
 def unique_match_gate(spark, sf_dir):
-    n = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
-    rows = n.withColumn("top", F.max("n").over(W.partitionBy("p_brand"))).withColumn("ties", F.count("*").over(W.partitionBy("p_brand", "n")))
-    return rows.where("n = top and ties = 1").select("p_brand", "p_type", "n")
+    return J.unique_best(table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n")), "p_brand", "n")
 
 
 @_query("SELECT DISTINCT n.n_name, m.x FROM nation n JOIN (SELECT c_nationkey AS k, 'customer' AS x FROM customer UNION SELECT s_nationkey, 'supplier' FROM supplier) m ON n.n_nationkey = m.k")
@@ -202,7 +194,7 @@ def union_distinct(spark, sf_dir):
 
 @_query("SELECT source, doc_id, sha256(concat_ws('|', doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text)) AS fingerprint FROM documents")
 def record_fingerprint(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2(F.concat_ws("|", "doc_id", "source", "lang", "n_chars", "text"), 256).alias("fingerprint"))
+    return table(spark, sf_dir, "documents").select("source", "doc_id", J.fingerprint("doc_id", "source", "lang", "n_chars", "text").alias("fingerprint"))
 
 
 @_query("WITH g AS (SELECT doc_id % 100 AS k, lang AS x, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL UNION ALL SELECT doc_id % 100, lang, count(*) FROM documents WHERE doc_id % 2 <> 0 GROUP BY ALL) SELECT k, x, sum(n)::BIGINT AS n FROM g GROUP BY ALL")
@@ -210,7 +202,7 @@ def histogram_merge(spark, sf_dir):
     """Two parts that hold each document once."""
     d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 100).alias("k"), F.col("lang").alias("x"), F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False)).alias("even"))
     part = lambda own: d.where(own).groupBy("k", "x").agg(F.count("*").alias("n"))
-    return part(F.col("even")).unionByName(part(~F.col("even"))).groupBy("k", "x").agg(F.sum("n").alias("n"))
+    return J.merged_counts([part(F.col("even")), part(~F.col("even"))], ["k", "x"])
 
 
 @_query("SELECT nation, n AS n, place FROM (SELECT c_nationkey AS nation, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, c_nationkey) AS place FROM customer GROUP BY 1) WHERE place <= 10")

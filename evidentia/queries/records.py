@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import html as H, text as T
-from ..operators import scoring as S, sections as X, selection as Y
+from ..operators import joins as J, scoring as S, sections as X, selection as Y
 from ..session import table
+from .fixtures import SQL_LINES, lines
 
 QUERIES, SQL = {}, {}
 
@@ -106,8 +107,7 @@ def latest_by_query(spark, sf_dir):
 
 @_query("SELECT h, count(*) AS n, count(DISTINCT source) AS sources, min(doc_id) AS first_id FROM (SELECT sha256(concat_ws('|', lang, text)) AS h, source, doc_id FROM documents) GROUP BY h HAVING count(*) > 1")
 def content_hash_conflicts(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.sha2(F.concat_ws("|", "lang", "text"), 256).alias("h"), "source", "doc_id")
-    return rows.groupBy("h").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"), F.min("doc_id").alias("first_id")).where("n > 1")
+    return J.repeated_contents(table(spark, sf_dir, "documents"), ["lang", "text"], "source", "doc_id")
 
 
 _SIZED = "SELECT source AS k, doc_id, length(text) AS n, lang, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents"
@@ -188,16 +188,14 @@ def greedy_coverage(spark, sf_dir):
     return Y.greedy_coverage(_masks(spark, sf_dir).withColumn("page", F.col("member") % 5), "k", "member", 3, 1)
 
 
-@_query("""
-SELECT 'region_nation' AS type, 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'nation_customer', 'n' || c_nationkey, 'c' || c_custkey FROM customer
-UNION ALL SELECT 'same_segment', 'c' || a.c_custkey, 'c' || b.c_custkey FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey <> b.c_custkey""")
+@_query(f"""
+WITH {SQL_LINES}, o AS (SELECT l_orderkey, l_linenumber, l_suppkey % 3 AS page, CASE WHEN l_partkey % 4 = 0 THEN '' ELSE l_mode END AS label, l_partkey % 2 = 0 AS caption FROM lines),
+c AS (SELECT a.l_orderkey, a.l_linenumber AS src, b.l_linenumber AS dst, a.label = b.label AS same, bool_or(a.label = b.label) OVER w AS anysame, row_number() OVER (w ORDER BY abs(a.l_linenumber - b.l_linenumber), b.l_linenumber) AS n FROM o a JOIN o b ON a.l_orderkey = b.l_orderkey AND a.page = b.page AND a.caption AND NOT b.caption WINDOW w AS (PARTITION BY a.l_orderkey, a.page, a.l_linenumber))
+SELECT 'same_label' AS type, a.l_orderkey * 10 + a.l_linenumber AS src, a.l_orderkey * 10 + b.l_linenumber AS dst FROM o a JOIN o b ON a.l_orderkey = b.l_orderkey AND a.label = b.label AND a.label <> '' AND a.l_linenumber <> b.l_linenumber
+UNION ALL SELECT 'caption_of', l_orderkey * 10 + src, l_orderkey * 10 + dst FROM c WHERE CASE WHEN anysame THEN same ELSE n = 1 END""")
 def graph_edges(spark, sf_dir):
-    node = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
-    a, b = c.select("c_nationkey", "c_mktsegment", F.col("c_custkey").alias("x")), c.select("c_nationkey", "c_mktsegment", F.col("c_custkey").alias("y"))
-    same = a.join(b, ["c_nationkey", "c_mktsegment"]).where("x <> y")
-    edge = lambda df, t, s, d: df.select(F.lit(t).alias("type"), s.alias("src"), d.alias("dst"))
-    return edge(n, "region_nation", node("r", "n_regionkey"), node("n", "n_nationkey")).unionByName(edge(c, "nation_customer", node("n", "c_nationkey"), node("c", "c_custkey"))).unionByName(edge(same, "same_segment", node("c", "x"), node("c", "y")))
+    o = lines(spark, sf_dir).select("l_orderkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("node"), (F.col("l_suppkey") % 3).alias("page"), F.when(F.col("l_partkey") % 4 == 0, "").otherwise(F.col("l_mode")).alias("label"), "l_linenumber", (F.col("l_partkey") % 2 == 0).alias("caption"))
+    return J.label_edges(o, "l_orderkey", "node", "label").unionByName(J.caption_edges(o.where("caption"), o.where("not caption"), "l_orderkey", "page", "node", "label", "l_linenumber"))
 
 
 @_query("SELECT o_custkey AS claim, count(DISTINCT l_orderkey || '-' || l_linenumber) AS records, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS keys FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1")
@@ -223,9 +221,8 @@ WITH b AS (SELECT {_BOX} FROM lineitem) SELECT a.l_orderkey, a.l_linenumber AS i
 def box_distance(spark, sf_dir):
     b = table(spark, sf_dir, "lineitem").selectExpr(*[x.strip().replace(" AS ", " as ") for x in _BOX.split(", ")])
     a = b.toDF(*[c if c == "l_orderkey" else f"a_{c}" for c in b.columns])
-    gap = lambda p: F.greatest(F.lit(0), F.greatest(F.col(f"a_{p}0") - F.col(f"{p}1"), F.col(f"{p}0") - F.col(f"a_{p}1")))
-    near = lambda p: (F.col(f"a_{p}0") - 2 < F.col(f"{p}1")) & (F.col(f"{p}0") - 2 < F.col(f"a_{p}1"))
-    return a.join(b, "l_orderkey").where("a_l_linenumber < l_linenumber").select("l_orderkey", F.col("a_l_linenumber").alias("i"), F.col("l_linenumber").alias("j"), (gap("y") + 0.25 * gap("x")).alias("distance"), (near("x") & near("y")).alias("touching"))
+    pairs = a.join(b, "l_orderkey").where("a_l_linenumber < l_linenumber")
+    return pairs.select("l_orderkey", F.col("a_l_linenumber").alias("i"), F.col("l_linenumber").alias("j"), J.box_distance("a_", "").alias("distance"), J.boxes_touch("a_", "").alias("touching"))
 
 
 @_query("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as T
-from ..operators import bm25, hybrid, scoring as S
+from ..operators import bm25, hybrid, joins as J, scoring as S
 from ..session import table
 from .fixtures import SQL_PAPERS, papers
 
@@ -187,5 +187,5 @@ k AS (SELECT *, row_number() OVER (PARTITION BY item_id, special ORDER BY score
 SELECT item_id, count(*) AS pool, count(*) FILTER (WHERE special) AS special FROM k WHERE special OR rn <= 16 GROUP BY item_id""")
 def retriever_pool(spark, sf_dir):
     u = _scores(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").isin("src1", "src2").alias("special")), "doc_id")
-    k = u.withColumn("rn", S.rank_by(["item_id", "special"], F.desc("score"), F.asc("doc_id"))).where(F.col("special") | (F.col("rn") <= 16))
-    return k.groupBy("item_id").agg(F.count("*").alias("pool"), F.count_if("special").alias("special"))
+    pool = J.retriever_pool(u.withColumnRenamed("doc_id", "unit"), "item_id", 16)
+    return pool.groupBy("item_id").agg(F.count("*").alias("pool"), F.count_if("special").alias("special"))
