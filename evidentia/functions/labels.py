@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .text import normalize_answer, text_of
 
@@ -198,3 +198,26 @@ def cell_equal(gold: Column, pred: Column, kind: Column) -> Column:
     close = F.coalesce(F.abs(a - b) <= F.greatest(F.lit(1e-6) * F.greatest(F.abs(a), F.abs(b)), F.lit(1e-6)), F.lit(False))
     typed = F.when(kind == "number", close).when(kind == "boolean", (gold != "") == (pred != "")).otherwise(normalize_answer(gold) == normalize_answer(pred))
     return F.when(gold.isNull() | pred.isNull(), gold.isNull() & pred.isNull()).otherwise(typed)
+
+
+# Venues a paper's source may be, in the order in which they are looked for.
+SOURCE_VENUES = ("ACL", "EMNLP", "NAACL", "ICML", "NeurIPS", "ICLR", "CVPR", "ICCV", "ECCV")
+
+
+def is_openreview(url: Column, venue: Column) -> Column:
+    return F.lower(F.concat_ws(" ", venue, url)).contains("openreview.net")
+
+
+def paper_source(url: Column, venue: Column) -> Column:
+    """Where a paper is from: OpenReview, arXiv or the first venue that its venue or address names, else the address's host, else `unknown`."""
+    low = F.lower(F.concat_ws(" ", venue, url))
+    out = F.when(is_openreview(url, venue), "OpenReview").when(low.contains("arxiv.org"), "arXiv")
+    for v in SOURCE_VENUES:
+        out = out.when(low.contains(v.lower()), v)
+    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-z]+://([^/?#]*)", 1))
+    return out.when(host != "", host).otherwise("unknown")
+
+
+def without_openreview(papers: DataFrame) -> DataFrame:
+    """papers (url, venue) that are from elsewhere."""
+    return papers.where(~is_openreview(F.col("url"), F.col("venue")))

@@ -50,3 +50,9 @@ def messages(questions: DataFrame, candidates: DataFrame, contexts: DataFrame, r
     system = F.lit(rules) if isinstance(rules, str) else rules
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     return rows.select("query_id", F.array(message("system", system), message("user", body)).alias("messages"))
+
+
+def candidate_view(candidates: DataFrame, rank: str, *, head: int = 60, title_chars: int = 120, abstract_chars: int = 200) -> DataFrame:
+    """candidates (rank, title, abstract) as a prompt shows them: titles cut, and abstracts cut for the first `head` alone."""
+    abstract = F.when(F.col(rank) <= head, F.substring("abstract", 1, abstract_chars)).otherwise("")
+    return candidates.withColumn("title", F.substring("title", 1, title_chars)).withColumn("abstract", abstract)

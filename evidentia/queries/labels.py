@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..operators import prompts as P
 from ..session import table
 from .fixtures import SQL_LABELS, SQL_PAPERS, SQL_QUESTIONS, labelled, papers, questions
 
@@ -79,21 +80,13 @@ WITH c AS (SELECT {_PAIR} FROM orders), n AS (SELECT *, try_cast(replace(trim(go
 SELECT o_orderkey, CASE WHEN gold IS NULL OR pred IS NULL THEN gold IS NULL AND pred IS NULL WHEN kind = 'number' THEN coalesce(abs(a - b) <= greatest(1e-6 * greatest(abs(a), abs(b)), 1e-6), false)
   WHEN kind = 'boolean' THEN (gold <> '') = (pred <> '') ELSE {_NG('gold')} = {_NG('pred')} END AS equal FROM n""")
 
-_LADDER = ("ACL", "EMNLP", "NAACL", "ICML", "NeurIPS", "ICLR", "CVPR", "ICCV", "ECCV")
-
-
-def _source_ladder(url, venue):
-    low = F.lower(F.concat_ws(" ", venue, url))
-    out = F.when(low.contains("openreview.net"), "OpenReview").when(low.contains("arxiv.org"), "arXiv")
-    for v in _LADDER:
-        out = out.when(low.contains(v.lower()), v)
-    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-z]+://([^/?#]*)", 1))
-    return out.when(host != "", host).otherwise("unknown")
-
-
-_simple("source_ladder", lambda s, d: table(s, d, "pages").select("page_id", F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("https://arxiv.org/abs/2401.0"), F.col("page_id"))).when(F.col("page_id") % 5 == 1, "").otherwise(F.col("url")).alias("url"), F.when(F.col("page_id") % 7 == 0, "EMNLP Findings").otherwise("").alias("venue")), lambda: ["page_id", _source_ladder(F.col("url"), F.col("venue")).alias("source")], """
+_simple("source_ladder", lambda s, d: table(s, d, "pages").select("page_id", F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("https://arxiv.org/abs/2401.0"), F.col("page_id"))).when(F.col("page_id") % 5 == 1, "").otherwise(F.col("url")).alias("url"), F.when(F.col("page_id") % 7 == 0, "EMNLP Findings").otherwise("").alias("venue")), lambda: ["page_id", L.paper_source(F.col("url"), F.col("venue")).alias("source")], """
 WITH u AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://arxiv.org/abs/2401.0' || page_id WHEN 1 THEN '' ELSE url END AS url, CASE WHEN page_id % 7 = 0 THEN 'EMNLP Findings' ELSE '' END AS venue FROM pages), l AS (SELECT *, lower(venue || ' ' || url) AS t FROM u)
-SELECT page_id, CASE WHEN contains(t, 'openreview.net') THEN 'OpenReview' WHEN contains(t, 'arxiv.org') THEN 'arXiv' """ + " ".join(f"WHEN contains(t, '{v.lower()}') THEN '{v}'" for v in _LADDER) + r""" WHEN regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) <> '' THEN lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) ELSE 'unknown' END AS source FROM l""")
+SELECT page_id, CASE WHEN contains(t, 'openreview.net') THEN 'OpenReview' WHEN contains(t, 'arxiv.org') THEN 'arXiv' """ + " ".join(f"WHEN contains(t, '{v.lower()}') THEN '{v}'" for v in L.SOURCE_VENUES) + r""" WHEN regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) <> '' THEN lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) ELSE 'unknown' END AS source FROM l""")
 
-_simple("projected_candidates", papers, lambda: ["paper_id", F.substring("title", 1, 120).alias("title"), F.when(F.col("paper_id") <= 60, F.substring("abstract", 1, 200)).otherwise("").alias("abstract")], f"""
+_simple("projected_candidates", lambda s, d: P.candidate_view(papers(s, d), "paper_id"), lambda: ["paper_id", "title", "abstract"], f"""
 WITH {SQL_PAPERS} SELECT paper_id, substr(title, 1, 120) AS title, CASE WHEN paper_id <= 60 THEN substr(abstract, 1, 200) ELSE '' END AS abstract FROM papers""")
+
+
+_simple("openreview_filter", lambda s, d: L.without_openreview(table(s, d, "pages").select("page_id", F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("https://OpenReview.net/forum?id="), F.col("page_id"))).otherwise(F.col("url")).alias("url"), F.when(F.col("page_id") % 7 == 0, "openreview.net workshop").otherwise("ACL").alias("venue"))), lambda: ["page_id"], """
+SELECT page_id FROM pages WHERE page_id % 5 <> 0 AND page_id % 7 <> 0""")
