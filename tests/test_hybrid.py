@@ -107,3 +107,14 @@ def test_output_lock_and_replay(spark, tmp_path):
         write_stage(spark.range(5), str(tmp_path / "raw"), {"k": 1})
     again = replay(spark, str(tmp_path / "raw"), str(tmp_path / "next"), {"k": 2}, lambda df: df.where("id % 2 = 0"))
     assert sorted(r["id"] for r in again.collect()) == [0, 2, 4]
+
+
+def test_find_file(tmp_path):
+    from evidentia.sources.jsonl import find_file
+
+    (tmp_path / "data").mkdir()
+    for name in ("data/a.jsonl", "a.jsonl", "b.jsonl"):
+        (tmp_path / name).write_text("")
+    assert find_file(str(tmp_path), "a.jsonl") == str(tmp_path / "data/a.jsonl") and find_file(str(tmp_path), "b.jsonl") == str(tmp_path / "b.jsonl")
+    with pytest.raises(FileNotFoundError):
+        find_file(str(tmp_path), "c.jsonl")
