@@ -47,7 +47,7 @@ def candidate_papers(predicted: DataFrame, candidates: DataFrame) -> DataFrame:
     once = rows.withColumn("_i", rank_by(["query_id", "paper_id"], F.asc("at"))).where("_i = 1").select("query_id", "paper_id", "at", "audit")
     none = top.join(once.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.col("top").alias("paper_id"), F.lit(0).cast("long").alias("at"), F.lit("fallback_paper_id").alias("audit"))
     both = once.withColumn("at", F.col("at").cast("long")).unionByName(none)
-    return both.withColumn("place", rank_by(["query_id"], F.asc("at"))).select("query_id", "paper_id", "place", "audit")
+    return both.withColumn("place", rank_by(["query_id"], F.asc("at"), F.asc("paper_id"))).select("query_id", "paper_id", "place", "audit")
 
 
 def echoed_evidence(refs: DataFrame, catalog: DataFrame) -> DataFrame:

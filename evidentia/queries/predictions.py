@@ -65,12 +65,12 @@ def standard_evidence(spark, sf_dir):
 
 @_query("""
 WITH c AS (SELECT o_custkey AS query_id, o_orderkey % 10 AS paper_id, min(o_orderkey) AS rank FROM orders GROUP BY ALL), t AS (SELECT query_id, arg_min(paper_id, rank) AS top FROM c GROUP BY query_id),
-p AS (SELECT l_suppkey AS query_id, l_partkey % 15 AS paper_id, min(l_orderkey) AS pos FROM lineitem GROUP BY ALL), m AS (SELECT p.query_id, p.pos, c.paper_id IS NOT NULL AS known, coalesce(c.paper_id, top) AS paper_id FROM p LEFT JOIN c USING (query_id, paper_id) LEFT JOIN t ON t.query_id = p.query_id),
+p AS (SELECT l_suppkey AS query_id, l_partkey % 15 AS paper_id, min(l_orderkey * 100 + l_partkey % 15) AS pos FROM lineitem GROUP BY ALL), m AS (SELECT p.query_id, p.pos, c.paper_id IS NOT NULL AS known, coalesce(c.paper_id, top) AS paper_id FROM p LEFT JOIN c USING (query_id, paper_id) LEFT JOIN t ON t.query_id = p.query_id),
 o AS (SELECT query_id, paper_id, arg_min(known, pos) AS known, min(pos) AS pos FROM m WHERE paper_id IS NOT NULL GROUP BY ALL), a AS (SELECT query_id, paper_id, pos, CASE WHEN known THEN '' ELSE 'noncandidate_paper_id' END AS audit FROM o UNION ALL SELECT query_id, top, 0, 'fallback_paper_id' FROM t WHERE query_id NOT IN (SELECT query_id FROM o))
 SELECT query_id, paper_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS place, audit FROM a""")
 def candidate_papers(spark, sf_dir):
     c = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("query_id"), (F.col("o_orderkey") % 10).alias("paper_id")).agg(F.min("o_orderkey").alias("rank"))
-    p = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("query_id"), (F.col("l_partkey") % 15).alias("paper_id")).agg(F.min("l_orderkey").alias("at"))
+    p = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("query_id"), (F.col("l_partkey") % 15).alias("paper_id")).agg(F.min(F.col("l_orderkey") * 100 + F.col("l_partkey") % 15).alias("at"))
     return P.candidate_papers(p, c)
 
 
