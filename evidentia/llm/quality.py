@@ -69,7 +69,7 @@ def boilerplate(docs: DataFrame, *, text: str = "text", host: str = "source", mi
     rows = rows.select("host", F.xxhash64("text").alias("t"), F.array_distinct(F.transform(_lines(F.col("text")), line_hash)).alias("lines"))
     texts = rows.select("host", "t").distinct().groupBy("host").agg(F.count("*").alias("texts"))
     counts = rows.select("host", "t", F.explode("lines").alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
-    over = counts.join(texts, "host").where(F.col("n") > F.col("texts") * share)
+    over = materialize(counts.join(texts, "host").where(F.col("n") > F.col("texts") * share).select("host", "line"), "frequent-lines")
     lists = over.groupBy("host", _list_of(F.col("line")).alias("k")).agg(F.sort_array(F.collect_list("line")).alias("own"))
     every = over.select("host").distinct().select("host", F.explode(F.sequence(F.lit(0), F.lit(LISTS - 1))).alias("k"))
     lists = every.join(lists, ["host", "k"], "left").select("host", F.struct("k", F.coalesce("own", F.array().cast("array<long>")).alias("own")).alias("x"))
