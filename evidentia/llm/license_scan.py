@@ -270,6 +270,29 @@ def _heading(name: str) -> int:
     return 2 * len(_words(name)) + 2
 
 
+def telling(least_shared: float) -> list[str]:
+    """Words of which every paragraph that scan() may find holds one.
+
+    Of each template, the words that are in more than 1 - least_shared of its n-grams, those first that ordinary prose has not (short ones, which are words in some language, last),
+    longer ones first: without any of them a paragraph shares too little. Of each heading, one word.
+    """
+    common = {w for t in OTHER for w in _words(t)}
+    order = lambda w: (2 * (w.isalpha() and len(w) < 3) + (w in common), -len(w), w)
+    out: set[str] = set()
+    for t in (t for texts in TEMPLATES.values() for t in texts):
+        features = _features(_words(t))
+        covered: set[str] = set()
+        for w in sorted({w for f in features for w in f.split()} - PLAIN, key=order):
+            if len(covered) > (1 - least_shared) * len(features):
+                break
+            covered |= {f for f in features if w in f.split()}
+            out.add(w)
+    for t in (t for texts in NAMES.values() for t in texts):
+        if not out & set(_words(t)):
+            out.add(min(_words(t), key=order))
+    return sorted(out)
+
+
 def paragraphs(text: Column) -> Column:
     """Array of position, block, joined and paragraph: each line that holds a word, and each block of several such lines.
 
@@ -291,16 +314,15 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_s
     A paragraph is a line, or a block of lines up to a blank one, joined by spaces, with the position of its first line;
     a block is given where none of its lines alone is of its family. Only the text counts, whole. `shared` is the
     largest part of a template of the family whose n-grams the paragraph holds. A heading that holds a family's name is of that family, whatever the probability of so
-    few words. A paragraph without any n-gram of the model is of no family by its bias, so only
-    those with one of the model's telling words are scored; a row that stands in the table twice gives its paragraphs
+    few words. Only paragraphs with one of the templates' telling words are scored, as no other can share enough; a row that stands in the table twice gives its paragraphs
     twice. Null and empty texts, and an empty table, give no rows. Other columns are ignored.
 
     The model's table has some hundred n-grams whatever the data, and is broadcast. A paragraph's n-grams are joined
     with it and added up within the row by array functions; only what is found is shuffled, to hold blocks against their lines.
     """
     families, weights, biases, limit = train()
-    telling = sorted({w for f in weights for w in f.split() if w not in PLAIN})
-    says = lambda c: F.arrays_overlap(F.split(F.lower(c), "[^a-z0-9]+"), F.array(*[F.lit(w) for w in telling]))
+    strong = telling(least_shared)
+    says = lambda c: F.arrays_overlap(F.split(F.lower(c), "[^a-z0-9]+"), F.array(*[F.lit(w) for w in strong]))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row")).where(says(F.col("text")))
     rows = rows.select("doc_id", "row", F.explode(F.filter(paragraphs(F.col("text")), lambda p: says(p["paragraph"]))).alias("p")).select("doc_id", "row", "p.*")
     known = {f: k for k, f in enumerate(weights)}

@@ -258,6 +258,19 @@ def test_license_scan_is_its_model(spark):
     assert scan(docs.limit(0)).count() == 0
 
 
+def test_telling_words_lose_nothing():
+    """A paragraph without any telling word shares less than half of every template, and holds no heading."""
+    from evidentia.llm import license_scan as L
+
+    strong = set(L.telling(0.5))
+    for texts in L.TEMPLATES.values():
+        for t in texts:
+            features = L._features(L._words(t))
+            left = [f for f in features if not strong & set(f.split())]
+            assert len(left) / len(features) < 0.5
+    assert all(strong & set(L._words(t)) for texts in L.NAMES.values() for t in texts)
+
+
 def test_wrapped_licenses(spark):
     import textwrap
 
