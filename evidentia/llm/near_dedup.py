@@ -179,7 +179,8 @@ def _verified(edges: DataFrame, texts: DataFrame, size: int, least: float, block
     block holds b's text once and streams its partners past it.
     """
     spread = edges.groupBy("b").agg(F.count("*").alias("n")).select("b", F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int").alias("blocks"))
-    dealt = edges.join(spread, "b").select("b", F.expr("cast(pmod(xxhash64(a), blocks) as int)").alias("block"), F.col("a").alias("tid"), F.lit(1).alias("part"))
+    part = F.pmod(F.xxhash64("a", F.lit(3)), F.lit(SLICES)).cast("int")  # a b with very many partners is no hot key
+    dealt = edges.withColumn("slice", part).join(spread.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))), ["b", "slice"]).select("b", F.expr("cast(pmod(xxhash64(a), blocks) as int)").alias("block"), F.col("a").alias("tid"), F.lit(1).alias("part"))
     heads = spread.select("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("b").alias("tid"), F.lit(0).alias("part"))
     rows = dealt.unionByName(heads).join(texts, "tid").repartition("b", "block").sortWithinPartitions("b", "block", "part")
 
