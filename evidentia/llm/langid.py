@@ -2,8 +2,8 @@
 
 One model of four-grams per language, of all its training texts: probabilities are computed as tables and written as
 sorted arrays, which whoever looks a gram up maps into memory. A text belongs to the language under whose model it
-has the lowest cross-entropy per character; how sure that is, and what no model explains, is calibrated on documents
-set apart by a digest.
+has the lowest cross-entropy per character; how sure that is, and what no model explains, is calibrated on all
+training texts, which the models have counted too.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from .common import drop_written, materialize, shared_dir
 
 ORDER = 4
 UNKNOWN = "und"
+SHARPNESS = (0.02, 0.05, 0.1, 0.2, 0.4, 0.8, 1.6, 3.2)
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _PAD = "   "
 
@@ -299,12 +300,12 @@ def _write(rows: DataFrame, folder: str, files: int) -> list:
     return rows.repartitionByRange(files, *by).sortWithinPartitions(*by).mapInArrow(run, "kind int, lang string, least long, path string, first long, n long").collect()
 
 
-def fit(train: DataFrame, *, calibrate_rows: int = 2_000, ceiling: float = 0.999, file_rows: int = 2_000_000) -> Identifier:
+def fit(train: DataFrame, *, ceiling: float = 0.999, file_rows: int = 2_000_000) -> Identifier:
     """Learns from all rows of train (text, lang; null lang: none): every language, and every four-gram of its texts.
 
     The model's arrays are in files of about file_rows entries in the shared folder, where they stay for as long as
-    the model is used; the driver holds the list of their parts. Confidence and the ceiling of cross-entropy are
-    calibrated on calibrate_rows rows, the first by a digest of their text, whole.
+    the model is used; the driver holds the list of their parts. Confidence and the ceiling of cross-entropy (that
+    quantile) are calibrated on the same rows, all of them and whole.
     """
     spark = train.sparkSession
     rows = train.where("lang is not null and text is not null").select("text", F.col("lang").cast("string").alias("lang"))
@@ -327,36 +328,68 @@ def fit(train: DataFrame, *, calibrate_rows: int = 2_000, ceiling: float = 0.999
         drop_written(t)
     table = lambda x, kind: Written(sorted(parts[x, kind]))
     out = Identifier(languages, [KneserNey.written([table(x, k) for k in range(0, 2 * ORDER, 2)], [table(x, k) for k in range(1, 2 * ORDER, 2)], alphabet) for x in languages])
-    h, lengths, truth = _held(rows, out, calibrate_rows)
-    if len(h):
-        loss = lambda s: -np.log(np.maximum(confidence(h, lengths, s)[np.arange(len(h)), truth], 1e-9)).mean()
-        out.sharpness = min((0.02, 0.05, 0.1, 0.2, 0.4, 0.8, 1.6, 3.2), key=loss)
-        out.ceiling = float(np.quantile(h.min(axis=1), ceiling)) * 1.05
+    measured = _measured(rows, out)
+    losses = {r["key"]: r["n"] for r in measured.where("measure = 1").groupBy("key").agg(F.sum("n").alias("n")).collect()}
+    out.sharpness = SHARPNESS[min(sorted(losses), key=losses.get)]
+    out.ceiling = _quantile(measured.where("measure = 0").select("key", "n"), ceiling) * 1.05
+    drop_written(measured)
     return out
 
 
-def _held(rows: DataFrame, model: Identifier, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cross-entropies, letters and place of the language of the first n rows by digest, as far as they have letters."""
-    spark = rows.sparkSession
-    known = spark.createDataFrame([(x,) for x in model.languages], "lang string")
-    keyed = rows.withColumn("key", F.xxhash64("text"))
-    picked = keyed.select("key", "lang").join(known, "lang", "left_semi").orderBy("key", "lang").limit(n).groupBy("key", "lang").agg(F.count("*").alias("copies")).collect()
-    chosen = keyed.join(F.broadcast(spark.createDataFrame([tuple(r) for r in picked], "key long, lang string, copies long")), ["key", "lang"]).dropDuplicates(["key", "lang"])
-    shared = spark.sparkContext.broadcast(model)
+def _ordered(bits: np.ndarray) -> np.ndarray:
+    """The bits of doubles as signed numbers in the doubles' order, and those as bits again."""
+    return bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
+
+
+def _measured(rows: DataFrame, model: Identifier) -> DataFrame:
+    """measure, key, n of all rows that have letters, as a written table.
+
+    Measure 0: least cross-entropy as an ordered number, and rows that have it. Measure 1: place in SHARPNESS, and the
+    sum of its losses in millionths, whole ones, so that no order of adding changes them.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        place = {x: k for k, x in enumerate(own.languages)}
         for batch in batches:
-            done = 0
-            for part in shared.value.groups(batch.column(3).to_pylist(), 1_000_000):
-                h, lengths = shared.value.entropies(part)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(done, len(part)) for k in range(3)), pa.array(lengths, pa.int64()), pa.array(list(h), pa.list_(pa.float64()))], names=["key", "lang", "copies", "letters", "h"])
+            langs, done = batch.column(1).to_pylist(), 0
+            for part in own.groups(batch.column(0).to_pylist(), 1_000_000):
+                h, lengths = own.entropies(part)
+                full = np.flatnonzero(lengths > 0)
+                h, lengths, truth = h[full], lengths[full], np.array([place[langs[done + k]] for k in full], dtype=np.int64)
                 done += len(part)
-
-    found = sorted(chosen.select("key", "lang", "copies", "text").mapInArrow(run, "key long, lang string, copies long, letters long, h array<double>").where("letters > 0").collect(), key=lambda r: (r["key"], r["lang"]))
-    place = {x: k for k, x in enumerate(model.languages)}
-    copies = [r["copies"] for r in found]
-    repeat = lambda x, kind: np.repeat(np.array(x, dtype=kind), copies, axis=0)
-    return repeat([r["h"] for r in found], float), repeat([r["letters"] for r in found], int), repeat([place[r["lang"]] for r in found], int)
+                if not len(full):
+                    continue
+                keys, n = np.unique(_ordered(h.min(axis=1).view(np.int64)), return_counts=True)
+                right = (confidence(h, lengths, s)[np.arange(len(h)), truth] for s in SHARPNESS)
+                losses = [int(np.rint(-np.log(np.maximum(p, 1e-9)) * 1e6).sum()) for p in right]
+                kinds = np.repeat(np.array([0, 1], dtype=np.int32), [len(keys), len(SHARPNESS)])
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array([*keys.tolist(), *range(len(SHARPNESS))], pa.int64()), pa.array([*n.tolist(), *losses], pa.int64())], names=["measure", "key", "n"])
+
+    return materialize(rows.select("text", "lang").mapInArrow(run, "measure int, key long, n long"), "language-measures")
+
+
+def _ranked(counts: DataFrame, at: int) -> int:
+    """The key at that place, from 0, of keys in order, each n times: by counts of 65,536 ranges at most, each a part of the one before."""
+    for shift in (48, 32, 16, 0):
+        part = F.shiftright("key", shift)
+        for r in sorted(counts.groupBy(part.alias("part")).agg(F.sum("n").alias("n")).collect()):
+            if at < r["n"]:
+                break
+            at -= r["n"]
+        counts = counts.where(part == r["part"])
+    return r["part"]
+
+
+def _quantile(counts: DataFrame, q: float) -> float:
+    """The quantile of doubles given as ordered numbers (key, n), exact; between two of them by their distance, as in numpy."""
+    place = q * (counts.agg(F.sum("n")).first()[0] - 1)
+    at = int(place)
+    low = _ranked(counts, at)
+    upto, after = counts.agg(F.sum(F.when(F.col("key") <= low, F.col("n"))), F.min(F.when(F.col("key") > low, F.col("key")))).first()
+    a, b = _ordered(np.array([low, low if upto > at + 1 or after is None else after], dtype=np.int64)).view(np.float64)
+    return float(a + (b - a) * (place - at))
 
 
 def identify(docs: DataFrame, model: Identifier, *, doc_id: str = "doc_id", text: str = "text", reject: bool = False, letters: int = 1_000_000) -> DataFrame:

@@ -585,6 +585,37 @@ def test_every_language_and_gram_is_learned(spark):
         assert np.allclose(model.models[at].surprise(asked), plain.surprise(asked), rtol=1e-12)
 
 
+def test_language_calibration_is_over_all_rows(spark):
+    from evidentia.llm.langid import SHARPNESS, confidence, fit
+
+    rng = np.random.default_rng(6)
+    parts = {"aa": ["ta", "ko", "mi", "ra"], "bb": ["te", "ku", "mo", "ra"]}
+    word = lambda p: "".join(rng.choice(parts[p], 3))
+    drawn = [(" ".join(word("aa" if k % 2 else "bb") for _ in range(rng.integers(2, 9))) + f" {k}", "aa" if k % 2 else "bb") for k in range(2_600)]
+    order = spark.createDataFrame(drawn, "text string, lang string").orderBy(F.xxhash64("text")).collect()
+    rows = [(r["text"], r["lang"] if k < 2_000 else {"aa": "bb", "bb": "aa"}[r["lang"]]) for k, r in enumerate(order)]  # the last by digest have the other label
+    rows += [(" ".join(["taqx", "kowz", "rafy", "mogh"][: k % 4 + 1]), "aa") for k in range(8)] + [("12 !", "aa"), ("no language", None)]
+    model = fit(spark.createDataFrame(rows, "text string, lang string").repartition(5))
+    learned = [r for r in rows if r[1]]
+    h, lengths = model.entropies([t for t, _ in learned])
+    full = lengths > 0
+    truth = np.array([model.languages.index(x) for _, x in learned])[full]
+    loss = lambda s: -np.log(np.maximum(confidence(h[full], lengths[full], s)[np.arange(len(truth)), truth], 1e-9)).mean()
+    assert model.sharpness == min(SHARPNESS, key=loss)
+    assert model.ceiling == pytest.approx(1.05 * np.quantile(h[full].min(axis=1), 0.999), rel=1e-9)
+
+
+def test_quantile_of_counted_numbers(spark):
+    from evidentia.llm.langid import _ordered, _quantile
+
+    x = np.concatenate([np.random.default_rng(7).normal(size=500), np.repeat([-0.0, 0.0, 2.5], 40), [1e300, -1e300, 5e-324]])
+    for own in (x, x[:2], x[:1], np.repeat(x[:1], 9)):
+        keys, n = np.unique(_ordered(own.view(np.int64)), return_counts=True)
+        counts = spark.createDataFrame([(int(k), int(c)) for k, c in zip(keys, n, strict=True)] * 2, "key long, n long")  # a key may come several times
+        for q in (0.0, 0.3, 0.5, 0.999, 1.0):
+            assert _quantile(counts, q) == pytest.approx(np.quantile(np.repeat(own, 2), q), rel=1e-12)
+
+
 def test_kneser_ney_is_a_distribution():
     from evidentia.llm.langid import KneserNey, codes, grams, _own
 
