@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .ann_forest import nearest
 from .chat_format import digests, format_conversations
+from .collocations import collocations
 from .common import at_most, materialize, read, shared_dir, word_count
+from .kd_centroids import cluster
 from .langid import fit as fit_languages, identify
 from .license_scan import scan as scan_licenses
 from .mixing import BROADCAST_ROWS, NULL, memberships, mix, source_targets
 from .near_dedup import near_classes
 from .packing import pack
 from .quality import with_verdicts
+from .token_store import read_store, store_path, write_store
 from .warc import archive_path, read_archive, write_archive
 from .toxicity import fit as fit_grammar, score as score_toxicity, training_sample
 
@@ -76,6 +79,20 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
+def op12_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = store_path(shared_dir(spark))
+    write_store(read(spark, sf_dir, "documents"), path)
+    return read_store(spark, path)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(read(spark, sf_dir, "embeddings"))
+
+
 def chat_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations, each turn but the answers as its prompt, under limits on tokens, segments and loss-bearing tokens."""
     turns = read(spark, sf_dir, "conversations")
@@ -96,6 +113,9 @@ LLM_QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_language": op9_language,
     "op10_pack": op10_pack,
+    "op11_phrases": op11_phrases,
+    "op12_token_store": op12_token_store,
+    "op13_centroids": op13_centroids,
     "chat_packing": chat_packing,
 }
 
@@ -140,4 +160,44 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest, CASE
   CASE WHEN page_id <> first THEN first END AS refers_to FROM p LEFT JOIN m ON p.html = m.html
 """
 
-LLM_SQL = {"op1_chat": _CHAT, "op7_warc": _WARC, "op2_quality": _QUALITY}
+_PHRASES = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT rid, lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT row_number() OVER () AS pid, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+x AS (SELECT pid, lang, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+g AS (SELECT lang, word AS a, lead(word) OVER o AS b, lead(word, 2) OVER o AS c, lead(word, 3) OVER o AS d FROM x WINDOW o AS (PARTITION BY pid ORDER BY i)),
+f AS MATERIALIZED (SELECT lang, [a] AS key, count(*) AS f FROM g GROUP BY ALL HAVING f >= 30
+  UNION ALL SELECT lang, [a, b], count(*) AS f FROM g WHERE b IS NOT NULL GROUP BY lang, a, b HAVING f >= 30
+  UNION ALL SELECT lang, [a, b, c], count(*) AS f FROM g WHERE c IS NOT NULL GROUP BY lang, a, b, c HAVING f >= 30
+  UNION ALL SELECT lang, [a, b, c, d], count(*) AS f FROM g WHERE d IS NOT NULL GROUP BY lang, a, b, c, d HAVING f >= 30),
+n AS (SELECT lang, count(*) AS n FROM x GROUP BY lang),
+cut AS (SELECT lang, key, f AS a, unnest(range(1, len(key))) AS k FROM f WHERE len(key) > 1),
+s AS (SELECT c.lang, c.key, c.a, c.k, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a) // (l.f + r.f) AS score
+  FROM cut c JOIN f l ON l.lang = c.lang AND l.key = c.key[1:c.k] JOIN f r ON r.lang = c.lang AND r.key = c.key[c.k + 1:]),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, key ORDER BY score, k) = 1),
+cover AS (SELECT lang, sub, max(f) AS f FROM (SELECT lang, f, key[i:i + m - 1] AS sub FROM (SELECT lang, f, key, m, unnest(range(1, len(key) - m + 2)) AS i FROM (SELECT lang, f, key, unnest(range(2, len(key))) AS m FROM f WHERE len(key) > 2))) GROUP BY ALL),
+kept AS (SELECT b.*, array_to_string(b.key, ' ') AS phrase FROM best b LEFT JOIN cover c ON c.lang = b.lang AND c.sub = b.key WHERE c.f IS NULL OR 100::HUGEINT * c.f < 80::HUGEINT * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept JOIN n USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
+def _centroids(rounds: int = 10) -> str:
+    """The rounds written out: a<k> assigns to the centroids k<k>, from which k<k + 1> follows."""
+    far = "list_sum(list_transform(list_zip(v.x, k.x), lambda p: (p[1] - p[2])::HUGEINT * (p[1] - p[2])))"
+    assign = "a{0} AS MATERIALIZED (SELECT rid, min(struct_pack(d := d, c := c)) AS m FROM (SELECT rid, c, " + far + " AS d FROM v, k{0} k) GROUP BY rid)"
+    move = """s{0} AS (SELECT c, i, floor_div FROM (SELECT c, i, (s - ((s % n) + n) % n) // n AS floor_div FROM (SELECT m.c AS c, i, sum(e) AS s, count(*) AS n FROM (SELECT m, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM a{0} JOIN v USING (rid)) GROUP BY ALL))),
+k{1} AS MATERIALIZED (SELECT k.c, coalesce(n.x, k.x) AS x FROM k{0} k LEFT JOIN (SELECT c, list(floor_div::BIGINT ORDER BY i) AS x FROM s{0} GROUP BY c) n USING (c))"""
+    steps = [x for k in range(rounds) for x in (assign.format(k), move.format(k, k + 1))] + [assign.format(rounds)]
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: isfinite(e::DOUBLE))) = 64),
+k0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, x FROM (SELECT sha256('3:' || vec_id) AS h, x FROM v ORDER BY h LIMIT 8)),
+{",\n".join(steps)},
+i AS (SELECT m.c AS c, sum(m.d) AS own, sum(sum(m.d)) OVER () AS every FROM a{rounds} GROUP BY m.c)
+SELECT vec_id, m.c::INTEGER AS cluster, m.d::BIGINT AS distance, own::BIGINT AS cluster_inertia, every::BIGINT AS inertia, sha256(array_to_string(k.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (rid) JOIN i ON i.c = m.c JOIN k{rounds} k ON k.c = m.c
+"""
+
+
+LLM_SQL = {"op1_chat": _CHAT, "op7_warc": _WARC, "op2_quality": _QUALITY, "op11_phrases": _PHRASES, "op13_centroids": _centroids()}
