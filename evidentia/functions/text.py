@@ -10,11 +10,15 @@ MIXED_METHOD = r"\b(?:[0-9]+[A-Za-z][A-Za-z0-9.-]*|[A-Za-z]+[0-9][A-Za-z0-9.-]*|
 QUOTED = r"['\"]([^'\"]{2,80})['\"]"
 NAMED_PAPER = r"\b(?:the|a|an)\s+([A-Z][A-Za-z0-9².-]{2,}(?:\s+[A-Z][A-Za-z0-9².-]{2,}){0,4})\s+paper\b"
 VENUES = ("ACL", "NAACL", "EMNLP", "CVPR", "ICCV", "ECCV", "ICLR", "ICML", "NeurIPS")
-STOPWORDS = "a an and are as at by for from in into is it of on or paper papers the to via what which with".split()
+STOPWORDS = (
+    "a", "an", "and", "are", "as", "at", "by", "for", "from", "in", "into", "is", "it", "of", "on", "or", "paper", "papers", "the", "to", "via",
+    "what", "which", "with",
+)
 NON_METHOD_TERMS = (
-    "aime alpacaeval ap arkitscenes bench2drive cifar10 coco dfid fid geneval gpu hypersim imagenet ipc kit kitti llava1 llm modelnet40 "
-    "naturalq nuscenes objectron pope qwen rgbd rtdetrv2r50 studentt sun tinyimagenet vlm vlmbased"
-).split()
+    "aime", "alpacaeval", "ap", "arkitscenes", "bench2drive", "cifar10", "coco", "dfid", "fid", "geneval", "gpu", "hypersim", "imagenet", "ipc",
+    "kit", "kitti", "llava1", "llm", "modelnet40", "naturalq", "nuscenes", "objectron", "pope", "qwen", "rgbd", "rtdetrv2r50", "studentt", "sun",
+    "tinyimagenet", "vlm", "vlmbased",
+)
 MAX_MENTIONS = 16
 
 

@@ -84,46 +84,3 @@ def greedy_packages(df: DataFrame, by: str, *, most: int = 12, least: int = 4, p
         return pd.DataFrame(out, columns=[by, "package_id", "place"])
 
     return df.groupBy(by).applyInPandas(run, schema)
-
-
-def coverage_masks(hits: DataFrame, by: str, member: str, bit: str) -> DataFrame:
-    """by, member, mask: the gold items (bit numbers) that each member covers, as bits."""
-    return hits.groupBy(by, member).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(bit).cast("int"))).alias("mask"))
-
-
-def undominated(masks: DataFrame, by: str, member: str) -> DataFrame:
-    """One member per mask (the smallest), without masks that another contains."""
-    own = masks.groupBy(by, "mask").agg(F.min(member).alias(member))
-    other = own.select(by, F.col("mask").alias("_more"))
-    return own.join(other, (own[by] == other[by]) & (F.col("mask") != F.col("_more")) & (F.col("mask").bitwiseOR(F.col("_more")) == F.col("_more")), "left_anti")
-
-
-def max_coverage(masks: DataFrame, by: str, budget: int) -> DataFrame:
-    """by, covered: the most gold items that `budget` members can cover, exactly. masks: by, mask."""
-    schema = f"{by} {masks.schema[by].dataType.simpleString()}, covered long"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        reach = {0}
-        for _ in range(budget):
-            reach |= {a | int(m) for a in reach for m in pdf["mask"].unique()}
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "covered": [max(x.bit_count() for x in reach)]})
-
-    return masks.groupBy(by).applyInPandas(run, schema)
-
-
-def greedy_coverage(masks: DataFrame, by: str, member: str, budget: int, page_cap: int) -> DataFrame:
-    """by, covered: gold items covered when the member that adds most is taken budget times, at most page_cap per page. masks: by, member, page, mask."""
-    schema = f"{by} {masks.schema[by].dataType.simpleString()}, covered long"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, seen, pages = pdf.sort_values(member).to_dict("records"), 0, {}
-        for _ in range(budget):
-            open_ = [r for r in rows if pages.get(r["page"], 0) < page_cap and int(r["mask"]) & ~seen]
-            if not open_:
-                break
-            best = max(open_, key=lambda r: (int(r["mask"]) & ~seen).bit_count())
-            seen |= int(best["mask"])
-            pages[best["page"]] = pages.get(best["page"], 0) + 1
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "covered": [seen.bit_count()]})
-
-    return masks.groupBy(by).applyInPandas(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import html as H, text as T
-from ..operators import joins as J, scoring as S, sections as X, selection as Y
+from ..operators import coverage as C, joins as J, scoring as S, sections as X, selection as Y
 from ..session import table
 from .fixtures import SQL_LINES, lines
 
@@ -161,31 +161,37 @@ def unit_packing(spark, sf_dir):
     return X.pack_units(rows, "conv_id", "turn", target=60, most=90).select("conv_id", "unit", F.size("ids").alias("n_records"), "n_tokens")
 
 
-_MASK = "SELECT l_suppkey AS k, l_partkey AS member, bit_or(1::BIGINT << (l_linenumber - 1)) AS mask FROM lineitem GROUP BY ALL"
+# the parts of each supplier's lines and the orders in which they stand
+_SETS = "SELECT l_suppkey AS k, l_partkey AS member, list_sort(list(DISTINCT l_orderkey)) AS items FROM lineitem GROUP BY ALL"
 
 
-def _masks(spark, sf_dir):
-    return Y.coverage_masks(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("member"), (F.col("l_linenumber") - 1).alias("bit")), "k", "member", "bit")
+def _sets(spark, sf_dir):
+    return C.coverage_sets(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("member"), "l_orderkey"), "k", "member", "l_orderkey")
 
 
-@_query(f"WITH m AS ({_MASK}) SELECT k, member, mask, bit_count(mask)::INT AS covered FROM m")
+@_query(f"WITH m AS ({_SETS}) SELECT k, member, sha256(array_to_string(items, ',')) AS items_sha256, len(items)::INT AS covered FROM m")
 def coverage_bitmask(spark, sf_dir):
-    return _masks(spark, sf_dir).withColumn("covered", F.bit_count("mask"))
+    return _sets(spark, sf_dir).select("k", "member", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), F.size("items").alias("covered"))
 
 
-@_query(f"WITH m AS ({_MASK}), o AS (SELECT k, mask, min(member) AS member FROM m GROUP BY ALL) SELECT k, mask, member FROM o a WHERE NOT EXISTS (SELECT 1 FROM o b WHERE a.k = b.k AND a.mask <> b.mask AND a.mask | b.mask = b.mask)")
+_UNDOMINATED = f"""WITH m AS ({_SETS}), o AS (SELECT k, items, min(member) AS member FROM m GROUP BY ALL), e AS (SELECT k, member, unnest(items) AS x, len(items) AS n FROM o),
+lost AS (SELECT a.k, a.member FROM e a JOIN e b ON a.k = b.k AND a.x = b.x AND b.n > a.n GROUP BY a.k, a.member, b.member, a.n HAVING count(*) = a.n), u AS (SELECT * FROM o ANTI JOIN lost USING (k, member))"""
+
+
+@_query(f"{_UNDOMINATED} SELECT k, member, sha256(array_to_string(items, ',')) AS items_sha256 FROM u")
 def dominated_mask_antijoin(spark, sf_dir):
-    return Y.undominated(_masks(spark, sf_dir), "k", "member")
+    return C.undominated(_sets(spark, sf_dir), "k", "member").select("k", "member", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
 
 
-@_query()
+@_query(f"""{_UNDOMINATED}, w AS (SELECT k, member, unnest(items) AS x, len(items) AS n FROM u), c AS (SELECT a.k, a.member AS a, b.member AS b, count(*) AS n FROM w a JOIN w b ON a.k = b.k AND a.x = b.x AND a.member <= b.member GROUP BY ALL)
+SELECT a.k, max(len(a.items) + len(b.items) - coalesce(c.n, 0))::BIGINT AS covered FROM u a JOIN u b ON a.k = b.k AND a.member <= b.member LEFT JOIN c ON c.k = a.k AND c.a = a.member AND c.b = b.member GROUP BY a.k""")
 def max_coverage_dp(spark, sf_dir):
-    return Y.max_coverage(_masks(spark, sf_dir), "k", 2)
+    return C.max_coverage(_sets(spark, sf_dir), "k", "member", 2).select("k", "covered")
 
 
 @_query()
 def greedy_coverage(spark, sf_dir):
-    return Y.greedy_coverage(_masks(spark, sf_dir).withColumn("page", F.col("member") % 5), "k", "member", 3, 1)
+    return C.greedy_coverage(_sets(spark, sf_dir).withColumn("page", F.col("member") % 5), "k", "member", 3, 1)
 
 
 @_query(f"""

@@ -1,11 +1,15 @@
 """Hand-worked cases of the library's operators."""
 
+import collections
+import itertools
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import json_tools as J, labels as L, text as T
-from evidentia.operators import evaluation as E, fuzzy, scoring as S, sections as X, selection as Y
+from evidentia.operators import coverage as C, evaluation as E, fuzzy, scoring as S, sections as X, selection as Y
 from evidentia.plans.evidence import EvidenceOptions, evidence, records_of, routed, units
 from evidentia.sources import jsonl, providers
 from evidentia.streaming import incremental
@@ -83,11 +87,51 @@ def test_budgets(spark):
     assert sorted(r["k"] for r in Y.skip_budget(rows, "q", "k", "n", 85, "k").collect()) == [0, 2]
 
 
-def test_masks(spark):
-    rows = spark.createDataFrame([("q", 1, 0b011), ("q", 2, 0b001), ("q", 3, 0b100)], "q string, m long, mask long")
-    assert sorted(r["mask"] for r in Y.undominated(rows, "q", "m").collect()) == [0b011, 0b100]
-    rows = spark.createDataFrame([("q", 0b1100), ("q", 0b0111), ("q", 0b1001)], "q string, mask long")
-    assert Y.max_coverage(rows, "q", 2).first()["covered"] == 4
+def _covered(sets, budget):
+    return max((len(set().union(*c)) for n in range(budget + 1) for c in itertools.combinations(sets, n)), default=0)
+
+
+def test_coverage_sets(spark):
+    rows = spark.createDataFrame([("q", 1, [0, 1]), ("q", 2, [0]), ("q", 3, [2]), ("q", 4, [0, 1]), ("r", 1, [])], "q string, m long, items array<long>")
+    assert sorted((r["m"], r["items"]) for r in C.undominated(rows, "q", "m").collect()) == [(1, [0, 1]), (3, [2])]
+    got = {r["q"]: r for r in C.max_coverage(rows, "q", "m", 2).collect()}
+    assert (got["q"]["covered"], got["q"]["members"]) == (3, [1, 3]) and (got["r"]["covered"], got["r"]["members"]) == (0, [])
+    hits = spark.createDataFrame([("q", 1, 5), ("q", 1, 5), ("q", 1, 3), ("q", 2, None)], "q string, m long, x long")
+    assert sorted((r["m"], r["items"]) for r in C.coverage_sets(hits, "q", "m", "x").collect()) == [(1, [3, 5]), (2, [])]
+
+
+@pytest.mark.parametrize("items", [70, 500])
+def test_coverage_of_many_items(spark, items):
+    """Beyond the bits of a long: members {0, 63} and {1} cover three items; random sets against brute force."""
+    rng = random.Random(items)
+    few = [[0, 63], [1]]
+    some = [sorted(rng.sample(range(items), rng.randint(1, items // 3))) for _ in range(14)]
+    rows = spark.createDataFrame([(q, k, own) for q, sets in (("a", few), ("b", some)) for k, own in enumerate(sets)], "q string, m long, items array<long>")
+    for budget in (2, 3):
+        got = {r["q"]: r for r in C.max_coverage(rows, "q", "m", budget).collect()}
+        assert got["a"]["covered"] == 3 and got["b"]["covered"] == _covered(some, budget)
+        assert len(got["b"]["members"]) <= budget and len(set().union(*(some[m] for m in got["b"]["members"]))) == got["b"]["covered"]
+    kept = {r["m"] for r in C.undominated(rows.where("q = 'b'"), "q", "m").collect()}
+    assert kept == {k for k, own in enumerate(some) if not any(set(own) < set(o) or own == o and j < k for j, o in enumerate(some))}
+
+
+def test_greedy_coverage_against_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(q, m, rng.choice([None, 1, 2]), sorted(rng.sample(range(80), rng.randint(0, 30))), rng.choice([None, 0.1, 0.5])) for q in "abc" for m in range(12)]
+    got = {r["q"]: r["covered"] for r in C.greedy_coverage(spark.createDataFrame(rows, "q string, m long, page long, items array<long>, s double"), "q", "m", 4, 1, "s").collect()}
+    for q in "abc":
+        own = [r for r in rows if r[0] == q and r[3]]
+        own = [r for r in own if not any(set(r[3]) < set(o[3]) or r[3] == o[3] and o[1] < r[1] for o in own)]
+        seen, pages = set(), collections.Counter()
+        for _ in range(4):
+            open_ = [r for r in own if pages[r[2]] < 1 and set(r[3]) - seen]
+            if not open_:
+                break
+            best = max(open_, key=lambda r: (len(set(r[3]) - seen), len(r[3]), -1.0 if r[4] is None else r[4], -r[1]))
+            own.remove(best)
+            seen |= set(best[3])
+            pages[best[2]] += 1
+        assert got[q] == len(seen)
 
 
 def test_quota_evicts(spark):
