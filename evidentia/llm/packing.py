@@ -81,7 +81,29 @@ class ChunkTokenizer:
         """Empties the memory."""
         self.known, self.words = _Memory(), {}
         self.pool, self.used = np.zeros(1 << 20, dtype="<u4"), 0
-        self.starts, self.lengths = np.zeros(1 << 18, dtype=np.int64), np.zeros(1 << 18, dtype=np.int64)
+        self.starts, self.lengths, self.uses = (np.zeros(1 << 18, dtype=np.int64) for _ in range(3))
+
+    def trim(self) -> None:
+        """Keeps what was used most since the last time, at most half of the memory's chunks; of words without their marks as many as the memory has."""
+        names, n, words = list(self.known), len(self.known), self.words
+        kept = np.flatnonzero(self.uses[:n] > 1)
+        if len(kept) > self.memory // 2:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: self.memory // 2]])
+        lengths, starts = self.lengths[kept], self.starts[kept]
+        ends = np.cumsum(lengths)
+        pool = self.pool[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        self.forget()
+        self.words = words if len(words) <= self.memory else {}
+        self.known.update(zip((names[k] for k in kept), range(len(kept)), strict=True))
+        self._room(len(kept), len(pool))
+        self.lengths[: len(kept)], self.starts[: len(kept)] = lengths, ends - lengths
+        self.pool[: len(pool)], self.used = pool, len(pool)
+
+    def _room(self, chunks: int, ids: int) -> None:
+        while len(self.starts) < chunks:
+            self.starts, self.lengths, self.uses = (np.append(x, np.zeros_like(x)) for x in (self.starts, self.lengths, self.uses))
+        while len(self.pool) < ids:
+            self.pool = np.append(self.pool, np.zeros_like(self.pool))
 
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -105,10 +127,7 @@ class ChunkTokenizer:
         n, first = len(found), len(self.known) - len(found)
         lengths = np.fromiter(map(len, found), dtype=np.int64, count=n)
         total = int(lengths.sum())
-        while len(self.starts) < first + n:
-            self.starts, self.lengths = np.append(self.starts, np.zeros_like(self.starts)), np.append(self.lengths, np.zeros_like(self.lengths))
-        while len(self.pool) < self.used + total:
-            self.pool = np.append(self.pool, np.zeros_like(self.pool))
+        self._room(first + n, self.used + total)
         self.lengths[first : first + n] = lengths
         self.starts[first : first + n] = self.used + np.cumsum(lengths) - lengths
         self.pool[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(found), dtype="<u4", count=total)
@@ -118,7 +137,7 @@ class ChunkTokenizer:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """One array of ids per text; null: empty."""
         if len(self.known) > self.memory:
-            self.forget()
+            self.trim()
         counts, flat, plain = [], [], {}
         for k, t in enumerate(texts):
             before = len(flat)
@@ -132,6 +151,7 @@ class ChunkTokenizer:
         part = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
         if self.known.new:
             self._learn()
+        self.uses[: len(self.known)] += np.bincount(part, minlength=len(self.known))
         lengths = self.lengths[part]
         ends = np.cumsum(lengths)
         gathered = self.pool[np.repeat(self.starts[part] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]

@@ -67,7 +67,7 @@ def train(rows: DataFrame, *, tokenizer_path: str | None, end_id: int, width: in
                 block = zlib.crc32(ids.tobytes()) % (len(ids) // SAMPLE_IDS + 1)
                 found.append(_ids(ids, end_id, width)[block * SAMPLE_IDS * width : (block + 1) * SAMPLE_IDS * width])
             yield pa.RecordBatch.from_pydict({"block": pa.array(found, pa.binary())})
-        tokenizer.forget()
+        tokenizer.trim()
         release()
 
     blocks = sorted(r[0] for r in sample.mapInArrow(run, "block binary").collect())
@@ -112,7 +112,7 @@ def write_store(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str
                     frames.append(frame)
                 yield pa.RecordBatch.from_pydict({"part": pa.array(frames, pa.binary())})
         yield pa.RecordBatch.from_pydict({"part": pa.array([b"".join(index), struct.pack(_FOOTER, offset, len(index), before, _MAGIC)], pa.binary())})
-        tokenizer.forget()
+        tokenizer.trim()
         release()
 
     with small_batches(spark):
