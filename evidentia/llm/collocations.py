@@ -25,8 +25,10 @@ from .common import drop_written, materialize, release, small_batches
 #: Lower case for A-Z only; what ends a piece becomes a byte that UTF-8 never holds; tabs become spaces.
 _LETTERS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0a\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz" + b"\xff" * 10 + b" ")
 _GAP = b"\xff"
-#: Positions in a block of a bitmap, and in a shard: block numbers fit two bytes.
-_BLOCK, SHARD = 16, 1 << 20
+#: Positions in a block of a stored bitmap, in one that is worked on (fewer words share it), and in a shard: stored block numbers fit two bytes.
+_STORED, _BLOCK, SHARD = 16, 8, 1 << 20
+#: Bits for a word's place in a shard, and for a shard's number in its task.
+_PLACE = 20
 #: Bytes of a text that are split into words at once, and pairs of blocks that are ANDed at once.
 _SLICE, _ANDS = 1 << 20, 1 << 21
 #: First words are extended together up to so many blocks.
@@ -93,9 +95,9 @@ class _Writer:
         ids, n = np.concatenate(self.parts), len(self.vocabulary)
         places = np.flatnonzero(ids >= 0)
         places = places[np.argsort(ids[places], kind="stable")]
-        word, block = ids[places].astype(np.int64), places // _BLOCK
+        word, block = ids[places].astype(np.int64), places // _STORED
         starts = np.flatnonzero(np.diff(word * (1 << 32) + block, prepend=-1))
-        bits = (1 << (places % _BLOCK)).astype(np.int64)
+        bits = (1 << (places % _STORED)).astype(np.int64)
         masks = np.add.reduceat(bits, starts) if len(starts) else bits
         own = ids[: self.have]
         columns = {
@@ -118,7 +120,7 @@ def shards(docs: DataFrame, *, text: str, lang: str, longest: int, positions: in
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = _Writer(TaskContext.get().partitionId() << 32, positions, longest - 1)
+        writer = _Writer(TaskContext.get().partitionId() << _PLACE, positions, longest - 1)
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 before: list[bytes] = []
@@ -137,42 +139,52 @@ def shards(docs: DataFrame, *, text: str, lang: str, longest: int, positions: in
 
 
 class Bitmaps:
-    """A shard's bitmaps of the words that are left, and their extensions."""
+    """A shard's bitmaps of the words that are left, in blocks of 8 positions, and their extensions."""
 
-    def __init__(self, own: int, ends: np.ndarray, blocks: np.ndarray, masks: np.ndarray, slots: np.ndarray, names: np.ndarray):
+    def __init__(self, own: int, ends: np.ndarray, blocks: np.ndarray, masks: np.ndarray, slots: np.ndarray, names: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None):
+        """first, last: the only numbers of words that may begin a phrase, and that may go on with one."""
         lengths = np.diff(ends, prepend=0)
-        dense = np.full(len(ends), -1, dtype=np.int64)
-        dense[slots] = np.arange(len(slots))
+        dense = np.full(len(ends), -1, dtype=np.int32)
+        dense[slots] = np.arange(len(slots), dtype=np.int32)
         word = np.repeat(dense, lengths)
         held = word >= 0
         order = np.argsort(word[held], kind="stable")
+        word, block, mask = word[held][order], blocks[held][order].astype(np.int32), masks[held][order]
+        mask = np.column_stack([mask & 0xFF, mask >> _BLOCK]).ravel().astype(np.uint8)
+        word, block = np.repeat(word, 2), np.column_stack([2 * block, 2 * block + 1]).ravel()
+        held = mask > 0
         self.names, self.n = names, len(names)
-        self.word, self.block, self.mask = word[held][order], blocks[held][order].astype(np.int64), masks[held][order].astype(np.uint16)
-        inside = np.where(self.block == own // _BLOCK, (1 << own % _BLOCK) - 1, np.where(self.block < own // _BLOCK, 0xFFFF, 0)).astype(np.uint16)
+        self.word, self.block, self.mask = word[held], block[held], mask[held]
+        inside = np.where(self.block == own // _BLOCK, (1 << own % _BLOCK) - 1, np.where(self.block < own // _BLOCK, 0xFF, 0)).astype(np.uint8)
         self.starts = self.mask & inside  # a phrase starts at one of the shard's own positions
-        self.size = (own + _BLOCK) // _BLOCK + 1
+        self.size = (own + _STORED) // _BLOCK + 1
+        self.first, self.last = (np.isin(np.arange(self.n), x) if x is not None else None for x in (first, last))
         self.shifted: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def back(self, by: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All bitmaps shifted back by so many positions, by block: where a block's entries begin, their words and masks."""
+        """All bitmaps that may go on with a phrase shifted back by so many positions, by block: where a block's entries begin, their words and masks."""
         if by not in self.shifted:
-            wide = self.mask.astype(np.int64)
-            word, block, mask = np.concatenate([self.word, self.word]), np.concatenate([self.block, self.block - 1]), np.concatenate([wide >> by, (wide << (_BLOCK - by)) & 0xFFFF])
+            word, block, mask = self.word, self.block, self.mask
+            if self.last is not None:
+                held = self.last[word]
+                word, block, mask = word[held], block[held], mask[held]
+            whole, rest = divmod(by, _BLOCK)
+            word, block, mask = np.concatenate([word, word]), np.concatenate([block - whole, block - whole - 1]), np.concatenate([mask >> rest, mask << (_BLOCK - rest)])
             held = np.flatnonzero((mask > 0) & (block >= 0))
             held = held[np.argsort(block[held], kind="stable")]
-            self.shifted[by] = np.searchsorted(block[held], np.arange(self.size + 1)), word[held], mask[held].astype(np.uint16)
+            self.shifted[by] = np.searchsorted(block[held], np.arange(self.size + 1)).astype(np.int32), word[held], mask[held]
         return self.shifted[by]
 
     def step(self, phrase: np.ndarray, block: np.ndarray, mask: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Every phrase's bitmap ANDed with every word's, shifted: what isn't empty, as phrase, word, block and mask."""
         begin, word, other = self.back(by)
         first, counts = begin[block], begin[block + 1] - begin[block]
-        reached, out = np.cumsum(counts), []
+        reached, out = np.cumsum(counts, dtype=np.int64), []
         cuts = np.searchsorted(reached, np.arange(_ANDS, reached[-1] + _ANDS, _ANDS)) + 1 if len(counts) else []
         for a, b in zip([0, *cuts[:-1]], cuts, strict=False):
             n = counts[a:b]
-            entry = np.repeat(np.arange(a, min(b, len(counts))), n)
-            place = np.repeat(first[a:b] - np.cumsum(n) + n, n) + np.arange(len(entry))
+            entry = np.repeat(np.arange(a, min(b, len(counts)), dtype=np.int32), n)
+            place = np.repeat(first[a:b] - np.cumsum(n, dtype=np.int32) + n, n) + np.arange(len(entry), dtype=np.int32)
             both = mask[entry] & other[place]
             held = np.flatnonzero(both)
             out.append((phrase[entry[held]], word[place[held]], block[entry[held]], both[held]))
@@ -185,31 +197,38 @@ class Bitmaps:
         while a < len(self.word):
             b = int(ends[max(self.word[a], np.searchsorted(ends, a + _RUN, side="right") - 1)])  # whole words, one at least
             run = slice(a, b)
-            held = np.flatnonzero(self.starts[run])
+            held = np.flatnonzero(self.starts[run] if self.first is None else np.where(self.first[self.word[run]], self.starts[run], 0))
             words, phrase = np.arange(self.word[a], self.word[b - 1] + 1)[:, None], self.word[run][held] - self.word[a]
             block, mask = self.block[run][held], self.starts[run][held]
             a = b
             for by in range(1, longest):
+                if by > 1 and self.first is not None:
+                    held = np.flatnonzero(self.first[words[phrase, -1]])
+                    phrase, block, mask = phrase[held], block[held], mask[held]
                 phrase, word, block, mask = self.step(phrase, block, mask, by)
                 if allowed is not None:
-                    pair = words[phrase, -1] * self.n + word
+                    pair = words[phrase, -1].astype(np.int64) * self.n + word
                     at = np.searchsorted(allowed, pair)
                     may = np.flatnonzero(allowed[np.minimum(at, len(allowed) - 1)] == pair) if len(allowed) else at[:0]
                     phrase, word, block, mask = phrase[may], word[may], block[may], mask[may]
                 if not len(phrase):
                     break
-                key = phrase * self.n + word
+                key = phrase.astype(np.int64) * self.n + word
                 order = np.argsort(key, kind="stable")
                 key, phrase, word, block, mask = key[order], phrase[order], word[order], block[order], mask[order]
                 first = np.flatnonzero(np.diff(key, prepend=-1))
                 words = np.hstack([words[phrase[first]], word[first][:, None]])
-                phrase = np.repeat(np.arange(len(first)), np.diff(first, append=len(key)))
+                phrase = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(first, append=len(key)))
                 yield self.names[words], np.add.reduceat(np.bitwise_count(mask).astype(np.int64), first)
 
 
-def _bitmaps(row: dict[str, np.ndarray]) -> Bitmaps:
+def _bitmaps(row: dict[str, np.ndarray]) -> tuple[Bitmaps, np.ndarray]:
+    """A shard's bitmaps; of the pairs that may stand in phrases, if the row has any, the two words' numbers."""
     order = np.argsort(row["names"])  # names in order, so that a name's number is found by bisection
-    return Bitmaps(row["own"], row["ends"].astype(np.int64), row["blocks"], row["masks"], row["slots"][order], row["names"][order])
+    names = row["names"][order]
+    pairs = np.searchsorted(names, row["pairs"]) if "pairs" in row else None
+    limits = () if pairs is None else (pairs[:, 0], pairs[:, 1])
+    return Bitmaps(row["own"], row["ends"].astype(np.int64), row["blocks"], row["masks"], row["slots"][order], names, *limits), pairs
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -227,15 +246,14 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in _rows(batches):
-        for words, n in _bitmaps(row).grow(2):
+        for words, n in _bitmaps(row)[0].grow(2):
             yield pa.RecordBatch.from_pydict({"shard": np.full(len(n), row["shard"], dtype=np.int64), "w1": words[:, 0], "w2": words[:, 1], "n": n})
     release()
 
 
 def _longer(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
     for row in _rows(batches):
-        maps = _bitmaps(row)
-        pairs = np.searchsorted(maps.names, row["pairs"])
+        maps, pairs = _bitmaps(row)
         for words, n in maps.grow(longest, np.sort(pairs[:, 0] * maps.n + pairs[:, 1])):
             if words.shape[1] > 2:
                 key = pa.ListArray.from_arrays(pa.array(np.arange(0, words.size + 1, words.shape[1]), pa.int32()), pa.array(words.ravel(), pa.int64()))
@@ -247,18 +265,22 @@ def phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: i
     """Three written tables: words (id, lang, word, f), phrases (key: the ids of 2 to `longest` words, f) with f of at least `least`, and languages (lang, n)."""
     spark = docs.sparkSession
     made = shards(docs, text=text, lang=lang, longest=longest, positions=min(positions, SHARD - longest))
-    local = made.select("shard", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("slot", "x")).select("shard", "slot", F.col("x.langs").alias("lang"), F.col("x.words").alias("word"), F.col("x.counts").alias("f"))
-    counted = materialize(local.groupBy("lang", "word").agg(F.sum("f").alias("f")), "words")
-    languages = materialize(counted.groupBy("lang").agg(F.sum("f").alias("n")), "languages")
-    words = materialize(counted.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "frequent-words")
-    drop_written(counted)
-    named = local.drop("f").join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("slot", "id")).alias("x"))
-    held = materialize(made.drop("langs", "words", "counts").join(named.select("shard", F.col("x.slot").alias("slots"), F.col("x.id").alias("names")), "shard"), "named-shards")
+    at = F.shiftleft("shard", _PLACE).bitwiseOR(F.col("slot")).alias("at")
+    local = made.select("shard", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("slot", "x")).select("shard", "slot", at, F.col("x.langs").alias("lang"), F.col("x.words").alias("word"), F.col("x.counts").alias("f"))
+    languages = materialize(local.groupBy("lang").agg(F.sum("f").alias("n")), "languages")
+    same = Window.partitionBy("lang", "word")  # a row for each shard at most; the first one's place names the word
+    named = local.withColumn("f", F.sum("f").over(same)).withColumn("id", F.min("at").over(same)).where(F.col("f") >= least)
+    own = F.col("at") == F.col("id")
+    named = materialize(named.select("shard", "slot", "id", *[F.when(own, F.col(c)).alias(c) for c in ("lang", "word", "f")]), "frequent-words")
+    words = named.where("f IS NOT NULL").select("id", "lang", "word", "f")
+    grouped = named.groupBy("shard").agg(F.collect_list(F.struct("slot", "id")).alias("x"))
+    held = materialize(made.drop("langs", "words", "counts").join(grouped.select("shard", F.col("x.slot").alias("slots"), F.col("x.id").alias("names")), "shard"), "named-shards")
     drop_written(made)
     with small_batches(spark, 4):
-        pairs = held.mapInArrow(_pairs, "shard long, w1 long, w2 long, n long").withColumn("f", F.sum("n").over(Window.partitionBy("w1", "w2")))
-        pairs = materialize(pairs.where(F.col("f") >= least).drop("n"), "pairs")
-        two = pairs.groupBy("w1", "w2").agg(F.first("f").alias("f")).select(F.array("w1", "w2").alias("key"), "f")
+        same = Window.partitionBy("w1", "w2")
+        pairs = held.mapInArrow(_pairs, "shard long, w1 long, w2 long, n long").withColumn("f", F.sum("n").over(same)).withColumn("first", F.min("shard").over(same))
+        pairs = materialize(pairs.where(F.col("f") >= least).select("shard", "w1", "w2", F.when(F.col("shard") == F.col("first"), F.col("f")).alias("f")), "pairs")
+        two = pairs.where("f IS NOT NULL").select(F.array("w1", "w2").alias("key"), "f")
         if longest < 3:
             found = two
         else:
