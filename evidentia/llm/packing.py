@@ -11,6 +11,7 @@ import functools
 import itertools
 import json
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -27,6 +29,8 @@ from .common import release
 #: Texts with these take the tokenizer's plain way: control characters that only Python takes for white space, starts
 #: of special tokens, and a letter whose lower case depends on its place.
 _PLAIN = ("<|", "\u03a3", "\x1c", "\x1d", "\x1e", "\x1f")
+#: Scripts whose letters the two libraries may class differently.
+_OTHER_SCRIPTS = re.compile("[\u0530-\U0010ffff]")
 #: What the fast way relies on, besides a splitting pattern that never crosses white space.
 _NORMALIZERS, _PRE_TOKENIZERS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
 
@@ -50,12 +54,25 @@ class _Memory(dict):
         return n
 
 
+class _Words(dict):
+    """Ids of words between marks, from the vocabulary's merges; of a line end -1."""
+
+    def __init__(self, model):
+        self.model, self["\n"] = model, [-1]
+        self.letters = _byte_letters()
+
+    def __missing__(self, word: str) -> list[int]:
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        self[word] = found = [t.id for t in self.model.tokenize(shown)]
+        return found
+
+
 class ChunkTokenizer:
     """Ids of whole texts, through a bounded memory of lower-case chunks between white space.
 
     The tokenizer normalises, lower-cases and never joins characters across white space, so a text's ids are its
-    chunks' ids in a row. A chunk not met before goes straight to the vocabulary's merges. Texts and chunks for which
-    this could differ from the tokenizer, and tokenizers of another build, take its plain way.
+    chunks' ids in a row. Chunks not met before are cut into words together and go straight to the vocabulary's merges.
+    Texts and chunks for which this could differ from the tokenizer, and tokenizers of another build, take its plain way.
     """
 
     def __init__(self, path: str | None = None, memory: int = 250_000):
@@ -73,13 +90,12 @@ class ChunkTokenizer:
         pre = (built.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.fast = norm == _NORMALIZERS and [x["type"] for x in pre] == _PRE_TOKENIZERS and built["model"]["type"] == "BPE"
         if self.fast:
-            self.split = regex.compile(pre[0]["pattern"]["Regex"])
-        self.letters = _byte_letters()
+            self.split = regex.compile(pre[0]["pattern"]["Regex"] + r"|\n")
         self.forget()
 
     def forget(self) -> None:
         """Empties the memory."""
-        self.known, self.words = _Memory(), {}
+        self.known, self.words = _Memory(), _Words(self.tokenizer.model)
         self.pool, self.used = np.zeros(1 << 20, dtype="<u4"), 0
         self.starts, self.lengths, self.uses = (np.zeros(1 << 18, dtype=np.int64) for _ in range(3))
 
@@ -93,7 +109,7 @@ class ChunkTokenizer:
         ends = np.cumsum(lengths)
         pool = self.pool[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
         self.forget()
-        self.words = words if len(words) <= self.memory else {}
+        self.words = words if len(words) <= self.memory else self.words
         self.known.update(zip((names[k] for k in kept), range(len(kept)), strict=True))
         self._room(len(kept), len(pool))
         self.lengths[: len(kept)], self.starts[: len(kept)] = lengths, ends - lengths
@@ -108,57 +124,64 @@ class ChunkTokenizer:
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _word(self, word: str) -> list[int]:
-        found = self.words.get(word)
-        if found is None:
-            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            found = self.words[word] = [t.id for t in self.tokenizer.model.tokenize(shown)]
-        return found
-
-    def _chunk(self, chunk: str) -> list[int]:
-        if max(chunk) >= "\u0530":  # scripts whose letters the two libraries may class differently
-            return self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        if chunk.isalpha():
-            return self._word(chunk)
-        return [i for w in self.split.findall(chunk) for i in self._word(w)]
-
     def _learn(self) -> None:
-        found = [self._chunk(c) for c in self.known.new]
-        n, first = len(found), len(self.known) - len(found)
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=n)
-        total = int(lengths.sum())
-        self._room(first + n, self.used + total)
-        self.lengths[first : first + n] = lengths
-        self.starts[first : first + n] = self.used + np.cumsum(lengths) - lengths
-        self.pool[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(found), dtype="<u4", count=total)
-        self.used += total
+        new, first = self.known.new, len(self.known) - len(self.known.new)
         self.known.new = []
+        lines = "\n".join(new)
+        odd = {k: self._plain(c) for k, c in enumerate(new) if _OTHER_SCRIPTS.search(c)} if _OTHER_SCRIPTS.search(lines) else {}
+        if odd:
+            lines = "\n".join("" if k in odd else c for k, c in enumerate(new))
+        ids = np.array(list(itertools.chain.from_iterable(map(self.words.__getitem__, self.split.findall(lines + "\n")))), dtype=np.int64)
+        ends = np.flatnonzero(ids < 0)
+        lengths = np.diff(ends, prepend=-1) - 1
+        ids = np.concatenate([ids[ids >= 0], *odd.values()]).astype("<u4")
+        self._room(first + len(new), self.used + len(ids))
+        self.lengths[first : first + len(new)] = lengths
+        self.starts[first : first + len(new)] = self.used + np.cumsum(lengths) - lengths
+        behind = self.used + int(lengths.sum())
+        for k, own in odd.items():
+            self.starts[first + k], self.lengths[first + k] = behind, len(own)
+            behind += len(own)
+        self.pool[self.used : behind], self.used = ids, behind
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """One array of ids per text; null: empty."""
+        """One array of ids per text; null: empty. Some thousand texts at once are faster than few."""
         if len(self.known) > self.memory:
             self.trim()
-        counts, flat, plain = [], [], {}
+        lows, plain = [], {}
         for k, t in enumerate(texts):
-            before = len(flat)
-            if t:
-                low = unicodedata.normalize("NFC", t).lower()
-                if not self.fast or any(x in t for x in _PLAIN) or not unicodedata.is_normalized("NFC", low):
-                    plain[k] = self._plain(t)
-                else:
-                    flat += low.split()
-            counts.append(len(flat) - before)
-        part = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
+            low = unicodedata.normalize("NFC", t).lower() if t else ""
+            if t and (not self.fast or any(x in t for x in _PLAIN) or not unicodedata.is_normalized("NFC", low)):
+                plain[k] = self._plain(t)
+                low = ""
+            lows.append(low)
+        split = pc.utf8_split_whitespace(pa.array(lows, pa.string()))
+        found = split.flatten().dictionary_encode()
+        names = found.dictionary.to_pylist()
+        own = np.fromiter(map(self.known.__getitem__, names), dtype=np.int64, count=len(names))
         if self.known.new:
             self._learn()
-        self.uses[: len(self.known)] += np.bincount(part, minlength=len(self.known))
+        place = found.indices.to_numpy()
+        self.uses[own] += np.bincount(place, minlength=len(names))
+        part = own[place]
         lengths = self.lengths[part]
         ends = np.cumsum(lengths)
         gathered = self.pool[np.repeat(self.starts[part] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
+        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()]
         return [plain[k] if k in plain else gathered[bounds[k] : bounds[k + 1]] for k in range(len(texts))]
 
 
+def parts(batch: pa.RecordBatch, rows: int = 2048, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows whose texts (strings in any column) have about so many bytes, one row at least."""
+    bytes_ = sum((np.diff(np.frombuffer(c.buffers()[1], dtype="<i4" if c.type == pa.string() else "<i8")[c.offset : c.offset + len(c) + 1]) for c in batch.columns if c.type in (pa.string(), pa.large_string()) and len(c)), start=np.zeros(batch.num_rows, dtype=np.int64))
+    at, reached = 0, np.cumsum(bytes_)
+    while at < batch.num_rows:
+        end = int(np.searchsorted(reached, (reached[at - 1] if at else 0) + size, side="right"))
+        end = min(max(end, at + 1), at + rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 @functools.lru_cache(maxsize=1)
 def tokenizer_of(path: str | None) -> ChunkTokenizer:
     """One tokenizer per Python worker, kept from task to task."""
@@ -289,8 +312,7 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", prompt:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in _SCHEMA.split(", ")])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256).to_pydict()
+            for part in map(pa.RecordBatch.to_pydict, parts(batch)):
                 heads = tokenizer.encode(part["prompt"]) if prompt else [_NONE] * len(part["doc_id"])
                 for doc, ids, head in zip(part["doc_id"], tokenizer.encode(part["text"]), heads, strict=True):
                     ids = np.concatenate([head, ids, [end_id]]).astype("<u4")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import materialize, release, small_batches
-from .packing import ChunkTokenizer
+from .packing import ChunkTokenizer, parts
 
 _MAGIC = b"TKZ1"
 _HEADER, _ENTRY, _FOOTER = "<4s32sQ", "<6q", "<3q4s"
@@ -103,8 +103,8 @@ def write_store(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str
         index, offset, before = [], len(head) + 1, 0
         yield pa.RecordBatch.from_pydict({"part": pa.array([head], pa.binary())})
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part, frames = batch.slice(k, 256).to_pydict(), []
+            for part in map(pa.RecordBatch.to_pydict, parts(batch)):
+                frames = []
                 for doc, ids in zip(part["doc_id"], tokenizer.encode(part["text"]), strict=True):
                     frame, n = press.compress(_ids(ids, end_id, width)), len(ids) + 1
                     index.append(struct.pack(_ENTRY, doc or 0, doc is None, before, n, offset, len(frame)))
@@ -115,7 +115,7 @@ def write_store(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str
         tokenizer.trim()
         release()
 
-    with small_batches(spark):
+    with small_batches(spark, 4096):
         dealt.select("doc_id", "text").mapInArrow(run, "part binary").select(F.col("part").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/data")
 
 
