@@ -100,8 +100,8 @@ class ChunkTokenizer:
         self.starts, self.lengths, self.uses = (np.zeros(1 << 18, dtype=np.int64) for _ in range(3))
 
     def trim(self) -> None:
-        """Keeps what was used most since the last time, at most half of the memory's chunks; of words without their marks as many as the memory has."""
-        names, n, words = list(self.known), len(self.known), self.words
+        """Keeps the chunks that were used most since the last time, at most half of the memory."""
+        names, n = list(self.known), len(self.known)
         kept = np.flatnonzero(self.uses[:n] > 1)
         if len(kept) > self.memory // 2:
             kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: self.memory // 2]])
@@ -109,7 +109,6 @@ class ChunkTokenizer:
         ends = np.cumsum(lengths)
         pool = self.pool[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
         self.forget()
-        self.words = words if len(words) <= self.memory else self.words
         self.known.update(zip((names[k] for k in kept), range(len(kept)), strict=True))
         self._room(len(kept), len(pool))
         self.lengths[: len(kept)], self.starts[: len(kept)] = lengths, ends - lengths
@@ -171,7 +170,7 @@ class ChunkTokenizer:
         return [plain[k] if k in plain else gathered[bounds[k] : bounds[k + 1]] for k in range(len(texts))]
 
 
-def parts(batch: pa.RecordBatch, rows: int = 2048, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, rows: int = 2048, size: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most so many rows whose texts (strings in any column) have about so many bytes, one row at least."""
     bytes_ = sum((np.diff(np.frombuffer(c.buffers()[1], dtype="<i4" if c.type == pa.string() else "<i8")[c.offset : c.offset + len(c) + 1]) for c in batch.columns if c.type in (pa.string(), pa.large_string()) and len(c)), start=np.zeros(batch.num_rows, dtype=np.int64))
     at, reached = 0, np.cumsum(bytes_)

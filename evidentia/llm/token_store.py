@@ -40,7 +40,7 @@ _TOKENIZERS: dict[tuple, ChunkTokenizer] = {}
 
 def _tokenizer(path: str | None) -> ChunkTokenizer:
     """One per Python worker, kept from task to task."""
-    return _TOKENIZERS.get(path) or _TOKENIZERS.setdefault(path, ChunkTokenizer(path, memory=500_000))
+    return _TOKENIZERS.get(path) or _TOKENIZERS.setdefault(path, ChunkTokenizer(path))
 
 
 def _ids(ids: np.ndarray, end_id: int, width: int) -> bytes:
@@ -115,7 +115,7 @@ def write_store(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str
         tokenizer.trim()
         release()
 
-    with small_batches(spark, 4096):
+    with small_batches(spark, 2048):
         dealt.select("doc_id", "text").mapInArrow(run, "part binary").select(F.col("part").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/data")
 
 
