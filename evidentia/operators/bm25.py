@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from ..session import staged
 from .text import tokens
 
 
@@ -29,3 +32,70 @@ def top_k(scores: DataFrame, k: int, *, query_key: str, doc_key: str) -> DataFra
     """The k best rows of each query by score, ties to the smaller key, with their rank."""
     order = W.partitionBy(query_key).orderBy(F.desc("score"), F.asc(doc_key))
     return scores.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
+#: Equal ranges of a posting's part of a score, by which postings are found; and how much rounded scores may differ.
+BLOCKS, MARGIN = 32, 2e-6
+
+
+@dataclass(frozen=True)
+class Postings:
+    """What scores are made of: rows (document, term, impact, block) of asked terms, and weights (query, term, weight, top, rest).
+
+    weight * impact is a term's part of a document's score; top is the term's largest impact, rest the most that the
+    terms behind it can add, where a query's terms stand by what they can add at most.
+    """
+
+    rows: DataFrame
+    weights: DataFrame
+    doc_key: str
+    query_key: str
+    most: float
+
+
+def postings(docs: DataFrame, queries: DataFrame, *, doc_key: str, query_key: str, doc_text: str = "text", query_text: str = "text", k1: float = 1.5, b: float = 0.75) -> Postings:
+    """Written once: the postings of the terms that some query asks, and the queries' weights."""
+    asked = queries.select(query_key, F.explode(tokens(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
+    sized = docs.select(doc_key, tokens(F.col(doc_text)).alias("_t"))
+    n, total = sized.agg(F.count("*"), F.sum(F.size("_t"))).first()
+    mean = max((total or 0) / max(n, 1), 1e-9)
+    tf = sized.select(doc_key, F.size("_t").alias("len"), F.explode("_t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy(doc_key, "len", "term").agg(F.count("*").alias("tf"))
+    impact = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * ((1.0 - b) + b * F.greatest(F.lit(1), F.col("len")) / mean))
+    rows = staged(tf.select(doc_key, "term", impact.alias("impact")).withColumn("block", F.least(F.lit(BLOCKS - 1), F.floor(F.col("impact") / (k1 + 1.0) * BLOCKS)).cast("int")), "postings")
+    terms = rows.groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("top"))
+    weight = F.col("qtf") * F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = asked.join(terms, "term").select(query_key, "term", weight.alias("weight"), "top", "df")
+    order = W.partitionBy(query_key).orderBy(F.desc(F.col("weight") * F.col("top")), "term")
+    behind = order.rowsBetween(1, W.unboundedFollowing)
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    weights = weights.withColumn("rest", F.coalesce(F.sum(F.col("weight") * F.col("top")).over(behind), F.lit(0.0))).withColumn("before", F.coalesce(F.sum("df").over(before), F.lit(0)))
+    return Postings(rows, staged(weights, "weights"), doc_key, query_key, k1 + 1.0)
+
+
+def scored(p: Postings, pairs: DataFrame, weight: float = 1.0) -> DataFrame:
+    """query, document, score of given pairs, as bm25_scores() has it."""
+    parts = pairs.join(p.weights.select(p.query_key, "term", "weight"), p.query_key).join(p.rows.select(p.doc_key, "term", "impact"), [p.doc_key, "term"])
+    return parts.groupBy(p.query_key, p.doc_key).agg(F.round(F.sum(F.col("weight") * F.col("impact")) * weight, 6).alias("score"))
+
+
+def candidates(p: Postings, k: int) -> DataFrame:
+    """query, document of every pair that can be among a query's k best, and few others.
+
+    The k best by a query's strongest terms are scored in full; the least of these scores is one that the k-th best
+    reaches. A document whose strongest term of the query is t has at most weight * impact + rest; blocks of postings
+    that stay below are never joined.
+    """
+    strong = p.weights.where(F.col("before") < 4 * k).select(p.query_key, "term", "weight").join(p.rows.select(p.doc_key, "term", "impact"), "term")
+    seeds = top_k(strong.groupBy(p.query_key, p.doc_key).agg(F.sum(F.col("weight") * F.col("impact")).alias("score")), k, query_key=p.query_key, doc_key=p.doc_key)
+    least = scored(p, seeds.select(p.query_key, p.doc_key)).groupBy(p.query_key).agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    asked = p.weights.join(least, p.query_key, "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - MARGIN).where(F.col("weight") * F.col("top") + F.col("rest") >= F.col("least"))
+    first = F.floor((F.col("least") - F.col("rest")) / F.greatest(F.col("weight"), F.lit(1e-300)) / p.most * BLOCKS)
+    asked = asked.select(p.query_key, "term", "weight", "rest", "least", F.explode(F.sequence(F.greatest(F.lit(0), F.least(F.lit(BLOCKS - 1), first)).cast("int"), F.lit(BLOCKS - 1))).alias("block"))
+    near = asked.join(p.rows, ["term", "block"]).where(F.col("weight") * F.col("impact") + F.col("rest") >= F.col("least"))
+    return near.select(p.query_key, p.doc_key).distinct()
+
+
+def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, *, doc_key: str, query_key: str, **how) -> DataFrame:
+    """The rows of top_k() over bm25_scores(), without scoring pairs that can't be among the k best."""
+    p = postings(docs, queries, doc_key=doc_key, query_key=query_key, **how)
+    return top_k(scored(p, candidates(p, k)), k, query_key=query_key, doc_key=doc_key)

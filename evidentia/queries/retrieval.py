@@ -27,6 +27,11 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.bm25_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), doc_key="doc_id", query_key="item_id")
 
 
+def _best(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """item_id, doc_id, score, rank: the k best of _scores()."""
+    return bm25.bm25_top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k, doc_key="doc_id", query_key="item_id")
+
+
 _BM25 = """
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS toks FROM documents),
 q AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark),
@@ -43,13 +48,13 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 
 @_query(_BM25 + "SELECT * FROM ranked WHERE rank <= 5")
 def bm25_topk(spark, sf_dir):
-    return bm25.top_k(_scores(spark, sf_dir), 5, query_key="item_id", doc_key="doc_id")
+    return _best(spark, sf_dir, 5)
 
 
 @_query(_BM25 + """, m AS (SELECT item_id, doc_id, round((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 6) AS x FROM ranked WHERE rank <= 50 WINDOW w AS (PARTITION BY item_id))
 SELECT item_id, doc_id, coalesce(x, 0.5e0) AS half, coalesce(x, 0e0) AS zero FROM m""")
 def minmax_norm(spark, sf_dir):
-    top = bm25.top_k(_scores(spark, sf_dir), 50, query_key="item_id", doc_key="doc_id")
+    top = _best(spark, sf_dir, 50)
     return top.select("item_id", "doc_id", F.round(S.min_max("score", ["item_id"]), 6).alias("half"), F.round(S.min_max("score", ["item_id"], 0.0), 6).alias("zero"))
 
 
@@ -65,7 +70,7 @@ def score_pooling(spark, sf_dir):
 f AS (SELECT *, coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 0.5e0) AS a, coalesce((n - min(n) OVER w) / nullif(max(n) OVER w - min(n) OVER w, 0)::DOUBLE, 0.5e0) AS b FROM two WINDOW w AS (PARTITION BY item_id))
 SELECT item_id, doc_id, round(0.6e0 * a + 0.4e0 * b, 6) AS fused, round(1e0 / (60 + r1) + 1e0 / (60 + r2), 9) AS rrf FROM f""")
 def score_fusion(spark, sf_dir):
-    top = bm25.top_k(_scores(spark, sf_dir), 40, query_key="item_id", doc_key="doc_id").join(table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")), "doc_id")
+    top = _best(spark, sf_dir, 40).join(table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")), "doc_id")
     top = top.withColumn("r2", S.rank_by(["item_id"], F.desc("n"), F.asc("doc_id")))
     return top.select("item_id", "doc_id", F.round(0.6 * S.min_max("score", ["item_id"]) + 0.4 * S.min_max("n", ["item_id"]), 6).alias("fused"), F.round(S.reciprocal_rank("rank", "r2"), 9).alias("rrf"))
 
@@ -90,7 +95,7 @@ m AS (SELECT item_id, doc_id, score + 2 * (6 - rank) AS part FROM full_ UNION AL
 merged AS (SELECT item_id, doc_id, round(sum(part), 4) AS score FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM merged)
 SELECT * FROM r WHERE rank <= 5""")
 def decomposed_merge(spark, sf_dir):
-    ranked = bm25.top_k(_scores(spark, sf_dir), 8, query_key="item_id", doc_key="doc_id").withColumnsRenamed({"item_id": "query_id", "doc_id": "paper_id"})
+    ranked = _best(spark, sf_dir, 8).withColumnsRenamed({"item_id": "query_id", "doc_id": "paper_id"})
     sub = ranked.where("rank % 2 = 0").withColumn("rank", F.expr("rank div 2"))
     return hybrid.decomposed(ranked, sub, k=5).withColumnsRenamed({"query_id": "item_id", "paper_id": "doc_id"})
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +27,20 @@ def get_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str =
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; only Spark's reader touches the path, so any Hadoop file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the folder in spark.checkpoint.dir, which driver and executors share, and read back: what is used more than once is made once.
+
+    Where the setting is missing a local session gets a temporary folder; elsewhere it must be set.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="evidentia-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder}/evidentia-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
