@@ -262,6 +262,31 @@ def test_stream_is_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "new")).count() == 7
 
 
+def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    sink, schema = str(tmp_path / "sink"), "id long, at long, v string"
+    files = lambda: {f"{p.parent.name}/{p.name}": p.parent.parent.name for p in (tmp_path / "sink" / "rows").glob("*/*/part-*")}
+    live = lambda: {p.rsplit("/", 3)[1] + p.rsplit("/", 1)[1] for p in incremental.current(spark, sink).inputFiles()}
+    rows = [(k, 1, f"a{k}") for k in range(100)]
+    incremental.merge_batch(spark.createDataFrame(rows, schema), 0, "id", "at", sink, 16)
+    before, first = files(), live()
+    incremental.merge_batch(spark.createDataFrame([(3, 2, "b3"), (3, 1, "late"), (1000, 1, None)], schema), 1, "id", "at", sink, 16)
+    want = {**{k: (1, f"a{k}") for k in range(100)}, 3: (2, "b3"), 1000: (1, None)}
+    read = lambda: {r["id"]: (r["at"], r["v"]) for r in incremental.current(spark, sink).collect()}
+    assert read() == want
+    assert len(first & live()) >= len(first) - 2 and len(live() - first) <= 2  # one or two buckets have new files
+    after = files()
+    assert before.items() <= after.items()
+    incremental.merge_batch(spark.createDataFrame([(3, 9, "replayed")], schema), 1, "id", "at", sink, 16)
+    assert read() == want and files() == after
+    (tmp_path / "sink" / "rows" / "g00000002").mkdir()  # a run that was lost before its commit
+    incremental.merge_batch(spark.createDataFrame([(7, 0, "older"), (8, 5, "c8")], schema), 2, "id", "at", sink, 16)
+    assert read() == want | {8: (5, "c8")}
+    with pytest.raises(ValueError, match="16 buckets"):
+        incremental.merge_batch(spark.createDataFrame(rows, schema), 3, "id", "at", sink, 8)
+    incremental.merge_batch(spark.createDataFrame([], schema), 3, "id", "at", sink, 16)
+    assert read() == want | {8: (5, "c8")}
+
+
 def test_windowed_counts(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("ts", "event_type", "value").write.parquet(str(tmp_path / "e"))
     events = spark.readStream.schema("ts timestamp_ntz, event_type string, value double").parquet(str(tmp_path / "e"))
