@@ -29,7 +29,7 @@ def _below(path: str, root: str) -> Column:
     """What stands behind the root in a path; the whole last part for a root that is a file."""
     flat = F.regexp_replace(path, r"^[a-z0-9]+:/*", "/")
     start = F.regexp_replace(F.lit(root.rstrip("/")), r"^[a-z0-9]+:/*", "/")
-    return F.coalesce(F.nullif(F.ltrim(F.lit("/"), F.when(flat.startswith(start), F.substr(flat, F.length(start) + 1)).otherwise(flat)), F.lit("")), F.regexp_extract(flat, "([^/]*)$", 1))
+    return F.coalesce(F.nullif(F.regexp_replace(F.when(flat.startswith(start), F.substr(flat, F.length(start) + 1)).otherwise(flat), "^/+", ""), F.lit("")), F.regexp_extract(flat, "([^/]*)$", 1))
 
 
 def tree_digests(files: DataFrame) -> DataFrame:
