@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import labels as L, text as T
 from .scoring import rank_by
+from .transcription import type_hints
 
 LEAST_OVERLAP = 0.35
 LEVELS = {"none": 0, "page": 1, "source_type": 2, "text_overlap": 3, "locator": 4}
@@ -33,6 +34,26 @@ def match_gold(gold: DataFrame, records: DataFrame) -> DataFrame:
     return rows.where("_rn = 1").select("gold_id", names.alias("level"), F.when(strict, F.col("record_id")).alias("record_id"), F.col("_first.record_id").alias("relaxed_id"))
 
 
+def with_virtual(records: DataFrame) -> DataFrame:
+    """records with `origin` (the record itself or the record and type it is derived from) and the virtual records that their text gives away.
+
+    Every other source type that a record's prose shows signs of (type_hints()) makes a copy of that type, labelled as the hint
+    says or else as the record, named `<record_id>__hint_<type>`; its place is right behind the record's own.
+    """
+    own = records.select("*", F.lit("record").alias("origin"), F.lit(0).alias("hint"))
+    hints = records.select("*", F.posexplode(type_hints(F.col("text"))).alias("_i", "_h")).where(~L.source_type(F.col("kind")).eqNullSafe(F.col("_h.source_type")))
+    made = hints.withColumn("origin", F.concat(F.lit("hint of "), F.col("record_id").cast("string"))).withColumn("record_id", F.concat(F.col("record_id").cast("string"), F.lit("__hint_"), F.col("_h.source_type")))
+    made = made.withColumn("label", F.coalesce(F.nullif("_h.label", F.lit("")), "label")).withColumn("kind", F.col("_h.source_type")).withColumn("hint", F.col("_i") + 1).drop("_i", "_h")
+    return own.withColumn("record_id", F.col("record_id").cast("string")).unionByName(made)
+
+
+def match_gold_with_hints(gold: DataFrame, records: DataFrame) -> DataFrame:
+    """match_gold() over records and their virtual ones, with `origin` of the strict match. A real record is preferred to a virtual one at the same level."""
+    every = with_virtual(records).withColumn("_real", F.col("at")).withColumn("at", F.struct((F.col("hint") > 0).cast("int").alias("virtual"), F.col("at").alias("at"), "hint"))
+    matched = match_gold(gold, every)
+    return matched.join(every.select("record_id", "origin").distinct(), "record_id", "left").select("gold_id", "level", "record_id", "relaxed_id", "origin")
+
+
 def group_labels(rows: DataFrame, by: str, order: str, label: str, has_values: str) -> DataFrame:
     """rows with `group`: the label of the latest row without values above, as tables write their sections."""
     w = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -88,20 +88,37 @@ def figures(blocks: DataFrame, visuals: DataFrame, *, page_height: float = 842.0
     return own.select(*key, "at", *BOX, "parts", "rule").unionByName(said.select(*key, "at", *none, F.lit(0).cast("long").alias("parts"), F.lit("figure_mention_fallback").alias("rule")))
 
 
-def tables(blocks: DataFrame, regions: DataFrame, *, far: float = 96.0) -> DataFrame:
+#: How far a caption's edge may be from a table's, and what a point sideways counts.
+CAPTION_GAP, SIDEWAYS = 90.0, 0.08
+
+
+def near_captions(regions: DataFrame, captions: DataFrame, *, far: float = CAPTION_GAP) -> DataFrame:
+    """paper_id, page, region_id, caption_at, label, gap, sideways of every region and caption within `far`: the least distance between the caption's lower and the region's upper edge, or the other way round.
+
+    Edges meet in bins of `far` points, so pairs that are farther apart than two bins are never made. captions: paper_id, page, caption_at, label and a box.
+    """
+    edge = lambda side, y: F.struct(F.lit(side).alias("side"), y.cast("double").alias("y"))
+    centre = ((F.col("x0") + F.col("x1")) / 2).alias
+    own = regions.select("paper_id", "page", "region_id", centre("_rx"), F.explode(F.array(edge("above", F.col("y0")), edge("below", F.col("y1")))).alias("_e"))
+    own = own.select("paper_id", "page", "region_id", "_rx", "_e.side", F.col("_e.y").alias("_ry"), F.explode(F.sequence(F.floor(F.col("_e.y") / far) - 1, F.floor(F.col("_e.y") / far) + 1)).alias("bin"))
+    other = captions.select("paper_id", "page", "caption_at", "label", centre("_cx"), F.explode(F.array(edge("above", F.col("y1")), edge("below", F.col("y0")))).alias("_e"))
+    other = other.select("paper_id", "page", "caption_at", "label", "_cx", "_e.side", F.col("_e.y").alias("_cy"), F.floor(F.col("_e.y") / far).alias("bin"))
+    met = own.join(other, ["paper_id", "page", "side", "bin"]).withColumn("gap", F.abs(F.col("_ry") - F.col("_cy"))).where(F.col("gap") <= far)
+    return met.groupBy("paper_id", "page", "region_id", "caption_at", "label").agg(F.min("gap").alias("gap"), F.min(F.abs(F.col("_rx") - F.col("_cx"))).alias("sideways"))
+
+
+def tables(blocks: DataFrame, regions: DataFrame, *, far: float = CAPTION_GAP) -> DataFrame:
     """paper_id, page, region_id, label, caption_at, kind: tables of pages.
 
     blocks: as for figures; regions: paper_id, page, region_id, kind (grid or aligned), rows (how many) and a box. A grid needs two rows
-    and 20 points of height, aligned lines three rows. A region takes the caption with the least vertical gap within `far`,
-    none otherwise; of regions with one label the first counts, grids before aligned lines, then from the top.
+    and 20 points of height, aligned lines three rows. A region takes the caption of least distance among near_captions(), where
+    sideways points count SIDEWAYS, none otherwise; of regions with one label the first counts, grids before aligned lines, then from the top.
     """
-    c = blocks.withColumn("label", _labelled("Table", _flat(F.col("text")), TABLE_CAPTION)).where("label is not null")
-    c = c.select("paper_id", "page", F.col("at").alias("caption_at"), "label", F.col("y0").alias("c0"), F.col("y1").alias("c1"))
+    c = blocks.withColumn("label", _labelled("Table", _flat(F.col("text")), TABLE_CAPTION)).where("label is not null").withColumnRenamed("at", "caption_at")
     enough = F.when(F.col("kind") == "grid", (F.col("rows") >= 2) & (F.col("y1") - F.col("y0") >= 20)).otherwise(F.col("rows") >= 3)
     r = regions.where(enough)
-    gap = F.greatest(F.lit(0.0), F.col("c0") - F.col("y1"), F.col("y0") - F.col("c1"))
-    near = r.join(c, ["paper_id", "page"]).withColumn("_gap", gap).where(F.col("_gap") <= far)
-    near = near.withColumn("_i", rank_by(["paper_id", "page", "region_id"], F.asc("_gap"), F.asc("caption_at"))).where("_i = 1").select("paper_id", "page", "region_id", "label", "caption_at")
+    near = near_captions(r, c, far=far)
+    near = near.withColumn("_i", rank_by(["paper_id", "page", "region_id"], F.asc(F.col("gap") + SIDEWAYS * F.col("sideways")), F.asc("caption_at"))).where("_i = 1").select("paper_id", "page", "region_id", "label", "caption_at")
     rows = r.join(near, ["paper_id", "page", "region_id"], "left")
     rows = rows.withColumn("_i", rank_by(["paper_id", "page", "label"], F.asc((F.col("kind") != "grid").cast("int")), F.asc("y0"), F.asc("region_id"))).where(F.col("label").isNull() | (F.col("_i") == 1))
     return rows.select("paper_id", "page", "region_id", "label", "caption_at", "kind")

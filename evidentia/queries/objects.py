@@ -57,13 +57,23 @@ def page_figures(spark, sf_dir):
     return O.figures(b, v).select("paper_id", "label", "at", "y0", "y1", "parts", "rule")
 
 
+#: Captions and regions all over the page of every order, several of each, beside and over one another.
+_PLACES = """{lines}, p AS (SELECT l_orderkey AS paper_id, l_linenumber AS pos, l_partkey, l_suppkey, l_quantity, (l_suppkey % 3) * 150e0 AS cx0, l_linenumber * 60e0 + l_quantity AS cy0, (l_partkey % 4) * 120e0 AS rx0, (l_partkey % 9) * 50e0 AS ry0 FROM lines)"""
+
+
 @_query(f"""
-WITH {_SQL_BLOCKS}, c AS (SELECT paper_id, pos, 'Table ' || (l_suppkey % 3) AS label, y0 AS c0, y0 + 20 AS c1 FROM b WHERE pos % 7 = 4), r AS (SELECT paper_id, pos AS region_id, CASE WHEN l_suppkey % 2 = 0 THEN 'grid' ELSE 'aligned' END AS kind, y0 + 30 AS y0, y0 + 60 AS y1 FROM b WHERE l_quantity::INT % 5 >= CASE WHEN l_suppkey % 2 = 0 THEN 2 ELSE 3 END),
-j AS (SELECT r.*, c.label, c.pos, row_number() OVER (PARTITION BY r.paper_id, region_id ORDER BY greatest(0, c0 - y1, y0 - c1), pos) AS i FROM r LEFT JOIN c ON c.paper_id = r.paper_id AND greatest(0, c0 - y1, y0 - c1) <= 96),
-k AS (SELECT *, row_number() OVER (PARTITION BY paper_id, label ORDER BY kind <> 'grid', y0) AS n FROM j WHERE i = 1) SELECT paper_id, 1 AS page, region_id, label, pos AS caption_at, kind FROM k WHERE label IS NULL OR n = 1""")
+WITH {_PLACES.format(lines=SQL_LINES)}, c AS (SELECT paper_id, pos, 'Table ' || (l_suppkey % 3) AS label, cx0 + 50 AS cx, cy0 AS c0, cy0 + 12 AS c1 FROM p WHERE l_suppkey % 2 = 0),
+r AS (SELECT paper_id, pos AS region_id, CASE WHEN l_suppkey % 5 < 3 THEN 'grid' ELSE 'aligned' END AS kind, rx0 + 80 AS rx, ry0 AS y0, ry0 + 15 + l_quantity AS y1 FROM p WHERE CASE WHEN l_suppkey % 5 < 3 THEN l_partkey % 5 >= 2 AND 15 + l_quantity >= 20 ELSE l_partkey % 5 >= 3 END),
+j AS (SELECT r.*, c.label, c.pos, row_number() OVER (PARTITION BY r.paper_id, region_id ORDER BY least(abs(c1 - y0), abs(c0 - y1)) + 0.08e0 * abs(rx - cx), pos) AS i FROM r LEFT JOIN c ON c.paper_id = r.paper_id AND least(abs(c1 - y0), abs(c0 - y1)) <= 90),
+k AS (SELECT *, row_number() OVER (PARTITION BY paper_id, label ORDER BY kind <> 'grid', y0, region_id) AS n FROM j WHERE i = 1) SELECT paper_id, 1 AS page, region_id, label, pos AS caption_at, kind FROM k WHERE label IS NULL OR n = 1""")
 def page_tables(spark, sf_dir):
-    r = lines(spark, sf_dir).select(F.col("l_orderkey").alias("paper_id"), F.lit(1).alias("page"), F.col("l_linenumber").alias("region_id"), F.when(F.col("l_suppkey") % 2 == 0, "grid").otherwise("aligned").alias("kind"), (F.col("l_quantity").cast("int") % 5).alias("rows"), F.lit(10.0).alias("x0"), (F.col("l_linenumber") * 100.0 + 30).alias("y0"), F.lit(300.0).alias("x1"), (F.col("l_linenumber") * 100.0 + 60).alias("y1"))
-    return O.tables(blocks(spark, sf_dir), r)
+    p, n = lines(spark, sf_dir), F.col("l_linenumber")
+    name, page = F.col("l_orderkey").alias("paper_id"), F.lit(1).alias("page")
+    x, y = (F.col("l_suppkey") % 3) * 150.0, n * 60.0 + F.col("l_quantity")
+    captions = p.where("l_suppkey % 2 = 0").select(name, page, n.alias("at"), F.concat(F.lit("Table "), F.col("l_suppkey") % 3, F.lit(": all")).alias("text"), x.alias("x0"), y.alias("y0"), (x + 100).alias("x1"), (y + 12).alias("y1"))
+    x, y = (F.col("l_partkey") % 4) * 120.0, (F.col("l_partkey") % 9) * 50.0
+    regions = p.select(name, page, n.alias("region_id"), F.when(F.col("l_suppkey") % 5 < 3, "grid").otherwise("aligned").alias("kind"), (F.col("l_partkey") % 5).alias("rows"), x.alias("x0"), y.alias("y0"), (x + 160).alias("x1"), (y + 15 + F.col("l_quantity")).alias("y1"))
+    return O.tables(captions, regions)
 
 
 @_query(f"""
