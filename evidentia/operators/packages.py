@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import labels as L
+from ..session import staged
 from .text import tokens
 
 
@@ -314,7 +315,8 @@ def select_packages(questions: DataFrame, packages: DataFrame, routes: DataFrame
     See rankings() for the columns. Slots always have a place each: the budget grows to their number. Questions without packages have no rows.
     """
     o = options or PackageOptions()
-    ranked = rankings(questions, packages, routes, o)
+    packages, questions = staged(packages, "packages"), staged(questions, "questions")  # each is read by every ranking
+    ranked = staged(rankings(questions, packages, routes, o), "rankings")
     rows = requests(questions, packages.withColumn("package_id", F.col("package_id").cast("string")), routes, ranked.withColumn("package_id", F.col("package_id").cast("string")), o)
     key = questions.schema["query_id"].dataType.simpleString()
 

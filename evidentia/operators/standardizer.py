@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import section_heading, text_of
+from ..session import staged
 
 # Structural types, label patterns, marks of formulas and of reference entries, texts of derived records.
 STRUCTURES = {"table": ("table", "document_table"), "figure": ("picture", "image", "figure"), "equation": ("formula", "equation")}
@@ -144,9 +145,9 @@ def standardized(elements: DataFrame) -> DataFrame:
     """paper_id, page, record_id, global_record_id, record_type, source_type, label, locator, text, reading_order, rules, warnings, source_at of all records.
 
     elements: paper_id, at (their number, from 1), page, element_type, backend_type, label, text. Elements without a text give no record but keep
-    their number; a null page is -1 (0 in ids). Nothing is read twice: a paper's records follow from its elements alone.
+    their number; a null page is -1 (0 in ids). Elements are read once and written typed; a paper's records follow from its elements alone.
     """
-    rows = typed(elements)
+    rows = staged(typed(elements), "elements")
     records = reference_entries(rows).select(*_FIELDS).unionByName(derived(rows).select(*_FIELDS))
     page = F.coalesce("page", F.lit(-1))
     name = F.format_string("p%03d_r%04d", F.greatest(F.lit(0), page), "at")
