@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import answers, checks, claims, contracts, evaluation, grounding, labels, matching, objects, pages, predictions, records, relevance, retrieval, slots, standardizing, texts
+from . import answers, checks, claims, contracts, evaluation, grounding, labels, levels, matching, objects, pages, predictions, records, relevance, retrieval, slots, standardizing, texts
 
-_MODULES = (retrieval, texts, labels, records, evaluation, grounding, pages, matching, answers, claims, contracts, predictions, slots, objects, standardizing, checks, relevance)
+_MODULES = (retrieval, texts, labels, records, evaluation, grounding, pages, matching, answers, claims, contracts, predictions, slots, objects, standardizing, checks, relevance, levels)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in _MODULES for k, q in m.SQL.items()}
