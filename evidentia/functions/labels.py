@@ -157,6 +157,52 @@ def is_multi_paper(question: Column) -> Column:
     return hit
 
 
+# What plans and callers call source types, and the bounds of a plan's numbers and lists.
+TYPE_NAMES = {
+    "text": "text_span",
+    "paragraph": "text_span",
+    "citation": "citation_context",
+    "cited": "citation_context",
+    "reference": "citation_context",
+    "equation": "equation_algorithm",
+    "eq": "equation_algorithm",
+    "algorithm": "equation_algorithm",
+    "fig": "figure",
+    "figs": "figure",
+    "tab": "table",
+    "tables": "table",
+    "figures": "figure",
+    "equations": "equation_algorithm",
+}
+MOST_PAPERS, MOST_TARGETS, MOST_ENTITIES = 50, 8, 16
+
+
+def source_types(names: Column) -> Column:
+    """Different official types among names (an array), aliases resolved, in order; others are dropped."""
+    one = lambda x: F.trim(_case(TYPE_NAMES, F.lower(F.trim(text_of(x))), text_of(x)))
+    return F.array_distinct(F.filter(F.transform(F.coalesce(names, F.array().cast("array<string>")), one), lambda k: k.isin(*OFFICIAL_TYPES)))
+
+
+def _listed(values: Column, most: int) -> Column:
+    """Different texts that aren't blank, in order, at most so many."""
+    return F.slice(F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.trim(text_of(x))), lambda x: x != "")), 1, most)
+
+
+def task_structure(question: Column, slot_types: Column, paper_count: Column, targets: Column, entities: Column, cross_paper: Column, plan_cross_paper: Column) -> Column:
+    """multi_paper, types, primary, family, paper_count, targets and entities of a task: what its plan says first, what the question says where the plan is silent.
+
+    slot_types: all types that the plan's slots require; cross_paper: the analysis's word, plan_cross_paper: the checked plan's, which wins if true. A
+    number of papers outside 1 to MOST_PAPERS counts for nothing. Several papers: two or more by number or targets, a synthesis over named entities, or such a question.
+    """
+    own = F.array_distinct(F.filter(F.transform(F.coalesce(slot_types, F.array().cast("array<string>")), lambda x: F.trim(text_of(x))), lambda k: k.isin(*OFFICIAL_TYPES)))
+    types = F.when(F.size(own) > 0, own).otherwise(numbered_types(question))
+    count = F.when(paper_count.between(1, MOST_PAPERS), paper_count).cast("int")
+    shown, named = _listed(targets, MOST_TARGETS), _listed(entities, MOST_ENTITIES)
+    cross = F.coalesce(F.when(plan_cross_paper, True), cross_paper, plan_cross_paper, F.lit(False))
+    several = F.coalesce(count >= 2, F.lit(False)) | (F.size(shown) >= 2) | (cross & (F.size(named) > 0)) | is_multi_paper(question)
+    return F.struct(several.alias("multi_paper"), types.alias("types"), F.coalesce(F.get(types, F.lit(0)), F.lit("")).alias("primary"), F.when(several, "multi_paper").otherwise("single_paper").alias("family"), count.alias("paper_count"), shown.alias("targets"), named.alias("entities"))
+
+
 def operation(question: Column) -> Column:
     """count, difference, maximum, minimum or direct: what a question asks to do with values."""
     low = F.lower(text_of(question))

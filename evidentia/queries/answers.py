@@ -79,10 +79,10 @@ def unclaimed_blocks(spark, sf_dir):
     return A.unclaimed_blocks(b.where("l_linenumber > 2"), b.where("l_linenumber <= 2"), "k", least_chars=16).select("k", "block_id")
 
 
-@_query("SELECT query_id, paper_id, key, bool_or(own) AS own FROM (SELECT o_custkey % 40 AS query_id, o_orderstatus AS paper_id, o_orderpriority AS key, true AS own FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_custkey % 40, o_orderstatus, o_orderpriority, false FROM orders WHERE o_orderkey % 50 = 1) GROUP BY ALL")
+@_query("SELECT query_id, paper_id, key, bool_or(own) AS own FROM (SELECT o_custkey % 40 AS query_id, o_orderstatus AS paper_id, o_orderpriority AS key, true AS own FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_custkey % 40, o_orderstatus, o_orderpriority, false FROM orders WHERE o_orderkey % 3 <> 0) GROUP BY ALL")
 def expanded_grounding(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("query_id"), F.col("o_orderstatus").alias("paper_id"), F.col("o_orderpriority").alias("key"), "o_orderkey")
-    return A.expanded(o.where("o_orderkey % 3 = 0").drop("o_orderkey"), o.where("o_orderkey % 50 = 1").drop("o_orderkey"))
+    return A.expanded(o.where("o_orderkey % 3 = 0").drop("o_orderkey"), o.where("o_orderkey % 3 <> 0").drop("o_orderkey"))
 
 
 @_query("SELECT o_custkey AS query_id, min(o_orderpriority) AS paper_id FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) = 1")

@@ -22,7 +22,7 @@ def _query(sql=None):
 
 
 _SETS = """
-WITH k AS (SELECT DISTINCT user_id FROM events), g AS (SELECT DISTINCT user_id, event_type AS x FROM events WHERE event_id % 3 = 0), p AS (SELECT DISTINCT user_id, event_type AS x FROM events WHERE event_id % 5 = 0 AND value > 20e0),
+WITH k AS (SELECT DISTINCT user_id FROM events), g AS (SELECT DISTINCT user_id, event_type AS x FROM events WHERE event_id % 3 = 0), p AS (SELECT DISTINCT user_id, event_type AS x FROM events WHERE event_id % 3 <> 0),
 c AS (SELECT user_id, (SELECT count(*) FROM g WHERE g.user_id = k.user_id) AS g, (SELECT count(*) FROM p WHERE p.user_id = k.user_id) AS p, (SELECT count(*) FROM g JOIN p USING (user_id, x) WHERE user_id = k.user_id) AS c FROM k),
 r AS (SELECT user_id, CASE WHEN g = 0 AND p = 0 THEN 1e0 WHEN p = 0 THEN 0e0 ELSE c / p::DOUBLE END AS precision, CASE WHEN g = 0 THEN 1e0 ELSE c / g::DOUBLE END AS recall FROM c),
 f AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0e0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM r)
@@ -33,7 +33,7 @@ def _prf(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     keys = e.select("user_id").distinct()
     gold = keys.join(e.where("event_id % 3 = 0").select("user_id", F.col("event_type").alias("x")), "user_id", "left")
-    return S.coverage(gold, e.where("event_id % 5 = 0 and value > 20").select("user_id", F.col("event_type").alias("x")), "user_id", "x")
+    return S.coverage(gold, e.where("event_id % 3 <> 0").select("user_id", F.col("event_type").alias("x")), "user_id", "x")  # every event has one of the two roles
 
 
 @_query(_SETS + "SELECT user_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f")
@@ -128,29 +128,30 @@ def validator_violations(spark, sf_dir):
     return E.violations(("missing_prediction", missing, F.col("c_custkey")), ("unknown_query", unknown, F.col("o_orderkey")), ("duplicate_query", double, F.col("o_custkey")), ("bad_source_type", bad, F.concat_ws("-", "l_orderkey", "l_linenumber")))
 
 
-@_query("SELECT o_custkey AS query_id, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 0) GROUP BY 1")
+@_query("SELECT o_custkey AS query_id, count(*) AS n FROM orders WHERE o_orderkey % 5 <> 0 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 0) GROUP BY 1")
 def resume_pending(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     done = o.where("o_orderkey % 5 = 0").select("o_custkey").distinct()
-    return o.where("o_orderkey % 2 = 0").join(done, "o_custkey", "left_anti").groupBy(F.col("o_custkey").alias("query_id")).agg(F.count("*").alias("n"))
+    return o.where("o_orderkey % 5 <> 0").join(done, "o_custkey", "left_anti").groupBy(F.col("o_custkey").alias("query_id")).agg(F.count("*").alias("n"))
 
 
 @_query("""
-WITH a AS (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT o_custkey AS k, min(o_orderpriority) AS v FROM orders GROUP BY 1)
+WITH a AS (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_acctbal > 0), b AS (SELECT o_custkey AS k, min(o_orderpriority) AS v FROM orders GROUP BY 1)
 SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN coalesce(b.v, a.v, 'none') ELSE coalesce(a.v, b.v, 'none') END AS v, concat_ws('+', CASE WHEN a.k IS NOT NULL THEN 'a' END, CASE WHEN b.k IS NOT NULL THEN 'b' END) AS provenance FROM customer LEFT JOIN a ON a.k = c_custkey LEFT JOIN b ON b.k = c_custkey""")
 def ensemble_coalesce(spark, sf_dir):
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    a = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("av"))
+    a = c.where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("av"))
     b = o.groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderpriority").alias("bv"))
     rows = c.select(F.col("c_custkey").alias("k")).join(a, "k", "left").join(b, "k", "left")
     v = F.when(F.col("k") % 3 == 0, F.coalesce("bv", "av", F.lit("none"))).otherwise(F.coalesce("av", "bv", F.lit("none")))
     return rows.select("k", v.alias("v"), F.concat_ws("+", F.when(F.col("av").isNotNull(), "a"), F.when(F.col("bv").isNotNull(), "b")).alias("provenance"))
 
 
-@_query("SELECT o_custkey, o_orderkey, string_agg(s, ',' ORDER BY s) AS sources FROM (SELECT o_custkey, o_orderkey, 'even' AS s FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderkey, 'third' FROM orders WHERE o_orderkey % 3 = 0) GROUP BY ALL")
+@_query("SELECT o_custkey, o_orderkey, string_agg(s, ',' ORDER BY s) AS sources FROM (SELECT o_custkey, o_orderkey, 'even' AS s FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderkey, 'odd' FROM orders WHERE o_orderkey % 2 <> 0 UNION ALL SELECT o_custkey, o_orderkey, 'large' FROM orders WHERE o_totalprice > 150000) GROUP BY ALL")
 def provenance_union(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-    rows = J.united({"even": o.where("o_orderkey % 2 = 0"), "third": o.where("o_orderkey % 3 = 0")}, "o_custkey", "o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    own = lambda condition: o.where(condition).select("o_custkey", "o_orderkey")
+    rows = J.united({"even": own("o_orderkey % 2 = 0"), "odd": own("o_orderkey % 2 <> 0"), "large": own("o_totalprice > 150000")}, "o_custkey", "o_orderkey")
     return rows.withColumn("sources", F.array_join("sources", ","))
 
 

@@ -26,7 +26,7 @@ _GOLD = "CASE WHEN p_partkey % 7 = 6 THEN '' ELSE concat('Table ', p_size % 9) E
 
 @_query(f"""
 WITH g AS (SELECT p_partkey AS gold_id, p_partkey % 30 AS paper_id, p_partkey % 4 AS page, CASE WHEN p_partkey % 7 = 6 THEN 'text_span' ELSE 'table' END AS gk, lower({_GOLD}) AS gl, p_name || ' number ' || p_size AS gt FROM part WHERE p_partkey % 11 = 0),
-r AS (SELECT p_partkey AS record_id, p_partkey % 30 AS paper_id, p_partkey % 4 AS page, CASE WHEN p_partkey % 3 = 0 THEN 'text_span' ELSE 'table' END AS rk, lower(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat('Table ', p_size % 9) END) AS rl, p_name || ' number ' || p_size AS rt FROM part WHERE p_partkey % 5 = 1),
+r AS (SELECT p_partkey AS record_id, p_partkey % 30 AS paper_id, p_partkey % 4 AS page, CASE WHEN p_partkey % 3 = 0 THEN 'text_span' ELSE 'table' END AS rk, lower(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat('Table ', p_size % 9) END) AS rl, p_name || ' number ' || p_size AS rt FROM part WHERE p_partkey % 11 <> 0),
 j AS (SELECT g.*, r.record_id, r.rk, r.rl, CASE WHEN gk = rk AND gk = 'text_span' THEN len(list_intersect(list_distinct(list_filter(regexp_extract_all(lower(gt), '[a-z0-9]+'), lambda t: length(t) > 2)), list_distinct(list_filter(regexp_extract_all(lower(rt), '[a-z0-9]+'), lambda t: length(t) > 2))))
   / least(len(list_distinct(list_filter(regexp_extract_all(lower(gt), '[a-z0-9]+'), lambda t: length(t) > 2))), len(list_distinct(list_filter(regexp_extract_all(lower(rt), '[a-z0-9]+'), lambda t: length(t) > 2))))::DOUBLE ELSE 0e0 END AS o FROM g LEFT JOIN r USING (paper_id, page)),
 l AS (SELECT *, CASE WHEN record_id IS NOT NULL AND gk = rk AND gl <> '' AND gl = rl THEN 4 WHEN record_id IS NOT NULL AND o >= 0.35e0 THEN 3 WHEN record_id IS NOT NULL AND gk = rk THEN 2 WHEN record_id IS NOT NULL THEN 1 ELSE 0 END AS level FROM j),
@@ -38,7 +38,7 @@ def gold_matches(spark, sf_dir):
     text = F.concat("p_name", F.lit(" number "), "p_size").alias("text")
     gold = p.where("p_partkey % 11 = 0").select(F.col("p_partkey").alias("gold_id"), *place, F.when(F.col("p_partkey") % 7 == 6, "text_span").otherwise("table").alias("kind"), F.expr(_GOLD).alias("label"), text)
     own = F.col("p_partkey") % 3 == 0
-    records = p.where("p_partkey % 5 = 1").select(F.col("p_partkey").alias("record_id"), F.col("p_partkey").alias("at"), *place, F.when(own, "text_span").otherwise("table").alias("kind"), F.when(own, "").otherwise(F.concat(F.lit("Table "), F.col("p_size") % 9)).alias("label"), text)
+    records = p.where("p_partkey % 11 <> 0").select(F.col("p_partkey").alias("record_id"), F.col("p_partkey").alias("at"), *place, F.when(own, "text_span").otherwise("table").alias("kind"), F.when(own, "").otherwise(F.concat(F.lit("Table "), F.col("p_size") % 9)).alias("label"), text)
     return M.match_gold(gold, records)
 
 

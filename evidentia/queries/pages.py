@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import hierarchy as H, pages as P, scoring as S
 from ..session import table
-from .fixtures import SQL_LABELS, labelled
+from .fixtures import SQL_LABELS, SQL_QUESTIONS, labelled, questions
 
 QUERIES, SQL = {}, {}
 
@@ -29,13 +29,14 @@ _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
 
 @_query(f"""
-WITH p AS (SELECT p_partkey, {_PAGE} AS t, {_KIND} AS kind FROM part), q AS (SELECT list_distinct(list_filter(regexp_extract_all(lower('What results and accuracy does the panel of Table 3 show'), '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN ({_STOP}))) AS q)
-SELECT p_partkey, {_SIGNS} AS signs, round(len(list_intersect(q, list_distinct(regexp_extract_all(lower(t), '[a-z0-9]+')))) / greatest(1e0, sqrt(len(q) + 1e0)), 6) AS overlap, least(6e0, 1.5e0 * len(list_filter(['accuracy', 'A100', 'results'], lambda x: contains(lower(t), lower(x))))) AS hints FROM p, q""")
+WITH {SQL_QUESTIONS}, p AS (SELECT p_partkey, {_PAGE} AS t, {_KIND} AS kind FROM part), q AS (SELECT query_id, list_distinct(list_filter(regexp_extract_all(lower(question), '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN ({_STOP}))) AS q FROM questions)
+SELECT query_id, p_partkey, {_SIGNS} AS signs, round(len(list_intersect(q, list_distinct(regexp_extract_all(lower(t), '[a-z0-9]+')))) / greatest(1e0, sqrt(len(q) + 1e0)), 6) AS overlap, least(6e0, 1.5e0 * len(list_filter(['accuracy', 'A100', 'results'], lambda x: contains(lower(t), lower(x))))) AS hints FROM p JOIN q ON query_id = p_partkey""")
 def structural_scores(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.expr(_PAGE).alias("t"), F.expr(_KIND).alias("kind"))
+    """Every page with the question of its number."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.expr(_PAGE).alias("t"), F.expr(_KIND).alias("kind")).join(questions(spark, sf_dir), F.col("query_id") == F.col("p_partkey"))
     t = F.col("t")
     hints = P.capped_hits(F.array(F.lit("accuracy"), F.lit("A100"), F.lit("results")), t, 1.5, 6.0)
-    return p.select("p_partkey", P.sign_score(F.col("kind"), t).alias("signs"), F.round(P.overlap_score(F.lit("What results and accuracy does the panel of Table 3 show"), t), 6).alias("overlap"), hints.alias("hints"))
+    return p.select("query_id", "p_partkey", P.sign_score(F.col("kind"), t).alias("signs"), F.round(P.overlap_score(F.col("question"), t), 6).alias("overlap"), hints.alias("hints"))
 
 
 @_query("""

@@ -152,6 +152,20 @@ def tfidf_dot(spark, sf_dir):
     return c.select("item_id", "doc_id", F.round(F.col("dot") * 1e6, 3).alias("dot"))
 
 
+@_query("""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS toks FROM documents), s AS (SELECT count(*) AS n FROM documents),
+t AS (SELECT doc_id, term, count(*) / any_value(len)::DOUBLE AS f FROM (SELECT doc_id, len(toks) AS len, unnest(toks) AS term FROM d) GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+q AS (SELECT item_id, term, count(*) / sum(count(*)) OVER (PARTITION BY item_id) AS f FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) GROUP BY item_id, term),
+w AS (SELECT item_id, term, f, ln((n + 2e0) / (coalesce(df, 0) + 2e0)) + 1 AS w FROM q LEFT JOIN df USING (term), s), qn AS (SELECT item_id, sum((f * w) ^ 2) AS own FROM w GROUP BY item_id),
+z AS (SELECT doc_id, term, f, ln((n + 2e0) / (df + 1e0)) + 1 AS v FROM t JOIN df USING (term), s), dn AS (SELECT doc_id, sum((f * v) ^ 2) AS norm FROM z GROUP BY doc_id),
+c AS (SELECT item_id, doc_id, sum(w.f * w * z.f * w) AS dot, sum(z.f ^ 2 * (w ^ 2 - v ^ 2)) AS change FROM w JOIN z USING (term) GROUP BY ALL),
+r AS (SELECT item_id, doc_id, round(dot / sqrt(own * (norm + change)), 9) AS cosine FROM c JOIN qn USING (item_id) JOIN dn USING (doc_id))
+SELECT item_id, doc_id, round(cosine, 6) AS cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, doc_id) AS rank FROM r) WHERE rank <= 5""")
+def tfidf_cosine(spark, sf_dir):
+    rows = hybrid.tfidf_cosine(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), doc_key="doc_id", query_key="item_id")
+    return bm25.top_k(rows.withColumnRenamed("cosine", "score"), 5, query_key="item_id", doc_key="doc_id").select("item_id", "doc_id", F.round("score", 6).alias("cosine"), "rank")
+
+
 @_query(f"""
 WITH {SQL_PAPERS}, a AS (SELECT paper_id, unnest(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+'))) AS term FROM papers), d AS (SELECT term, count(*) AS df FROM a GROUP BY term)
 SELECT query_id, paper_id, round(sum(CASE WHEN length(term) <= 3 AND df > 80 THEN 4e0 ELSE greatest(CASE WHEN length(term) <= 3 THEN 10e0 ELSE 18e0 END, CASE WHEN length(term) <= 3 THEN 75e0 ELSE 95e0 END / sqrt(df)) END), 6) AS boost FROM a JOIN d USING (term) JOIN (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) USING (term) GROUP BY query_id, paper_id""")

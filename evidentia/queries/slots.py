@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import labels as L
 from ..operators import relations as R, slots as S
 from ..session import table
 from .fixtures import SQL_LINES, lines
@@ -174,3 +175,25 @@ def window_expansions(spark, sf_dir):
     decisions = w.select("query_id", F.when(n % 2 == 0, 1).otherwise(0).alias("level"), F.concat(F.lit("T"), n).alias("triple_id"))
     found = R.expansions(decisions, triples, w, catalog(spark, sf_dir))
     return found.select("query_id", "level", "triple_id", "window_id", F.size("refs").alias("refs"))
+
+
+# --- what a task is: the plan of an order's lines first, its question where the plan is silent
+
+_NAME = "CASE l_partkey % 6 WHEN 0 THEN 'Text' WHEN 1 THEN 'figs' WHEN 2 THEN ' table ' WHEN 3 THEN 'novel' WHEN 4 THEN 'equation_algorithm' ELSE '' END"
+
+
+@_query(f"""
+WITH {SQL_LINES}, n AS (SELECT l_orderkey AS q, l_linenumber AS k, {_NAME} AS name, l_mode AS m FROM lines),
+a AS (SELECT q, min(k) AS k, CASE lower(trim(name)) WHEN 'text' THEN 'text_span' WHEN 'figs' THEN 'figure' WHEN 'table' THEN 'table' WHEN 'equation_algorithm' THEN 'equation_algorithm' END AS t FROM n GROUP BY q, t HAVING t IS NOT NULL), l AS (SELECT q, list(t ORDER BY k) AS types FROM a GROUP BY q),
+p AS (SELECT q, list(t ORDER BY k) AS types FROM (SELECT q, trim(name) AS t, min(k) AS k FROM n WHERE trim(name) IN ('table', 'equation_algorithm') GROUP BY ALL) GROUP BY q),
+e AS (SELECT q, list(m ORDER BY k) AS e FROM (SELECT q, m, min(k) AS k FROM n GROUP BY ALL) GROUP BY q),
+o AS (SELECT o_orderkey AS q, {_QUESTION} AS question, o_custkey FROM orders),
+r AS (SELECT o.q, coalesce(l.types, []) AS named, CASE WHEN o_custkey % 2 = 0 AND p.types IS NOT NULL THEN p.types WHEN o_custkey % 4 = 0 THEN ['table'] ELSE [] END AS types, CASE WHEN o_custkey % 7 BETWEEN 1 AND 6 THEN o_custkey % 7 END AS n, CASE WHEN o_custkey % 5 = 0 THEN coalesce(e, []) ELSE [] END AS ents, o_custkey % 3 = 0 OR o_custkey % 11 = 0 AND o_custkey % 3 = 1 AS crossing, question LIKE 'Compare%' AS asks FROM o LEFT JOIN l USING (q) LEFT JOIN p USING (q) LEFT JOIN e USING (q))
+SELECT q AS query_id, array_to_string(named, ',') AS named, array_to_string(types, ',') AS types, coalesce(types[1], '') AS "primary", CASE WHEN coalesce(n >= 2, false) OR crossing AND len(ents) > 0 OR asks THEN 'multi_paper' ELSE 'single_paper' END AS family, n::INT AS paper_count, len(ents)::INT AS entities FROM r""")
+def task_structures(spark, sf_dir):
+    own = lines(spark, sf_dir).groupBy(F.col("l_orderkey").alias("query_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("k"), F.expr(_NAME).alias("name"), "l_mode"))).alias("x"))
+    rows = table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "query_id").join(own, "query_id", "left").withColumn("question", F.expr(_QUESTION))
+    c, names = F.col("o_custkey"), F.transform("x", lambda e: e["name"])
+    cross = F.when(c % 3 == 0, True).when(c % 3 == 1, False)
+    s = L.task_structure(F.col("question"), F.when(c % 2 == 0, names), c % 7, F.lit(None).cast("array<string>"), F.when(c % 5 == 0, F.transform("x", lambda e: e["l_mode"])), cross, F.when(c % 11 == 0, c % 3 == 1))
+    return rows.select("query_id", F.array_join(L.source_types(names), ",").alias("named"), s.alias("s")).select("query_id", "named", F.array_join("s.types", ",").alias("types"), "s.primary", "s.family", "s.paper_count", F.size("s.entities").alias("entities"))
