@@ -34,23 +34,22 @@ def top_k(scores: DataFrame, k: int, *, query_key: str, doc_key: str) -> DataFra
     return scores.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-#: Equal ranges of a posting's part of a score, by which postings are found; and how much rounded scores may differ.
-BLOCKS, MARGIN = 32, 2e-6
+#: Terms are joined until what the others can add is at most so much of what all can; and how much rounded scores may differ.
+LEFT_OUT, MARGIN = 1 / 8, 2e-6
 
 
 @dataclass(frozen=True)
 class Postings:
-    """What scores are made of: rows (document, term, impact, block) of asked terms, and weights (query, term, weight, top, rest).
+    """What scores are made of: rows (document, term, impact) of asked terms, and weights (query, term, weight, rest, before, strong).
 
-    weight * impact is a term's part of a document's score; top is the term's largest impact, rest the most that the
-    terms behind it can add, where a query's terms stand by what they can add at most.
+    weight * impact is a term's part of a document's score; rest is the most that the terms behind it can add, before that and its own, where a
+    query's terms stand by what they can add at most. Strong terms are those before which more than LEFT_OUT of all is left.
     """
 
     rows: DataFrame
     weights: DataFrame
     doc_key: str
     query_key: str
-    most: float
 
 
 def postings(docs: DataFrame, queries: DataFrame, *, doc_key: str, query_key: str, doc_text: str = "text", query_text: str = "text", k1: float = 1.5, b: float = 0.75) -> Postings:
@@ -61,15 +60,14 @@ def postings(docs: DataFrame, queries: DataFrame, *, doc_key: str, query_key: st
     mean = max((total or 0) / max(n, 1), 1e-9)
     tf = sized.select(doc_key, F.size("_t").alias("len"), F.explode("_t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy(doc_key, "len", "term").agg(F.count("*").alias("tf"))
     impact = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * ((1.0 - b) + b * F.greatest(F.lit(1), F.col("len")) / mean))
-    rows = staged(tf.select(doc_key, "term", impact.alias("impact")).withColumn("block", F.least(F.lit(BLOCKS - 1), F.floor(F.col("impact") / (k1 + 1.0) * BLOCKS)).cast("int")), "postings")
+    rows = staged(tf.select(doc_key, "term", impact.alias("impact")), "postings")
     terms = rows.groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("top"))
     weight = F.col("qtf") * F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = asked.join(terms, "term").select(query_key, "term", weight.alias("weight"), "top", "df")
-    order = W.partitionBy(query_key).orderBy(F.desc(F.col("weight") * F.col("top")), "term")
-    behind = order.rowsBetween(1, W.unboundedFollowing)
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    weights = weights.withColumn("rest", F.coalesce(F.sum(F.col("weight") * F.col("top")).over(behind), F.lit(0.0))).withColumn("before", F.coalesce(F.sum("df").over(before), F.lit(0)))
-    return Postings(rows, staged(weights, "weights"), doc_key, query_key, k1 + 1.0)
+    weights = asked.join(terms, "term").select(query_key, "term", weight.alias("weight"), (weight * F.col("top")).alias("bound"))
+    order = W.partitionBy(query_key).orderBy(F.desc("bound"), "term")
+    behind, every = F.coalesce(F.sum("bound").over(order.rowsBetween(1, W.unboundedFollowing)), F.lit(0.0)), F.sum("bound").over(W.partitionBy(query_key))
+    weights = weights.withColumn("rest", behind).withColumn("before", F.col("rest") + F.col("bound")).withColumn("strong", F.col("before") > LEFT_OUT * every).drop("bound")
+    return Postings(rows, staged(weights, "weights"), doc_key, query_key)
 
 
 def scored(p: Postings, pairs: DataFrame, weight: float = 1.0) -> DataFrame:
@@ -81,18 +79,22 @@ def scored(p: Postings, pairs: DataFrame, weight: float = 1.0) -> DataFrame:
 def candidates(p: Postings, k: int) -> DataFrame:
     """query, document of every pair that can be among a query's k best, and few others.
 
-    The k best by a query's strongest terms are scored in full; the least of these scores is one that the k-th best
-    reaches. A document whose strongest term of the query is t has at most weight * impact + rest; blocks of postings
-    that stay below are never joined.
+    Parts of strong terms are summed first. The k best by these are scored in full, and the least of those scores is one that the k-th best
+    reaches: pairs whose sum and what the other terms can add stay below are left out, and so are documents without a strong
+    term. Where the other terms could add more than half of it, terms are joined until they can't; where fewer than k documents share a strong term, all.
     """
-    strong = p.weights.where(F.col("before") < 4 * k).select(p.query_key, "term", "weight").join(p.rows.select(p.doc_key, "term", "impact"), "term")
-    seeds = top_k(strong.groupBy(p.query_key, p.doc_key).agg(F.sum(F.col("weight") * F.col("impact")).alias("score")), k, query_key=p.query_key, doc_key=p.doc_key)
-    least = scored(p, seeds.select(p.query_key, p.doc_key)).groupBy(p.query_key).agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
-    asked = p.weights.join(least, p.query_key, "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - MARGIN).where(F.col("weight") * F.col("top") + F.col("rest") >= F.col("least"))
-    first = F.floor((F.col("least") - F.col("rest")) / F.greatest(F.col("weight"), F.lit(1e-300)) / p.most * BLOCKS)
-    asked = asked.select(p.query_key, "term", "weight", "rest", "least", F.explode(F.sequence(F.greatest(F.lit(0), F.least(F.lit(BLOCKS - 1), first)).cast("int"), F.lit(BLOCKS - 1))).alias("block"))
-    near = asked.join(p.rows, ["term", "block"]).where(F.col("weight") * F.col("impact") + F.col("rest") >= F.col("least"))
-    return near.select(p.query_key, p.doc_key).distinct()
+    key, doc = p.query_key, p.doc_key
+    strong = p.weights.where("strong")
+    part = staged(strong.select(key, "term", "weight").join(p.rows, "term").groupBy(key, doc).agg(F.sum(F.col("weight") * F.col("impact")).alias("score")), "parts")
+    seeds = top_k(part, k, query_key=key, doc_key=doc)
+    least = scored(p, seeds.select(key, doc)).groupBy(key).agg(F.when(F.count("*") >= k, F.min("score") - MARGIN).alias("least"))
+    limits = staged(strong.groupBy(key).agg(F.min("rest").alias("rest")).join(least, key, "left").withColumn("told", F.coalesce(F.col("least") > 2 * F.col("rest"), F.lit(False))), "limits")
+    near = part.join(limits.where("told"), key).where(F.col("score") + F.col("rest") >= F.col("least")).select(key, doc)
+    goal = limits.where("NOT told").select(key, F.coalesce("least", F.lit(-1.0)).alias("least"))
+    more = p.weights.join(goal, key).where(F.col("before") > F.col("least") / 2)  # now that the goal is known: terms until the rest is half of it
+    deep = more.join(p.rows, "term").groupBy(key, doc).agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
+    ends = more.groupBy(key).agg(F.min("rest").alias("rest"), F.first("least").alias("least"))
+    return near.unionByName(deep.join(ends, key).where(F.col("score") + F.col("rest") >= F.col("least")).select(key, doc))
 
 
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, *, doc_key: str, query_key: str, **how) -> DataFrame:

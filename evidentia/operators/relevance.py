@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.text import text_of
 from .scoring import rank_by
 
+# Names of back ends and fallbacks.
 BACKENDS = ("bm25", "e5_base_v2", "hybrid", "llmrerank")
 FALLBACKS = ("none", "bm25", "e5_base_v2", "hybrid")
 
