@@ -69,7 +69,7 @@ def layout_columns(spark, sf_dir):
 
 @_query()
 def layout_lines(spark, sf_dir):
-    return P.lines(_words(spark, sf_dir).drop("line"), "k").groupBy("k").agg(F.countDistinct("line").alias("lines"), F.count("*").alias("words"))
+    return P.lines(_words(spark, sf_dir).drop("line"), "k").groupBy("k").agg((F.max("line") + 1).alias("lines"), F.count("*").alias("words"))
 
 
 @_query()
