@@ -57,3 +57,9 @@ def test_gold_meets_no_page_whole(spark):
     assert got == _matched_plainly(gold, records)
     many = M.match_gold(spark.range(3000).selectExpr("id AS gold_id", "1 AS paper_id", "1 AS page", "'table' AS kind", "'Table 1' AS label", "'' AS text"), spark.range(100_000).selectExpr("1 AS paper_id", "1 AS page", "id AS record_id", "id AS at", "'table' AS kind", "'Table 1' AS label", "'' AS text"))
     assert many.where("record_id = 0 AND relaxed_id = 0").count() == 3000  # 300 million pairs
+
+
+def test_hinted_gold_meets_no_page_whole(spark):
+    gold = spark.range(3000).selectExpr("id AS gold_id", "1 AS paper_id", "1 AS page", "'table' AS kind", "'Table 1' AS label", "'' AS text")
+    records = spark.range(100_000).selectExpr("1 AS paper_id", "1 AS page", "id AS record_id", "id AS at", "'text_span' AS kind", "'' AS label", "'see Table 1' AS text")
+    assert M.match_gold_with_hints(gold, records).where("record_id = '0__hint_table' AND origin = 'hint of 0'").count() == 3000
