@@ -2,30 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import labels as L, text as T
 from .scoring import rank_by
 
 
-def label_pattern(label: Column) -> Column:
-    """A pattern for mentions of a labelled object in prose; null for labels that are none."""
-    found = F.regexp_extract(F.trim(T.text_of(label)), r"(?i)^(table|figure|fig\.?|equation|eq\.?|algorithm)\s*\(?\s*((?:[A-Za-z]\.)?[0-9]+[A-Za-z]?(?:\.[0-9A-Za-z]+)*)\s*\)?$", 1)
-    number = F.regexp_replace(F.regexp_extract(F.trim(T.text_of(label)), r"((?:[A-Za-z]\.)?[0-9]+[A-Za-z]?(?:\.[0-9A-Za-z]+)*)\s*\)?$", 1), r"\.", "[.]")
-    low = F.lower(found)
-    word = F.when(low == "table", r"(?:table|tab\.?)").when(low.startswith("fig"), r"(?:figure|fig\.?)").when(low.startswith("eq"), r"(?:equation|eq\.?)").when(low == "algorithm", r"(?:algorithm|alg\.?)")
-    return F.when(found != "", F.concat(F.lit(r"(?i)(?<!\w)"), word, F.lit(r"\s*\(?\s*"), number, F.lit(r"\s*\)?(?!\w)")))
+# How prose names objects, and what is a number of theirs.
+_NUMBER = r"(?:[A-Za-z]\.)?[0-9]+[A-Za-z]?(?:\.[0-9A-Za-z]+)*"
+_LABEL = rf"(?i)^(table|figure|fig\.?|equation|eq\.?|algorithm)\s*\(?\s*({_NUMBER})\s*\)?$"
+_SPOKEN = rf"(?i)(?<!\w)(table|tab\.?|figure|fig\.?|equation|eq\.?|algorithm|alg\.?)(?=\s*\(?\s*({_NUMBER})(?!\w))"
+
+
+def label_key(label: Column) -> Column:
+    """What a labelled object is called in prose: the first two letters of its word and its number, in lower case; null for labels that are none."""
+    bare = F.trim(T.text_of(label))
+    word, number = F.regexp_extract(bare, _LABEL, 1), F.regexp_extract(bare, _LABEL, 2)
+    return F.when(word != "", F.lower(F.concat_ws(" ", F.substring(word, 1, 2), number)))
+
+
+def spoken_keys(text: Column) -> Column:
+    """The different keys of objects that a text speaks of. `Table 3.2.1` also speaks of tables 3.2 and 3."""
+    told = lambda group: F.regexp_extract_all(T.text_of(text), F.lit(_SPOKEN), F.lit(group))
+    least = lambda parts: F.when(F.get(parts, F.lit(0)).rlike("^[A-Za-z]$"), 2).otherwise(1)
+    starts = lambda parts: F.transform(F.sequence(least(parts), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    keys = F.zip_with(told(1), told(2), lambda w, n: F.transform(starts(F.split(n, r"\.")), lambda x: F.lower(F.concat_ws(" ", F.substring(w, 1, 2), x))))
+    return F.array_distinct(F.flatten(keys))
 
 
 def narrations(anchors: DataFrame, records: DataFrame, k: int) -> DataFrame:
     """paper_id, anchor, record_id, place: the k text records that speak of each anchor's label, same section first, then nearest by page and order.
 
-    anchors and records: paper_id, record_id, section_id, page, at, label, kind, text.
+    anchors and records: paper_id, record_id, section_id, page, at, label, kind, text. An anchor meets only the k + 1 nearest on either side of it in
+    each of the k + 1 nearest sections and pages that speak of its label, so those that share a label are never all paired.
     """
-    a = anchors.select("paper_id", F.col("record_id").alias("anchor"), F.col("section_id").alias("s"), F.col("page").alias("p"), F.col("at").alias("o"), label_pattern(F.col("label")).alias("pattern")).where("pattern is not null")
-    pairs = a.join(records.where(F.col("kind") == "text_span").select("paper_id", "record_id", "section_id", "page", "at", "text"), "paper_id").where((F.col("record_id") != F.col("anchor")) & F.expr("text rlike pattern"))
-    order = [(~F.col("section_id").eqNullSafe(F.col("s"))).cast("int"), F.abs(F.col("page") - F.col("p")), F.abs(F.col("at") - F.col("o")), F.col("page"), F.col("at"), F.col("record_id")]
-    return pairs.withColumn("place", rank_by(["paper_id", "anchor"], *[F.asc(c) for c in order])).where(F.col("place") <= k).select("paper_id", "anchor", "record_id", "place")
+    by, near = ["paper_id", "key", "cell"], k + 1
+    a = anchors.select("paper_id", F.col("record_id").alias("anchor"), F.struct(F.col("section_id").alias("s"), F.col("page").alias("p")).alias("own"), F.col("at").alias("o"), label_key(F.col("label")).alias("key")).where("key is not null")
+    told = records.where(F.col("kind") == "text_span").select("paper_id", F.explode(spoken_keys(F.col("text"))).alias("key"), F.struct("section_id", "page").alias("cell"), "at", "record_id")
+    other, away = (~F.col("cell.section_id").eqNullSafe(F.col("own.s"))).cast("int"), F.abs(F.col("cell.page") - F.col("own.p"))
+    cells = a.select("paper_id", "key", "own").distinct().join(told.select(*by).distinct(), ["paper_id", "key"])
+    cells = cells.withColumn("_c", F.rank().over(W.partitionBy("paper_id", "key", "own").orderBy(F.asc(other), F.asc(away)))).where(F.col("_c") <= near).drop("_c")
+    asks = a.join(cells, ["paper_id", "key", "own"])
+    marks = asks.select(*by, F.col("o").alias("at"), F.struct("own", "o", "anchor").alias("ask"))
+    both = told.select(*by, "at", F.lit(None).cast(marks.schema["ask"].dataType).alias("ask")).unionByName(marks)
+    before = F.count(F.when(F.col("ask").isNull(), 1)).over(W.partitionBy(*by).orderBy(F.asc("at"), F.asc(F.col("ask").isNull())).rowsBetween(W.unboundedPreceding, W.currentRow))
+    places = both.withColumn("_i", before).where("ask is not null")
+    met = None
+    for steps, order in (((1 - near, 0), F.desc("record_id")), ((1, near), F.asc("record_id"))):  # those before an anchor, and those at its place and behind
+        rows = told.withColumn("_i", F.row_number().over(W.partitionBy(*by).orderBy(F.asc("at"), order)).cast("long"))
+        side = places.select(*by, "ask", F.explode(F.sequence(F.col("_i") + steps[0], F.col("_i") + steps[1])).alias("_i")).join(rows, [*by, "_i"])
+        met = side if met is None else met.unionByName(side)
+    met = met.select("paper_id", "cell", "at", "record_id", "ask.*").where(F.col("record_id") != F.col("anchor"))
+    order = [other, away, F.abs(F.col("at") - F.col("o")), F.col("cell.page"), F.col("at"), F.col("record_id")]
+    return met.withColumn("place", rank_by(["paper_id", "anchor"], *[F.asc(c) for c in order])).where(F.col("place") <= k).select("paper_id", "anchor", "record_id", "place")
 
 
 def catalog(selected: DataFrame) -> DataFrame:

@@ -63,3 +63,24 @@ def test_hinted_gold_meets_no_page_whole(spark):
     gold = spark.range(3000).selectExpr("id AS gold_id", "1 AS paper_id", "1 AS page", "'table' AS kind", "'Table 1' AS label", "'' AS text")
     records = spark.range(100_000).selectExpr("1 AS paper_id", "1 AS page", "id AS record_id", "id AS at", "'text_span' AS kind", "'' AS label", "'see Table 1' AS text")
     assert M.match_gold_with_hints(gold, records).where("record_id = '0__hint_table' AND origin = 'hint of 0'").count() == 3000
+
+
+def test_spoken_keys(spark):
+    said = {"as Table 3.2.1 shows": ["ta 3.2.1", "ta 3.2", "ta 3"], "Fig.(4) and TAB. A.3b": ["fi 4", "ta a.3b"], "table 3_x, stable 3, eq 12ab": [], "Table 3.fig.4": ["ta 3.fig.4", "ta 3.fig", "ta 3", "fi 4"]}
+    rows = spark.createDataFrame([(t,) for t in said], "t string").select("t", H.spoken_keys(F.col("t")).alias("k"))
+    assert {r["t"]: sorted(r["k"]) for r in rows.collect()} == {t: sorted(k) for t, k in said.items()}
+
+
+def test_narrations_pair_no_label_whole(spark):
+    rng = random.Random(3)
+    rows = lambda n, first: [(rng.randrange(2), first + k, rng.choice([None, 0, 1, 2]), rng.randrange(5), rng.randrange(40), f"Figure {rng.randrange(2)}") for k in range(n)]
+    anchors, prose = rows(40, 0), rows(80, 20)
+    name = "paper_id long, record_id long, section_id long, page long, at long, label string"
+    a, r = spark.createDataFrame(anchors, name), spark.createDataFrame(prose, name).withColumn("kind", F.lit("text_span")).withColumn("text", F.concat(F.lit("see "), "label"))
+    want = []
+    for p, key, s, page, at, label in anchors:
+        near = sorted((x[2] != s, abs(x[3] - page), abs(x[4] - at), x[3], x[4], x[1]) for x in prose if x[0] == p and x[5] == label and x[1] != key)
+        want += [(p, key, x[-1], n + 1) for n, x in enumerate(near[:3])]
+    assert sorted(map(tuple, H.narrations(a, r, 3).collect())) == sorted(want)
+    wide = spark.range(30_000).selectExpr("1 AS paper_id", "id AS record_id", "1 AS section_id", "id % 100 AS page", "id AS at", "'Table 1' AS label", "'text_span' AS kind", "'in Table 1' AS text")
+    assert H.narrations(wide, wide, 2).count() == 60_000  # 900 million pairs
