@@ -52,13 +52,20 @@ class Postings:
     query_key: str
 
 
+def term_counts(docs: DataFrame, asked: DataFrame, *, doc_key: str, text: str = "text") -> DataFrame:
+    """document, len, term, tf of the terms in `asked`. Texts are cut once: a size beside an explode of the same text would be made anew for every word."""
+    sized = docs.select(doc_key, tokens(F.col(text)).alias("_t")).withColumn("len", F.size("_t"))
+    words = sized.select(doc_key, "len", F.explode("_t").alias("term"))
+    return words.join(asked.select("term").distinct(), "term", "left_semi").groupBy(doc_key, "len", "term").agg(F.count("*").alias("tf"))
+
+
 def postings(docs: DataFrame, queries: DataFrame, *, doc_key: str, query_key: str, doc_text: str = "text", query_text: str = "text", k1: float = 1.5, b: float = 0.75) -> Postings:
     """Written once: the postings of the terms that some query asks, and the queries' weights."""
     asked = queries.select(query_key, F.explode(tokens(F.col(query_text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
     sized = docs.select(doc_key, tokens(F.col(doc_text)).alias("_t"))
     n, total = sized.agg(F.count("*"), F.sum(F.size("_t"))).first()
     mean = max((total or 0) / max(n, 1), 1e-9)
-    tf = sized.select(doc_key, F.size("_t").alias("len"), F.explode("_t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy(doc_key, "len", "term").agg(F.count("*").alias("tf"))
+    tf = term_counts(docs, asked, doc_key=doc_key, text=doc_text)
     impact = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * ((1.0 - b) + b * F.greatest(F.lit(1), F.col("len")) / mean))
     rows = staged(tf.select(doc_key, "term", impact.alias("impact")), "postings")
     terms = rows.groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("top"))
@@ -97,7 +104,17 @@ def candidates(p: Postings, k: int) -> DataFrame:
     return near.unionByName(deep.join(ends, key).where(F.col("score") + F.col("rest") >= F.col("least")).select(key, doc))
 
 
+def every(p: Postings) -> DataFrame:
+    """query, document, score of every pair that shares a term of p."""
+    parts = p.weights.select(p.query_key, "term", "weight").join(p.rows, "term")
+    return parts.groupBy(p.query_key, p.doc_key).agg(F.round(F.sum(F.col("weight") * F.col("impact")), 6).alias("score"))
+
+
+def best(p: Postings, k: int) -> DataFrame:
+    """The rows of top_k() over every(), without scoring pairs that can't be among the k best. The rows of p may be those of some documents only."""
+    return top_k(scored(p, candidates(p, k)), k, query_key=p.query_key, doc_key=p.doc_key)
+
+
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, *, doc_key: str, query_key: str, **how) -> DataFrame:
     """The rows of top_k() over bm25_scores(), without scoring pairs that can't be among the k best."""
-    p = postings(docs, queries, doc_key=doc_key, query_key=query_key, **how)
-    return top_k(scored(p, candidates(p, k)), k, query_key=query_key, doc_key=doc_key)
+    return best(postings(docs, queries, doc_key=doc_key, query_key=query_key, **how), k)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as T
 from ..operators import bm25, hybrid, joins as J, scoring as S
-from ..session import table
+from ..session import staged, table
 from .fixtures import SQL_PAPERS, papers
 
 QUERIES, SQL = {}, {}
@@ -145,7 +145,7 @@ def tfidf_dot(spark, sf_dir):
     q = asked.select("item_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qtf"))
     q = q.withColumn("qf", F.col("qtf") / F.sum("qtf").over(W.partitionBy("item_id")))
     n = docs.agg(F.count("*").alias("n"))  # one row
-    tf = docs.select("doc_id", F.size(T.tokens(F.col("text"))).alias("len"), F.explode(T.tokens(F.col("text"))).alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    tf = staged(bm25.term_counts(docs, q, doc_key="doc_id"), "counts")
     idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((2.0 + F.col("n")) / (2.0 + F.col("df"))) + 1.0).alias("idf"))
     c = q.join(idf, "term").join(tf, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("qf") * F.col("idf") * F.col("tf") / F.col("len") * F.col("idf")).alias("dot"))
     c = c.withColumn("rank", S.rank_by(["item_id"], F.desc(F.round("dot", 9)), F.asc("doc_id"))).where("rank <= 5")
