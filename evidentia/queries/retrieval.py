@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as T
@@ -22,14 +24,14 @@ def _query(sql=None):
     return add
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_id, doc_id, score: BM25 of every benchmark text over all documents."""
-    return bm25.bm25_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), doc_key="doc_id", query_key="item_id")
+def _postings(spark: SparkSession, sf_dir: str) -> bm25.Postings:
+    """What BM25 of every benchmark text over all documents is made of."""
+    return bm25.postings(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), doc_key="doc_id", query_key="item_id")
 
 
 def _best(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """item_id, doc_id, score, rank: the k best of _scores()."""
-    return bm25.bm25_top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k, doc_key="doc_id", query_key="item_id")
+    """item_id, doc_id, score, rank: the k best documents of every benchmark text by BM25."""
+    return bm25.best(_postings(spark, sf_dir), k)
 
 
 _BM25 = """
@@ -54,7 +56,7 @@ def bm25_topk(spark, sf_dir):
 @_query(_BM25 + """, m AS (SELECT item_id, doc_id, round((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 6) AS x FROM ranked WHERE rank <= 50 WINDOW w AS (PARTITION BY item_id))
 SELECT item_id, doc_id, coalesce(x, 0.5e0) AS half, coalesce(x, 0e0) AS zero FROM m""")
 def minmax_norm(spark, sf_dir):
-    top = bm25.top_k(_scores(spark, sf_dir), 50, query_key="item_id", doc_key="doc_id")
+    top = _best(spark, sf_dir, 50)
     return top.select("item_id", "doc_id", F.round(S.min_max("score", ["item_id"]), 6).alias("half"), F.round(S.min_max("score", ["item_id"], 0.0), 6).alias("zero"))
 
 
@@ -70,7 +72,7 @@ def score_pooling(spark, sf_dir):
 f AS (SELECT *, coalesce((score - min(score) OVER w) / nullif(max(score) OVER w - min(score) OVER w, 0), 0.5e0) AS a, coalesce((n - min(n) OVER w) / nullif(max(n) OVER w - min(n) OVER w, 0)::DOUBLE, 0.5e0) AS b FROM two WINDOW w AS (PARTITION BY item_id))
 SELECT item_id, doc_id, round(0.6e0 * a + 0.4e0 * b, 6) AS fused, round(1e0 / (60 + r1) + 1e0 / (60 + r2), 9) AS rrf FROM f""")
 def score_fusion(spark, sf_dir):
-    top = bm25.top_k(_scores(spark, sf_dir), 40, query_key="item_id", doc_key="doc_id").join(table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")), "doc_id")
+    top = _best(spark, sf_dir, 40).join(table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")), "doc_id")
     top = top.withColumn("r2", S.rank_by(["item_id"], F.desc("n"), F.asc("doc_id")))
     return top.select("item_id", "doc_id", F.round(0.6 * S.min_max("score", ["item_id"]) + 0.4 * S.min_max("n", ["item_id"]), 6).alias("fused"), F.round(S.reciprocal_rank("rank", "r2"), 9).alias("rrf"))
 
@@ -95,7 +97,7 @@ m AS (SELECT item_id, doc_id, score + 2 * (6 - rank) AS part FROM full_ UNION AL
 merged AS (SELECT item_id, doc_id, round(sum(part), 4) AS score FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM merged)
 SELECT * FROM r WHERE rank <= 5""")
 def decomposed_merge(spark, sf_dir):
-    ranked = bm25.top_k(_scores(spark, sf_dir), 8, query_key="item_id", doc_key="doc_id").withColumnsRenamed({"item_id": "query_id", "doc_id": "paper_id"})
+    ranked = _best(spark, sf_dir, 8).withColumnsRenamed({"item_id": "query_id", "doc_id": "paper_id"})
     sub = ranked.where("rank % 2 = 0").withColumn("rank", F.expr("rank div 2"))
     return hybrid.decomposed(ranked, sub, k=5).withColumnsRenamed({"query_id": "item_id", "paper_id": "doc_id"})
 
@@ -105,10 +107,10 @@ route AS (SELECT r.*, row_number() OVER (PARTITION BY item_id ORDER BY score DES
 new AS (SELECT item_id, doc_id, score, k FROM route WHERE k <= 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.item_id = route.item_id AND b.doc_id = route.doc_id))
 SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY route, rank, doc_id) AS rank FROM (SELECT item_id, doc_id, score, rank, 0 AS route FROM base UNION ALL SELECT item_id, doc_id, score, k, 1 FROM new)""")
 def venue_route(spark, sf_dir):
-    scores = _scores(spark, sf_dir)
-    base = bm25.top_k(scores, 3, query_key="item_id", doc_key="doc_id")
-    of = scores.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").where(F.col("source") == F.concat(F.lit("src"), F.col("item_id") % 20)).drop("source")
-    extra = bm25.top_k(of, 3, query_key="item_id", doc_key="doc_id")
+    p = _postings(spark, sf_dir)
+    base = bm25.best(p, 3)
+    routed = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("src"), F.col("item_id") % 20).alias("source")), "source").select("item_id", "doc_id")
+    extra = bm25.top_k(bm25.scored(p, routed), 3, query_key="item_id", doc_key="doc_id")
     names = {"item_id": "query_id", "doc_id": "paper_id"}
     return hybrid.append_route(base.withColumnsRenamed(names), extra.withColumnsRenamed(names)).withColumnsRenamed({v: k for k, v in names.items()})
 
@@ -205,6 +207,9 @@ def page_position_prior(spark, sf_dir):
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id, special ORDER BY score DESC, doc_id) AS rn FROM u)
 SELECT item_id, count(*) AS pool, count(*) FILTER (WHERE special) AS special FROM k WHERE special OR rn <= 16 GROUP BY item_id""")
 def retriever_pool(spark, sf_dir):
-    u = _scores(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").isin("src1", "src2").alias("special")), "doc_id")
+    p = _postings(spark, sf_dir)
+    rows = p.rows.join(table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("source").isin("src1", "src2"), F.lit(False)).alias("special")), "doc_id")
+    special, others = (dataclasses.replace(p, rows=rows.where(c).drop("special")) for c in ("special", "NOT special"))
+    u = bm25.every(special).withColumn("special", F.lit(True)).unionByName(bm25.best(others, 16).drop("rank").withColumn("special", F.lit(False)))
     pool = J.retriever_pool(u.withColumnRenamed("doc_id", "unit"), "item_id", 16)
     return pool.groupBy("item_id").agg(F.count("*").alias("pool"), F.count_if("special").alias("special"))

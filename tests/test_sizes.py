@@ -1,10 +1,13 @@
 """What must not grow with groups, copies or pairs: plans and rows of small tables with large groups."""
 
+import dataclasses
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import hierarchy as H, matching as M, pages as P
+from evidentia.operators import bm25, hierarchy as H, matching as M, pages as P
+from evidentia.queries import QUERIES
 
 
 def plan(df):
@@ -84,3 +87,32 @@ def test_narrations_pair_no_label_whole(spark):
     assert sorted(map(tuple, H.narrations(a, r, 3).collect())) == sorted(want)
     wide = spark.range(30_000).selectExpr("1 AS paper_id", "id AS record_id", "1 AS section_id", "id % 100 AS page", "id AS at", "'Table 1' AS label", "'text_span' AS kind", "'in Table 1' AS text")
     assert H.narrations(wide, wide, 2).count() == 60_000  # 900 million pairs
+
+
+@pytest.mark.parametrize("name", ["venue_route", "retriever_pool", "decomposed_merge", "score_fusion", "minmax_norm"])
+def test_no_query_scores_all_pairs(spark, monkeypatch, name):
+    def refuse(*_, **__):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(bm25, "bm25_scores", refuse)
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_best_among_some_documents(spark):
+    rng = random.Random(2)
+    text = lambda n: " ".join(rng.choices([f"w{k}" for k in range(40)], k=n))
+    docs = spark.createDataFrame([(k, text(rng.randrange(1, 12))) for k in range(150)], "d long, text string")
+    asked = spark.createDataFrame([(k, text(6)) for k in range(5)], "q long, text string")
+    p = bm25.postings(docs, asked, doc_key="d", query_key="q")
+    some = dataclasses.replace(p, rows=p.rows.where("d % 3 = 0"))
+    want = bm25.top_k(bm25.bm25_scores(docs, asked, doc_key="d", query_key="q").where("d % 3 = 0"), 4, query_key="q", doc_key="d")
+    assert sorted(map(tuple, bm25.best(some, 4).collect())) == sorted(map(tuple, want.collect()))
+    assert bm25.every(some).count() == bm25.bm25_scores(docs, asked, doc_key="d", query_key="q").where("d % 3 = 0").count()
+
+
+def test_texts_are_cut_once(spark):
+    rows = QUERIES["tfidf_dot"](spark, "/root/testdata/sf0.001")
+    docs = spark.createDataFrame([(1, "a b a"), (2, None)], "d long, text string")
+    counts = bm25.term_counts(docs, spark.createDataFrame([("a",)], "term string"), doc_key="d")
+    above = plan(counts).split("Generate explode")[0]
+    assert rows.count() == 200 and "regexp_extract_all" not in above and [tuple(r) for r in counts.collect()] == [(1, 3, "a", 2)]
