@@ -6,7 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import html as H, text as T
 from ..operators import coverage as C, joins as J, scoring as S, sections as X, selection as Y
-from ..session import table
+from ..session import staged, table
 from .fixtures import SQL_LINES, lines
 
 QUERIES, SQL = {}, {}
@@ -284,12 +284,30 @@ def extractive_fragments(spark, sf_dir):
     return _fragments(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
 
-def _fragments(questions, documents):
+#: How many of a question's rarest words tell how good its best sentences are at least.
+SEEDS = 3
+
+
+def _fragments(questions, documents, k=3):
+    """The k sentences with most of a question's words; only those that can be among them are compared, and texts are never shuffled.
+
+    The k-th best of the sentences with one of a question's SEEDS rarest words has `least` of its words; whatever has as many holds one of all
+    its words but the least - 1 most frequent ones, and is looked at where it holds the rarest of these that it has.
+    """
+    s = staged(documents.select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s")).withColumn("words", T.content_tokens(F.col("s"))).where(F.size("words") > 0), "sentences")
     q = questions.select("item_id", T.content_tokens(F.col("text")).alias("t"))
-    terms = q.select("item_id", F.explode("t").alias("term"))
-    s = documents.select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s"))
-    s = s.groupBy("doc_id", "s").agg(F.count("*").alias("copies"))
-    hits = s.select("doc_id", "s", "copies", F.explode(F.array_distinct(T.tokens(F.col("s")))).alias("term")).join(terms, "term").groupBy("item_id", "doc_id", "s", "copies").agg(F.count("*").cast("int").alias("hits"))
-    rows = hits.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    rows = rows.withColumn("place", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("hits"), F.length("s"), "doc_id", "s")).cast("long")).where("place <= 3")
+    asked = staged(q.select(F.explode("t").alias("term")).distinct(), "asked")
+    held = lambda terms: s.withColumn("term", F.explode("words")).join(terms, "term")
+    df = staged(held(asked).groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+    of = q.withColumn("row", F.monotonically_increasing_id()).select("row", "item_id", F.explode("t").alias("term")).join(df, "term").groupBy("row", "item_id")
+    rare = staged(of.agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("_t")).select("row", "item_id", F.transform("_t", lambda x: x["term"]).alias("t")), "rare")
+
+    def met(first):  # rare with `pre`, the words that a sentence must hold one of: every pair of these once
+        rows = held(staged(first.withColumn("term", F.explode("pre")), "first")).where(F.get(F.array_intersect("pre", "words"), F.lit(0)) == F.col("term"))
+        return rows.withColumn("hits", F.size(F.array_intersect("t", "words")))
+
+    seeds = met(rare.withColumn("least", F.lit(1)).withColumn("pre", F.slice("t", 1, SEEDS))).withColumn("_i", F.row_number().over(W.partitionBy("row").orderBy(F.desc("hits")))).where(F.col("_i") <= k)
+    least = seeds.groupBy("row").agg(F.when(F.count("*") >= k, F.min("hits")).otherwise(1).alias("least"))
+    rows = met(rare.join(least, "row").withColumn("pre", F.expr("slice(t, 1, size(t) - least + 1)"))).where(F.col("hits") >= F.col("least"))
+    rows = rows.withColumn("place", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("hits"), F.length("s"), "doc_id", "s")).cast("long")).where(F.col("place") <= k)
     return rows.select("item_id", "doc_id", "hits", F.col("s").alias("fragment"), "place")

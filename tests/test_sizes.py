@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.operators import bm25, hierarchy as H, matching as M, pages as P
-from evidentia.queries import QUERIES
+from evidentia.queries import QUERIES, records
 
 
 def plan(df):
@@ -116,3 +116,17 @@ def test_texts_are_cut_once(spark):
     counts = bm25.term_counts(docs, spark.createDataFrame([("a",)], "term string"), doc_key="d")
     above = plan(counts).split("Generate explode")[0]
     assert rows.count() == 200 and "regexp_extract_all" not in above and [tuple(r) for r in counts.collect()] == [(1, 3, "a", 2)]
+
+
+def test_fragments_are_not_shuffled_by_word(spark):
+    rng = random.Random(4)
+    text = lambda n: ". ".join(" ".join(rng.choices([f"word{k}" for k in range(30)], k=rng.randrange(1, 9))) for _ in range(n))
+    docs, asked = [(k, text(4)) for k in range(60)] + [(98, "word1. word1"), (99, None)], [(k, text(2)) for k in range(6)] + [(7, "unseen")]
+    rows = records._fragments(spark.createDataFrame(asked, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"))
+    assert plan(rows).count("Exchange hashpartitioning") == 1  # of the best only, by question
+    want = []
+    for item, t in asked:
+        words = set(t.replace(".", "").split())
+        every = [(-len(words & set(s.rstrip(".").split())), len(s), d, s) for d, x in docs for s in (x or "").replace(". ", ".\n").split("\n")]
+        want += [(item, d, -n, s, i + 1) for i, (n, _, d, s) in enumerate(sorted(e for e in every if e[0])[:3])]
+    assert sorted(map(tuple, rows.collect())) == sorted(want)
