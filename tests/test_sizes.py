@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import bm25, hierarchy as H, matching as M, pages as P
+from evidentia.operators import bm25, hierarchy as H, levels, matching as M, pages as P
 from evidentia.queries import QUERIES, records
 
 
@@ -130,3 +130,15 @@ def test_fragments_are_not_shuffled_by_word(spark):
         every = [(-len(words & set(s.rstrip(".").split())), len(s), d, s) for d, x in docs for s in (x or "").replace(". ", ".\n").split("\n")]
         want += [(item, d, -n, s, i + 1) for i, (n, _, d, s) in enumerate(sorted(e for e in every if e[0])[:3])]
     assert sorted(map(tuple, rows.collect())) == sorted(want)
+
+
+def test_levels_are_made_step_by_step(spark, monkeypatch):
+    widest, write = [], levels.staged
+
+    def counted(df, name):
+        widest.append(plan(df).count("Join"))
+        return write(df, name)
+
+    monkeypatch.setattr(levels, "staged", counted)
+    assert QUERIES["evidence_level0"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(widest) >= 9 and max(widest) <= 8  # no plan holds all joins
