@@ -87,20 +87,27 @@ def slot_routes(slots: DataFrame, questions: DataFrame) -> DataFrame:
 def reported_difference(table: Column, first: Column, second: Column) -> Column:
     """The absolute delta that a pipe table states for two of its cells: the first such row below both in their column, in the leftmost of the nearest. Null without any."""
     lines = F.filter(F.transform(F.split(T.text_of(table), "\n"), lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))), lambda r: F.size(r) >= 2)
-    width = F.coalesce(F.array_max(F.transform(lines, lambda r: F.size(r))), F.lit(0))
+    name = lambda r: F.translate(F.lower(F.get(r, F.lit(0))), "∆Δδ", "ddd")
+    says = lambda r: name(r).contains("absolute") & name(r).rlike(r"delta|(?<![a-z])d(?![a-z])")
 
     def last(rows: Column, column: Column, value: Column) -> Column:
-        return F.array_max(F.transform(rows, lambda r, i: F.when(F.get(r, column) == F.trim(value), i)))
-
-    def delta(rows: Column, column: Column) -> Column:
-        after = F.greatest(last(rows, column, first), last(rows, column, second))
-        both = last(rows, column, first).isNotNull() & last(rows, column, second).isNotNull()
-        name = lambda r: F.translate(F.lower(F.get(r, F.lit(0))), "∆Δδ", "ddd")
-        fits = lambda r: name(r).contains("absolute") & name(r).rlike(r"delta|(?<![a-z])d(?![a-z])") & F.coalesce(F.get(r, column).rlike(NUMBER), F.lit(False))
-        return F.when(both, F.array_min(F.filter(F.transform(rows, lambda r, i: F.when((i > after) & fits(r), F.struct((i - after).alias("far"), column.alias("column"), F.get(r, column).alias("value")))), lambda x: x.isNotNull())))
-
-    found = F.transform(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), lambda c: delta(lines, c))
-    return F.when((T.text_of(first) != "") & (T.text_of(second) != ""), F.array_min(F.filter(found, lambda x: x.isNotNull()))["value"])
+        return F.array_max(F.transform(rows, lambda r, i: F.when(F.get(r, column) == value, i)))
+
+    def delta(rows: Column, named: Column, column: Column, after: Column) -> Column:
+        cell = lambda i: F.get(F.get(rows, i), column)
+        return F.array_min(F.transform(F.filter(named, lambda i: (i > after) & F.coalesce(cell(i).rlike(NUMBER), F.lit(False))), lambda i: F.struct((i - after).alias("far"), column.alias("column"), cell(i).alias("value"))))
+
+    def within(rows: Column, ends: Column) -> Column:
+        """The texts are cut, cleaned and named once; columns without both cells are done with at once."""
+        width = F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0))
+        below = lambda c: F.when(last(rows, c, ends["a"]).isNotNull() & last(rows, c, ends["b"]).isNotNull(), F.greatest(last(rows, c, ends["a"]), last(rows, c, ends["b"])))
+        open_ = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), lambda c: F.struct(c.alias("c"), below(c).alias("after"))), lambda x: x["after"].isNotNull())
+        named = F.filter(F.transform(rows, lambda r, i: F.when(says(r), i)), lambda i: i.isNotNull())
+        return T.bound(F.struct(open_.alias("open"), named.alias("named")), lambda v: F.array_min(F.filter(F.transform(v["open"], lambda x: delta(rows, v["named"], x["c"], x["after"])), lambda x: x.isNotNull()))["value"])
+
+    found = T.bound(lines, lambda rows: T.bound(F.struct(F.trim(first).alias("a"), F.trim(second).alias("b")), lambda ends: within(rows, ends)))
+    held = F.contains(T.text_of(table), F.trim(first)) & F.contains(T.text_of(table), F.trim(second))  # cheap, and true of every table that has both cells
+    return F.when((T.text_of(first) != "") & (T.text_of(second) != "") & held, found)
 
 
 def aligned_rows(values: DataFrame, cells: DataFrame, schema: DataFrame) -> DataFrame:

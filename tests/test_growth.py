@@ -1,6 +1,8 @@
 """What must be done once a row or once a table: plans of small tables, and their rows."""
 
-from evidentia.operators import matching as M
+from pyspark.sql import functions as F
+
+from evidentia.operators import matching as M, slots as S
 
 
 def plan(df):
@@ -15,3 +17,11 @@ def test_virtual_records_in_one_pass(spark, tmp_path):
     own = [("1", "paragraph", "", "record", 0), ("2", "table", "Table 3", "record", 0), ("3", None, None, "record", 0)]
     hints = [("1__hint_figure", "figure", "Figure 2", "hint of 1", 2), ("1__hint_table", "table", "Table 3", "hint of 1", 1)]
     assert sorted((tuple(r) for r in made.select("record_id", "kind", "label", "origin", "hint").collect()), key=str) == sorted(own + hints, key=str)
+
+
+def test_difference_cuts_a_table_once(spark):
+    table = "| Set | A | B |\n|---|---|---|\n| one | 7 | 7 |\n| two | 9 | 9 |\n| absolute delta | n/a | 2 |\n| absolute Δ | -2 | 3 |"
+    rows = spark.createDataFrame([(table, "7", " 9 "), (table, "7", "8"), (table, "", "9"), (None, "7", "9"), (table, None, "9")], "t string, a string, b string")
+    made = rows.select(S.reported_difference(F.col("t"), F.col("a"), F.col("b")).alias("v"))
+    assert plan(made).count("split(") <= 2  # lines, and cells of a line
+    assert [r["v"] for r in made.collect()] == ["2", None, None, None, None]
