@@ -53,14 +53,17 @@ def equations(blocks: DataFrame, lines: DataFrame) -> DataFrame:
     blocks and lines: paper_id, page, at, text. Blocks come first; of lines, those that are mathematics add labels that no block
     has, and one without a number stands for `Equation 0`.
     """
-    b = blocks.withColumn("a", algorithm_label(F.col("text"))).withColumn("e", equation_label(F.col("text")))
+    # texts are labelled once, before any row is dropped; one sort then says which labels of lines no block has
+    every = F.struct(algorithm_label(F.col("_flat")).alias("a"), equation_label(F.col("_flat")).alias("e"))
+    b = blocks.select("paper_id", "page", "at", _flat(F.col("text")).alias("_flat")).select("paper_id", "page", "at", F.explode_outer(F.array(every)).alias("_l")).select("paper_id", "page", "at", "_l.*")
     b = b.withColumn("label", F.coalesce("a", "e")).where("label is not null").select("paper_id", "page", F.when(F.col("a").isNotNull(), "algorithm").otherwise("equation").alias("kind"), "label", "at", F.lit("block").alias("rule"))
-    named = F.coalesce(equation_label(F.col("text")), F.lit("Equation 0"))
-    n = lines.where(math_heavy(F.col("text"))).select("paper_id", "page", F.lit("equation").alias("kind"), named.alias("label"), "at", F.lit("line_level_math_fallback").alias("rule"))
-    n = n.join(b.select("paper_id", "page", "label").distinct(), ["paper_id", "page", "label"], "left_anti")
+    named = F.when(math_heavy(F.col("_flat")), F.coalesce(equation_label(F.col("_flat")), F.lit("Equation 0")))
+    n = lines.select("paper_id", "page", "at", _flat(F.col("text")).alias("_flat")).select("paper_id", "page", "at", F.explode_outer(F.array(named)).alias("label")).where("label is not null")
+    n = n.select("paper_id", "page", F.lit("equation").alias("kind"), "label", "at", F.lit("line_level_math_fallback").alias("rule"))
     # a page's blocks may repeat a label; its lines may not
-    once = n.withColumn("_i", rank_by(["paper_id", "page", "label"], F.asc("at"))).where("_i = 1").drop("_i")
-    return b.unionByName(once.select(b.columns))
+    both = b.withColumn("_line", F.lit(0)).unionByName(n.withColumn("_line", F.lit(1)))
+    both = both.withColumn("_i", rank_by(["paper_id", "page", "label"], F.asc("_line"), F.asc("at")))
+    return both.where("_line = 0 or _i = 1").select(b.columns)
 
 
 def figures(blocks: DataFrame, visuals: DataFrame, *, page_height: float = 842.0) -> DataFrame:

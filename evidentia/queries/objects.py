@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import hybrid, objects as O, prompts as P
-from ..session import table
+from ..session import staged, table
 from .fixtures import SQL_LINES, lines, papers
 
 QUERIES, SQL = {}, {}
@@ -40,7 +40,7 @@ WITH {_SQL_BLOCKS}, own AS (SELECT paper_id, pos, CASE WHEN pos % 7 = 0 THEN 'al
 n AS (SELECT paper_id, min(pos) AS pos FROM b WHERE pos % 7 = 5 GROUP BY paper_id) SELECT paper_id, 1 AS page, kind, label, pos AS "at", 'block' AS rule FROM own
 UNION ALL SELECT paper_id, 1, 'equation', 'Equation 0', pos, 'line_level_math_fallback' FROM n WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.paper_id = n.paper_id AND own.label = 'Equation 0')""")
 def page_equations(spark, sf_dir):
-    b = blocks(spark, sf_dir)
+    b = staged(blocks(spark, sf_dir), "blocks")
     return O.equations(b, b)
 
 

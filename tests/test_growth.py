@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from evidentia.operators import matching as M, slots as S
+from evidentia.operators import matching as M, objects as O, slots as S
 
 
 def plan(df):
@@ -25,3 +25,11 @@ def test_difference_cuts_a_table_once(spark):
     made = rows.select(S.reported_difference(F.col("t"), F.col("a"), F.col("b")).alias("v"))
     assert plan(made).count("split(") <= 2  # lines, and cells of a line
     assert [r["v"] for r in made.collect()] == ["2", None, None, None, None]
+
+
+def test_equations_without_a_join(spark):
+    texts = [(1, 1, "y = f(x) (3)"), (1, 2, "Algorithm 2 Input: x"), (1, 3, "a = b"), (1, 4, "c = d"), (1, 5, "prose alone"), (2, 1, "y = f(x) (3)"), (2, 2, "y = f(x) (3)"), (2, 3, None)]
+    b = spark.createDataFrame([(p, 1, at, t) for p, at, t in texts], "paper_id long, page long, at long, text string")
+    rows = O.equations(b, b.where("paper_id = 1"))
+    assert "Join" not in plan(rows)
+    assert sorted(tuple(r) for r in rows.select("paper_id", "kind", "label", "at", "rule").collect()) == [(1, "algorithm", "Algorithm 2", 2, "block"), (1, "equation", "Equation 3", 1, "block"), (2, "equation", "Equation 3", 1, "block"), (2, "equation", "Equation 3", 2, "block")]
