@@ -87,7 +87,8 @@ SELECT query_id, max(score) AS best, round(avg(hit::INT), 6) AS label_precision,
 def dense_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("ql"))  # a stated query set
-    pairs = asked.join(e, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", (F.col("ql") == F.col("label")).alias("hit"), F.round(S.cosine("q", "embedding"), 6).alias("score"))
+    near = S.nearest_pairs(asked.select("query_id", "q"), e.select("vec_id", "embedding"), 5)
+    pairs = near.join(asked, "query_id").join(e, "vec_id").select("query_id", "vec_id", (F.col("ql") == F.col("label")).alias("hit"), F.round(S.cosine("q", "embedding"), 6).alias("score"))
     top = bm25.top_k(pairs, 5, query_key="query_id", doc_key="vec_id")
     return top.groupBy("query_id").agg(F.max("score").alias("best"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("label_precision"), F.sum("vec_id").alias("ids"))
 

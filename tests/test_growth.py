@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from evidentia.operators import matching as M, objects as O, slots as S
+from evidentia.operators import matching as M, objects as O, scoring as SC, slots as S
+from evidentia.queries import QUERIES
 
 
 def plan(df):
@@ -33,3 +34,15 @@ def test_equations_without_a_join(spark):
     rows = O.equations(b, b.where("paper_id = 1"))
     assert "Join" not in plan(rows)
     assert sorted(tuple(r) for r in rows.select("paper_id", "kind", "label", "at", "rule").collect()) == [(1, "algorithm", "Algorithm 2", 2, "block"), (1, "equation", "Equation 3", 1, "block"), (2, "equation", "Equation 3", 1, "block"), (2, "equation", "Equation 3", 2, "block")]
+
+
+def test_nearest_pairs_by_blocks(spark):
+    vectors = [(k, [float(k % 7), 1.0, float(k % 3)], 1) for k in range(40)] + [(50, [1.0, None, 2.0], 1), (51, None, 1)]
+    e = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
+    got = {}
+    for r in SC.nearest_pairs(e.where("vec_id in (0, 50)").selectExpr("vec_id AS query_id", "embedding AS q"), e.select("vec_id", "embedding"), 3).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert {21, 50, 51} <= set(got[0])  # the copy and those without a product
+    assert len(got[0]) == 5 and len(got[50]) == 41
+    p = plan(QUERIES["dense_topk"](spark, "/root/testdata/sf0.001"))
+    assert "NestedLoop" not in p and "Cartesian" not in p
