@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
 from ..functions import labels as L, text as T
+from ..session import staged
 from .grounding import fact_supported, flat
 from .hierarchy import allowed_locators, resolve_claims
 from .scoring import rank_by
@@ -100,13 +101,13 @@ def standard_evidence(items: DataFrame, selected: DataFrame) -> DataFrame:
     rows = items.withColumn("kind", F.col("source_type")).join(allowed, ["query_id", "paper_id", "kind"], "left")
     labelled = T.text_of(F.col("label")) != ""
     fits = F.coalesce(F.array_contains("pages", F.col("page")) & (~labelled | F.array_contains("labels", L.label(F.col("label"), F.col("kind")))), F.lit(False))
-    rows = rows.withColumn("fits", fits)
+    rows = staged(rows.withColumn("fits", fits), "fits")
     kept = rows.where("fits").select("query_id", "at", "paper_id", F.col("kind").alias("source_type"), "page", F.when(labelled, F.col("label")).alias("label"), F.lit("").alias("audit"))
     other = rows.where(~F.col("fits")).drop("kind", "pages", "labels", "fits")
     free = lambda df: df.withColumn("paper_id", F.lit(None).cast(items.schema["paper_id"].dataType)).withColumn("source_type", F.lit(None).cast("string")).withColumn("page", F.lit(None).cast(items.schema["page"].dataType)).withColumn("papers", F.array().cast(items.schema["papers"].dataType))
 
     def placed(asked: DataFrame, audit: str) -> DataFrame:
-        near = best_evidence(asked, selected)
+        near = staged(best_evidence(asked, selected), "near")
         rest = asked.join(near.select("query_id", "at"), ["query_id", "at"], "left_anti")
         near = near.unionByName(best_evidence(free(rest), selected)).select("query_id", "at", "place")
         found = asked.select("query_id", "at", F.col("source_type").alias("_raw"), "preferred").join(near, ["query_id", "at"]).join(records, ["query_id", "place"])
@@ -116,7 +117,7 @@ def standard_evidence(items: DataFrame, selected: DataFrame) -> DataFrame:
         page, name = F.coalesce(F.col("_hint.page"), F.col("page")), F.when(F.col("_hint").isNotNull(), F.col("_hint.label")).otherwise(F.col("label"))
         return found.select("query_id", "at", "paper_id", F.col("_kind").alias("source_type"), page.alias("page"), F.nullif(name, F.lit("")).alias("label"), F.lit(audit).alias("audit")).where("page > 0")
 
-    moved = kept.unionByName(placed(other, "symbolic_evidence_locator_standardized"))
+    moved = staged(kept.unionByName(placed(other, "symbolic_evidence_locator_standardized")), "moved")
     asked = selected.select("query_id").distinct().join(moved.select("query_id").distinct(), "query_id", "left_anti")
     context = items.groupBy("query_id").agg(F.min_by("text", "at").alias("text"), F.first("papers").alias("papers"), F.first("preferred").alias("preferred"), F.min("at").alias("at"))
     empty = free(context.join(asked, "query_id").withColumn("label", F.lit(None).cast("string"))).withColumn("papers", F.col("papers"))
@@ -178,6 +179,7 @@ def grounded_predictions(papers: DataFrame, claims: DataFrame, rows: DataFrame,
     papers: query_id, paper_id as predicted; claims and rows as grounded_claims and grounded_rows give them. Refs are
     those of grounded claims and accepted rows; papers that no such ref supports go.
     """
+    rows = staged(rows.where("status = 'table_plan_grounded'"), "rows")
     refs = claims.where("status = 'grounded'").select("query_id", "evidence_ref").unionByName(rows.where("status = 'table_plan_grounded'").select("query_id", "evidence_ref")).distinct()
     held = refs.join(catalog.select("query_id", "evidence_ref", "paper_id"), ["query_id", "evidence_ref"]).select("query_id", "paper_id").distinct()
     a = refs.groupBy("query_id").agg(F.array_sort(F.collect_list("evidence_ref")).alias("evidence_refs"))

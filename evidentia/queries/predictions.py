@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import grounding as G, hierarchy as H, predictions as P
-from ..session import table
+from ..session import staged, table
 from .fixtures import SQL_LINES, lines
 
 QUERIES, SQL = {}, {}
@@ -60,7 +60,7 @@ def best_evidence(spark, sf_dir):
 
 @_query()
 def standard_evidence(spark, sf_dir):
-    return P.standard_evidence(items(spark, sf_dir), selected(spark, sf_dir))
+    return P.standard_evidence(items(spark, sf_dir), staged(selected(spark, sf_dir), "selected"))
 
 
 @_query("""
@@ -119,12 +119,13 @@ p AS (SELECT g.*, n <= 3 AND NOT gone AS claimed, n BETWEEN 2 AND 4 AS planned F
 SELECT query_id, list_sort(list(printf('E%04d', n)) FILTER (WHERE claimed)) AS evidence_refs, list_sort(list_distinct(list(l_suppkey) FILTER (WHERE claimed AND l_suppkey % 3 > 0))) AS papers, count(*) FILTER (WHERE accepted) AS rows FROM r GROUP BY query_id HAVING count(*) FILTER (WHERE l_suppkey % 3 > 0) > 0""")
 def grounded_predictions(spark, sf_dir):
     l = lines(spark, sf_dir).select(F.col("l_orderkey").alias("query_id"), "l_linenumber", "l_suppkey", "l_mode", "l_quantity")
+    l = staged(l, "lines")
     ref, key, n = F.format_string("E%04d", "l_linenumber").alias("evidence_ref"), F.format_string("C%03d", "l_linenumber").alias("card_key"), F.col("l_linenumber")
     held = l.select("query_id", ref, F.col("l_suppkey").alias("paper_id"), F.lit(1).alias("record_id"), F.concat(F.lit("costs "), F.col("l_quantity").cast("int")).alias("text"))
     cards = l.select("query_id", key, ref, F.when(n % 2 == 0, "table").otherwise("figure").alias("source_type"), F.concat(F.lit("by "), "l_mode").alias("proposition"))
     claims = l.where("l_linenumber <= 3").groupBy("query_id").agg(F.collect_list(key).alias("keys"))
     claims = claims.select("query_id", F.lit("Q01").alias("claim_id"), F.when(F.col("query_id") % 2 == 0, "explicitly mention AIR").otherwise("mentions AIR").alias("claim"), F.concat("keys", F.array(F.lit("C999"))).alias("keys"), F.lit("table").alias("primary"))
-    linked = P.grounded_claims(claims, cards, held)
+    linked = staged(P.grounded_claims(claims, cards, held), "linked")
     plan = l.where("l_linenumber between 2 and 4").select("query_id", n.alias("row"), key, F.lit("Cost").alias("column"), F.when(n == 3, "no such value").otherwise(F.col("l_quantity").cast("int").cast("string")).alias("value"))
     plan = plan.unionByName(l.where("l_linenumber between 2 and 4").select("query_id", n.alias("row"), key, F.lit("Paper Title").alias("column"), F.col("l_suppkey").cast("string").alias("value")))
     papers = l.where("l_suppkey % 3 > 0").select("query_id", F.col("l_suppkey").alias("paper_id")).distinct()
@@ -137,7 +138,7 @@ n AS (SELECT *, CASE WHEN contains(k, 'AIR') AND contains(k, 'REG') THEN k WHEN
 m AS (SELECT *, CASE WHEN contains(k, 'REG') THEN 'AIR' ELSE named END AS named2, row_number() OVER (PARTITION BY query_id, regexp_replace(lower(CASE WHEN contains(k, 'REG') THEN 'AIR' ELSE named END), '[^a-z0-9]+', '', 'g') ORDER BY row) AS i FROM n), d AS (SELECT *, CASE WHEN named2 <> k THEN 'table_question_alias_row_key_canonicalized' ELSE '' END AS audit FROM m WHERE i = 1)
 SELECT query_id, row, 'Mode' AS column, named2 AS value, NULL::DOUBLE AS number, audit FROM d UNION ALL SELECT query_id, row, 'Error', regexp_replace(pm, '\\s*±\\s*', '±', 'g'), NULL, audit FROM d UNION ALL SELECT query_id, row, 'Time', num, 1000e0 + l_partkey % 1000, audit FROM d""")
 def table_rows(spark, sf_dir):
-    l = lines(spark, sf_dir).select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("row"), "l_mode", "l_partkey", "l_quantity")
+    l = staged(lines(spark, sf_dir).select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("row"), "l_mode", "l_partkey", "l_quantity"), "lines")
     key = F.when(F.col("row") % 5 == 0, " ").otherwise(F.concat("l_mode", F.when(F.col("l_partkey") % 2 == 0, " (base)").otherwise("")))
     values = {"Mode": key, "Error": F.concat(F.col("l_quantity").cast("int"), F.lit(" ± "), "row"), "Time": F.concat(F.lit("1,"), F.format_string("%03d", F.col("l_partkey") % 1000), F.lit(" ms")), "Other": F.lit("x")}
     cells = l.select("query_id", "row", F.explode(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])).alias("column", "value"))

@@ -1,5 +1,6 @@
 """What must be done once a row or once a table: plans of small tables, and their rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from evidentia.operators import matching as M, objects as O, scoring as SC, slots as S
@@ -46,3 +47,9 @@ def test_nearest_pairs_by_blocks(spark):
     assert len(got[0]) == 5 and len(got[50]) == 41
     p = plan(QUERIES["dense_topk"](spark, "/root/testdata/sf0.001"))
     assert "NestedLoop" not in p and "Cartesian" not in p
+
+
+@pytest.mark.parametrize("name", ["grounded_predictions", "window_expansions", "package_members"])
+def test_lines_are_made_once(spark, name):
+    """What a query reads several times is written before, so its last plan reads no lines."""
+    assert "lineitem" not in plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
