@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from ..session import staged
 from .grounding import flat
 from .scoring import rank_by
 
@@ -25,17 +26,16 @@ def best_sentence(text: Column, terms: Column, limit: int) -> Column:
     """The sentence of a text that shares most terms, then holds most numbers and names, then is shortest; the text itself without sentences of twelve characters."""
     parts = F.filter(F.transform(T.sentences(text), lambda s: T.clip(s, limit)), lambda s: F.length(s) >= 12)
     facts = lambda s: F.size(F.regexp_extract_all(s, F.lit(r"[-+]?\d+(?:\.\d+)?"), 0)) + F.size(F.regexp_extract_all(s, F.lit(T.METHOD), 0))
-    scored = F.transform(parts, lambda s, i: F.struct(F.size(F.array_intersect(terms, F.array_distinct(T.tokens(s)))).alias("shared"), facts(s).alias("facts"), (-F.length(s)).alias("short"), (-i).alias("first"), s.alias("s")))
-    return F.coalesce(F.array_max(scored)["s"], T.clip(text, limit))
+    score = lambda parts: F.transform(parts, lambda s, i: F.struct(F.size(F.array_intersect(terms, F.array_distinct(T.tokens(s)))).alias("shared"), facts(s).alias("facts"), (-F.length(s)).alias("short"), (-i).alias("first"), s.alias("s")))
+    return T.bound(parts, lambda p: F.coalesce(F.when(F.size(p) == 1, F.get(p, F.lit(0))).otherwise(F.array_max(score(p))["s"]), T.clip(text, limit)))
 
 
 def table_lines(text: Column, terms: Column, k: int = 4) -> Column:
     """The first four lines of a table, and of the others the k that share most terms, earlier ones first among equals; in their order."""
     lines = F.filter(F.transform(F.split(T.text_of(text), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
-    rest = F.slice(lines, 5, F.greatest(F.size(lines), F.lit(1)))
-    scored = F.transform(rest, lambda x, i: F.struct((8 * F.size(F.array_intersect(terms, F.array_distinct(T.tokens(x)))) + 3 * x.rlike(r"(?i)\b(?:ours|icae|baseline)\b").cast("int") + 5 * x.rlike(SETTING).cast("int")).alias("score"), (-i).alias("at"), x.alias("x")))
-    best = F.slice(F.sort_array(scored, asc=False), 1, k)
-    return F.concat(F.slice(lines, 1, 4), F.transform(F.array_sort(best, lambda a, b: b["at"] - a["at"]), lambda s: s["x"]))
+    score = lambda rest: F.transform(rest, lambda x, i: F.struct((8 * F.size(F.array_intersect(terms, F.array_distinct(T.tokens(x)))) + 3 * x.rlike(r"(?i)\b(?:ours|icae|baseline)\b").cast("int") + 5 * x.rlike(SETTING).cast("int")).alias("score"), (-i).alias("at"), x.alias("x")))
+    best = lambda rest: F.slice(F.sort_array(score(rest), asc=False), 1, k)
+    return T.bound(lines, lambda v: F.concat(F.slice(v, 1, 4), F.transform(F.array_sort(best(F.slice(v, 5, F.greatest(F.size(v), F.lit(1)))), lambda a, b: b["at"] - a["at"]), lambda s: s["x"])))
 
 
 def windows(anchors: DataFrame, catalog: DataFrame, neighbours: DataFrame, questions: DataFrame, *, limit: int = 520) -> DataFrame:
@@ -47,6 +47,7 @@ def windows(anchors: DataFrame, catalog: DataFrame, neighbours: DataFrame, quest
     """
     q = questions.select("query_id", F.array_distinct(T.tokens(F.col("question"))).alias("terms"))
     held = catalog.select("query_id", "evidence_ref", "source_type", "text").join(q, "query_id").withColumn("quote", best_sentence(F.col("text"), F.col("terms"), limit))
+    held = staged(held, "quotes")  # anchors and neighbours quote the same records
     once = anchors.groupBy("query_id", "evidence_ref").agg(F.min("place").alias("place"), F.transform(F.array_sort(F.collect_set(F.struct("place", "reason"))), lambda x: x["reason"]).alias("reasons"))
     own = once.join(held, ["query_id", "evidence_ref"])
     near = neighbours.where("anchor_ref <> evidence_ref").join(held.select("query_id", "evidence_ref", "quote"), ["query_id", "evidence_ref"])

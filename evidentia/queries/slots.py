@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..operators import relations as R, slots as S
-from ..session import table
+from ..session import staged, table
 from .fixtures import SQL_LINES, lines
 
 QUERIES, SQL = {}, {}
@@ -132,8 +132,8 @@ def wanted(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("query_id"), question.alias("question"), F.when(F.col("o_custkey") % 2 == 0, F.array((F.col("o_custkey") % 4))).otherwise(F.array().cast("array<bigint>")).alias("papers"))
 
 
-def windows(spark, sf_dir):
-    held = catalog(spark, sf_dir)
+def windows(spark, sf_dir, held=None):
+    held = held or staged(catalog(spark, sf_dir), "catalog")
     anchors = held.select("query_id", "place", "evidence_ref", F.when(F.col("place") % 2 == 0, "rich_l2_card").otherwise("navigation").alias("reason"))
     near = held.select("query_id", F.col("evidence_ref").alias("anchor_ref"), F.col("place"), F.format_string("E%04d", F.col("place") + 1).alias("evidence_ref"))
     return R.windows(anchors, held, near, wanted(spark, sf_dir))
@@ -169,11 +169,12 @@ def table_relations(spark, sf_dir):
 WITH {_SQL_WINDOWS} SELECT l_orderkey AS query_id, 1 AS level, 'T' || l_linenumber AS triple_id, window_id, 1 + (SELECT count(*) FROM lines n WHERE n.l_orderkey = w.l_orderkey AND n.l_linenumber = w.l_linenumber + 1)::INT AS refs FROM w WHERE l_linenumber % 2 = 0
 UNION ALL SELECT l_orderkey, 0, 'T' || l_linenumber, NULL, 1 FROM w WHERE l_linenumber % 2 = 1""")
 def window_expansions(spark, sf_dir):
-    w = windows(spark, sf_dir)
+    held = staged(catalog(spark, sf_dir), "catalog")
+    w = staged(windows(spark, sf_dir, held), "windows")
     n = F.regexp_extract("anchor_ref", r"(\d+)", 1).cast("int")
     triples = w.select("query_id", F.concat(F.lit("T"), n).alias("triple_id"), F.when(n % 3 > 0, F.array("window_id")).otherwise(F.when(n % 2 == 0, F.array("window_id")).otherwise(F.array().cast("array<string>"))).alias("windows"), F.array("anchor_ref").alias("refs"))
     decisions = w.select("query_id", F.when(n % 2 == 0, 1).otherwise(0).alias("level"), F.concat(F.lit("T"), n).alias("triple_id"))
-    found = R.expansions(decisions, triples, w, catalog(spark, sf_dir))
+    found = R.expansions(decisions, triples, w, held)
     return found.select("query_id", "level", "triple_id", "window_id", F.size("refs").alias("refs"))
 
 
