@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit as A, counting as N, matching as M, packages as P
-from ..session import table
+from ..session import staged, table
 from .fixtures import SQL_LINES, lines
 
 QUERIES, SQL = {}, {}
@@ -132,5 +132,5 @@ def package_members(spark, sf_dir):
     named = F.when(F.col("l_suppkey") % 2 == 1, F.concat(F.lit("as in Tab. "), x)).otherwise(F.concat(F.lit("as in Fig. "), x))
     kind = F.when(k == 0, "paragraph").when(k == 1, "table").otherwise("figure")
     records = rows.select(F.col("l_orderkey").cast("string").alias("paper_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("record_id"), F.lit(1).cast("long").alias("page"), F.col("l_linenumber").cast("long").alias("reading"), kind.alias("record_type"), F.lit(None).cast("string").alias("source_type"), F.lit("s").alias("section_id"), F.when(k == 1, F.concat(F.lit("Table "), x)).when(k == 2, F.concat(F.lit("Figure "), x)).alias("label"), F.when(k == 0, named).otherwise("").alias("text"))
-    rows = P.canonical(records)
+    rows = staged(P.canonical(records), "records")
     return P.package_records(rows, rows, 1)
