@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import labels as L
 from ..session import staged
-from .text import tokens
+from .text import counted, tokens
 
 
 @dataclass(frozen=True)
@@ -103,22 +103,9 @@ def package_records(anchors: DataFrame, context: DataFrame, neighbours: int = 1)
     return members.join(where, "record_id").select("anchor_id", "record_id", place.alias("place"))
 
 
-def route_scores(packages: DataFrame, routes: DataFrame, *, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, route, package_id, score: BM25 of each route's text over the packages of its question, which are the whole corpus; only pairs that share a term."""
-    by = W.partitionBy("query_id")
-    sized = packages.select("query_id", "package_id", tokens(F.col("text")).alias("_t")).withColumn("_len", F.size("_t"))
-    sized = sized.withColumn("_n", F.count("*").over(by)).withColumn("_avg", F.avg("_len").over(by))
-    asked = routes.select("query_id", "route", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "route", "term").agg(F.count("*").alias("_q"))
-    tf = sized.select("query_id", "package_id", "_len", "_n", "_avg", F.explode("_t").alias("term")).join(asked.select("query_id", "term").distinct(), ["query_id", "term"], "left_semi")
-    tf = tf.groupBy("query_id", "package_id", "_len", "_n", "_avg", "term").agg(F.count("*").alias("_tf")).withColumn("_df", F.count("*").over(W.partitionBy("query_id", "term")))
-    idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    part = F.col("_q") * idf * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.greatest(F.lit(1), F.col("_len")) / F.greatest(F.col("_avg"), F.lit(1e-9))))
-    return asked.join(tf, ["query_id", "term"]).groupBy("query_id", "route", "package_id").agg(F.round(F.sum(part), 9).alias("score"))
-
-
-def _column_bonus(question: Column) -> Column:
+def _column_bonus(question: Column, route: Column) -> Column:
     """How well a table's columns answer a route to a paper's table: a benchmark, or a data set with its IPC, that the route names. Else 0; -1 for a table of costs where accuracy is asked."""
-    text, route = F.lower("text"), F.col("_route_text")
+    text = F.lower("text")
     flat = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
     columns = F.coalesce("columns", F.array().cast("array<string>"))
     accuracy = F.concat_ws(" ", route, question).rlike(r"(?i)\b(?:test\s+)?accuracy\b")
@@ -134,45 +121,66 @@ def _column_bonus(question: Column) -> Column:
     return F.when(F.col("kind") != "table", 0).when(accuracy, F.when(costs, -1).otherwise(by_name)).otherwise(joint)
 
 
-def rankings(questions: DataFrame, packages: DataFrame, routes: DataFrame, options: PackageOptions) -> DataFrame:
-    """query_id, route, turn, package_id, rank: every ranking of a question's packages.
+def asked_routes(questions: DataFrame, routes: DataFrame) -> DataFrame:
+    """What every question asks for, one row each: with_targets(), _question, routes (way, route, text, terms with their counts, kinds, paper_id) and terms, all words of its routes.
 
-    questions: query_id, question, hint, kinds, several. packages: query_id, package_id, at (their order), paper_id,
-    page, kind, label, section_type, section_title, columns, text, score, visual. routes: query_id, route (a number), way (of _TURNS), text, kinds
-    (empty: all), paper_id. Besides the given routes: the question, each kind with the question, the relevance score,
-    relevance within each asked kind, the visual score, layout, and numbered objects that the question names.
+    routes: query_id, route (a number), way (of _TURNS), text, kinds (empty: all), paper_id. Besides them: the question itself, and each kind with the question.
     """
-    asked = with_targets(questions)
-    own = questions.select("query_id", F.lit("query").alias("way"), F.lit(0).cast("long").alias("route"), F.col("question").alias("text"))
-    plain = routes.select("query_id", "way", F.col("route").cast("long").alias("route"), "text", F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"), "paper_id")
+    plain = routes.select("query_id", "way", F.col("route").cast("long").alias("route"), "text", F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"), F.col("paper_id").cast("string").alias("paper_id"))
     same = plain.where("way = 'claim'").groupBy("query_id", "text").agg(F.min("route").alias("route"))  # a claim that repeats another or the question is none
     same = same.join(questions.select("query_id", F.col("question").alias("text")), ["query_id", "text"], "left_anti").select("query_id", "route")
     plain = plain.where("way <> 'claim'").unionByName(plain.where("way = 'claim'").join(same, ["query_id", "route"], "left_semi"))
-    kinds = questions.select("query_id", "question", F.posexplode(F.array(*[F.lit(k) for k in sorted(L.OFFICIAL_TYPES)])).alias("route", "_kind"))
-    kinds = kinds.select("query_id", F.lit("kind").alias("way"), F.col("route").cast("long").alias("route"), F.concat_ws(" ", "_kind", "question").alias("text"), F.array("_kind").alias("kinds"), F.lit(None).cast("string").alias("paper_id"))
-    none = {"kinds": F.array().cast("array<string>"), "paper_id": F.lit(None).cast("string")}
-    every = plain.withColumn("paper_id", F.col("paper_id").cast("string")).unionByName(own.withColumns(none)).unionByName(kinds)
-    numbered = every.withColumn("key", F.concat_ws(":", "way", "route"))
-    scores = route_scores(packages, numbered.select("query_id", F.col("key").alias("route"), "text")).withColumnRenamed("route", "key").withColumnRenamed("score", "_bm25")
-    facts = packages.select("query_id", "package_id", "at", F.col("paper_id").cast("string").alias("_paper"), "kind", "text", "columns")
-    rows = numbered.withColumnRenamed("text", "_route_text").join(facts, "query_id").where(((F.size("kinds") == 0) | F.array_contains("kinds", F.col("kind"))) & (F.col("paper_id").isNull() | (F.col("paper_id") == F.col("_paper"))))
-    rows = rows.join(scores, ["query_id", "key", "package_id"], "left").join(questions.select("query_id", "question"), "query_id")
-    bonus = F.when(F.col("way") == "slot_paper", _column_bonus(F.col("question"))).otherwise(0)
-    by_text = rows.select("query_id", "way", "route", "package_id", "at", bonus.cast("double").alias("first"), F.coalesce("_bm25", F.lit(0.0)).alias("second"))
-    known = packages.join(asked.drop("question"), "query_id")
-    score = F.coalesce(F.col("score").cast("double"), F.lit(-1.0))
-    of = lambda way, rows, value, route=None: rows.select("query_id", F.lit(way).alias("way"), (route if route is not None else F.lit(0)).cast("long").alias("route"), "package_id", "at", value.cast("double").alias("first"), F.lit(0.0).alias("second"))
-    more = [
-        of("relevance", known, score),
-        of("modality", known.where(F.array_contains("modalities", F.col("kind"))), score, F.array_position("modalities", F.col("kind"))),
-        of("visual", known.where(F.col("visual").isNotNull()), F.col("visual")),
-        of("layout", known, layout_score()),
-        of("target", known.where(is_target()), F.lit(0)),
-    ]
-    for m in more:
-        by_text = by_text.unionByName(m)
-    order = W.partitionBy("query_id", "way", "route").orderBy(F.desc("first"), F.desc("second"), "at")
-    return by_text.withColumn("rank", F.row_number().over(order).cast("long")).select("query_id", "way", "route", "package_id", "rank")
+    one = lambda way, route, text, kinds: F.struct(F.lit(way).alias("way"), F.lit(route).cast("long").alias("route"), text.alias("text"), kinds.cast("array<string>").alias("kinds"), F.lit(None).cast("string").alias("paper_id"))
+    own = [one("query", 0, F.col("question"), F.array())] + [one("kind", i, F.concat_ws(" ", F.lit(k), "question"), F.array(F.lit(k))) for i, k in enumerate(sorted(L.OFFICIAL_TYPES))]
+    every = plain.unionByName(questions.select("query_id", F.explode(F.array(*own)).alias("r")).select("query_id", "r.*")).withColumn("terms", counted(tokens(F.col("text"))))
+    told = every.groupBy("query_id").agg(F.collect_list(F.struct("way", "route", "text", F.map_from_entries("terms").alias("terms"), "kinds", "paper_id")).alias("routes"), F.array_distinct(F.flatten(F.collect_list(F.transform("terms", lambda t: t["term"])))).alias("terms"))
+    return with_targets(questions).join(told, "query_id")
+
+
+def rankings(asked: DataFrame, packages: DataFrame, options: PackageOptions, *, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """One row of facts for each package of a question, with rrf, _best (its best rank) and slots: way, route and place where a ranking of a route may place it.
+
+    packages: query_id, package_id, at (their order), paper_id, page, kind, label, section_type, section_title, columns, text, score, visual. Each
+    route ranks by BM25 over the packages of its question, which are the whole corpus; other rankings are the relevance score,
+    relevance within each asked kind, the visual score, layout, and numbered objects that the question names.
+
+    Rows are dealt by question once. Counts, windows and sums of a question then stay where it is, and texts go as soon as they are counted.
+    """
+    by = W.partitionBy("query_id")
+    known = packages.withColumn("package_id", F.col("package_id").cast("string")).withColumn("paper_id", F.col("paper_id").cast("string")).join(asked, "query_id")
+    fits = lambda r: ((F.size(r["kinds"]) == 0) | F.array_contains(r["kinds"], F.col("kind"))) & (r["paper_id"].isNull() | (r["paper_id"] == F.col("paper_id")))
+    bonus = F.transform(F.filter("routes", lambda r: (r["way"] == "slot_paper") & F.coalesce(fits(r), F.lit(False))), lambda r: F.struct(r["route"].alias("route"), _column_bonus(F.col("question"), r["text"]).cast("double").alias("bonus")))
+    words = tokens(F.col("text"))
+    facts = known.select(
+        "query_id", "package_id", "at", "paper_id", F.col("page").cast("string").alias("page"), "kind", F.coalesce(F.col("score").cast("double"), F.lit(-1.0)).alias("score"), F.col("visual").cast("double").alias("visual"),
+        is_target().alias("target"), F.array_contains("modalities", F.col("kind")).alias("asked"), F.array_position("modalities", F.col("kind")).alias("_modality"), layout_score().cast("double").alias("_layout"), _in_asked_section().alias("structural"), "several",
+        F.size(words).alias("_len"), counted(F.filter(words, lambda x: F.array_contains("terms", x))).alias("_hits"), bonus.alias("_bonus"),
+    )
+    facts = facts.withColumn("_n", F.count("*").over(by)).withColumn("_avg", F.avg("_len").over(by))
+    own = [c for c in facts.columns if c not in ("query_id", "package_id", "_len", "_hits", "_n", "_avg")]
+    hits = facts.select("query_id", "package_id", F.struct(*own).alias("_p"), "_len", "_n", "_avg", F.explode_outer("_hits").alias("_h")).withColumn("_df", F.count("*").over(W.partitionBy("query_id", "_h.term")))
+    idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    part = idf * F.col("_h.n") * (k1 + 1) / (F.col("_h.n") + k1 * (1 - b + b * F.greatest(F.lit(1), F.col("_len")) / F.greatest(F.col("_avg"), F.lit(1e-9))))
+    scored = hits.groupBy("query_id", "package_id").agg(F.first("_p").alias("_p"), F.collect_list(F.when(F.col("_h").isNotNull(), F.struct(F.col("_h.term").alias("term"), part.alias("part")))).alias("_hits"))
+    rows = scored.select("query_id", "package_id", "_p.*", "_hits").join(asked.select("query_id", "routes"), "query_id")
+    one = lambda way, route, first, second=F.lit(0.0): F.struct(F.lit(way).alias("way") if isinstance(way, str) else way.alias("way"), route.cast("long").alias("route"), first.cast("double").alias("first"), second.alias("second"))
+    bm25 = lambda r: F.round(F.aggregate("_hits", F.lit(0.0), lambda s, h: s + F.coalesce(F.try_element_at(r["terms"], h["term"]) * h["part"], F.lit(0.0))), 9)
+    extra = lambda r: F.when(r["way"] == "slot_paper", F.coalesce(F.get(F.filter("_bonus", lambda x: x["route"] == r["route"]), 0)["bonus"], F.lit(0.0))).otherwise(0.0)
+    by_text = F.transform(F.filter("routes", lambda r: F.coalesce(fits(r), F.lit(False))), lambda r: one(r["way"], r["route"], extra(r), bm25(r)))
+    zero = F.lit(0)
+    more = F.array(one("relevance", zero, F.col("score")), F.when(F.col("asked"), one("modality", F.col("_modality"), F.col("score"))), F.when(F.col("visual").isNotNull(), one("visual", zero, F.col("visual"))), one("layout", zero, F.col("_layout")), F.when(F.col("target"), one("target", zero, zero)))
+    left = ["at", "paper_id", "page", "kind", "score", "target", "asked", "structural", "several"]
+    rows = rows.select("query_id", "package_id", *left, F.explode(F.concat(by_text, F.filter(more, lambda x: x.isNotNull()))).alias("r")).select("query_id", "package_id", F.struct(*left).alias("_p"), "r.*")
+    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "way", "route").orderBy(F.desc("first"), F.desc("second"), F.col("_p.at")))).drop("first", "second")
+    cap = max(1, options.page_cap)
+    page = W.partitionBy("query_id", "way", "route", F.coalesce("_p.paper_id", F.lit("")), F.col("_p.page")).orderBy("rank")
+    ranked = ranked.withColumn("_open", F.col("way").isin(*_TURNS) & ((F.row_number().over(page) <= cap) | (F.col("rank") == 1)))
+    place = F.sum(F.col("_open").cast("long")).over(W.partitionBy("query_id", "way", "route").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow))
+    slot = F.when(F.col("_open"), F.struct("way", "route", place.alias("place")))
+    leads = (F.col("way").isin("slot", "fallback_slot", "slot_paper") & (F.col("rank") == 1)).cast("int")
+    fused = ranked.withColumn("_slot", slot).groupBy("query_id", "package_id").agg(F.first("_p").alias("_p"), F.round(F.sum(1.0 / (options.rrf_k + F.col("rank"))), 12).alias("rrf"), F.min("rank").alias("_best"), F.sum(leads).alias("_leads"), F.collect_list("_slot").alias("slots"))
+    budget = F.greatest(F.lit(max(1, options.budget)), F.sum("_leads").over(by).cast("int"))
+    return fused.select("query_id", "package_id", "_p.*", "rrf", "_best", "slots", budget.alias("budget")).withColumn("paper_id", F.coalesce("paper_id", F.lit("")))
 
 
 def with_targets(questions: DataFrame) -> DataFrame:
@@ -208,55 +216,53 @@ def _in_asked_section() -> Column:
     return out
 
 
-def requests(questions: DataFrame, packages: DataFrame, routes: DataFrame, ranked: DataFrame, options: PackageOptions) -> DataFrame:
-    """What asks for a place, in which turn: query_id, turn, who, then, place, mode, package_id and the package's facts.
+def requests(facts: DataFrame, asked: DataFrame, options: PackageOptions) -> DataFrame:
+    """What asks for a place, in which turn: query_id, turn, who, then, place, mode, package_id and the package's facts (rows of rankings()).
 
     Requests are taken by turn, who and then; rows of one request stand by place. Modes: serve (the first row that can
     be taken, unless a row of the ranking already is), take (the first that can be taken), first (the first or none),
     force (all, whatever the page holds), try (all; only for papers that are covered) and pool (for the last turn, in order of relevance).
     Rows that can't decide anything are left out: behind so many pages that not all can be full, and beyond the cap of a page.
+
+    Places are windows within a question over rows that stay where they are; what a window doesn't count is a partition of its own.
     """
-    slotted = ranked.select("query_id", "way", "route").distinct().where(F.col("way").isin("slot", "fallback_slot", "slot_paper")).groupBy("query_id").agg(F.count("*").alias("_slots"))
-    fused = ranked.groupBy("query_id", "package_id").agg(F.sum(1.0 / (options.rrf_k + F.col("rank"))).alias("rrf"), F.min("rank").alias("_best"))
-    limits = with_targets(questions).join(slotted, "query_id", "left").withColumn("budget", F.greatest(F.lit(max(1, options.budget)), F.coalesce("_slots", F.lit(0)).cast("int")))
-    facts = packages.join(limits, "query_id").join(fused, ["query_id", "package_id"]).withColumn("score", F.coalesce(F.col("score").cast("double"), F.lit(-1.0)))
-    facts = facts.withColumn("rrf", F.round("rrf", 12)).withColumn("target", is_target()).withColumn("asked", F.array_contains("modalities", F.col("kind"))).withColumn("structural", _in_asked_section()).withColumn("page", F.col("page").cast("string")).withColumn("paper_id", F.coalesce(F.col("paper_id").cast("string"), F.lit("")))
-    facts = facts.select("query_id", "package_id", "at", "paper_id", "page", "kind", "score", "rrf", "target", "asked", "structural", "several", "modalities", "budget", (F.lit(options.pool <= 0) | (F.col("_best") <= options.pool)).alias("candidate"))
-    best = [F.desc("score"), F.desc("rrf"), F.asc("at")]
-    nth = lambda *by: F.row_number().over(W.partitionBy("query_id", *by).orderBy(*best))
+    best, cap = [F.desc("score"), F.desc("rrf"), F.asc("at")], max(1, options.page_cap)
+    nth = lambda *by: F.row_number().over(W.partitionBy("query_id", *by).orderBy(*best)).cast("long")
     goal = F.least("budget", F.when(F.col("several"), F.lit(max(1, options.papers))).otherwise(1))
-    paged = F.concat_ws("\0", "paper_id", F.coalesce("page", F.lit("\1")))
-    slots = ranked.where(F.col("way").isin(*_TURNS)).join(facts, ["query_id", "package_id"])
-    slots = slots.withColumn("_own", F.row_number().over(W.partitionBy("query_id", "way", "route", paged).orderBy("rank"))).where((F.col("_own") <= max(1, options.page_cap)) | (F.col("rank") == 1))
-    slots = slots.withColumn("place", F.row_number().over(W.partitionBy("query_id", "way", "route").orderBy("rank")).cast("long"))
-    kept = F.when(F.col("way").isin("claim", "paper_claim", "paper_local"), 1).otherwise(2 * F.col("budget") + max(1, options.page_cap))
-    slots = slots.where(F.col("place") <= kept)
-    turn = F.coalesce(*[F.when(F.col("way") == w, F.lit(t)) for w, t in _TURNS.items()])
-    mode = F.when(F.col("way").isin("slot", "slot_paper"), "serve").when(F.col("way") == "fallback_slot", "take").otherwise("first")
     order = lambda c: F.format_string("%012d", c)
-    limited = routes.select("query_id", "way", F.col("route").cast("long").alias("route"), F.coalesce("kinds", F.array().cast("array<string>")).alias("only_kinds"), F.col("paper_id").cast("string").alias("only_paper"))
-    out = slots.join(limited, ["query_id", "way", "route"]).select("query_id", turn.alias("turn"), order(F.col("route")).alias("who"), F.lit("").alias("then"), "place", mode.alias("mode"), "package_id", "only_kinds", "only_paper")
-    ask = lambda rows, turn, who, then, place, mode: rows.select("query_id", F.lit(turn).alias("turn"), who.alias("who"), then.alias("then"), place.cast("long").alias("place"), F.lit(mode).alias("mode"), "package_id", F.lit(None).cast("array<string>").alias("only_kinds"), F.lit(None).cast("string").alias("only_paper"))
-    blank, pool = F.lit(""), facts.where("candidate")
-    out = out.unionByName(ask(facts.where("target"), 4, blank, blank, F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "at")), "force"))
-    out = out.unionByName(ask(pool.where("asked").withColumn("_n", nth("kind")).where("_n = 1"), 5, F.col("kind"), blank, F.lit(1), "first"))
-    papers = pool.where("several").withColumn("_own", nth("paper_id")).where("_own = 1").withColumn("_n", nth()).where(F.col("_n") <= goal)
-    out = out.unionByName(ask(papers, 9, order(F.col("_n")), blank, F.lit(1), "first"))
-    each = pool.where("several and asked").withColumn("_n", nth("paper_id", "kind"))
-    struct = pool.where("several and asked and structural").withColumn("_n", nth("paper_id", "kind")).where("_n = 1")
-    out = out.unionByName(ask(struct, 10, F.col("paper_id"), F.concat(F.lit("0 "), F.col("kind"), F.lit(" 0")), F.lit(1), "try"))
-    out = out.unionByName(ask(each.where(F.col("_n") <= max(1, options.per_modality)), 10, F.col("paper_id"), F.concat(F.lit("0 "), F.col("kind"), F.lit(" 1")), F.col("_n"), "try"))
+    blank, one = F.lit(""), F.lit(1)
+    ask = lambda when, turn, who, then, place, mode: F.when(when, F.struct(F.lit(turn).alias("turn"), who.alias("who"), then.alias("then"), place.cast("long").alias("place"), F.lit(mode).alias("mode"), F.lit(None).cast("string").alias("way"), F.lit(None).cast("long").alias("route")))
+    rows = facts.withColumn("candidate", F.lit(options.pool <= 0) | (F.col("_best") <= options.pool))
+    pool, several = F.col("candidate"), F.col("candidate") & F.col("several")
+    rows = rows.withColumn("_target", F.row_number().over(W.partitionBy("query_id", "target").orderBy(F.desc("score"), "at")))
+    rows = rows.withColumn("_kind", nth("candidate", "kind")).withColumn("_paper", nth("candidate", "paper_id")).withColumn("_pair", nth("candidate", "paper_id", "kind"))
+    rows = rows.withColumn("_struct", nth("candidate", "structural", "paper_id", "kind")).withColumn("_papers", nth("candidate", F.col("_paper") == 1))
+    wanted = [
+        ask(F.col("target"), 4, blank, blank, F.col("_target"), "force"),
+        ask(pool & F.col("asked") & (F.col("_kind") == 1), 5, F.col("kind"), blank, one, "first"),
+        ask(several & (F.col("_paper") == 1) & (F.col("_papers") <= goal), 9, order(F.col("_papers")), blank, one, "first"),
+        ask(several & F.col("asked") & F.col("structural") & (F.col("_struct") == 1), 10, F.col("paper_id"), F.concat(F.lit("0 "), F.col("kind"), F.lit(" 0")), one, "try"),
+        ask(several & F.col("asked") & (F.col("_pair") <= max(1, options.per_modality)), 10, F.col("paper_id"), F.concat(F.lit("0 "), F.col("kind"), F.lit(" 1")), F.col("_pair"), "try"),
+    ]
+    text = F.col("kind") == "text_span"
     if options.supporting > 0:
-        texts = pool.where("several and kind = 'text_span'").withColumn("_n", nth("paper_id")).where(F.col("_n") <= options.supporting)
-        out = out.unionByName(ask(texts, 10, F.col("paper_id"), F.lit("1"), F.col("_n"), "try"))
+        wanted.append(ask(several & text & (F.col("_pair") <= options.supporting), 10, F.col("paper_id"), F.lit("1"), F.col("_pair"), "try"))
     if options.page_anchors > 0:
-        texts = pool.where("kind = 'text_span'").withColumn("_n", nth("paper_id", "page")).where(F.col("_n") <= options.page_anchors)
-        out = out.unionByName(ask(texts, 11, F.concat_ws("\0", "paper_id", F.coalesce(F.lpad("page", 12, "0"), F.lit(""))), blank, F.col("_n"), "force"))
-    fill = pool.withColumn("_own", nth("kind", "paper_id", "page")).where(F.col("_own") <= max(1, options.page_cap))
-    fill = fill.withColumn("_n", nth("kind")).withColumn("_first", nth("kind", "paper_id"))
-    fill = fill.withColumn("_papers", F.row_number().over(W.partitionBy("query_id", "kind", F.col("_first") == 1).orderBy(*best))).where((F.col("_n") <= 2 * F.col("budget")) | ((F.col("_first") == 1) & (F.col("_papers") <= 2 * F.col("budget"))))
-    out = out.unionByName(ask(fill, 99, blank, blank, F.row_number().over(W.partitionBy("query_id").orderBy(*best)), "pool"))
-    return out.join(facts.drop("target", "structural", "candidate"), ["query_id", "package_id"]).withColumn("goal", goal)
+        rows = rows.withColumn("_anchor", nth("candidate", "kind", "paper_id", "page"))
+        wanted.append(ask(pool & text & (F.col("_anchor") <= options.page_anchors), 11, F.concat_ws("\1", "paper_id", F.coalesce(F.lpad("page", 12, "0"), F.lit(""))), blank, F.col("_anchor"), "force"))
+    rows = rows.withColumn("_fill", pool & (nth("candidate", "kind", "paper_id", "page") <= cap))
+    rows = rows.withColumn("_n", nth("_fill", "kind")).withColumn("_first", nth("_fill", "kind", "paper_id") == 1)
+    rows = rows.withColumn("_others", nth("_fill", "kind", "_first"))
+    rows = rows.withColumn("_fill", F.col("_fill") & ((F.col("_n") <= 2 * F.col("budget")) | (F.col("_first") & (F.col("_others") <= 2 * F.col("budget")))))
+    wanted.append(ask(F.col("_fill"), 99, blank, blank, nth("_fill"), "pool"))
+    turn = lambda w: F.coalesce(*[F.when(w == name, F.lit(t)) for name, t in _TURNS.items()])
+    mode = lambda w: F.when(w.isin("slot", "slot_paper"), "serve").when(w == "fallback_slot", "take").otherwise("first")
+    kept = lambda w: F.when(w.isin("claim", "paper_claim", "paper_local"), 1).otherwise(2 * F.col("budget") + cap)
+    slots = F.transform(F.filter("slots", lambda x: x["place"] <= kept(x["way"])), lambda x: F.struct(turn(x["way"]).alias("turn"), order(x["route"]).alias("who"), blank.alias("then"), x["place"].alias("place"), mode(x["way"]).alias("mode"), x["way"].alias("way"), x["route"].alias("route")))
+    rows = rows.withColumn("goal", goal).withColumn("_asks", F.array(*wanted))  # before the filter: places are made by windows
+    rows = rows.select("query_id", "package_id", "paper_id", "page", "kind", "several", "budget", "goal", F.explode(F.concat(F.filter("_asks", lambda x: x.isNotNull()), slots)).alias("a")).select("*", "a.*").drop("a")
+    limits = F.get(F.filter("routes", lambda r: (r["way"] == F.col("way")) & (r["route"] == F.col("route"))), 0)
+    return rows.join(asked.select("query_id", "modalities", "routes"), "query_id").select(*rows.columns, "modalities", limits["kinds"].alias("only_kinds"), limits["paper_id"].alias("only_paper")).drop("way", "route")
 
 
 def _choose(rows: pd.DataFrame, options: PackageOptions) -> list[tuple]:
@@ -315,9 +321,8 @@ def select_packages(questions: DataFrame, packages: DataFrame, routes: DataFrame
     See rankings() for the columns. Slots always have a place each: the budget grows to their number. Questions without packages have no rows.
     """
     o = options or PackageOptions()
-    packages, questions = staged(packages, "packages"), staged(questions, "questions")  # each is read by every ranking
-    ranked = staged(rankings(questions, packages, routes, o), "rankings")
-    rows = requests(questions, packages.withColumn("package_id", F.col("package_id").cast("string")), routes, ranked.withColumn("package_id", F.col("package_id").cast("string")), o)
+    asked = staged(asked_routes(questions, routes), "asked")  # one row a question
+    rows = requests(rankings(asked, packages, o), asked, o)
     key = questions.schema["query_id"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit as A, counting as N, matching as M, packages as P
-from ..session import staged, table
+from ..session import dealt_by_size, staged, table
 from .fixtures import SQL_LINES, lines
 
 QUERIES, SQL = {}, {}
@@ -99,6 +99,7 @@ def hinted_gold(spark, sf_dir):
 
 def _packages(spark, sf_dir):
     rows = lines(spark, sf_dir).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = dealt_by_size(rows, table(spark, sf_dir, "lineitem").count(), 50_000, "l_suppkey")
     kind = F.element_at(F.array(*[F.lit(k) for k in ("text_span", "table", "figure", "equation_algorithm", "citation_context")]), (F.col("l_partkey") % 5 + 1).cast("int"))
     at = F.row_number().over(P.W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")).cast("long")
     return rows.select(

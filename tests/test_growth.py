@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.operators import matching as M, objects as O, scoring as SC, slots as S
+from evidentia.operators.text import counted
 from evidentia.queries import QUERIES
 
 
@@ -53,3 +54,16 @@ def test_nearest_pairs_by_blocks(spark):
 def test_lines_are_made_once(spark, name):
     """What a query reads several times is written before, so its last plan reads no lines."""
     assert "lineitem" not in plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_words_are_counted_in_their_row(spark):
+    rows = spark.createDataFrame([(["b", "a", "b"],), ([],), (None,), (["a"],)], "w array<string>").select(counted(F.col("w")).alias("c"))
+    assert "Exchange" not in plan(rows)
+    assert [None if r["c"] is None else [tuple(x) for x in r["c"]] for r in rows.collect()] == [[("a", 1), ("b", 2)], [], None, [("a", 1)]]
+
+
+def test_packages_are_dealt_once(spark):
+    """Counts, rankings and places of a question's packages stay where its rows are: two joins make lines, one exchange deals them."""
+    rows = QUERIES["selected_packages"](spark, "/root/testdata/sf0.001")
+    assert plan(rows).split("Initial Plan")[-1].count("Exchange hashpartitioning") <= 8
+    assert rows.count() > 0
