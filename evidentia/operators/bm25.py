@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..session import staged
-from .text import tokens
+from . import sparse
+from .text import counted, tokens
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, *, doc_key: str, query_key: str, doc_text: str = "text", query_text: str = "text", k1: float = 1.5, b: float = 0.75, weight: float = 1.0) -> DataFrame:
@@ -40,7 +41,7 @@ LEFT_OUT, MARGIN = 1 / 8, 2e-6
 
 @dataclass(frozen=True)
 class Postings:
-    """What scores are made of: rows (document, term, impact) of asked terms, and weights (query, term, weight, rest, before, strong).
+    """What scores are made of: rows (document, term, impact) of asked terms, and weights (query, term, weight, rest, before, strong), and how many pairs there can be.
 
     weight * impact is a term's part of a document's score; rest is the most that the terms behind it can add, before that and its own, where a
     query's terms stand by what they can add at most. Strong terms are those before which more than LEFT_OUT of all is left.
@@ -50,13 +51,13 @@ class Postings:
     weights: DataFrame
     doc_key: str
     query_key: str
+    pairs: int
 
 
 def term_counts(docs: DataFrame, asked: DataFrame, *, doc_key: str, text: str = "text") -> DataFrame:
-    """document, len, term, tf of the terms in `asked`. Texts are cut once: a size beside an explode of the same text would be made anew for every word."""
-    sized = docs.select(doc_key, tokens(F.col(text)).alias("_t")).withColumn("len", F.size("_t"))
-    words = sized.select(doc_key, "len", F.explode("_t").alias("term"))
-    return words.join(asked.select("term").distinct(), "term", "left_semi").groupBy(doc_key, "len", "term").agg(F.count("*").alias("tf"))
+    """document, len, term, tf of the terms in `asked`. Texts are cut once and counted in their row, so no word is shuffled."""
+    sized = docs.select(doc_key, tokens(F.col(text)).alias("_t")).select(doc_key, F.size("_t").alias("len"), F.explode(counted(F.col("_t"))).alias("_x"))
+    return sized.select(doc_key, "len", "_x.term", F.col("_x.n").alias("tf")).join(asked.select("term").distinct(), "term", "left_semi").select(doc_key, "len", "term", "tf")
 
 
 def postings(docs: DataFrame, queries: DataFrame, *, doc_key: str, query_key: str, doc_text: str = "text", query_text: str = "text", k1: float = 1.5, b: float = 0.75) -> Postings:
@@ -74,7 +75,7 @@ def postings(docs: DataFrame, queries: DataFrame, *, doc_key: str, query_key: st
     order = W.partitionBy(query_key).orderBy(F.desc("bound"), "term")
     behind, every = F.coalesce(F.sum("bound").over(order.rowsBetween(1, W.unboundedFollowing)), F.lit(0.0)), F.sum("bound").over(W.partitionBy(query_key))
     weights = weights.withColumn("rest", behind).withColumn("before", F.col("rest") + F.col("bound")).withColumn("strong", F.col("before") > LEFT_OUT * every).drop("bound")
-    return Postings(rows, staged(weights, "weights"), doc_key, query_key)
+    return Postings(rows, staged(weights, "weights"), doc_key, query_key, n * queries.count())
 
 
 def scored(p: Postings, pairs: DataFrame, weight: float = 1.0) -> DataFrame:
@@ -83,6 +84,11 @@ def scored(p: Postings, pairs: DataFrame, weight: float = 1.0) -> DataFrame:
     return parts.groupBy(p.query_key, p.doc_key).agg(F.round(F.sum(F.col("weight") * F.col("impact")) * weight, 6).alias("score"))
 
 
+def _met(p: Postings, weights: DataFrame) -> DataFrame:
+    """Rows of p with the weights of their term. A document's are in one task, so grouping them by pair shuffles no pair."""
+    return sparse.shared(p.rows, weights, key=p.doc_key, pairs=p.pairs, words=lambda rows: rows)
+
+
 def candidates(p: Postings, k: int) -> DataFrame:
     """query, document of every pair that can be among a query's k best, and few others.
 
@@ -92,29 +98,29 @@ def candidates(p: Postings, k: int) -> DataFrame:
     """
     key, doc = p.query_key, p.doc_key
     strong = p.weights.where("strong")
-    part = staged(strong.select(key, "term", "weight").join(p.rows, "term").groupBy(key, doc).agg(F.sum(F.col("weight") * F.col("impact")).alias("score")), "parts")
+    part = staged(_met(p, strong.select(key, "term", "weight")).groupBy(key, doc).agg(F.sum(F.col("weight") * F.col("impact")).alias("score")), "parts")
     seeds = top_k(part, k, query_key=key, doc_key=doc)
     least = scored(p, seeds.select(key, doc)).groupBy(key).agg(F.when(F.count("*") >= k, F.min("score") - MARGIN).alias("least"))
     limits = staged(strong.groupBy(key).agg(F.min("rest").alias("rest")).join(least, key, "left").withColumn("told", F.coalesce(F.col("least") > 2 * F.col("rest"), F.lit(False))), "limits")
     near = part.join(limits.where("told"), key).where(F.col("score") + F.col("rest") >= F.col("least")).select(key, doc)
     goal = limits.where("NOT told").select(key, F.coalesce("least", F.lit(-1.0)).alias("least"))
     more = p.weights.join(goal, key).where(F.col("before") > F.col("least") / 2)  # now that the goal is known: terms until the rest is half of it
-    deep = more.join(p.rows, "term").groupBy(key, doc).agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
+    deep = _met(p, more).groupBy(key, doc).agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
     ends = more.groupBy(key).agg(F.min("rest").alias("rest"), F.first("least").alias("least"))
     return near.unionByName(deep.join(ends, key).where(F.col("score") + F.col("rest") >= F.col("least")).select(key, doc))
 
 
 def every(p: Postings) -> DataFrame:
-    """query, document, score of every pair that shares a term of p."""
-    parts = p.weights.select(p.query_key, "term", "weight").join(p.rows, "term")
+    """query, document, score of every pair that shares a term of p. A document's pairs are summed in one task."""
+    parts = _met(p, p.weights.select(p.query_key, "term", "weight"))
     return parts.groupBy(p.query_key, p.doc_key).agg(F.round(F.sum(F.col("weight") * F.col("impact")), 6).alias("score"))
 
 
 def best(p: Postings, k: int) -> DataFrame:
-    """The rows of top_k() over every(), without scoring pairs that can't be among the k best. The rows of p may be those of some documents only."""
-    return top_k(scored(p, candidates(p, k)), k, query_key=p.query_key, doc_key=p.doc_key)
+    """The rows of top_k() over every(): of a task only its k best for each query leave it. The rows of p may be those of some documents only."""
+    return top_k(every(p), k, query_key=p.query_key, doc_key=p.doc_key)
 
 
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, *, doc_key: str, query_key: str, **how) -> DataFrame:
-    """The rows of top_k() over bm25_scores(), without scoring pairs that can't be among the k best."""
+    """The rows of top_k() over bm25_scores(), of which no pair is shuffled that can't be among the k best of its task."""
     return best(postings(docs, queries, doc_key=doc_key, query_key=query_key, **how), k)

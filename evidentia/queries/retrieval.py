@@ -7,7 +7,7 @@ import dataclasses
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import text as T
-from ..operators import bm25, hybrid, joins as J, scoring as S
+from ..operators import bm25, hybrid, joins as J, scoring as S, sparse
 from ..session import staged, table
 from .fixtures import SQL_PAPERS, papers
 
@@ -150,7 +150,8 @@ def tfidf_dot(spark, sf_dir):
     n = docs.agg(F.count("*").alias("n"))  # one row
     tf = staged(bm25.term_counts(docs, q, doc_key="doc_id"), "counts")
     idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((2.0 + F.col("n")) / (2.0 + F.col("df"))) + 1.0).alias("idf"))
-    c = q.join(idf, "term").join(tf, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("qf") * F.col("idf") * F.col("tf") / F.col("len") * F.col("idf")).alias("dot"))
+    weights = staged(q.join(idf, "term"), "weights")
+    c = sparse.shared(tf, weights, key="doc_id", pairs=n.first()["n"] * asked.count(), words=lambda rows: rows).groupBy("item_id", "doc_id").agg(F.sum(F.col("qf") * F.col("idf") * F.col("tf") / F.col("len") * F.col("idf")).alias("dot"))
     c = c.withColumn("rank", S.rank_by(["item_id"], F.desc(F.round("dot", 9)), F.asc("doc_id"))).where("rank <= 5")
     return c.select("item_id", "doc_id", F.round(F.col("dot") * 1e6, 3).alias("dot"))
 
