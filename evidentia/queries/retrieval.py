@@ -128,14 +128,11 @@ c AS (SELECT item_id, paper_id, round(sum(q.x * v.x) / (any_value(qn.n) * any_va
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, paper_id) AS rank FROM c)
 SELECT * FROM r WHERE rank <= 5""")
 def topic_cosine(spark, sf_dir):
-    p = papers(spark, sf_dir)
-    n = p.agg(F.count("*").alias("n"))  # one row
-    words = p.select("paper_id", F.explode(T.tokens(F.col("title"))).alias("term"), F.lit(3).alias("x")).unionByName(p.select("paper_id", F.explode(T.tokens(F.col("abstract"))).alias("term"), F.lit(1).alias("x")))
-    words = words.where(~F.col("term").isin(*T.STOPWORDS)).groupBy("paper_id", "term").agg(F.sum("x").alias("tf"))
-    idf = words.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (1.0 + F.log(F.col("n") / F.col("df"))).alias("idf"))
-    profile = words.join(idf, "term").select("paper_id", "term", (F.col("tf") * F.col("idf")).alias("weight"))
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.tokens(F.col("text"))).alias("term")).where(~F.col("term").isin(*T.STOPWORDS)).groupBy("query_id", "term").agg(F.count("*").alias("tf")).join(idf, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("weight"))
-    scores = hybrid.topic_cosine(profile, asked, "paper_id").withColumnsRenamed({"query_id": "item_id", "cosine": "score"})
+    title, abstract = T.tokens(F.col("title")), T.tokens(F.col("abstract"))
+    words = F.filter(F.concat(title, title, title, abstract), lambda w: ~w.isin(*T.STOPWORDS))
+    held = sparse.bags(papers(spark, sf_dir), "paper_id", words)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.tokens(F.col("text"))).alias("term")).where(~F.col("term").isin(*T.STOPWORDS)).groupBy("query_id", "term").agg(F.count("*").alias("c"))
+    scores = hybrid.topic_cosine(held, asked, "paper_id").withColumnsRenamed({"query_id": "item_id", "cosine": "score"})
     return bm25.top_k(scores, 5, query_key="item_id", doc_key="paper_id").withColumnRenamed("score", "cosine")
 
 

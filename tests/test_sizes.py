@@ -155,7 +155,7 @@ def test_terms_in_records_are_looked_up_once(spark, monkeypatch):
     assert "terms" in seen and got[1] - got[3] > hybrid.IN_TITLE and got[2] - got[3] > hybrid.IN_ABSTRACT - 5
 
 
-PAIRED = ["tfidf_cosine", "alias_exact_boost", "score_fusion"]
+PAIRED = ["tfidf_cosine", "alias_exact_boost", "score_fusion", "topic_cosine"]
 
 
 @pytest.mark.parametrize("name", PAIRED)
