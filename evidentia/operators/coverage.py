@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from ..session import dealt_by_size, staged
+
+#: Sets whose items meet in one task.
+PART = 200_000
 
 
 def coverage_sets(hits: DataFrame, by: str, member: str, item: str) -> DataFrame:
@@ -16,12 +21,25 @@ def undominated(sets: DataFrame, by: str, member: str) -> DataFrame:
 
     A set meets only the larger ones that hold its rarest item, so members without a common item never meet.
     """
-    own = sets.where(F.size("items") > 0).groupBy(by, "items").agg(F.min(member).alias(member))
-    held = own.select(by, "items", F.explode("items").alias("_item"))
-    rare = held.join(held.groupBy(by, "_item").agg(F.count("*").alias("_n")), [by, "_item"]).groupBy(by, "items").agg(F.min(F.struct("_n", "_item"))["_item"].alias("_item"))
-    more = held.select(by, "_item", F.col("items").alias("_more"))
+    return _undominated(_different(sets, by, member), by, member)
+
+
+def _different(sets: DataFrame, by: str, member: str) -> DataFrame:
+    """by, items, member: one member per set, empty ones too. Written once."""
+    return staged(sets.groupBy(by, "items").agg(F.min(member).alias(member)), "sets")
+
+
+def _undominated(different: DataFrame, by: str, member: str) -> DataFrame:
+    own = different.where(F.size("items") > 0)
+    held = own.select(by, member, F.size("items").alias("_size"), F.explode("items").alias("_item"))
+    of = W.partitionBy(by, "_item")
+    told = dealt_by_size(held, different.count(), PART, by).withColumn("_n", F.count("*").over(of)).withColumn("_top", F.max("_size").over(of))
+    rare = told.groupBy(by, member).agg(F.min(F.struct("_n", "_item", "_top", "_size")).alias("_r")).select(by, member, "_r.*").where("_top > _size")  # others are in no larger set
+    same = lambda a, b: (F.col(f"{a}.{by}") == F.col(f"{b}.{by}")) & F.col(f"{a}.{member}").eqNullSafe(F.col(f"{b}.{member}"))
+    rare = rare.alias("r").join(own.alias("o"), same("r", "o")).select(f"o.{by}", f"o.{member}", "_item", "items")
+    more = own.where(F.size("items") > 1).select(by, F.explode("items").alias("_item"), F.col("items").alias("_more"))
     lost = rare.join(more, [by, "_item"]).where((F.size("_more") > F.size("items")) & (F.size(F.array_except("items", "_more")) == 0))
-    return own.join(lost.select(by, "items").distinct(), [by, "items"], "left_anti")
+    return own.alias("o").join(lost.select(by, member).distinct().alias("l"), same("o", "l"), "left_anti")
 
 
 def _best_cover(sets: list[int], budget: int) -> tuple[int, list[int]]:
@@ -40,10 +58,12 @@ def _best_cover(sets: list[int], budget: int) -> tuple[int, list[int]]:
         gains = [(g, -k) for g, k in gains if g]
         if not more or not gains:
             continue
+        if seen.bit_count() + sum(g for g, _ in gains[:more]) <= best:
+            continue
         rest = seen
         for _, k in gains:
             rest |= sets[k]
-        if min(rest.bit_count(), seen.bit_count() + sum(g for g, _ in gains[:more])) <= best:
+        if rest.bit_count() <= best:
             continue
         (_, first), others = gains[0], [k for _, k in gains[1:]]
         open_.append((seen, taken, others, more))
@@ -68,8 +88,9 @@ def max_coverage(sets: DataFrame, by: str, member: str, budget: int) -> DataFram
         covered, chosen = _best_cover(_bits(pdf), max(0, budget))
         return pd.DataFrame({by: [pdf[by].iloc[0]], "covered": [covered], "members": [sorted(pdf[member].iloc[k] for k in chosen)]})
 
-    best = undominated(sets, by, member).groupBy(by).applyInPandas(run, f"{by} {key}, covered long, members array<{kind}>")
-    return sets.select(by).distinct().join(best, by, "left").select(by, F.coalesce("covered", F.lit(0)).alias("covered"), F.coalesce("members", F.array().cast(f"array<{kind}>")).alias("members"))
+    different = _different(sets, by, member)
+    best = _undominated(different, by, member).groupBy(by).applyInPandas(run, f"{by} {key}, covered long, members array<{kind}>")
+    return different.select(by).distinct().join(best, by, "left").select(by, F.coalesce("covered", F.lit(0)).alias("covered"), F.coalesce("members", F.array().cast(f"array<{kind}>")).alias("members"))
 
 
 def greedy_coverage(sets: DataFrame, by: str, member: str, budget: int, page_cap: int, score: str | None = None) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import matching as M, objects as O, scoring as SC, slots as S
+from evidentia.operators import coverage as C, matching as M, objects as O, scoring as SC, slots as S
 from evidentia.operators.text import counted
 from evidentia.queries import QUERIES
 
@@ -67,3 +67,11 @@ def test_packages_are_dealt_once(spark):
     rows = QUERIES["selected_packages"](spark, "/root/testdata/sf0.001")
     assert plan(rows).split("Initial Plan")[-1].count("Exchange hashpartitioning") <= 8
     assert rows.count() > 0
+
+
+def test_sets_are_made_once(spark):
+    assert "lineitem" not in plan(QUERIES["max_coverage_dp"](spark, "/root/testdata/sf0.001"))
+    rows = [(1, None, ["a"]), (1, 2, ["a", "b"]), (1, 3, ["b", "a"]), (1, 4, ["c"]), (1, 5, []), (2, 6, ["a"]), (3, 7, []), (None, 8, ["a"]), (None, 9, ["a", "b"])]
+    sets = spark.createDataFrame(rows, "k long, m long, items array<string>").selectExpr("k", "m", "array_sort(items) AS items")
+    assert sorted(((r["k"] or 0, r["m"]) for r in C.undominated(sets, "k", "m").collect())) == [(0, 8), (0, 9), (1, 2), (1, 4), (2, 6)]
+    assert sorted((r["k"] or 0, r["covered"]) for r in C.max_coverage(sets.where("k IS NOT NULL"), "k", "m", 1).collect()) == [(1, 2), (2, 1), (3, 0)]
