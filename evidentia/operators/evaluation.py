@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.labels import cell_equal
 from ..functions.text import normalize_answer
-from .scoring import coverage, nearest_ranks
+from ..session import dealt_by_size
+from .scoring import nearest_ranks, precision_recall
+
+#: Rows of tables that meet in one task.
+PART = 250_000
 
 
 def macro(per_key: DataFrame) -> DataFrame:
@@ -16,14 +20,15 @@ def macro(per_key: DataFrame) -> DataFrame:
 
 def table_scores(gold: DataFrame, pred: DataFrame, by: str, key: str, columns: dict[str, str]) -> DataFrame:
     """by, row precision, recall, f1, cells correct and in all. Rows of equal normalised key: the last by `line` wins."""
-    own = lambda df: df.withColumn("_key", normalize_answer(F.col(key))).withColumn("_rn", F.row_number().over(W.partitionBy(by, "_key").orderBy(F.desc("line")))).where("_rn = 1")
-    g, p = own(gold), own(pred)
-    rows = coverage(g.select(by, "_key"), p.select(by, "_key"), by, "_key")
-    pairs = g.alias("g").join(p.alias("p"), (F.col(f"g.{by}") == F.col(f"p.{by}")) & (F.col("g._key") == F.col("p._key")), "left")
-    there = F.col("p._key").isNotNull()
-    right = sum(((there & cell_equal(F.col(f"g.{c}").cast("string"), F.col(f"p.{c}").cast("string"), F.lit(kind))).cast("long") for c, kind in columns.items()), F.lit(0).cast("long"))
-    cells = pairs.groupBy(F.col(f"g.{by}").alias(by)).agg(F.sum(right).alias("cell_correct"), (F.count("*") * len(columns)).alias("cell_total"))
-    return rows.join(cells, by)
+    side = lambda df, of: df.where(F.col(by).isNotNull()).select(by, normalize_answer(F.col(key)).alias("_key"), "line", *[F.col(c).cast("string").alias(f"_{c}") for c in columns], F.lit(of).alias("_side"))
+    both = dealt_by_size(side(gold, "g").unionByName(side(pred, "p")), gold.count() + pred.count(), PART, by, "_key")
+    both = both.withColumn("_rn", F.row_number().over(W.partitionBy(by, "_key", "_side").orderBy(F.desc("line")))).where("_rn = 1")
+    cells = F.struct(*[F.col(f"_{c}").alias(c) for c in columns])
+    rows = both.groupBy(by, "_key").agg(*[F.first(F.when(F.col("_side") == x, cells), ignorenulls=True).alias(x) for x in "gp"])  # sorted by the window already
+    known, g, p = F.col("_key").isNotNull(), F.col("g").isNotNull(), F.col("p").isNotNull()
+    right = sum(((known & g & p & cell_equal(F.col(f"g.{c}"), F.col(f"p.{c}"), F.lit(kind))).cast("long") for c, kind in columns.items()), F.lit(0).cast("long"))
+    sums = rows.groupBy(by).agg(F.count_if(g & known).alias("_g"), F.count_if(p & known).alias("_p"), F.count_if(g & p & known).alias("_c"), F.sum(right).alias("cell_correct"), (F.count_if(g) * len(columns)).alias("cell_total")).where("cell_total > 0")
+    return sums.select(by, *precision_recall(F.col("_g"), F.col("_p"), F.col("_c")), "cell_correct", "cell_total")
 
 
 def rank_metrics(hits: DataFrame, by: str, k: int) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import coverage as C, matching as M, objects as O, scoring as SC, slots as S
+from evidentia.operators import coverage as C, evaluation as EV, matching as M, objects as O, scoring as SC, slots as S
 from evidentia.operators.text import counted
 from evidentia.queries import QUERIES
 
@@ -75,3 +75,12 @@ def test_sets_are_made_once(spark):
     sets = spark.createDataFrame(rows, "k long, m long, items array<string>").selectExpr("k", "m", "array_sort(items) AS items")
     assert sorted(((r["k"] or 0, r["m"]) for r in C.undominated(sets, "k", "m").collect())) == [(0, 8), (0, 9), (1, 2), (1, 4), (2, 6)]
     assert sorted((r["k"] or 0, r["covered"]) for r in C.max_coverage(sets.where("k IS NOT NULL"), "k", "m", 1).collect()) == [(1, 2), (2, 1), (3, 0)]
+
+
+def test_table_rows_meet_without_a_join(spark):
+    assert "Join" not in plan(QUERIES["table_row_scores"](spark, "/root/testdata/sf0.001"))
+    name = "k long, key string, line long, a double, b string"
+    gold = [(1, "x", 1, 1.0, "p"), (1, " X", 2, 2.0, "q"), (1, "y", 3, None, None), (1, None, 4, 5.0, "r"), (2, "z", 5, 1.0, "p"), (None, "x", 6, 1.0, "p")]
+    pred = [(1, "x", 1, 2.0, "Q"), (1, "w", 2, 9.0, "q"), (3, "x", 3, 1.0, "p")]
+    got = EV.table_scores(spark.createDataFrame(gold, name), spark.createDataFrame(pred, name), "k", "key", {"a": "number", "b": "string"}).collect()
+    assert [(r["k"], round(r["precision"], 3), r["cell_total"]) for r in sorted(got, key=lambda r: r["k"])] == [(1, 0.5, 6), (2, 0.0, 2)]
