@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import section_heading, text_of
-from ..session import staged
+from ..session import dealt_by_size, staged
+
+#: Elements that meet in one task.
+PART = 100_000
 
 # Structural types, label patterns, marks of formulas and of reference entries, texts of derived records.
 STRUCTURES = {"table": ("table", "document_table"), "figure": ("picture", "image", "figure"), "equation": ("formula", "equation")}
@@ -148,7 +151,7 @@ def standardized(elements: DataFrame) -> DataFrame:
     their number; a null page is -1 (0 in ids). Elements are read once and written typed; a paper's records follow from its elements alone.
     """
     rows = staged(typed(elements), "elements")
-    records = reference_entries(rows).select(*_FIELDS).unionByName(derived(rows).select(*_FIELDS))
+    records = reference_entries(dealt_by_size(rows, rows.count(), PART, "paper_id")).select(*_FIELDS).unionByName(derived(rows).select(*_FIELDS))
     page = F.coalesce("page", F.lit(-1))
     name = F.format_string("p%03d_r%04d", F.greatest(F.lit(0), page), "at")
     return records.select("paper_id", page.alias("page"), name.alias("record_id"), F.concat_ws("::", "paper_id", name).alias("global_record_id"), "record_type", "source_type", "label", locator(F.col("page"), F.col("source_type"), F.col("label")).alias("locator"), "text", F.col("at").alias("reading_order"), "rules", "warnings", "source_at")

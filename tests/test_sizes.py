@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import bm25, hierarchy as H, hybrid, levels, matching as M, pages as P
+from evidentia.operators import bm25, hierarchy as H, hybrid, levels, matching as M, pages as P, standardizer
 from evidentia.queries import QUERIES, records
 
 
@@ -164,3 +164,9 @@ def test_pairs_are_summed_where_documents_are(spark, name):
     rows = QUERIES[name](spark, "/root/testdata/sf0.001")
     assert not re.search(r"Exchange hashpartitioning\(\w+#\d+L?, \w+#\d+L?, \d+\)", plan(rows))
     assert rows.count() > 0
+
+
+def test_elements_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(standardizer, "PART", 500)
+    parts = re.findall(r"hashpartitioning\(paper_id#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan(QUERIES["standardized_records"](spark, "/root/testdata/sf0.001")))
+    assert parts and min(map(int, parts)) > 4  # the shuffle partitions of the tests
