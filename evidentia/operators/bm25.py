@@ -68,7 +68,7 @@ def postings(docs: DataFrame, queries: DataFrame, *, doc_key: str, query_key: st
     mean = max((total or 0) / max(n, 1), 1e-9)
     tf = term_counts(docs, asked, doc_key=doc_key, text=doc_text)
     impact = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * ((1.0 - b) + b * F.greatest(F.lit(1), F.col("len")) / mean))
-    rows = staged(tf.select(doc_key, "term", impact.alias("impact")), "postings")
+    rows = staged(tf.select(doc_key, "term", impact.alias("impact")), "postings", sparse.TERM_ROWS)
     terms = rows.groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("top"))
     weight = F.col("qtf") * F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = asked.join(terms, "term").select(query_key, "term", weight.alias("weight"), (weight * F.col("top")).alias("bound"))

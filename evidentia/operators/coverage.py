@@ -26,7 +26,7 @@ def undominated(sets: DataFrame, by: str, member: str) -> DataFrame:
 
 def _different(sets: DataFrame, by: str, member: str) -> DataFrame:
     """by, items, member: one member per set, empty ones too. Written once."""
-    return staged(sets.groupBy(by, "items").agg(F.min(member).alias(member)), "sets")
+    return staged(sets.groupBy(by, "items").agg(F.min(member).alias(member)), "sets", PART)
 
 
 def _undominated(different: DataFrame, by: str, member: str) -> DataFrame:

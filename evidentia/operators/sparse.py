@@ -11,12 +11,14 @@ from .text import counted
 
 #: Pairs of a document and a question that one task sums, terms that are looked up in a broadcast, and rows of questions that are broadcast.
 PAIRS, FREQUENT, SMALL = 500_000, 50_000, 1_000_000
+#: Rows of a file that is read to be dealt: of a document and a term, and of a document with all its terms.
+TERM_ROWS, BAG_ROWS = 250_000, 2_000
 
 
 def bags(docs: DataFrame, key: str, words: Column) -> DataFrame:
     """key, len, terms: the number of a document's words, and each different one with its count (term, n). Written once."""
     cut = docs.select(key, words.alias("_w"))
-    return staged(cut.select(key, F.size("_w").cast("long").alias("len"), counted(F.col("_w")).alias("terms")), "bags")
+    return staged(cut.select(key, F.size("_w").cast("long").alias("len"), counted(F.col("_w")).alias("terms")), "bags", BAG_ROWS)
 
 
 def words_of(held: DataFrame, *keep: str) -> DataFrame:

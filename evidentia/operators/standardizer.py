@@ -150,7 +150,7 @@ def standardized(elements: DataFrame) -> DataFrame:
     elements: paper_id, at (their number, from 1), page, element_type, backend_type, label, text. Elements without a text give no record but keep
     their number; a null page is -1 (0 in ids). Elements are read once and written typed; a paper's records follow from its elements alone.
     """
-    rows = staged(typed(elements), "elements")
+    rows = staged(typed(elements), "elements", PART)
     records = reference_entries(dealt_by_size(rows, rows.count(), PART, "paper_id")).select(*_FIELDS).unionByName(derived(rows).select(*_FIELDS))
     page = F.coalesce("page", F.lit(-1))
     name = F.format_string("p%03d_r%04d", F.greatest(F.lit(0), page), "at")

@@ -145,7 +145,7 @@ def tfidf_dot(spark, sf_dir):
     q = asked.select("item_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qtf"))
     q = q.withColumn("qf", F.col("qtf") / F.sum("qtf").over(W.partitionBy("item_id")))
     n = docs.agg(F.count("*").alias("n"))  # one row
-    tf = staged(bm25.term_counts(docs, q, doc_key="doc_id"), "counts")
+    tf = staged(bm25.term_counts(docs, q, doc_key="doc_id"), "counts", sparse.TERM_ROWS)
     idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((2.0 + F.col("n")) / (2.0 + F.col("df"))) + 1.0).alias("idf"))
     weights = staged(q.join(idf, "term"), "weights")
     c = sparse.shared(tf, weights, key="doc_id", pairs=n.first()["n"] * asked.count(), words=lambda rows: rows).groupBy("item_id", "doc_id").agg(F.sum(F.col("qf") * F.col("idf") * F.col("tf") / F.col("len") * F.col("idf")).alias("dot"))

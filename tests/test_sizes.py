@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import bm25, hierarchy as H, hybrid, levels, matching as M, pages as P, standardizer
+from evidentia.operators import bm25, hierarchy as H, hybrid, levels, matching as M, pages as P, sparse, standardizer
 from evidentia.queries import QUERIES, records
 
 
@@ -170,3 +170,24 @@ def test_elements_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(standardizer, "PART", 500)
     parts = re.findall(r"hashpartitioning\(paper_id#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan(QUERIES["standardized_records"](spark, "/root/testdata/sf0.001")))
     assert parts and min(map(int, parts)) > 4  # the shuffle partitions of the tests
+
+
+@pytest.mark.parametrize("made", ["postings", "bags"])
+def test_a_task_that_deals_reads_few_rows(spark, monkeypatch, made):
+    """However large the table, a task's share of it is bounded: it holds its rows until all are read."""
+    monkeypatch.setattr(sparse, "TERM_ROWS", 100)
+    monkeypatch.setattr(sparse, "BAG_ROWS", 5)
+    docs = spark.range(600).selectExpr("id AS d", "concat_ws(' ', transform(sequence(1, 20), k -> concat('w', (id + k) % 50))) AS text").coalesce(1)
+    asked = spark.range(5).selectExpr("id AS q", "concat_ws(' ', transform(sequence(1, 50), k -> concat('w', k % 50))) AS text")
+    setting = "spark.sql.files.minPartitionNum"
+    spark.conf.set(setting, "1")  # as a table would be read that is large for its cores
+    try:
+        p = bm25.postings(docs, asked, doc_key="d", query_key="q")
+        rows, each = (p.rows, 100) if made == "postings" else (sparse.bags(docs, "d", F.split("text", " ")), 5)
+        most = rows.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        best = bm25.best(p, 4)
+        want = bm25.top_k(bm25.bm25_scores(docs, asked, doc_key="d", query_key="q"), 4, query_key="q", doc_key="d")
+        assert most <= 33 * each and rows.count() == (12_000 if made == "postings" else 600)
+        assert sorted(map(tuple, best.collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        spark.conf.unset(setting)
