@@ -8,13 +8,13 @@ cut at powers of two, which need no padding.
 from __future__ import annotations
 
 import functools
-import itertools
 import json
 import os
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +34,9 @@ _OTHER_SCRIPTS = re.compile("[\u0530-\U0010ffff]")
 #: What the fast way relies on, besides a splitting pattern that never crosses white space.
 _NORMALIZERS, _PRE_TOKENIZERS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
 
+#: Characters of the longest words and chunks that are kept from task to task.
+_LONGEST = 64
+
 
 def _byte_letters() -> dict[int, str]:
     """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
@@ -55,16 +58,38 @@ class _Memory(dict):
 
 
 class _Words(dict):
-    """Ids of words between marks, from the vocabulary's merges; of a line end -1."""
+    """Ids of words between marks (as bytes of 32-bit integers), from the vocabulary's merges; of a line end -1."""
+
+    def __init__(self, model, before: dict[str, bytes] | None = None):
+        self.model, self.letters, self.before = model, _byte_letters(), before or {}
+        self["\n"] = array("i", [-1]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.before.get(word)
+        if found is None:
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            found = array("i", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if len(word) <= _LONGEST:
+            self[word] = found
+        return found
 
-    def __init__(self, model):
-        self.model, self["\n"] = model, [-1]
-        self.letters = _byte_letters()
+    def aged(self) -> _Words:
+        """An empty memory that looks words up in this one first, so those that are not met until it is aged too are dropped."""
+        self.before = {}
+        return _Words(self.model, self)
 
-    def __missing__(self, word: str) -> list[int]:
-        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        self[word] = found = [t.id for t in self.model.tokenize(shown)]
-        return found
+
+def _splitter(pattern: str) -> Callable[[str], list[str]]:
+    """Words and line ends of a text without letters of _OTHER_SCRIPTS, as `pattern` cuts them.
+
+    Where its classes stand in brackets only they are written out, for the faster of the two libraries.
+    """
+    classes = set(regex.findall(r"\\(?:p\{\w+\}|.)", pattern))
+    if "\\" in re.sub(r"\[[^\]]*\]", "", pattern) or not classes <= {r"\p{L}", r"\p{N}", r"\s"}:
+        return regex.compile(pattern + r"|\n").findall
+    for c in classes:
+        pattern = pattern.replace(c, re.escape("".join(x for x in map(chr, range(0x530)) if regex.match(c, x))))
+    return re.compile(pattern + r"|\n").findall
 
 
 class ChunkTokenizer:
@@ -75,7 +100,7 @@ class ChunkTokenizer:
     Texts and chunks for which this could differ from the tokenizer, and tokenizers of another build, take its plain way.
     """
 
-    def __init__(self, path: str | None = None, memory: int = 250_000):
+    def __init__(self, path: str | None = None, memory: int = 250_000, words: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -84,31 +109,37 @@ class ChunkTokenizer:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
-        self.memory = memory
+        self.memory, self.most_words = memory, words
         built = json.loads(self.tokenizer.to_str())
         norm = [x["type"] for x in (built.get("normalizer") or {}).get("normalizers", [])]
         pre = (built.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.fast = norm == _NORMALIZERS and [x["type"] for x in pre] == _PRE_TOKENIZERS and built["model"]["type"] == "BPE"
         if self.fast:
-            self.split = regex.compile(pre[0]["pattern"]["Regex"] + r"|\n")
+            self.split = _splitter(pre[0]["pattern"]["Regex"])
         self.forget()
 
     def forget(self) -> None:
         """Empties the memory."""
-        self.known, self.words = _Memory(), _Words(self.tokenizer.model)
+        self.words = _Words(self.tokenizer.model)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.known = _Memory()
         self.pool, self.used = np.zeros(1 << 20, dtype="<u4"), 0
         self.starts, self.lengths, self.uses = (np.zeros(1 << 18, dtype=np.int64) for _ in range(3))
 
     def trim(self) -> None:
-        """Keeps the chunks that were used most since the last time, at most half of the memory."""
+        """Keeps the chunks that were used most since the last time, at most half of the memory and none long, and the words met lately."""
+        if len(self.words) > self.most_words:
+            self.words = self.words.aged()
         names, n = list(self.known), len(self.known)
-        kept = np.flatnonzero(self.uses[:n] > 1)
+        kept = np.array([k for k in np.flatnonzero(self.uses[:n] > 1).tolist() if len(names[k]) <= _LONGEST], dtype=np.int64)
         if len(kept) > self.memory // 2:
             kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: self.memory // 2]])
         lengths, starts = self.lengths[kept], self.starts[kept]
         ends = np.cumsum(lengths)
         pool = self.pool[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        self.forget()
+        self._empty()
         self.known.update(zip((names[k] for k in kept), range(len(kept)), strict=True))
         self._room(len(kept), len(pool))
         self.lengths[: len(kept)], self.starts[: len(kept)] = lengths, ends - lengths
@@ -130,7 +161,7 @@ class ChunkTokenizer:
         odd = {k: self._plain(c) for k, c in enumerate(new) if _OTHER_SCRIPTS.search(c)} if _OTHER_SCRIPTS.search(lines) else {}
         if odd:
             lines = "\n".join("" if k in odd else c for k, c in enumerate(new))
-        ids = np.array(list(itertools.chain.from_iterable(map(self.words.__getitem__, self.split.findall(lines + "\n")))), dtype=np.int64)
+        ids = np.frombuffer(b"".join(map(self.words.__getitem__, self.split(lines + "\n"))), dtype=np.int32)
         ends = np.flatnonzero(ids < 0)
         lengths = np.diff(ends, prepend=-1) - 1
         ids = np.concatenate([ids[ids >= 0], *odd.values()]).astype("<u4")
@@ -220,7 +251,12 @@ class VectorPacker:
     def __init__(self, tokens: int = 2048, segments: int = 2048, loss: int | None = None, pool: int = 128):
         self.limits = np.array([tokens, segments, loss or tokens], dtype=np.int64)
         self.pool_size, self.pool, self.total = pool, [], 0
-        self.sizes = np.zeros((0, 3), dtype=np.int64)
+        self.room = np.zeros((2 * pool, 3), dtype=np.int64)
+
+    @property
+    def sizes(self) -> np.ndarray:
+        """Tokens, segments and loss tokens of the items in the pool."""
+        return self.room[: len(self.pool)]
 
     def add(self, item: Item) -> Iterator[list[Item]]:
         """Takes an item; yields the sequences that close."""
@@ -243,13 +279,15 @@ class VectorPacker:
             yield self._fill(limits)
 
     def _put(self, item: Item) -> None:
+        if len(self.pool) == len(self.room):
+            self.room = np.append(self.room, np.zeros_like(self.room), axis=0)
+        self.room[len(self.pool)] = item.length, 1, item.loss
         self.pool.append(item)
-        self.sizes = np.vstack([self.sizes, [[item.length, 1, item.loss]]])
         self.total += item.length
 
     def _take(self, k: int) -> Item:
+        self.room[k : len(self.pool) - 1] = self.room[k + 1 : len(self.pool)]
         item = self.pool.pop(k)
-        self.sizes = np.delete(self.sizes, k, axis=0)
         self.total -= item.length
         return item
 
@@ -318,7 +356,7 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", prompt:
                     note(packer.add(Item(doc, ids, 0, len(ids), len(head))))
             yield out()
         note(packer.flush())
-        tokenizer.forget()  # the worker lives on beside other tasks
+        tokenizer.trim()  # the worker lives on beside other tasks, and its next task has many of these words
         yield out()
         release()
 

@@ -640,6 +640,46 @@ def test_tokenizer_memory_changes_nothing():
         assert list(own) == t.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_words_are_not_merged_anew_after_a_trim(spark):
+    from evidentia.llm import packing
+
+    class Counted:
+        def __init__(self, model):
+            self.model, self.calls = model, 0
+
+        def tokenize(self, word):
+            self.calls += 1
+            return self.model.tokenize(word)
+
+    t = packing.ChunkTokenizer(words=30)
+    t.words.model = counted = Counted(t.words.model)
+    texts, long = [f"{a}zq{b}xv. {b}{a}" for a in "abcdef" for b in "ghijkl"], "qxz" * 50
+    want = [list(x) for x in t.encode(texts)]
+    calls = counted.calls
+    assert calls > 30 and want == [t.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    t.trim()  # as between the tasks of a worker
+    assert [list(x) for x in t.encode(texts)] == want and counted.calls == calls
+    for k in range(3):  # words that are met no more go, long ones are not kept
+        t.encode([" ".join(f"w{chr(97 + k)}{a}{b}" for a in "abcdef" for b in "ghijkl"), long])
+        t.trim()
+    assert len(t.words) + len(t.words.before) < 80 and long not in t.known and long not in t.words and long not in t.words.before
+
+
+def test_the_faster_splitter_cuts_alike():
+    import random
+
+    import regex
+
+    from evidentia.llm import packing
+
+    t = packing.ChunkTokenizer()
+    pattern = json.loads(t.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    every, rng = [chr(k) for k in range(0x530)], random.Random(1)
+    text = "".join(every) + "".join(rng.choices(every + list("''stredvml\n") * 20, k=50_000))
+    assert packing._splitter(pattern)(text) == regex.findall(pattern + r"|\n", text)
+    assert packing._splitter(r"\w+|[\p{L}]+")("äb c") == ["äb", "c"]
+
+
 def test_pack_holds_every_id_once(spark, odd, prose):
     from evidentia.llm.packing import ChunkTokenizer, pack
 
