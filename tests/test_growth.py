@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import coverage as C, evaluation as EV, matching as M, objects as O, scoring as SC, slots as S
+from evidentia.operators import coverage as C, evaluation as EV, levels as LV, matching as M, objects as O, scoring as SC, slots as S
 from evidentia.operators.text import counted
 from evidentia.queries import QUERIES
 
@@ -84,3 +84,24 @@ def test_table_rows_meet_without_a_join(spark):
     pred = [(1, "x", 1, 2.0, "Q"), (1, "w", 2, 9.0, "q"), (3, "x", 3, 1.0, "p")]
     got = EV.table_scores(spark.createDataFrame(gold, name), spark.createDataFrame(pred, name), "k", "key", {"a": "number", "b": "string"}).collect()
     assert [(r["k"], round(r["precision"], 3), r["cell_total"]) for r in sorted(got, key=lambda r: r["k"])] == [(1, 0.5, 6), (2, 0.0, 2)]
+
+
+RECORD = "paper_id string, record_id string, at long, page long, section_id string, section_title string, section_path array<string>, record_type string, source_type string, label string, text string, crop_path string, citation_id string"
+
+
+def test_neighbours_are_found_where_a_paper_is(spark):
+    """One exchange by paper and no join: an anchor's places around it are no rows. Anchors given twice and those that no record is."""
+    rows = spark.createDataFrame([("a", f"a{k}", k, 1 + k // 3, "s" if k % 2 else "t", None, None, "paragraph", None, None, "text", None, None) for k in range(9)], RECORD)
+    anchors = spark.createDataFrame([("q", "a4", "a", 4, 2, "t")] * 2 + [("p", "a4", "a", 4, 2, "t"), ("q", "gone", "a", 4, 2, "t")], "query_id string, record_id string, paper_id string, at long, page long, section_id string")
+    near = LV.neighbours(anchors, rows, 2)
+    assert plan(near).split("Initial Plan")[-1].count("Exchange") == 1 and "Join" not in plan(near)
+    got = sorted(tuple(r) for r in near.select("query_id", "anchor_id", "place", "record_id").collect())
+    assert got == sorted((q, i, 1 + k, r) for q, i, own in (("q", "a4", ("a2", "a6")), ("p", "a4", ("a2", "a6")), ("q", "gone", ("a4", "a2"))) for k, r in enumerate(own))
+
+
+def test_a_record_that_is_gone_is_in_the_catalog_once(spark):
+    gone = ("a", "a1", 1, 1, "s", "S", None, "paragraph", None, None, "text", None, None)
+    selected = spark.createDataFrame([("q", 2, None, *gone), ("q", 1, None, *gone)], "query_id string, place long, selection_rank long, " + RECORD)
+    questions, papers = spark.createDataFrame([("q", "What?")], "query_id string, question string"), spark.createDataFrame([("q", "a", "T", None)], "query_id string, paper_id string, title string, abstract string")
+    level0, _ = LV.catalog_levels(selected, questions, papers, spark.createDataFrame([], RECORD))
+    assert [(r["evidence_ref"], r["record_id"], r["selection_rank"]) for r in level0.collect()] == [("E0001", "a1", 1)]
