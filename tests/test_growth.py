@@ -105,3 +105,16 @@ def test_a_record_that_is_gone_is_in_the_catalog_once(spark):
     questions, papers = spark.createDataFrame([("q", "What?")], "query_id string, question string"), spark.createDataFrame([("q", "a", "T", None)], "query_id string, paper_id string, title string, abstract string")
     level0, _ = LV.catalog_levels(selected, questions, papers, spark.createDataFrame([], RECORD))
     assert [(r["evidence_ref"], r["record_id"], r["selection_rank"]) for r in level0.collect()] == [("E0001", "a1", 1)]
+
+
+def level0_of(spark):
+    rows = [("q", f"r{k}", f"E{k:04}", "selected_anchor" if k < 3 else "l1_context", "text_span" if k % 2 else "table", "a", "s" if k < 4 else None, "S", None, f"Text {k} of CLIP and BERT", None, None) for k in range(6)]
+    return spark.createDataFrame(rows, "query_id string, record_id string, evidence_ref string, role string, kind string, paper_id string, section_id string, section_title string, section_path array<string>, text string, label string, crop_path string")
+
+
+def test_contexts_meet_where_a_question_is(spark):
+    links = spark.createDataFrame([("q", "r1", "r5", 2), ("q", "r1", "r4", 1), ("q", "r0", "r4", 1), ("q", "r4", "r3", 1), ("q", "r2", "not there", 1), ("other", "r1", "r2", 1)], "query_id string, anchor_id string, record_id string, place long")
+    rows = LV.contexts(level0_of(spark), links, most=9)
+    assert plan(rows).split("Initial Plan")[-1].count("Exchange") == 1 and "Join" not in plan(rows)
+    assert {r["anchor_ref"]: (r["neighbor_refs"], r["neighbor_excerpts"]) for r in rows.collect()} == {"E0000": (["E0004"], ["Text 4..."]), "E0001": (["E0004", "E0005"], ["Text 4...", "Text 5..."]), "E0002": ([], []), "E0004": (["E0003"], ["Text 3..."])}
+    assert {r["anchor_ref"]: r["neighbor_refs"] for r in LV.contexts(level0_of(spark), links, most=9, budget=9).collect()} == {"E0000": ["E0004"], "E0001": ["E0004"], "E0002": [], "E0004": ["E0003"]}
