@@ -118,3 +118,12 @@ def test_contexts_meet_where_a_question_is(spark):
     assert plan(rows).split("Initial Plan")[-1].count("Exchange") == 1 and "Join" not in plan(rows)
     assert {r["anchor_ref"]: (r["neighbor_refs"], r["neighbor_excerpts"]) for r in rows.collect()} == {"E0000": (["E0004"], ["Text 4..."]), "E0001": (["E0004", "E0005"], ["Text 4...", "Text 5..."]), "E0002": ([], []), "E0004": (["E0003"], ["Text 3..."])}
     assert {r["anchor_ref"]: r["neighbor_refs"] for r in LV.contexts(level0_of(spark), links, most=9, budget=9).collect()} == {"E0000": ["E0004"], "E0001": ["E0004"], "E0002": [], "E0004": ["E0003"]}
+
+
+def test_navigation_counts_in_one_pass(spark):
+    candidates = spark.createDataFrame([("q", "a", "A title", "abstract")], "query_id string, paper_id string, title string, abstract string")
+    papers, sections, mentions = LV.navigation_levels(level0_of(spark), candidates, chars=0)
+    assert plan(sections).split("Initial Plan")[-1].count("Exchange") == 1 and "Join" not in plan(sections)
+    assert [r["counts"] for r in papers.collect()] == [{"table": 3, "text_span": 3}]
+    assert sorted((r["section_id"], r["anchor_refs"], r["counts"]) for r in sections.collect()) == [("", [], {"table": 1, "text_span": 1}), ("s", ["E0000", "E0001", "E0002"], {"table": 2, "text_span": 2})]
+    assert [(r["place"], r["evidence_ref"], r["entity"]) for r in mentions.orderBy("place").collect()] == [(3 * k + i + 1, f"E{k:04}", w) for k in range(6) for i, w in enumerate(("Text", "CLIP", "BERT"))]
