@@ -128,13 +128,13 @@ def asked_routes(questions: DataFrame, routes: DataFrame) -> DataFrame:
     """
     plain = routes.select("query_id", "way", F.col("route").cast("long").alias("route"), "text", F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"), F.col("paper_id").cast("string").alias("paper_id"))
     same = plain.where("way = 'claim'").groupBy("query_id", "text").agg(F.min("route").alias("route"))  # a claim that repeats another or the question is none
-    same = same.join(questions.select("query_id", F.col("question").alias("text")), ["query_id", "text"], "left_anti").select("query_id", "route")
-    plain = plain.where("way <> 'claim'").unionByName(plain.where("way = 'claim'").join(same, ["query_id", "route"], "left_semi"))
+    same = same.join(questions.select("query_id", F.col("question").alias("text")).hint("merge"), ["query_id", "text"], "left_anti").select("query_id", "route")
+    plain = plain.where("way <> 'claim'").unionByName(plain.where("way = 'claim'").join(same.hint("merge"), ["query_id", "route"], "left_semi"))
     one = lambda way, route, text, kinds: F.struct(F.lit(way).alias("way"), F.lit(route).cast("long").alias("route"), text.alias("text"), kinds.cast("array<string>").alias("kinds"), F.lit(None).cast("string").alias("paper_id"))
     own = [one("query", 0, F.col("question"), F.array())] + [one("kind", i, F.concat_ws(" ", F.lit(k), "question"), F.array(F.lit(k))) for i, k in enumerate(sorted(L.OFFICIAL_TYPES))]
     every = plain.unionByName(questions.select("query_id", F.explode(F.array(*own)).alias("r")).select("query_id", "r.*")).withColumn("terms", counted(tokens(F.col("text"))))
     told = every.groupBy("query_id").agg(F.collect_list(F.struct("way", "route", "text", F.map_from_entries("terms").alias("terms"), "kinds", "paper_id")).alias("routes"), F.array_distinct(F.flatten(F.collect_list(F.transform("terms", lambda t: t["term"])))).alias("terms"))
-    return with_targets(questions).join(told, "query_id")
+    return with_targets(questions).join(told.hint("merge"), "query_id")
 
 
 def rankings(asked: DataFrame, packages: DataFrame, options: PackageOptions, *, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -144,10 +144,11 @@ def rankings(asked: DataFrame, packages: DataFrame, options: PackageOptions, *,
     route ranks by BM25 over the packages of its question, which are the whole corpus; other rankings are the relevance score,
     relevance within each asked kind, the visual score, layout, and numbered objects that the question names.
 
-    Rows are dealt by question once. Counts, windows and sums of a question then stay where it is, and texts go as soon as they are counted.
+    Rows are dealt by question once. Counts, windows and sums of a question then stay where it is, and texts go as soon as they are counted. What is asked is
+    dealt too: a file of it is a few hundredths of its rows in memory, so Spark would broadcast more of it than a driver holds.
     """
     by = W.partitionBy("query_id")
-    known = packages.withColumn("package_id", F.col("package_id").cast("string")).withColumn("paper_id", F.col("paper_id").cast("string")).join(asked, "query_id")
+    known = packages.withColumn("package_id", F.col("package_id").cast("string")).withColumn("paper_id", F.col("paper_id").cast("string")).join(asked.hint("merge"), "query_id")
     fits = lambda r: ((F.size(r["kinds"]) == 0) | F.array_contains(r["kinds"], F.col("kind"))) & (r["paper_id"].isNull() | (r["paper_id"] == F.col("paper_id")))
     bonus = F.transform(F.filter("routes", lambda r: (r["way"] == "slot_paper") & F.coalesce(fits(r), F.lit(False))), lambda r: F.struct(r["route"].alias("route"), _column_bonus(F.col("question"), r["text"]).cast("double").alias("bonus")))
     words = tokens(F.col("text"))
@@ -162,7 +163,7 @@ def rankings(asked: DataFrame, packages: DataFrame, options: PackageOptions, *,
     idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     part = idf * F.col("_h.n") * (k1 + 1) / (F.col("_h.n") + k1 * (1 - b + b * F.greatest(F.lit(1), F.col("_len")) / F.greatest(F.col("_avg"), F.lit(1e-9))))
     scored = hits.groupBy("query_id", "package_id").agg(F.first("_p").alias("_p"), F.collect_list(F.when(F.col("_h").isNotNull(), F.struct(F.col("_h.term").alias("term"), part.alias("part")))).alias("_hits"))
-    rows = scored.select("query_id", "package_id", "_p.*", "_hits").join(asked.select("query_id", "routes"), "query_id")
+    rows = scored.select("query_id", "package_id", "_p.*", "_hits").join(asked.select("query_id", "routes").hint("merge"), "query_id")
     one = lambda way, route, first, second=F.lit(0.0): F.struct(F.lit(way).alias("way") if isinstance(way, str) else way.alias("way"), route.cast("long").alias("route"), first.cast("double").alias("first"), second.alias("second"))
     bm25 = lambda r: F.round(F.aggregate("_hits", F.lit(0.0), lambda s, h: s + F.coalesce(F.try_element_at(r["terms"], h["term"]) * h["part"], F.lit(0.0))), 9)
     extra = lambda r: F.when(r["way"] == "slot_paper", F.coalesce(F.get(F.filter("_bonus", lambda x: x["route"] == r["route"]), 0)["bonus"], F.lit(0.0))).otherwise(0.0)
@@ -262,7 +263,7 @@ def requests(facts: DataFrame, asked: DataFrame, options: PackageOptions) -> Dat
     rows = rows.withColumn("goal", goal).withColumn("_asks", F.array(*wanted))  # before the filter: places are made by windows
     rows = rows.select("query_id", "package_id", "paper_id", "page", "kind", "several", "budget", "goal", F.explode(F.concat(F.filter("_asks", lambda x: x.isNotNull()), slots)).alias("a")).select("*", "a.*").drop("a")
     limits = F.get(F.filter("routes", lambda r: (r["way"] == F.col("way")) & (r["route"] == F.col("route"))), 0)
-    return rows.join(asked.select("query_id", "modalities", "routes"), "query_id").select(*rows.columns, "modalities", limits["kinds"].alias("only_kinds"), limits["paper_id"].alias("only_paper")).drop("way", "route")
+    return rows.join(asked.select("query_id", "modalities", "routes").hint("merge"), "query_id").select(*rows.columns, "modalities", limits["kinds"].alias("only_kinds"), limits["paper_id"].alias("only_paper")).drop("way", "route")
 
 
 def _choose(rows: pd.DataFrame, options: PackageOptions) -> list[tuple]:

@@ -98,7 +98,7 @@ def hinted_gold(spark, sf_dir):
 
 
 def _packages(spark, sf_dir):
-    rows = lines(spark, sf_dir).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = lines(spark, sf_dir).join(table(spark, sf_dir, "part").hint("merge"), F.col("l_partkey") == F.col("p_partkey"))  # parts grow with lines: none is broadcast
     rows = dealt_by_size(rows, table(spark, sf_dir, "lineitem").count(), 50_000, "l_suppkey")
     kind = F.element_at(F.array(*[F.lit(k) for k in ("text_span", "table", "figure", "equation_algorithm", "citation_context")]), (F.col("l_partkey") % 5 + 1).cast("int"))
     at = F.row_number().over(P.W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")).cast("long")

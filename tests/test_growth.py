@@ -127,3 +127,8 @@ def test_navigation_counts_in_one_pass(spark):
     assert [r["counts"] for r in papers.collect()] == [{"table": 3, "text_span": 3}]
     assert sorted((r["section_id"], r["anchor_refs"], r["counts"]) for r in sections.collect()) == [("", [], {"table": 1, "text_span": 1}), ("s", ["E0000", "E0001", "E0002"], {"table": 2, "text_span": 2})]
     assert [(r["place"], r["evidence_ref"], r["entity"]) for r in mentions.orderBy("place").collect()] == [(3 * k + i + 1, f"E{k:04}", w) for k in range(6) for i, w in enumerate(("Text", "CLIP", "BERT"))]
+
+
+def test_what_is_asked_is_not_broadcast(spark):
+    """Neither questions with their routes nor parts meet the packages through the driver."""
+    assert "BroadcastExchange" not in plan(QUERIES["selected_packages"](spark, "/root/testdata/sf0.001"))
