@@ -21,6 +21,11 @@ def bags(docs: DataFrame, key: str, words: Column) -> DataFrame:
     return staged(cut.select(key, F.size("_w").cast("long").alias("len"), counted(F.col("_w")).alias("terms")), "bags", BAG_ROWS)
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """Rows of a document and a term, written once in files of bounded rows."""
+    return staged(rows, "postings", TERM_ROWS)
+
+
 def words_of(held: DataFrame, *keep: str) -> DataFrame:
     """keep, term, n: a row for each different word of a bag."""
     return held.select(*keep, F.explode("terms").alias("_x")).select(*keep, "_x.term", "_x.n")

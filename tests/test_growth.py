@@ -1,9 +1,11 @@
 """What must be done once a row or once a table: plans of small tables, and their rows."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import coverage as C, evaluation as EV, levels as LV, matching as M, objects as O, scoring as SC, slots as S
+from evidentia.operators import coverage as C, evaluation as EV, hybrid as HY, levels as LV, matching as M, objects as O, scoring as SC, slots as S
 from evidentia.operators.text import counted
 from evidentia.queries import QUERIES
 
@@ -132,3 +134,12 @@ def test_navigation_counts_in_one_pass(spark):
 def test_what_is_asked_is_not_broadcast(spark):
     """Neither questions with their routes nor parts meet the packages through the driver."""
     assert "BroadcastExchange" not in plan(QUERIES["selected_packages"](spark, "/root/testdata/sf0.001"))
+
+
+def test_titles_are_cut_once(spark):
+    """Hybrid retrieval makes a title's words once a row, and no shuffle has a pair of a question and a paper as its key."""
+    made = HY.with_aliases(spark.createDataFrame([(1, "Deep Nets for Vision", "about CLIP")], "paper_id long, title string, abstract string"))
+    assert made.select("aliases")._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(lower(") == 1
+    assert set(made.first()["aliases"]) == {"dnv", "dn", "nv", "clip"}
+    rows = QUERIES["hybrid_retrieval"](spark, "/root/testdata/sf0.001")
+    assert not re.search(r"Exchange hashpartitioning\(\w+#\d+L?, \w+#\d+L?, \d+\)", plan(rows))
