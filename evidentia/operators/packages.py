@@ -75,32 +75,33 @@ def package_records(anchors: DataFrame, context: DataFrame, neighbours: int = 1)
     its section, then the nearest, first), or else neighbouring texts; also records of its kind and label; a citation also the first
     other citation of its number. An anchor that the context lacks is in its package all the same.
     """
-    order = ["page", "reading", "record_id"]
+    at, order = ["page", "reading"], ["page", "reading", "record_id"]
     every = context.withColumn("_at", F.row_number().over(W.partitionBy("paper_id", "section_id").orderBy(*order)))
     own = anchors.select("paper_id", "record_id", "kind", "label", "text", "page", "reading", "section_id").withColumnRenamed("record_id", "anchor_id")
     placed = own.join(every.select(F.col("record_id").alias("anchor_id"), "_at"), "anchor_id", "left").withColumn("_at", F.coalesce("_at", F.lit(1)))
     near = placed.select("anchor_id", "paper_id", "section_id", F.col("kind").alias("_kind"), F.explode(F.sequence(F.col("_at") - neighbours, F.col("_at") + neighbours)).alias("_at"))
-    near = near.join(every.select("paper_id", F.col("section_id").alias("_section"), "_at", "record_id", "kind"), ["paper_id", "_at"]).where(F.col("section_id").eqNullSafe(F.col("_section")))
-    nearby = near.where((F.col("_kind") == "text_span") | (F.col("kind") == "text_span")).select("anchor_id", "record_id", "_kind")
+    near = near.join(every.select("paper_id", F.col("section_id").alias("_section"), "_at", "record_id", "kind", "page", "reading"), ["paper_id", "_at"]).where(F.col("section_id").eqNullSafe(F.col("_section")))
+    nearby = near.where((F.col("_kind") == "text_span") | (F.col("kind") == "text_span")).select("anchor_id", "record_id", "_kind", *at)
     texts = context.where("kind = 'text_span'").select("paper_id", "record_id", F.col("page").alias("_page"), F.col("reading").alias("_reading"), F.col("section_id").alias("_section"), F.explode(_named(F.col("text"))).alias("_name"))
     things = own.where("kind <> 'text_span'").withColumn("_name", F.get(_named(F.regexp_extract(F.trim(F.coalesce("label", F.lit(""))), f"^{_OBJECT}$", 0)), 0))
     told = things.join(texts, ["paper_id", "_name"])
     closest = W.partitionBy("anchor_id").orderBy((~F.col("section_id").eqNullSafe(F.col("_section"))).cast("int"), F.abs(F.col("page") - F.col("_page")), F.abs(F.col("reading") - F.col("_reading")), "_page", "_reading", "record_id")
-    told = told.withColumn("_rn", F.row_number().over(closest)).where(F.col("_rn") <= max(1, 2 * neighbours)).select("anchor_id", "record_id")
+    told = told.withColumn("_rn", F.row_number().over(closest)).where(F.col("_rn") <= max(1, 2 * neighbours)).select("anchor_id", "record_id", F.col("_page").alias("page"), F.col("_reading").alias("reading"))
     beside = nearby.where("_kind = 'text_span'").drop("_kind").unionByName(nearby.where("_kind <> 'text_span'").drop("_kind").join(told.select("anchor_id").distinct(), "anchor_id", "left_anti"))
     flat = F.lower(F.regexp_replace(F.trim(F.coalesce("label", F.lit(""))), r"\s+", " "))
-    labelled = context.where(F.col("record_type").isin(*COMPANIONS)).select("paper_id", "kind", flat.alias("_label"), "record_id").where("_label <> ''")
-    companions = own.where("kind <> 'text_span'").withColumn("_label", flat).join(labelled, ["paper_id", "kind", "_label"]).select("anchor_id", "record_id")
+    labelled = context.where(F.col("record_type").isin(*COMPANIONS)).select("paper_id", "kind", flat.alias("_label"), "record_id", F.col("page").alias("_page"), F.col("reading").alias("_reading")).where("_label <> ''")
+    companions = own.where("kind <> 'text_span'").withColumn("_label", flat).join(labelled, ["paper_id", "kind", "_label"]).select("anchor_id", "record_id", F.col("_page").alias("page"), F.col("_reading").alias("reading"))
     number = F.regexp_extract(F.concat_ws(" ", F.coalesce("label", F.lit("")), F.coalesce("text", F.lit(""))), _CITED, 1)
     number = F.when(number != "", number).otherwise(F.regexp_extract(F.concat_ws(" ", F.coalesce("label", F.lit("")), F.coalesce("text", F.lit(""))), _CITED, 2))
     cited = context.where("kind = 'citation_context'").withColumn("_number", number).where("_number <> ''")
-    first = cited.withColumn("_rn", F.row_number().over(W.partitionBy("paper_id", "_number").orderBy(*order))).where("_rn <= 2").groupBy("paper_id", "_number").agg(F.array_sort(F.collect_list(F.struct("_rn", "record_id"))).alias("_two"))
+    first = cited.withColumn("_rn", F.row_number().over(W.partitionBy("paper_id", "_number").orderBy(*order))).where("_rn <= 2").groupBy("paper_id", "_number").agg(F.array_sort(F.collect_list(F.struct("_rn", "record_id", "page", "reading"))).alias("_two"))
     entry = own.where("kind = 'citation_context'").withColumn("_number", number).join(first, ["paper_id", "_number"])
-    entry = entry.select("anchor_id", F.get(F.filter(F.transform("_two", lambda x: x["record_id"]), lambda r: r != F.col("anchor_id")), 0).alias("record_id")).where("record_id is not null")
-    members = beside.unionByName(told).unionByName(companions).unionByName(entry).unionByName(own.select("anchor_id", F.col("anchor_id").alias("record_id"))).distinct()
-    where = context.select("record_id", "page", "reading").unionByName(anchors.select("record_id", "page", "reading")).dropDuplicates(["record_id"])
+    entry = entry.select("anchor_id", F.get(F.filter("_two", lambda x: x["record_id"] != F.col("anchor_id")), 0).alias("_x")).where("_x is not null").select("anchor_id", "_x.record_id", "_x.page", "_x.reading")
+    # every member brings its place with it, so members are dealt by anchor once, where each is kept once and numbered
+    members = beside.unionByName(told).unionByName(companions).unionByName(entry).unionByName(own.select("anchor_id", F.col("anchor_id").alias("record_id"), *at)).repartition("anchor_id")
+    once = members.withColumn("_rn", F.row_number().over(W.partitionBy("anchor_id", "record_id").orderBy(*at))).where("_rn = 1")
     place = F.row_number().over(W.partitionBy("anchor_id").orderBy("page", "reading", "record_id")).cast("long")
-    return members.join(where, "record_id").select("anchor_id", "record_id", place.alias("place"))
+    return once.select("anchor_id", "record_id", place.alias("place"))
 
 
 def _column_bonus(question: Column, route: Column) -> Column:

@@ -143,3 +143,10 @@ def test_titles_are_cut_once(spark):
     assert set(made.first()["aliases"]) == {"dnv", "dn", "nv", "clip"}
     rows = QUERIES["hybrid_retrieval"](spark, "/root/testdata/sf0.001")
     assert not re.search(r"Exchange hashpartitioning\(\w+#\d+L?, \w+#\d+L?, \d+\)", plan(rows))
+
+
+def test_members_are_dealt_by_anchor_once(spark):
+    """A member brings its place with it: after all joins one exchange, by anchor."""
+    p = plan(QUERIES["package_members"](spark, "/root/testdata/sf0.001")).split("Initial Plan")[-1]
+    assert not re.search(r"Exchange hashpartitioning\(anchor_id#\d+, record_id#\d+, \d+\)", p)
+    assert p.index("Exchange hashpartitioning(anchor_id") < p.index("Union") < p.index("Join")
