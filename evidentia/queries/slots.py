@@ -170,7 +170,7 @@ WITH {_SQL_WINDOWS} SELECT l_orderkey AS query_id, 1 AS level, 'T' || l_linenumb
 UNION ALL SELECT l_orderkey, 0, 'T' || l_linenumber, NULL, 1 FROM w WHERE l_linenumber % 2 = 1""")
 def window_expansions(spark, sf_dir):
     held = staged(catalog(spark, sf_dir), "catalog")
-    w = staged(windows(spark, sf_dir, held), "windows")
+    w = staged(windows(spark, sf_dir, held).select("query_id", "window_id", "anchor_ref", "support_refs", "anchor_quote"), "windows")  # what expansions read: texts and lines stay where they are
     n = F.regexp_extract("anchor_ref", r"(\d+)", 1).cast("int")
     triples = w.select("query_id", F.concat(F.lit("T"), n).alias("triple_id"), F.when(n % 3 > 0, F.array("window_id")).otherwise(F.when(n % 2 == 0, F.array("window_id")).otherwise(F.array().cast("array<string>"))).alias("windows"), F.array("anchor_ref").alias("refs"))
     decisions = w.select("query_id", F.when(n % 2 == 0, 1).otherwise(0).alias("level"), F.concat(F.lit("T"), n).alias("triple_id"))

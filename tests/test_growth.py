@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.operators import coverage as C, evaluation as EV, hybrid as HY, levels as LV, matching as M, objects as O, scoring as SC, slots as S
 from evidentia.operators.text import counted
-from evidentia.queries import QUERIES
+from evidentia.queries import QUERIES, slots as SQ
 
 
 def plan(df):
@@ -150,3 +150,10 @@ def test_members_are_dealt_by_anchor_once(spark):
     p = plan(QUERIES["package_members"](spark, "/root/testdata/sf0.001")).split("Initial Plan")[-1]
     assert not re.search(r"Exchange hashpartitioning\(anchor_id#\d+, record_id#\d+, \d+\)", p)
     assert p.index("Exchange hashpartitioning(anchor_id") < p.index("Union") < p.index("Join")
+
+
+def test_windows_are_written_without_their_lines(spark, monkeypatch):
+    seen, write = {}, SQ.staged
+    monkeypatch.setattr(SQ, "staged", lambda df, name: seen.update({name: df.columns}) or write(df, name))
+    assert QUERIES["window_expansions"](spark, "/root/testdata/sf0.001").columns == ["query_id", "level", "triple_id", "window_id", "refs"]
+    assert sorted(seen["windows"]) == ["anchor_quote", "anchor_ref", "query_id", "support_refs", "window_id"]
